@@ -54,24 +54,22 @@ def q_tokenise(spark, d):
 SELECT document, token, CAST(count(*) AS BIGINT) AS n_occ, round(sum(p12), 9) AS sum_outside,
        round(sum(p0), 9) AS sum_p0 FROM occ GROUP BY document, token""")
 def q_explode_occurrences(spark, d):
-    """A2: per-window probability arrays zip-exploded to one row per occurrence (summarised per word)."""
-    occ = occurrences(spark, d)
+    """A2 (+R9): per-window probability arrays from the model hook, zip-exploded per occurrence
+    (summarised per word)."""
+    from .synthetic import scored_windows
+    occ = E.explode_occurrences(scored_windows(essays(spark, d)))
     return occ.groupBy("document", "token").agg(
         F.count(F.lit(1)).alias("n_occ"),
-        F.round(F.sum(F.element_at("probs", 13)), 9).alias("sum_outside"),
-        F.round(F.sum(F.element_at("probs", 1)), 9).alias("sum_p0"))
+        F.round(F.sum(F.col("probs")[12]), 9).alias("sum_outside"),
+        F.round(F.sum(F.col("probs")[0]), 9).alias("sum_p0"))
 
 
 @register("drop_confident_outside", S.chain(*OCC) + f"""
 SELECT document, token, win AS window, p12 AS outside_prob FROM occ WHERE p12 < {CUT}""")
 def q_drop_confident_outside(spark, d):
-    """P5 (+P4): occurrences surviving the strict cut."""
-    from ..plans.synthetic import scored_windows
-    w = scored_windows(essays(spark, d))
-    occ = w.select("document", "window", F.inline(F.arrays_zip(F.col("word_ids").alias("token"),
-                                                               F.col("probs").alias("probs"))))
-    occ = E.drop_confident_outside(occ.filter(F.col("token") != -1), CUT)
-    return occ.select("document", "token", "window", F.element_at("probs", -1).alias("outside_prob"))
+    """P5: occurrences surviving the strict cut (applied before the mean)."""
+    occ = E.drop_confident_outside(occurrences(spark, d), CUT, n_classes=13)
+    return occ.select("document", "token", "window", F.col("probs")[12].alias("outside_prob"))
 
 
 @register("mean_probs", S.chain(*PRED) + f"""

@@ -24,9 +24,9 @@ def label_id_case(label: str = "label", taxonomy=BIO13) -> str:
 
 
 WORDS = f"""words AS (
-  SELECT doc_id AS document, CAST(generate_subscripts({SPLIT}, 1) - 1 AS BIGINT) AS token,
-         unnest({SPLIT}) AS word, CAST(len({SPLIT}) AS BIGINT) AS n_words
-  FROM documents)"""
+  SELECT document, CAST(generate_subscripts(arr, 1) - 1 AS BIGINT) AS token,
+         unnest(arr) AS word, CAST(len(arr) AS BIGINT) AS n_words
+  FROM (SELECT doc_id AS document, {SPLIT} AS arr FROM documents))"""
 
 LWORDS = f"""lwords AS (
   SELECT document, token, word, n_words, {label_case('word')} AS label FROM words)"""
@@ -116,3 +116,31 @@ def prf(tp: str = "tp", fp: str = "fp", fn: str = "fn", beta: float = 5.0) -> st
 
 GRID_VALUES = ", ".join(f"({i}, {t!r})" for i, t in enumerate(THRESHOLD_GRID))
 GRID = f"grid(grid_idx, threshold) AS (VALUES {GRID_VALUES})"
+
+
+PIECE_RE = " ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 ]"
+
+PIECES = f"""ptok AS (
+  SELECT document, token, CASE WHEN token > 0 THEN ' ' || word ELSE word END AS itok, label FROM lwords),
+pieces0 AS (
+  SELECT document, token, label, unnest(regexp_extract_all(itok, '{PIECE_RE}', 0)) AS piece,
+         generate_subscripts(regexp_extract_all(itok, '{PIECE_RE}', 0), 1) AS k
+  FROM ptok),
+pieces AS (
+  SELECT document, token, label, piece,
+         CAST(row_number() OVER (PARTITION BY document ORDER BY token, k) - 1 AS BIGINT) AS ppos
+  FROM pieces0),
+npieces AS (
+  SELECT d.doc_id AS document, count(p.ppos) AS n
+  FROM documents d LEFT JOIN pieces p ON p.document = d.doc_id GROUP BY d.doc_id)"""
+
+
+def windows(cap: int, step: int) -> str:
+    """Window rows and their content pieces (relational form: a range condition per document)."""
+    return f"""wins AS (
+  SELECT document, n, unnest(generate_series(0, CAST(greatest(0, ceil((n - {cap}) / {float(step)})) AS BIGINT))) AS window
+  FROM npieces),
+wp AS (
+  SELECT w.document, w.window, p.ppos - w.window * {step} + 1 AS pos, p.ppos, p.token, p.label
+  FROM wins w LEFT JOIN pieces p
+    ON p.document = w.document AND p.ppos >= w.window * {step} AND p.ppos < w.window * {step} + {cap})"""

@@ -85,20 +85,10 @@ def synthetic_occurrences(essays: DataFrame, max_length: int = 1024, stride: int
 
 
 def scored_windows(essays: DataFrame, max_length: int = 1024, stride: int = 256, labels="bio13") -> DataFrame:
-    """Word-level windows (no specials) with the per-piece probability arrays a model would emit.
-
-    Built in small array steps (each lambda stays tiny; lambdas are evaluated interpreted).
-    """
+    """Word-level windows (no specials) scored by the model hook (R9): per-window probability
+    arrays, as a model emits them (D7 before the explode)."""
+    from ..operators.score import score_windows, synthetic_model
     pieces = align_labels(words_as_pieces(essays), labels)
     win = window(pieces, max_length, stride, n_special=0, keep=("document",),
                  sliced={"label_ids": IGNORE_ID})
-    hm = F.transform(F.arrays_zip("word_ids", "label_ids"), lambda z: F.struct(
-        _h(F.col("document"), z["word_ids"], F.col("window")).alias("h"), z["label_ids"].alias("g")))
-    win = win.withColumn("_hm", F.transform(hm, lambda s: F.struct(
-        s["h"].alias("h"), _m(s["h"], s["g"]).alias("m"), _fav(s["h"], s["g"]).alias("f"))))
-    win = win.withColumn("_w", F.transform("_hm", lambda s: F.array(*_weights(s["h"], s["f"]))))
-    win = win.withColumn("_t", F.transform("_w", lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)))
-    probs = F.transform("_w", lambda a, i: F.concat(
-        F.transform(a, lambda x: x.cast("double") / (F.element_at("_t", i + 1) * (F.element_at("_hm", i + 1)["m"] + 1)).cast("double")),
-        F.array(F.element_at("_hm", i + 1)["m"].cast("double") / (F.element_at("_hm", i + 1)["m"] + 1).cast("double"))))
-    return win.withColumn("probs", probs).drop("_hm", "_w", "_t")
+    return score_windows(win.select("document", "window", "word_ids", "label_ids"), synthetic_model)
