@@ -57,7 +57,8 @@ def with_row_index(df: DataFrame, order_cols, out: str = "row_index", weight_col
         ranged = ranged.withColumn("_w", F.lit(1).cast("long"))
     else:
         ranged = ranged.withColumn("_w", F.coalesce(F.col(weight_col).cast("long"), F.lit(0).cast("long")))
-        schema = ranged.schema.add("_local", "long")
+        from pyspark.sql.types import LongType, StructField, StructType
+        schema = StructType([*ranged.schema.fields, StructField("_local", LongType(), True)])
         ranged = ranged.mapInPandas(_local_weight_prefix("_w", "_local"), schema)
     frozen = ranged.checkpoint(eager=True)
     totals = sorted((r["_pid"], r["total"]) for r in

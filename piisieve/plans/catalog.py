@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import catalog_core, catalog_splits, catalog_windows  # noqa: F401
+from . import catalog_core, catalog_extra, catalog_splits, catalog_windows  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 

@@ -55,7 +55,7 @@ def q_split_all_data(spark, d):
 
 
 @register("split_random", f"""
-SELECT doc_id AS document, CASE WHEN {H.format("CAST(doc_id AS VARCHAR) || '|{SEED}'")} < 0.25 THEN 'valid' ELSE 'train' END AS split
+SELECT doc_id AS document, CASE WHEN {H.format(f"CAST(doc_id AS VARCHAR) || '|{SEED}'")} < 0.25 THEN 'valid' ELSE 'train' END AS split
 FROM documents""")
 def q_split_random(spark, d):
     """M3: seeded 75/25 split by key hash."""

@@ -62,9 +62,10 @@ def q_no_leading_space(spark, d):
 
 
 @register("window", S.chain(*WIN_SQL) + f"""
-SELECT document, window, window * {STEP} AS start, count(ppos) + 2 AS input_length,
+SELECT document, "window", "window" * {STEP} AS start, count(ppos) + 2 AS input_length,
        min(token) AS first_word, max(token) AS last_word
-FROM wp GROUP BY document, window""")
+FROM wp GROUP BY document, "window"
+""")
 def q_window(spark, d):
     """Overlapping windows (512 pieces incl. 2 specials, stride 128) and their lengths."""
     w = windows(spark, d)
@@ -75,9 +76,9 @@ def q_window(spark, d):
 
 
 @register("word_ids", S.chain(*WIN_SQL) + """
-SELECT document, window, pos, token AS word_id FROM wp WHERE ppos IS NOT NULL
-UNION ALL SELECT document, window, 0, -1 FROM wins
-UNION ALL SELECT w.document, w.window, count(wp.ppos) + 1, -1 FROM wins w LEFT JOIN wp USING (document, window)
+SELECT document, "window", pos, token AS word_id FROM wp WHERE ppos IS NOT NULL
+UNION ALL SELECT document, "window", 0, -1 FROM wins
+UNION ALL SELECT w.document, w."window", count(wp.ppos) + 1, -1 FROM wins w LEFT JOIN wp USING (document, "window")
   GROUP BY w.document, w.window""")
 def q_word_ids(spark, d):
     """Word id per window piece, -1 for the two specials."""
@@ -86,11 +87,11 @@ def q_word_ids(spark, d):
 
 
 @register("align_labels", S.chain(*WIN_SQL) + f"""
-SELECT document, window, label_id, CAST(count(*) AS BIGINT) AS n FROM (
-  SELECT document, window, {S.label_id_case('label')} AS label_id FROM wp WHERE ppos IS NOT NULL
-  UNION ALL SELECT document, window, -100 FROM wins
-  UNION ALL SELECT document, window, -100 FROM wins)
-GROUP BY document, window, label_id""")
+SELECT document, "window", label_id, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT document, "window", {S.label_id_case('label')} AS label_id FROM wp WHERE ppos IS NOT NULL
+  UNION ALL SELECT document, "window", -100 FROM wins
+  UNION ALL SELECT document, "window", -100 FROM wins)
+GROUP BY document, "window", label_id""")
 def q_align_labels(spark, d):
     """Label id per piece (-100 for specials / unknown labels), counted per window."""
     w = windows(spark, d)
@@ -99,14 +100,14 @@ def q_align_labels(spark, d):
 
 
 SPANS_SQL = WIN_SQL + ["""wspans AS (
-  SELECT document, window, token AS word, min(pos) AS head, max(pos) + 1 AS tail, any_value(label) AS label
-  FROM wp WHERE ppos IS NOT NULL GROUP BY document, window, token)"""]
+  SELECT document, "window", token AS word, min(pos) AS head, max(pos) + 1 AS tail, any_value(label) AS label
+  FROM wp WHERE ppos IS NOT NULL GROUP BY document, "window", token)"""]
 
 
 @register("word_spans", S.chain(*SPANS_SQL) + """
-SELECT w.document, w.window, CAST(count(s.word) AS BIGINT) AS n_spans, sum(s.tail - s.head) AS span_pieces,
+SELECT w.document, w."window", CAST(count(s.word) AS BIGINT) AS n_spans, sum(s.tail - s.head) AS span_pieces,
        max(s.tail - s.head) AS longest, min(s.head) AS first_head, max(s.tail) AS last_tail
-FROM wins w LEFT JOIN wspans s USING (document, window) GROUP BY w.document, w.window""")
+FROM wins w LEFT JOIN wspans s USING (document, "window") GROUP BY w.document, w.window""")
 def q_word_spans(spark, d):
     """Runs of equal word id -> [head, tail) spans, summarised per window."""
     s = W.word_spans(windows(spark, d)).select("document", "window", F.explode_outer("spans").alias("s"))
@@ -117,10 +118,10 @@ def q_word_spans(spark, d):
 
 
 @register("word_spans_reference_rule", S.chain(*SPANS_SQL, """lastw AS (
-  SELECT document, window, max(word) AS last_word FROM wspans GROUP BY document, window)""") + """
-SELECT w.document, w.window, CAST(count(s.word) AS BIGINT) AS n_spans
-FROM wins w LEFT JOIN lastw l USING (document, window)
-LEFT JOIN wspans s ON s.document = w.document AND s.window = w.window AND s.word < l.last_word
+  SELECT document, "window", max(word) AS last_word FROM wspans GROUP BY document, "window")""") + """
+SELECT w.document, w."window", CAST(count(s.word) AS BIGINT) AS n_spans
+FROM wins w LEFT JOIN lastw l USING (document, "window")
+LEFT JOIN wspans s ON s.document = w.document AND s."window" = w."window" AND s.word < l.last_word
 GROUP BY w.document, w.window""")
 def q_word_spans_reference_rule(spark, d):
     """The old rule (runs from position 1, last run dropped) on windows with two specials."""
@@ -129,8 +130,8 @@ def q_word_spans_reference_rule(spark, d):
 
 
 @register("span_labels", S.chain(*SPANS_SQL) + f"""
-SELECT document, window, {S.label_id_case('label')} AS label_id, CAST(count(*) AS BIGINT) AS n
-FROM wspans GROUP BY document, window, label_id""")
+SELECT document, "window", {S.label_id_case('label')} AS label_id, CAST(count(*) AS BIGINT) AS n
+FROM wspans GROUP BY document, "window", label_id""")
 def q_span_labels(spark, d):
     """One label id per span, counted per window."""
     s = W.span_labels(spans(spark, d))
@@ -139,7 +140,7 @@ def q_span_labels(spark, d):
 
 
 @register("filter_min_spans", S.chain(*SPANS_SQL) + """
-SELECT document, window, CAST(count(*) AS BIGINT) AS n_spans FROM wspans GROUP BY document, window HAVING count(*) > 4""")
+SELECT document, "window", CAST(count(*) AS BIGINT) AS n_spans FROM wspans GROUP BY document, "window" HAVING count(*) > 4""")
 def q_filter_min_spans(spark, d):
     """Windows with more than 4 spans (the training rule)."""
     s = W.filter_min_spans(W.word_spans(windows(spark, d)), 4)
@@ -150,8 +151,8 @@ MASK_SQL = "CASE WHEN label <> 'O' OR (('0x' || substr(md5(CAST(document AS VARC
 
 
 @register("keep_masked_words", S.chain(*SPANS_SQL) + f"""
-SELECT w.document, w.window, CAST(count(s.word) AS BIGINT) AS n_kept FROM wins w
-LEFT JOIN (SELECT * FROM wspans WHERE {MASK_SQL} = 1) s USING (document, window)
+SELECT w.document, w."window", CAST(count(s.word) AS BIGINT) AS n_kept FROM wins w
+LEFT JOIN (SELECT * FROM wspans WHERE {MASK_SQL} = 1) s USING (document, "window")
 GROUP BY w.document, w.window""")
 def q_keep_masked_words(spark, d):
     """Spans whose word is masked in; masks = entity words plus a keyed 80% of the rest."""
@@ -163,33 +164,34 @@ def q_keep_masked_words(spark, d):
 
 
 @register("select_model_columns", S.chain(*WIN_SQL) + """
-SELECT document, window, count(ppos) + 2 AS input_length FROM wp GROUP BY document, window""")
+SELECT document, "window", count(ppos) + 2 AS input_length FROM wp GROUP BY document, "window"
+""")
 def q_select_model_columns(spark, d):
     """Only model columns survive; Catalyst prunes the rest (ReadSchema: doc_id, text)."""
     return W.select_model_columns(windows(spark, d)).select("document", "window", "input_length")
 
 
 @register("drop_special", S.chain(*WIN_SQL) + """
-SELECT document, window, pos, token AS word_id FROM wp WHERE ppos IS NOT NULL""")
+SELECT document, "window", pos, token AS word_id FROM wp WHERE ppos IS NOT NULL""")
 def q_drop_special(spark, d):
     """Piece rows without the special / padding pieces (word id -1)."""
     w = windows(spark, d).select("document", "window", F.posexplode("word_ids").alias("pos", "token"))
     return W.drop_special(w).withColumnRenamed("token", "word_id")
 
 
-ORDER_SQL = S.chain(*WIN_SQL, """wl AS (SELECT document, window, count(ppos) + 2 AS input_length FROM wp GROUP BY document, window),
-ordered AS (SELECT document, window, input_length,
-  CAST(row_number() OVER (ORDER BY input_length, document, window) - 1 AS BIGINT) AS order_idx FROM wl)""")
+ORDER_SQL = S.chain(*WIN_SQL, """wl AS (SELECT document, "window", count(ppos) + 2 AS input_length FROM wp GROUP BY document, "window"),
+ordered AS (SELECT document, "window", input_length,
+  CAST(row_number() OVER (ORDER BY input_length, document, "window") - 1 AS BIGINT) AS order_idx FROM wl)""")
 
 
-@register("order_by_length", ORDER_SQL + "SELECT document, window, input_length, order_idx FROM ordered")
+@register("order_by_length", ORDER_SQL + 'SELECT document, "window", input_length, order_idx FROM ordered')
 def q_order_by_length(spark, d):
     """Dense position in length order (range partitions + offsets, no single-partition window)."""
     return B.order_by_length(windows(spark, d).select("document", "window", "input_length"))
 
 
 @register("length_buckets", ORDER_SQL + f"""
-SELECT document, window, CAST(floor(order_idx / {BATCH}) AS BIGINT) AS batch_id,
+SELECT document, "window", CAST(floor(order_idx / {BATCH}) AS BIGINT) AS batch_id,
   CAST(ceil(max(input_length) OVER (PARTITION BY floor(order_idx / {BATCH})) / 16.0) * 16 AS BIGINT) AS padded_len
 FROM ordered""")
 def q_length_buckets(spark, d):
@@ -199,9 +201,9 @@ def q_length_buckets(spark, d):
 
 
 @register("pad_arrays", ORDER_SQL + f"""
-SELECT document, window, padded_len, padded_len - input_length + 2 AS n_minus1,
+SELECT document, "window", padded_len, padded_len - input_length + 2 AS n_minus1,
        padded_len - input_length + 2 AS n_ignore, padded_len - input_length AS n_pad FROM (
-  SELECT document, window, input_length,
+  SELECT document, "window", input_length,
     CAST(ceil(max(input_length) OVER (PARTITION BY floor(order_idx / {BATCH})) / 16.0) * 16 AS BIGINT) AS padded_len
   FROM ordered)""")
 def q_pad_arrays(spark, d):
@@ -217,8 +219,8 @@ def q_pad_arrays(spark, d):
 
 
 @register("mask_augment", S.chain(*WIN_SQL) + f"""
-SELECT document, window, pos FROM wp WHERE ppos IS NOT NULL AND
-  (('0x' || substr(md5(CAST(document AS VARCHAR) || '|' || CAST(window AS VARCHAR) || '|' || CAST(pos AS VARCHAR) || '|{SEED}'), 1, 8))::BIGINT / 4294967296.0) < {MASK_P}""")
+SELECT document, "window", pos FROM wp WHERE ppos IS NOT NULL AND
+  (('0x' || substr(md5(CAST(document AS VARCHAR) || '|' || CAST("window" AS VARCHAR) || '|' || CAST(pos AS VARCHAR) || '|{SEED}'), 1, 8))::BIGINT / 4294967296.0) < {MASK_P}""")
 def q_mask_augment(spark, d):
     """Keyed Bernoulli(0.15) masking of non-special pieces -> masked positions."""
     m = B.mask_augment(windows(spark, d), MASK_P, SEED)

@@ -136,11 +136,16 @@ npieces AS (
 
 
 def windows(cap: int, step: int) -> str:
-    """Window rows and their content pieces (relational form: a range condition per document)."""
+    """Window rows and their content pieces: each piece is exploded into the windows holding it."""
+    nw = f"CAST(greatest(0, ceil((n - {cap}) / {float(step)})) AS BIGINT)"
     return f"""wins AS (
-  SELECT document, n, unnest(generate_series(0, CAST(greatest(0, ceil((n - {cap}) / {float(step)})) AS BIGINT))) AS window
-  FROM npieces),
+  SELECT document, n, unnest(generate_series(0, {nw})) AS "window" FROM npieces),
+pw AS (
+  SELECT p.*, np.n FROM pieces p JOIN npieces np USING (document)),
 wp AS (
-  SELECT w.document, w.window, p.ppos - w.window * {step} + 1 AS pos, p.ppos, p.token, p.label
-  FROM wins w LEFT JOIN pieces p
-    ON p.document = w.document AND p.ppos >= w.window * {step} AND p.ppos < w.window * {step} + {cap})"""
+  SELECT document, "window", ppos - "window" * {step} + 1 AS pos, ppos, token, label FROM (
+    SELECT document, ppos, token, label, unnest(generate_series(
+      greatest(0, CAST(floor((ppos - {cap}) / {float(step)}) AS BIGINT) + 1),
+      least({nw}, CAST(floor(ppos / {float(step)}) AS BIGINT)))) AS "window"
+    FROM pw)
+  UNION ALL SELECT document, 0, NULL, NULL, NULL, NULL FROM npieces WHERE n = 0)"""
