@@ -35,9 +35,10 @@ def drop_confident_outside(df: DataFrame, cut: float = 0.995, probs: str = "prob
 def mean_probs(df: DataFrame, n_classes: int, probs: str = "probs", digits: int | None = 9) -> DataFrame:
     """A3 (X2): element-wise mean vector per (document, token) as n scalar averages in one
     hash aggregate, so partial aggregation runs map-side; then rounded to ``digits``."""
-    aggs = [F.avg(F.col(probs).getItem(i)).alias(f"_p{i}") for i in range(n_classes)]
-    agg = df.groupBy(*KEYS).agg(*aggs)
-    vals = [F.col(f"_p{i}") for i in range(n_classes)]
+    # sums plus one shared count: avg is sum / count, with half the aggregation buffer
+    aggs = [F.sum(F.col(probs).getItem(i)).alias(f"_p{i}") for i in range(n_classes)]
+    agg = df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), *aggs)
+    vals = [F.col(f"_p{i}") / F.col("_n").cast("double") for i in range(n_classes)]
     if digits is not None:
         vals = [F.round(v, digits) for v in vals]
     return agg.select(*KEYS, F.array(*vals).alias("probs"))

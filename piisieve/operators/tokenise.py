@@ -6,6 +6,8 @@ work for one document is bounded by the size of that one row.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,25 +79,29 @@ def explode_words(df: DataFrame, cols: tuple[str, ...] = ("document",), with_lab
     return out.select(*sel)
 
 
-def _exclusive_cumsum(lengths: Column) -> Column:
-    """Exclusive prefix sums of an int array, vectorised per Arrow batch (numpy inside the task)."""
-    import numpy as np
-    import pandas as pd
+def _cumsum_one(a):
+    if a is None:
+        return None
+    a = np.asarray(a, dtype=np.int64)
+    out = np.empty(len(a), dtype=np.int64)
+    if len(a):
+        out[0] = 0
+        np.cumsum(a[:-1], out=out[1:])
+    return out
+
+
+def _cumsum_series(s: pd.Series) -> pd.Series:
+    return s.map(_cumsum_one)
 
-    @F.pandas_udf("array<long>")
-    def cumsum_arrays(s: pd.Series) -> pd.Series:
-        def one(a):
-            if a is None:
-                return None
-            a = np.asarray(a, dtype=np.int64)
-            out = np.empty(len(a), dtype=np.int64)
-            if len(a):
-                out[0] = 0
-                np.cumsum(a[:-1], out=out[1:])
-            return out
-        return s.map(one)
 
-    return cumsum_arrays(lengths)
+_CUMSUM_UDF = []
+
+
+def _exclusive_cumsum(lengths: Column) -> Column:
+    """Exclusive prefix sums of an int array, vectorised per Arrow batch (numpy inside the task)."""
+    if not _CUMSUM_UDF:
+        _CUMSUM_UDF.append(F.pandas_udf(_cumsum_series, "array<long>"))
+    return _CUMSUM_UDF[0](lengths)
 
 
 def word_offsets(df: DataFrame) -> DataFrame:
@@ -105,7 +111,7 @@ def word_offsets(df: DataFrame) -> DataFrame:
     """
     lengths = F.transform(
         "tokens",
-        lambda t, i: F.length(t) + F.coalesce(F.length(F.element_at("separators", i + 1)), F.lit(0)),
+        lambda t, i: F.length(t) + F.coalesce(F.length(F.try_element_at("separators", i + 1)), F.lit(0)),
     )
     return df.withColumn("word_starts", _exclusive_cumsum(lengths))
 
@@ -114,8 +120,8 @@ def rebuild_text(df: DataFrame, out: str = "rebuilt_text") -> DataFrame:
     """Concatenate tokens and their separators (or one space per trailing flag)."""
     if "separators" in df.columns:
         pieces = F.transform("tokens", lambda t, i: F.concat(
-            t, F.coalesce(F.element_at("separators", i + 1), F.lit(""))))
+            t, F.coalesce(F.try_element_at("separators", i + 1), F.lit(""))))
     else:
         pieces = F.transform("tokens", lambda t, i: F.concat(
-            t, F.when(F.element_at("trailing_whitespace", i + 1), F.lit(" ")).otherwise(F.lit(""))))
+            t, F.when(F.try_element_at("trailing_whitespace", i + 1), F.lit(" ")).otherwise(F.lit(""))))
     return df.withColumn(out, F.array_join(pieces, ""))

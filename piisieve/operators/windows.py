@@ -93,7 +93,7 @@ def align_labels(df: DataFrame, taxonomy="bio13", word_labels: str = "labels", o
     m = label_to_id_map(taxonomy)
     return df.withColumn(out, F.transform("word_ids", lambda w: F.when(
         w == F.lit(SPECIAL_WORD), F.lit(IGNORE_ID)).otherwise(
-        F.coalesce(m[F.element_at(F.col(word_labels), w + 1)], F.lit(IGNORE_ID)))))
+        F.coalesce(m[F.try_element_at(F.col(word_labels), w + 1)], F.lit(IGNORE_ID)))))
 
 
 def word_spans(df: DataFrame, reference_rule: bool = False) -> DataFrame:
@@ -122,7 +122,7 @@ def span_labels(df: DataFrame, taxonomy="bio13", word_labels: str = "labels", ou
     m = label_to_id_map(taxonomy)
     return df.withColumn(out, F.transform("spans", lambda s: F.when(
         s["word"] == F.lit(SPECIAL_WORD), F.lit(IGNORE_ID)).otherwise(
-        F.coalesce(m[F.element_at(F.col(word_labels), s["word"] + 1)], F.lit(IGNORE_ID)))))
+        F.coalesce(m[F.try_element_at(F.col(word_labels), s["word"] + 1)], F.lit(IGNORE_ID)))))
 
 
 def filter_min_spans(df: DataFrame, n: int) -> DataFrame:
@@ -132,7 +132,7 @@ def filter_min_spans(df: DataFrame, n: int) -> DataFrame:
 
 def keep_masked_words(df: DataFrame, masks: str = "masks") -> DataFrame:
     """Keep only spans whose word is masked in (mask = 1)."""
-    return df.withColumn("spans", F.filter("spans", lambda s: F.element_at(F.col(masks), s["word"] + 1) == F.lit(1)))
+    return df.withColumn("spans", F.filter("spans", lambda s: F.coalesce(F.try_element_at(F.col(masks), s["word"] + 1), F.lit(0)) == F.lit(1)))
 
 
 def drop_special(df: DataFrame, word_col: str = "token") -> DataFrame:
