@@ -51,7 +51,8 @@ def mask_augment(df: DataFrame, p: float, seed: int, mask_token: str = MASK) ->
 
     The draw is a hash of (document, window, position, seed), so reruns and retries agree.
     """
-    return df.withColumn("pieces", F.transform("pieces", lambda t, i: F.when(
-        (F.element_at("word_ids", i + 1) != F.lit(SPECIAL_WORD))
+    z = F.arrays_zip(F.col("pieces").alias("t"), F.col("word_ids").alias("w"))
+    return df.withColumn("pieces", F.transform(z, lambda e, i: F.when(
+        (e["w"] != F.lit(SPECIAL_WORD))
         & (unit_hash(F.col("document"), F.col("window"), i, F.lit(seed)) < F.lit(float(p))),
-        F.lit(mask_token)).otherwise(t)))
+        F.lit(mask_token)).otherwise(e["t"])))

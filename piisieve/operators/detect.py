@@ -63,7 +63,8 @@ def match_offsets(df: DataFrame, entity: str, pattern: str, text: str = "text",
     """
     parts = F.split(F.col(text), pattern, -1)
     matches = F.regexp_extract_all(F.col(text), F.lit(pattern), 0)
-    lens = F.flatten(F.transform(matches, lambda m, i: F.array(F.length(F.element_at(parts, i + 1)), F.length(m))))
+    z = F.arrays_zip(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))).alias("part"), matches.alias("m"))
+    lens = F.flatten(F.transform(z, lambda e: F.array(F.length(e["part"]), F.length(e["m"]))))
     d = df.select(*keys, matches.alias("_m"), _exclusive_cumsum(lens).alias("_c"))
     return (d.select(*keys, F.posexplode("_m").alias("occurrence", "match"), "_c")
              .select(*keys, F.lit(entity).alias("type"), "occurrence", "match",

@@ -36,12 +36,15 @@ def redact_spans(docs: DataFrame, spans: DataFrame, doc: str = "doc_id", text: s
             F.concat(acc, F.array(F.struct(s["start"].cast("int").alias("start"),
                                            (-s["neg_end"]).cast("int").alias("end"),
                                            s["type"].alias("type"))))).otherwise(acc))
-    j = docs.join(per_doc, doc, "left").withColumn("_k", F.coalesce(kept, F.array().cast(
-        "array<struct<start:int,end:int,type:string>>")))
-    pieces = F.transform("_k", lambda s, i: F.concat(
-        F.substring(F.col(text), F.when(i == 0, F.lit(1)).otherwise(F.element_at("_k", i)["end"] + 1),
-                    s["start"] - F.when(i == 0, F.lit(0)).otherwise(F.element_at("_k", i)["end"])),
-        F.lit("["), s["type"], F.lit("]")))
+    empty = F.array().cast("array<struct<start:int,end:int,type:string>>")
+    j = docs.join(per_doc, doc, "left").withColumn("_k", F.coalesce(kept, empty))
+    # previous span end zipped in as an argument (no per-element lookups)
+    ends = F.transform("_k", lambda s: s["end"])
+    prev_end = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size("_k") - 1, F.lit(0))))
+    z = F.arrays_zip(F.col("_k").alias("s"), prev_end.alias("pe"))
+    pieces = F.transform(z, lambda e: F.concat(
+        F.substring(F.col(text), e["pe"] + 1, e["s"]["start"] - e["pe"]),
+        F.lit("["), e["s"]["type"], F.lit("]")))
     tail_from = F.when(F.size("_k") == 0, F.lit(1)).otherwise(F.element_at("_k", -1)["end"] + 1)
     rebuilt = F.concat(F.array_join(pieces, ""), F.substring(F.col(text), tail_from, 1 << 30))
     return j.withColumn(out, rebuilt).drop("_sp", "_k")

@@ -32,10 +32,9 @@ def tokenise(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         seps.alias("separators"),
         *keep,
     )
-    return out.withColumn(
-        "trailing_whitespace",
-        F.transform("tokens", lambda t, i: i < F.size("separators")),
-    )
+    # every token but the last is followed by a separator (no lambda: nothing to re-evaluate)
+    return out.withColumn("trailing_whitespace", F.concat(
+        F.array_repeat(F.lit(True), F.size("separators")), F.array(F.lit(False))))
 
 
 def leading_space_tokens(df: DataFrame, mode: str = "leading", tokens: str = "tokens",
@@ -48,12 +47,13 @@ def leading_space_tokens(df: DataFrame, mode: str = "leading", tokens: str = "to
         return df.withColumn(out, F.col(tokens))
     if mode != "leading":
         raise ValueError("mode must be 'leading' or 'none'")
-    return df.withColumn(
-        out,
-        F.transform(tokens, lambda t, i: F.when(
-            (i > 0) & F.coalesce(F.element_at(F.col(trailing), F.greatest(i, F.lit(1))), F.lit(False)),
-            F.concat(F.lit(" "), t)).otherwise(t)),
-    )
+    # zip the previous flag in as an argument of the higher-order function: arguments are
+    # evaluated once per row, whereas a column looked up inside the lambda may be inlined and
+    # rebuilt for every element
+    prev = F.concat(F.array(F.lit(False)), F.slice(F.col(trailing), 1, F.greatest(F.size(tokens) - 1, F.lit(0))))
+    z = F.arrays_zip(F.col(tokens).alias("t"), prev.alias("lead"))
+    return df.withColumn(out, F.transform(z, lambda e: F.when(
+        F.coalesce(e["lead"], F.lit(False)), F.concat(F.lit(" "), e["t"])).otherwise(e["t"])))
 
 
 def explode_words(df: DataFrame, cols: tuple[str, ...] = ("document",), with_labels: bool = False,
@@ -109,19 +109,18 @@ def word_offsets(df: DataFrame) -> DataFrame:
 
     Offsets count code points (Spark ``length``), so they index ``full_text`` directly.
     """
-    lengths = F.transform(
-        "tokens",
-        lambda t, i: F.length(t) + F.coalesce(F.length(F.try_element_at("separators", i + 1)), F.lit(0)),
-    )
+    z = F.arrays_zip(F.col("tokens").alias("t"), F.col("separators").alias("sep"))
+    lengths = F.transform(z, lambda e: F.length(e["t"]) + F.coalesce(F.length(e["sep"]), F.lit(0)))
     return df.withColumn("word_starts", _exclusive_cumsum(lengths))
 
 
 def rebuild_text(df: DataFrame, out: str = "rebuilt_text") -> DataFrame:
     """Concatenate tokens and their separators (or one space per trailing flag)."""
     if "separators" in df.columns:
-        pieces = F.transform("tokens", lambda t, i: F.concat(
-            t, F.coalesce(F.try_element_at("separators", i + 1), F.lit(""))))
+        z = F.arrays_zip(F.col("tokens").alias("t"), F.col("separators").alias("sep"))
+        pieces = F.transform(z, lambda e: F.concat(e["t"], F.coalesce(e["sep"], F.lit(""))))
     else:
-        pieces = F.transform("tokens", lambda t, i: F.concat(
-            t, F.when(F.try_element_at("trailing_whitespace", i + 1), F.lit(" ")).otherwise(F.lit(""))))
+        z = F.arrays_zip(F.col("tokens").alias("t"), F.col("trailing_whitespace").alias("ws"))
+        pieces = F.transform(z, lambda e: F.concat(
+            e["t"], F.when(F.coalesce(e["ws"], F.lit(False)), F.lit(" ")).otherwise(F.lit(""))))
     return df.withColumn(out, F.array_join(pieces, ""))

@@ -22,22 +22,37 @@ def _range0(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def split_pieces(df: DataFrame, tokens: str = "input_tokens", pattern: str = PIECE_PATTERN) -> DataFrame:
-    """Split every word into pieces, keeping the index of the word each piece came from.
+def _label_ids_per_word(labels: Column, taxonomy) -> Column:
+    m = label_to_id_map(taxonomy)
+    return F.transform(labels, lambda lab: F.coalesce(m[lab], F.lit(IGNORE_ID)))
+
+
+def split_pieces(df: DataFrame, tokens: str = "input_tokens", pattern: str = PIECE_PATTERN,
+                 taxonomy=None, word_labels: str = "labels") -> DataFrame:
+    """W1 (+W6): split every word into pieces, keeping the index of the word each piece came from.
 
-    Words that yield no piece (empty strings) get no piece, as with a sub-word tokenizer.
+    Words that yield no piece (empty strings) get no piece, as with a sub-word tokenizer. With a
+    ``taxonomy`` the word labels are aligned at the same time (every piece inherits its word's
+    id, unknown labels -100), zipped per word so no lambda looks anything up by index.
     """
     per_word = F.transform(tokens, lambda w: F.regexp_extract_all(w, F.lit(pattern), 0))
-    return (df.withColumn("_pw", per_word)
-              .withColumn("pieces", F.flatten("_pw"))
-              .withColumn("word_ids", F.flatten(F.transform("_pw", lambda ps, i: F.array_repeat(i, F.size(ps)))))
-              .drop("_pw"))
+    out = (df.withColumn("_pw", per_word)
+             .withColumn("pieces", F.flatten("_pw"))
+             .withColumn("word_ids", F.flatten(F.transform("_pw", lambda ps, i: F.array_repeat(i, F.size(ps))))))
+    if taxonomy is not None:
+        z = F.arrays_zip(F.col("_pw").alias("ps"), _label_ids_per_word(F.col(word_labels), taxonomy).alias("y"))
+        out = out.withColumn("label_ids", F.flatten(F.transform(z, lambda e: F.array_repeat(
+            F.coalesce(e["y"], F.lit(IGNORE_ID)), F.size(e["ps"])))))
+    return out.drop("_pw")
 
 
-def words_as_pieces(df: DataFrame, tokens: str = "tokens") -> DataFrame:
-    """Treat every word as one piece (word-level windows)."""
-    return (df.withColumn("pieces", F.col(tokens))
-              .withColumn("word_ids", _range0(F.size(tokens))))
+def words_as_pieces(df: DataFrame, tokens: str = "tokens", taxonomy=None, word_labels: str = "labels") -> DataFrame:
+    """Treat every word as one piece (word-level windows), optionally with aligned label ids."""
+    out = (df.withColumn("pieces", F.col(tokens))
+             .withColumn("word_ids", _range0(F.size(tokens))))
+    if taxonomy is not None:
+        out = out.withColumn("label_ids", _label_ids_per_word(F.col(word_labels), taxonomy))
+    return out
 
 
 def window_count(n: Column, cap: int, step: int) -> Column:
@@ -89,7 +104,12 @@ def window_word_membership(df: DataFrame, cap: int, step: int, n_col: str = "n_w
 
 
 def align_labels(df: DataFrame, taxonomy="bio13", word_labels: str = "labels", out: str = "label_ids") -> DataFrame:
-    """Each piece inherits its word's label id; specials and unknown labels get -100."""
+    """W6 for arbitrary (word_ids, labels) rows: each piece inherits its word's label id;
+    specials and unknown labels get -100.
+
+    The lambda looks labels up by word id, so pass ``labels`` as a stored or joined column;
+    when pieces are built from words, ``split_pieces(..., taxonomy=...)`` aligns by zipping.
+    """
     m = label_to_id_map(taxonomy)
     return df.withColumn(out, F.transform("word_ids", lambda w: F.when(
         w == F.lit(SPECIAL_WORD), F.lit(IGNORE_ID)).otherwise(
@@ -101,20 +121,26 @@ def word_spans(df: DataFrame, reference_rule: bool = False) -> DataFrame:
 
     Default: every run of a real word (specials never form spans). ``reference_rule=True``
     reproduces the old rule: runs start at position 1 and the last run is never emitted (T8).
+    Arrays are zipped as arguments (index, word id, previous word id), so the work is linear.
     """
     wid = F.col("word_ids")
     n = F.size(wid)
     first = 1 if reference_rule else 0
-    idx = F.when(n > first, F.sequence(F.lit(first), n - 1)).otherwise(F.array().cast("array<int>"))
-    changes = F.filter(idx, lambda i: (i == F.lit(first)) | (F.element_at(wid, i + 1) != F.element_at(wid, i)))
-    tails = F.concat(F.slice(changes, 2, F.greatest(F.size(changes) - 1, F.lit(0))), F.array(n))
-    runs = F.transform(changes, lambda h, j: F.struct(
-        F.element_at(wid, h + 1).alias("word"), h.alias("head"), F.element_at(tails, j + 1).alias("tail")))
+    prev = F.concat(F.array(F.lit(None).cast("int")), F.slice(wid, 1, F.greatest(n - 1, F.lit(0))))
+    z = F.arrays_zip(_range0(n).alias("i"), wid.alias("w"), prev.alias("pw"))
+    changes = F.filter(z, lambda e: (e["i"] >= F.lit(first)) & (
+        (e["i"] == F.lit(first)) | ~F.coalesce(e["w"] == e["pw"], F.lit(False))))
+    out = df.withColumn("_ch", changes)
+    heads = F.transform("_ch", lambda e: e["i"])
+    tails = F.concat(F.slice(heads, 2, F.greatest(F.size("_ch") - 1, F.lit(0))), F.array(n))
+    runs = F.transform(F.arrays_zip(F.col("_ch").alias("c"), tails.alias("t")), lambda e: F.struct(
+        e["c"]["w"].alias("word"), e["c"]["i"].alias("head"), e["t"].alias("tail")))
     if reference_rule:
-        spans = F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0)))
-    else:
-        spans = F.filter(runs, lambda s: s["word"] != F.lit(SPECIAL_WORD))
-    return df.withColumn("spans", spans)
+        out = out.withColumn("_runs", runs)
+        spans = F.slice("_runs", 1, F.greatest(F.size("_runs") - 1, F.lit(0)))
+        return out.withColumn("spans", spans).drop("_ch", "_runs")
+    spans = F.filter(runs, lambda x: x["word"] != F.lit(SPECIAL_WORD))
+    return out.withColumn("spans", spans).drop("_ch")
 
 
 def span_labels(df: DataFrame, taxonomy="bio13", word_labels: str = "labels", out: str = "span_label_ids") -> DataFrame:

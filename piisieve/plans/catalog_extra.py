@@ -61,7 +61,7 @@ def q_token_log_loss(spark, d):
     from ..operators.windows import align_labels, window, words_as_pieces
     e = essays(spark, d)
     sw = scored_windows(e)
-    lab = window(align_labels(words_as_pieces(e)), 1024, 256, 0, sliced={"label_ids": -100}).select(
+    lab = window(words_as_pieces(e, taxonomy="bio13"), 1024, 256, 0, sliced={"label_ids": -100}).select(
         "document", "window", "label_ids")
     out = X.token_log_loss(sw.join(lab, ["document", "window"]))
     return out.select(F.round("log_loss", 6).alias("log_loss"), "n_pieces")

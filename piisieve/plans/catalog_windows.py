@@ -21,12 +21,12 @@ MASK_P = 0.15
 WIN_SQL = [S.WORDS, S.LWORDS, S.PIECES, S.windows(CAP, STEP)]
 
 
-def pieces(spark, d, mode="leading"):
-    return W.split_pieces(leading_space_tokens(essays(spark, d), mode))
+def pieces(spark, d, mode="leading", taxonomy=None):
+    return W.split_pieces(leading_space_tokens(essays(spark, d), mode), taxonomy=taxonomy)
 
 
 def windows(spark, d):
-    p = W.align_labels(pieces(spark, d))
+    p = pieces(spark, d, taxonomy="bio13")
     return W.window(p, MAX_LEN, STRIDE, 2, keep=("document",), sliced={"label_ids": -100})
 
 

@@ -88,7 +88,7 @@ def scored_windows(essays: DataFrame, max_length: int = 1024, stride: int = 256,
     """Word-level windows (no specials) scored by the model hook (R9): per-window probability
     arrays, as a model emits them (D7 before the explode)."""
     from ..operators.score import score_windows, synthetic_model
-    pieces = align_labels(words_as_pieces(essays), labels)
+    pieces = words_as_pieces(essays, taxonomy=labels)
     win = window(pieces, max_length, stride, n_special=0, keep=("document",),
                  sliced={"label_ids": IGNORE_ID})
     return score_windows(win.select("document", "window", "word_ids", "label_ids"), synthetic_model)
