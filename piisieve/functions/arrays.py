@@ -44,3 +44,19 @@ def pad_to(arr: Column, length: Column, value) -> Column:
 
 def round_up(x: Column, multiple: int) -> Column:
     return (F.ceil(x / F.lit(float(multiple))) * F.lit(multiple)).cast("int")
+
+
+def round_half_away(x, digits: int):
+    """Round a double to ``digits`` decimals, half away from zero, on the binary value:
+    sign(x) * R(|x| * 10^d) / 10^d with R(y) = floor(y) + (y - floor(y) >= 0.5).
+
+    Pure double arithmetic (whole-stage codegen), unlike ``round`` which builds a BigDecimal per
+    value; y - floor(y) is exact, so R equals C's round() and results agree with engines that
+    round that way.
+    """
+    x = F.col(x) if isinstance(x, str) else x
+    m = float(10 ** digits)
+    y = F.abs(x) * F.lit(m)
+    fl = F.floor(y).cast("double")
+    r = fl + F.when(y - fl >= F.lit(0.5), F.lit(1.0)).otherwise(F.lit(0.0))
+    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.signum(x) * r / F.lit(m))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import round_half_away
+
 from ..functions.metrics import prf_columns
 from .evaluate import (KEYS, apply_threshold, compare, keep_entities, overall_scores, per_type_scores,
                        prediction_table, submission, type_counts)
@@ -62,7 +64,7 @@ def threshold_curve(pred: DataFrame, gold: DataFrame, grid=THRESHOLD_GRID, beta:
 
 def curve_points(curve: DataFrame) -> DataFrame:
     """The reference's printed curve: (threshold rounded to 2, F5 rounded to 4)."""
-    return curve.select(F.round("threshold", 2).alias("threshold"), F.round("f5", 4).alias("f5"))
+    return curve.select(round_half_away("threshold", 2).alias("threshold"), round_half_away("f5", 4).alias("f5"))
 
 
 def best_threshold(curve: DataFrame) -> DataFrame:

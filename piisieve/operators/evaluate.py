@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import argmax_entity, outside_prob, posexplode_rows
+from ..functions.arrays import argmax_entity, outside_prob, posexplode_rows, round_half_away
 from ..functions.labels import entity_type, id_label, taxonomy
 from ..functions.metrics import prf_columns
 from .indexing import with_row_index
@@ -40,7 +40,7 @@ def mean_probs(df: DataFrame, n_classes: int, probs: str = "probs", digits: int
     agg = df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), *aggs)
     vals = [F.col(f"_p{i}") / F.col("_n").cast("double") for i in range(n_classes)]
     if digits is not None:
-        vals = [F.round(v, digits) for v in vals]
+        vals = [round_half_away(v, digits) for v in vals]
     return agg.select(*KEYS, F.array(*vals).alias("probs"))
 
 
@@ -100,7 +100,9 @@ def compare(pred: DataFrame, gold: DataFrame, pred_label: str = "label", gold_la
     matching on (document, token, label) is matching the keys and then the labels."""
     p = pred.select(*KEYS, F.col(pred_label).alias("p_label"), *extra)
     g = gold.select(*KEYS, F.col(gold_label).alias("g_label"))
-    return p.join(g, KEYS, "full_outer")
+    # hash join built on the (sparse) gold words: the large prediction side keeps the
+    # aggregate's partitioning and is neither re-shuffled nor sorted
+    return p.join(g.hint("shuffle_hash"), KEYS, "full_outer")
 
 
 def score_sets(pred: DataFrame, gold: DataFrame, pred_label: str = "label") -> DataFrame:

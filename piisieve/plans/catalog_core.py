@@ -6,6 +6,8 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import round_half_away
+
 from ..operators import curve as C
 from ..operators import evaluate as E
 from ..operators.tokenise import explode_words
@@ -60,8 +62,8 @@ def q_explode_occurrences(spark, d):
     occ = E.explode_occurrences(scored_windows(essays(spark, d)))
     return occ.groupBy("document", "token").agg(
         F.count(F.lit(1)).alias("n_occ"),
-        F.round(F.sum(F.col("probs")[12]), 9).alias("sum_outside"),
-        F.round(F.sum(F.col("probs")[0]), 9).alias("sum_p0"))
+        round_half_away(F.sum(F.col("probs")[12]), 9).alias("sum_outside"),
+        round_half_away(F.sum(F.col("probs")[0]), 9).alias("sum_p0"))
 
 
 @register("drop_confident_outside", S.chain(*OCC) + f"""

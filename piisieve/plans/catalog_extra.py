@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import round_half_away
+
 from ..functions.labels import id_label, label_id
 from ..operators import metrics_extra as X
 from ..operators import runlog as L
@@ -36,7 +38,7 @@ def q_softmax(spark, d):
     e = read(spark, d, "embeddings", "vec_id", "embedding").select(
         "vec_id", F.transform(F.slice("embedding", 1, 13), lambda x: x.cast("double")).alias("logits"))
     p = X.softmax_probs(e)
-    return p.select("vec_id", F.posexplode("probs").alias("k", "p")).withColumn("p", F.round("p", 9))
+    return p.select("vec_id", F.posexplode("probs").alias("k", "p")).withColumn("p", round_half_away("p", 9))
 
 
 @register("roc_auc", """
@@ -64,7 +66,7 @@ def q_token_log_loss(spark, d):
     lab = window(words_as_pieces(e, taxonomy="bio13"), 1024, 256, 0, sliced={"label_ids": -100}).select(
         "document", "window", "label_ids")
     out = X.token_log_loss(sw.join(lab, ["document", "window"]))
-    return out.select(F.round("log_loss", 6).alias("log_loss"), "n_pieces")
+    return out.select(round_half_away("log_loss", 6).alias("log_loss"), "n_pieces")
 
 
 @register("span_mean", S.chain(*WIN_SQL) + """
@@ -83,7 +85,7 @@ def q_span_mean(spark, d):
     vecs = read(spark, d, "embeddings", "vec_id", "embedding").select(
         F.col("vec_id").alias("vec_key"), F.col("embedding").alias("vector"))
     m = X.span_mean(pieces, spans, vecs, dims=2)
-    return m.select("document", "window", "word", "n_pieces", F.round("m0", 6).alias("m0"), F.round("m1", 6).alias("m1"))
+    return m.select("document", "window", "word", "n_pieces", round_half_away("m0", 6).alias("m0"), round_half_away("m1", 6).alias("m1"))
 
 
 # ----------------------------------------------------------------------------- L1-L4
@@ -115,7 +117,7 @@ SELECT event_id, round(avg(loss) OVER (PARTITION BY run_id, epoch ORDER BY ts, e
 def q_running_loss(spark, d):
     """L1: running mean loss per run, reset each epoch (two-level, per-minute cells)."""
     r = L.running_loss(run_log(spark, d), "run_id", "epoch", ORDER, "loss", minute_block())
-    return r.select("event_id", F.round("running_loss", 6).alias("running_loss"))
+    return r.select("event_id", round_half_away("running_loss", 6).alias("running_loss"))
 
 
 @register("running_best", BEST_SQL + "SELECT event_id, eval_no, best_lb, is_best FROM b")
@@ -373,5 +375,5 @@ def q_score_windows(spark, d):
     from .synthetic import scored_windows
     s = scored_windows(essays(spark, d))
     return s.select("document", "window", F.size("word_ids").alias("n_pieces"),
-                    F.round(F.aggregate(F.transform("probs", lambda p: p[12]), F.lit(0.0), lambda a, x: a + x), 6)
+                    round_half_away(F.aggregate(F.transform("probs", lambda p: p[12]), F.lit(0.0), lambda a, x: a + x), 6)
                     .alias("sum_outside"))
