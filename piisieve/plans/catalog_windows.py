@@ -117,16 +117,21 @@ def q_word_spans(spark, d):
         F.max("s.tail").alias("last_tail"))
 
 
-@register("word_spans_reference_rule", S.chain(*SPANS_SQL, """lastw AS (
-  SELECT document, "window", max(word) AS last_word FROM wspans GROUP BY document, "window")""") + """
-SELECT w.document, w."window", CAST(count(s.word) AS BIGINT) AS n_spans
-FROM wins w LEFT JOIN lastw l USING (document, "window")
-LEFT JOIN wspans s ON s.document = w.document AND s."window" = w."window" AND s.word < l.last_word
-GROUP BY w.document, w.window""")
+NOSPEC_SQL = [S.WORDS, S.LWORDS, S.PIECES, S.windows(MAX_LEN, MAX_LEN - STRIDE)]
+
+
+@register("word_spans_reference_rule", S.chain(*NOSPEC_SQL) + """
+SELECT w.document, w."window",
+  CAST(greatest(count(DISTINCT CASE WHEN wp.pos - 1 >= 1 THEN wp.token END) - 1, 0) AS BIGINT) AS n_spans
+FROM wins w LEFT JOIN wp USING (document, "window") GROUP BY w.document, w."window"
+""")
 def q_word_spans_reference_rule(spark, d):
-    """The old rule (runs from position 1, last run dropped) on windows with two specials."""
-    s = W.word_spans(windows(spark, d), reference_rule=True)
-    return s.select("document", "window", F.size(F.filter("spans", lambda x: x["word"] != -1)).alias("n_spans"))
+    """The old rule (runs from position 1, last run never emitted) on windows without
+    specials: the first piece and the last word of every window are lost."""
+    p = pieces(spark, d)
+    w = W.window(p, MAX_LEN, STRIDE, 0, keep=("document",))
+    s = W.word_spans(w, reference_rule=True)
+    return s.select("document", "window", F.size("spans").alias("n_spans"))
 
 
 @register("span_labels", S.chain(*SPANS_SQL) + f"""
