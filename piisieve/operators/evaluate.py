@@ -32,15 +32,18 @@ def drop_confident_outside(df: DataFrame, cut: float = 0.995, probs: str = "prob
     return df.filter(outside_prob(F.col(probs), n_classes) < F.lit(float(cut)))
 
 
-def mean_probs(df: DataFrame, n_classes: int, probs: str = "probs", digits: int | None = 9) -> DataFrame:
-    """A3 (X2): element-wise mean vector per (document, token) as n scalar averages in one
-    hash aggregate, so partial aggregation runs map-side; then rounded to ``digits``."""
-    # sums plus one shared count: avg is sum / count, with half the aggregation buffer
+def mean_probs(df: DataFrame, n_classes: int, probs: str = "probs", digits: int | None = 9,
+               as_columns: bool = False) -> DataFrame:
+    """A3 (X2): element-wise mean vector per (document, token) as n scalar sums plus one shared
+    count in one hash aggregate (partial aggregation map-side; avg is sum / count); then rounded
+    to ``digits``. ``as_columns`` returns the means as scalar columns _m0.._m{n-1}."""
     aggs = [F.sum(F.col(probs).getItem(i)).alias(f"_p{i}") for i in range(n_classes)]
     agg = df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), *aggs)
     vals = [F.col(f"_p{i}") / F.col("_n").cast("double") for i in range(n_classes)]
     if digits is not None:
         vals = [round_half_away(v, digits) for v in vals]
+    if as_columns:
+        return agg.select(*KEYS, *[v.alias(f"_m{i}") for i, v in enumerate(vals)])
     return agg.select(*KEYS, F.array(*vals).alias("probs"))
 
 
@@ -48,16 +51,21 @@ def prediction_table(occurrences: DataFrame, labels="bio13", cut: float = 0.995,
                      digits: int | None = 9) -> DataFrame:
     """D8 pred_df: (document, token, probs, outside_prob, most_probable_label).
 
-    P4 (special pieces) and P5 (confident outside) run before the mean.
+    P4 (special pieces) and P5 (confident outside) run before the mean. The means stay scalar
+    columns, each read by several outputs, so the optimizer keeps them computed once instead of
+    inlining the rounded vector into every consumer (which also keeps the generated code small).
     """
     tax = taxonomy(labels)
+    n = len(tax)
     occ = occurrences.filter(F.col("token") != F.lit(-1))
     if cut is not None:
-        occ = drop_confident_outside(occ, cut, n_classes=len(tax))
-    pred = mean_probs(occ, len(tax), digits=digits)
-    return pred.select(*KEYS, "probs",
-                       outside_prob(F.col("probs"), len(tax)).alias("outside_prob"),
-                       id_label(argmax_entity(F.col("probs")), tax).alias("most_probable_label"))
+        occ = drop_confident_outside(occ, cut, n_classes=n)
+    m = mean_probs(occ, n, digits=digits, as_columns=True)
+    cols = [F.col(f"_m{i}") for i in range(n)]
+    ent = cols[:-1]
+    best = F.array_position(F.array(*ent), F.greatest(*ent)) - F.lit(1)
+    return m.select(*KEYS, F.array(*cols).alias("probs"), cols[-1].alias("outside_prob"),
+                    id_label(best, tax).alias("most_probable_label"))
 
 
 def apply_threshold(pred: DataFrame, threshold: float, out: str = "label") -> DataFrame:

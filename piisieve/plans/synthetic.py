@@ -59,9 +59,9 @@ def score_occurrences(occ: DataFrame, gold_id: str = "g") -> DataFrame:
             .withColumn("_f", _fav(F.col("_h"), F.col(gold_id))))
     ws = _weights(F.col("_h"), F.col("_f"))
     s = s.select("*", *[w.alias(f"_w{k}") for k, w in enumerate(ws)])
-    total = F.col("_w0")
-    for k in range(1, N_ENTITY):
-        total = total + F.col(f"_w{k}")
+    # closed form of the weight total: 12 ones + 40 + sum over 12 consecutive residues mod 5
+    h = F.col("_h")
+    total = F.lit(12 + 40 + 20) + h % 5 + (h + 1) % 5
     s = s.withColumn("_den", (total * (F.col("_m") + 1)).cast("double"))
     probs = F.array(*[F.col(f"_w{k}").cast("double") / F.col("_den") for k in range(N_ENTITY)],
                     F.col("_m").cast("double") / (F.col("_m") + 1).cast("double"))
@@ -77,10 +77,13 @@ def synthetic_occurrences(essays: DataFrame, max_length: int = 1024, stride: int
     so no window array is ever materialised.
     """
     cap, step = max_length, max_length - stride
-    words = (essays.select("document", F.size("tokens").alias("n_words"),
-                           posexplode_rows(F.col("labels"), "token", "label"))
-                   .filter(F.col("token").isNotNull()))
-    occ = window_word_membership(words, cap, step).withColumn("g", label_id(F.col("label"), labels))
+    # n_words is computed before the explode, so the token array is not carried into (and
+    # copied with) every exploded word row
+    per_doc = essays.select("document", F.size("tokens").alias("n_words"), "labels")
+    words = (per_doc.select("document", "n_words", posexplode_rows(F.col("labels"), "token", "label"))
+                    .filter(F.col("token").isNotNull())
+                    .withColumn("g", label_id(F.col("label"), labels)))
+    occ = window_word_membership(words, cap, step)
     return score_occurrences(occ).select("document", "token", "window", "probs")
 
 

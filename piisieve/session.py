@@ -29,6 +29,9 @@ def get_session(master: str | None = None, app: str = "piisieve",
     settings = dict(DEFAULT_CONF)
     if master and master.startswith("local"):
         settings.setdefault("spark.driver.memory", "16g")
+        # let HotSpot JIT wide generated stages (methods over 8000 bytes are otherwise interpreted);
+        # on a cluster set the same flag in spark.executor.extraJavaOptions
+        settings.setdefault("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
     if shuffle_partitions:
         settings["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     settings.update(conf or {})
