@@ -36,6 +36,6 @@ def synthetic_model(pdf):
         w = 1 + (k[None, :] + h[:, None]) % 5 + np.where(fav[:, None] == k[None, :], 40, 0)
         den = (w.sum(axis=1) * (m + 1)).astype(np.float64)
         p = np.concatenate([w / den[:, None], (m / (m + 1.0))[:, None]], axis=1)
-        out_probs.append([row.tolist() for row in p])
+        out_probs.append(list(p))  # numpy rows go to Arrow as they are
     return pd.DataFrame({"document": pdf["document"].astype("int64"), "window": pdf["window"].astype("int32"),
                          "word_ids": pdf["word_ids"], "probs": out_probs})

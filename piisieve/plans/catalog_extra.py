@@ -276,8 +276,8 @@ def q_spans_to_bio(spark, d):
         F.col("doc_id").alias("document"), "type", "occurrence", "start", "end",
         F.concat_ws("|", "type", "occurrence").alias("span_id"))
     b = spans_to_bio(words, m)
-    return b.join(m.select("document", "span_id", "occurrence"), ["document", "span_id"]).select(
-        "document", "token", "type", "occurrence", "label")
+    occurrence = F.split("span_id", "[|]").getItem(1).cast("long")
+    return b.select("document", "token", "type", occurrence.alias("occurrence"), "label")
 
 
 @register("bio_to_spans", S.chain(S.WORDS, S.LWORDS) + """
