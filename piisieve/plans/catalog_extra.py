@@ -377,3 +377,19 @@ def q_score_windows(spark, d):
     return s.select("document", "window", F.size("word_ids").alias("n_pieces"),
                     round_half_away(F.aggregate(F.transform("probs", lambda p: p[12]), F.lit(0.0), lambda a, x: a + x), 6)
                     .alias("sum_outside"))
+
+
+@register("stream_redact", f"""
+SELECT doc_id, md5({_replace_chain(PATTERN_RULES)}) AS redacted_md5,
+       CAST(length({_replace_chain(PATTERN_RULES)}) AS BIGINT) AS n_chars FROM documents""")
+def q_stream_redact(spark, d):
+    """Structured Streaming: documents arriving as files -> redaction -> Parquet sink with a
+    checkpoint (availableNow trigger); the sink equals the batch redaction."""
+    from ..session import scratch_path
+    from ..streaming.redact_stream import start_redaction
+    src, out, ckpt = (scratch_path(spark, n) for n in ("stream-src", "stream-out", "stream-ckpt"))
+    read(spark, d, "documents").write.mode("overwrite").parquet(src)
+    q = start_redaction(spark, src, out, ckpt, available_now=True)
+    q.awaitTermination()
+    r = spark.read.parquet(out)
+    return r.select("doc_id", F.md5("redacted").alias("redacted_md5"), F.length("redacted").alias("n_chars"))

@@ -23,3 +23,20 @@ def test_mean_is_one_hash_aggregate(spark):
     p = plan(cc.pred(spark, SF))
     assert p.count("Exchange hashpartitioning") == 1
     assert "ObjectHashAggregate" not in p and "SortAggregate" not in p
+
+
+def test_gold_join_is_hash_join_without_sorting_predictions(spark):
+    p = plan(cc.counts(spark, SF))
+    assert "ShuffledHashJoin" in p and "SortMergeJoin" not in p
+
+
+def test_dictionary_join_is_broadcast(spark):
+    import __spark_entry__ as e
+    p = plan(e.queries()["detect_gazetteer"](spark, SF))
+    assert "BroadcastHashJoin" in p
+
+
+def test_mixture_weights_are_broadcast(spark):
+    import __spark_entry__ as e
+    p = plan(e.queries()["mix"](spark, SF))
+    assert "BroadcastHashJoin" in p

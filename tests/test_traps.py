@@ -175,3 +175,17 @@ def test_auc_ties(spark):
     from piisieve.operators.metrics_extra import roc_auc
     df = spark.createDataFrame([(1.0, 0), (1.0, 1), (2.0, 1)], "s double, y int")
     assert roc_auc(df, "s", "y").first().roc_auc == 0.75
+
+
+def test_taxonomy_must_end_with_outside():
+    with pytest.raises(ValueError):
+        taxonomy(["B-EMAIL", "O", "I-EMAIL"])
+    with pytest.raises(ValueError):
+        taxonomy(["O", "O"])
+
+
+def test_convert_labels_reduced(spark):
+    from piisieve.functions.labels import convert_labels
+    df = spark.createDataFrame([("B-EMAIL",), ("I-ID_NUM",), ("O",), ("B-LOC",)], "label string")
+    out = [r.label_id for r in convert_labels(df, "label", "reduced", reduce_bio=True).collect()]
+    assert out == [0, 1, 7, -100]
