@@ -24,15 +24,25 @@ def spans_to_bio(words: DataFrame, spans: DataFrame, doc: str = "document", buck
                              F.col("type")).alias("label"))
 
 
-def bio_to_spans(words: DataFrame, doc: str = "document", label: str = "label") -> DataFrame:
+def bio_to_spans(words: DataFrame, doc: str = "document", label: str = "label", block: int = 4096) -> DataFrame:
     """Entity words -> spans. A new span starts on 'B-', on a type change, on a gap in
-    token numbers, or at a lone 'I-'. Only entity words enter the window (they are sparse)."""
-    e = words.filter(F.col(label) != F.lit("O")).withColumn("_type", entity_type(F.col(label)))
-    w = Window.partitionBy(doc).orderBy("token")
-    prev_tok, prev_type = F.lag("token").over(w), F.lag("_type").over(w)
-    start = (F.col(label).startswith("B-") | prev_tok.isNull() | (prev_tok != F.col("token") - 1)
-             | (prev_type != F.col("_type")))
-    e = e.withColumn("_start", start.cast("int"))
-    e = e.withColumn("_span", F.sum("_start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.groupBy(doc, "_span").agg(F.first("_type").alias("type"), F.min("token").alias("start_token"),
-                                        (F.max("token") + 1).alias("end_token")).drop("_span")
+    token numbers, or at a lone 'I-'.
+
+    Skew-safe: the previous word comes from an equi-join on (document, token - 1), the span a word
+    belongs to is the running max of span starts computed in (document, token block) cells plus
+    one row per cell, and spans close with an aggregate. No window spans a whole document, so a
+    document holding a third of all entity words is still split over many tasks.
+    """
+    from .runlog import running_stats
+    e = (words.filter(F.col(label) != F.lit("O"))
+              .select(doc, "token", F.col(label).alias("_label"), entity_type(F.col(label)).alias("_type")))
+    prev = e.select(doc, (F.col("token") + 1).alias("token"), F.col("_type").alias("_prev_type"))
+    j = e.join(prev, [doc, "token"], "left")
+    start = (F.col("_label").startswith("B-") | F.col("_prev_type").isNull()
+             | (F.col("_prev_type") != F.col("_type")))
+    j = j.withColumn("_start_tok", F.when(start, F.col("token").cast("double")))
+    r = running_stats(j, [doc], ["token"], "_start_tok", F.floor(F.col("token") / F.lit(block)), "_s_")
+    return (r.groupBy(doc, F.col("_s_max").cast("long").alias("_span"))
+             .agg(F.first("_type").alias("type"), F.min("token").alias("start_token"),
+                  (F.max("token") + 1).alias("end_token"))
+             .drop("_span"))
