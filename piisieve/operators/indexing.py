@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 
 BROADCAST_MAX_ROWS = 1_000_000
 
@@ -47,6 +47,7 @@ def with_row_index(df: DataFrame, order_cols, out: str = "row_index", weight_col
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     n = _num_partitions(df, num_partitions)
     keys = [F.col(c) for c in order_cols]
     ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(

@@ -13,6 +13,9 @@ OUT_SCHEMA = "document long, window int, word_ids array<int>, probs array<array<
 
 
 def score_windows(windows: DataFrame, fn, schema: str = OUT_SCHEMA) -> DataFrame:
+    from ..session import ship_package
+    ship_package(windows.sparkSession)
+
     def run(batches):
         for pdf in batches:
             yield fn(pdf)

@@ -100,6 +100,12 @@ _CUMSUM_UDF = []
 def _exclusive_cumsum(lengths: Column) -> Column:
     """Exclusive prefix sums of an int array, vectorised per Arrow batch (numpy inside the task)."""
     if not _CUMSUM_UDF:
+        from pyspark.sql import SparkSession
+
+        from ..session import ship_package
+        active = SparkSession.getActiveSession()
+        if active is not None:
+            ship_package(active)
         _CUMSUM_UDF.append(F.pandas_udf(_cumsum_series, "array<long>"))
     return _CUMSUM_UDF[0](lengths)
 

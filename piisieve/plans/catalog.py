@@ -23,6 +23,8 @@ def _widen(df):
 
 def _wrap(fn):
     def run(spark, sf_dir):
+        from ..session import ship_package
+        ship_package(spark)
         return _widen(fn(spark, sf_dir))
     run.__name__ = getattr(fn, "__name__", "query")
     run.__doc__ = fn.__doc__

@@ -40,6 +40,7 @@ def get_session(master: str | None = None, app: str = "piisieve",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -48,7 +49,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     A folder is only invented when the session names none (local runs and tests).
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext (Spark Connect): the server's setting applies
+        return spark.conf.get("spark.checkpoint.dir", "") or ""
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -68,3 +72,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     import uuid
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/scratch-{name}-{uuid.uuid4().hex[:12]}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Ship this package to the executors' Python workers (``addPyFile`` of a zip), once per
+    application, so UDF and ``mapInPandas`` bodies resolve their module on every worker."""
+    try:
+        sc = spark.sparkContext
+        key = sc.applicationId
+    except Exception:  # noqa: BLE001 - Spark Connect: install the package on the server instead
+        return
+    if key in _SHIPPED:
+        return
+    import os
+    import zipfile
+
+    pkg_root = os.path.dirname(os.path.abspath(__file__))
+    parent = os.path.dirname(pkg_root)
+    zip_path = os.path.join(tempfile.mkdtemp(prefix="piisieve-pyfiles-"), "piisieve.zip")
+    with zipfile.ZipFile(zip_path, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, parent))
+    sc.addPyFile(zip_path)
+    _SHIPPED.add(key)

@@ -12,9 +12,11 @@ def spread_if_narrow(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
     per-document stage in one task. Large inputs (many splits) are returned untouched: no
     shuffle is added at scale.
     """
-    spark = df.sparkSession
-    want = min_tasks or spark.sparkContext.defaultParallelism
-    have = df.rdd.getNumPartitions()
+    try:
+        want = min_tasks or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): read as split
+        return df
     return df.repartition(want) if have < want else df
 
 
