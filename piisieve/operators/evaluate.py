@@ -93,7 +93,10 @@ def reference_table(essays: DataFrame, order_col: str = "document", num_partitio
     per-essay offsets are a weighted prefix sum over a narrow essay-level frame; only the sparse
     gold rows are joined to them.
     """
-    sizes = essays.select("document", F.col(order_col).alias("_ord"), F.size("labels").alias("_n"))
+    # words per essay: tokens and labels explode together, so count tokens when present (labels
+    # may be a derived column that need not be computed just to be counted)
+    n_words = F.size("tokens") if "tokens" in essays.columns else F.size("labels")
+    sizes = essays.select("document", F.col(order_col).alias("_ord"), n_words.alias("_n"))
     offsets = with_row_index(sizes, ["_ord", "document"], "_off", weight_col="_n",
                              num_partitions=num_partitions).select("document", "_off")
     gold = gold_table(essays)
