@@ -105,7 +105,7 @@ SPANS_SQL = WIN_SQL + ["""wspans AS (
 
 
 @register("word_spans", S.chain(*SPANS_SQL) + """
-SELECT w.document, w."window", CAST(count(s.word) AS BIGINT) AS n_spans, sum(s.tail - s.head) AS span_pieces,
+SELECT w.document, w."window", CAST(count(s.word) AS BIGINT) AS n_spans, CAST(sum(s.tail - s.head) AS BIGINT) AS span_pieces,
        max(s.tail - s.head) AS longest, min(s.head) AS first_head, max(s.tail) AS last_tail
 FROM wins w LEFT JOIN wspans s USING (document, "window") GROUP BY w.document, w.window""")
 def q_word_spans(spark, d):

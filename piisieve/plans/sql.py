@@ -20,7 +20,7 @@ def label_case(word: str = "word") -> str:
 
 def label_id_case(label: str = "label", taxonomy=BIO13) -> str:
     whens = " ".join(f"WHEN '{lab}' THEN {i}" for i, lab in enumerate(taxonomy))
-    return f"CASE {label} {whens} ELSE -100 END"
+    return f"CAST(CASE {label} {whens} ELSE -100 END AS BIGINT)"
 
 
 WORDS = f"""words AS (
@@ -114,7 +114,7 @@ def prf(tp: str = "tp", fp: str = "fp", fn: str = "fn", beta: float = 5.0) -> st
             f"({1.0 + b2} * {p} * {r}) / ({b2} * {p} + {r} + 1e-100) AS f{beta:g}")
 
 
-GRID_VALUES = ", ".join(f"({i}, {t!r})" for i, t in enumerate(THRESHOLD_GRID))
+GRID_VALUES = ", ".join(f"(CAST({i} AS BIGINT), CAST({t!r} AS DOUBLE))" for i, t in enumerate(THRESHOLD_GRID))
 GRID = f"grid(grid_idx, threshold) AS (VALUES {GRID_VALUES})"
 
 
