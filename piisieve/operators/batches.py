@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import pad_to, round_up
 from ..functions.hashing import unit_hash
 from ..functions.labels import IGNORE_ID, SPECIAL_WORD
+from ..settings import BATCH_SIZE, PAD_MULTIPLE
 from .indexing import with_row_index
 from .windows import MASK, PAD
 
@@ -18,7 +19,8 @@ def order_by_length(df: DataFrame, out: str = "order_idx", num_partitions: int |
     return with_row_index(df, ["input_length", "document", "window"], out, num_partitions=num_partitions)
 
 
-def length_buckets(df: DataFrame, batch_size: int, multiple: int = 16, order_col: str = "order_idx") -> DataFrame:
+def length_buckets(df: DataFrame, batch_size: int = BATCH_SIZE, multiple: int = PAD_MULTIPLE,
+                   order_col: str = "order_idx") -> DataFrame:
     """Consecutive batches of ``batch_size`` in length order; every batch pads to its
     longest window rounded up to ``multiple``. Batches hold at most batch_size rows, so the
     window below has no hot key."""

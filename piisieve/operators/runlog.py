@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..settings import PATIENCE
+
 UNB = Window.unboundedPreceding
 
 
@@ -64,7 +66,7 @@ def running_best(log: DataFrame, run: str = "run_id", order=("step",), score: st
              .drop("_b_sum", "_b_max", "_b_prev_max"))
 
 
-def early_stop(log: DataFrame, run: str = "run_id", order=("step",), score: str = "lb", patience: int = 10,
+def early_stop(log: DataFrame, run: str = "run_id", order=("step",), score: str = "lb", patience: int = PATIENCE,
                block: Column | None = None, step: str = "step") -> tuple[DataFrame, DataFrame]:
     """L3: patience counter (evaluations since the last best) and the first step reaching patience.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
+from ..settings import EXTERNAL_FOLD
 from .indexing import with_row_index
 
 
@@ -34,7 +35,6 @@ def split_random(df: DataFrame, frac: float = 0.25, seed: int = 42, key: str = "
 
 
 FOLD_MODES = ("pre_training", "mixed", "only_comp")
-EXTERNAL_FOLD = 99
 
 
 def split_by_folds(df: DataFrame, folds: DataFrame, mode: str, fold: int = 0, all_data: bool = False,

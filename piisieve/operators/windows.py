@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import IGNORE_ID, SPECIAL_WORD, label_to_id_map
+from ..settings import MAX_LENGTH, STRIDE
 
 # Default piece rule: letter runs, digit runs, or one other character, each with an optional
 # leading space (so a leading-space token keeps its space on its first piece).
@@ -59,7 +60,7 @@ def window_count(n: Column, cap: int, step: int) -> Column:
     return F.lit(1) + F.greatest(F.lit(0), F.ceil((n - F.lit(cap)) / F.lit(float(step))).cast("int"))
 
 
-def window(df: DataFrame, max_length: int = 1024, stride: int = 256, n_special: int = 2,
+def window(df: DataFrame, max_length: int = MAX_LENGTH, stride: int = STRIDE, n_special: int = 2,
            keep: tuple[str, ...] = ("document",), sliced: dict | None = None) -> DataFrame:
     """Overlapping windows of ``max_length`` pieces, ``stride`` pieces shared by neighbours.
 

@@ -11,12 +11,13 @@ from ..functions.arrays import round_half_away
 from ..operators import curve as C
 from ..operators import evaluate as E
 from ..operators.tokenise import explode_words
+from ..settings import CUT_DEBERTA, THRESHOLD_SPAN_MODELS
 from . import sql as S
 from .registry import read, register
 from .synthetic import essays_from_documents, synthetic_occurrences
 
-CUT = 0.995          # confident-outside cut (DeBERTa setting)
-THRESHOLD = 0.9      # outside threshold used by the flagship report
+CUT = CUT_DEBERTA                   # confident-outside cut
+THRESHOLD = THRESHOLD_SPAN_MODELS   # outside threshold used by the flagship report
 
 
 def essays(spark, d):

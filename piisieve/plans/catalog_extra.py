@@ -17,12 +17,13 @@ from ..operators.redact import pseudonymise, redact, redact_spans
 from ..operators.spans import bio_to_spans, spans_to_bio
 from ..operators.tokenise import explode_words, rebuild_text, word_offsets
 from ..sources.pools import pool_from_table
+from ..settings import PATIENCE as PATIENCE_SETTING
 from . import sql as S
 from .catalog_core import OCC, essays
 from .catalog_windows import WIN_SQL, windows
 from .registry import read, register
 
-PATIENCE = 10
+PATIENCE = PATIENCE_SETTING
 EVAL_EVERY = 10
 SALT = "s1"
 

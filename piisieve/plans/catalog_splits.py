@@ -11,15 +11,16 @@ from ..session import scratch_path
 from ..sources import essays as SE
 from ..sources import sinks as SK
 from ..sources.pools import pool_from_table
+from ..settings import EXTERNAL_SAMPLING_RATE, RANDOM_SEED
 from . import sql as S
 from .catalog_core import CUT, THRESHOLD, essays, pred
 from .registry import read, register
 
-SEED = 42
+SEED = RANDOM_SEED
 MIX_SETS = ["src1", "src2", "src3", "src4", "src5"]
 MIX_WEIGHTS = [0, 1, 2, 0, 1]
 COMPETITION = "src0"
-SAMPLE_FRAC = 0.15
+SAMPLE_FRAC = EXTERNAL_SAMPLING_RATE
 H = "(('0x' || substr(md5({}), 1, 8))::BIGINT / 4294967296.0)"
 
 

@@ -8,14 +8,15 @@ from ..functions.hashing import unit_hash
 from ..operators import batches as B
 from ..operators import windows as W
 from ..operators.tokenise import leading_space_tokens
+from ..settings import BATCH_SIZE, RANDOM_SEED
 from . import sql as S
 from .catalog_core import essays
 from .registry import register
 
 MAX_LEN, STRIDE = 512, 128          # span-model settings: 510 content pieces, step 382
 CAP, STEP = MAX_LEN - 2, MAX_LEN - 2 - STRIDE
-BATCH = 4
-SEED = 42
+BATCH = BATCH_SIZE
+SEED = RANDOM_SEED
 MASK_P = 0.15
 
 WIN_SQL = [S.WORDS, S.LWORDS, S.PIECES, S.windows(CAP, STEP)]
