@@ -14,7 +14,7 @@ from ..operators.tokenise import explode_words
 from ..settings import CUT_DEBERTA, THRESHOLD_SPAN_MODELS
 from . import sql as S
 from .registry import read, register
-from .synthetic import essays_from_documents, synthetic_occurrences
+from .synthetic import essays_from_documents, labelled_words, occurrences_from_words, synthetic_occurrences
 
 CUT = CUT_DEBERTA                   # confident-outside cut
 THRESHOLD = THRESHOLD_SPAN_MODELS   # outside threshold used by the flagship report
@@ -24,8 +24,13 @@ def essays(spark, d):
     return essays_from_documents(read(spark, d, "documents", "doc_id", "text"))
 
 
+def words(spark, d):
+    """Labelled words straight from the documents (scalar rules after the explode)."""
+    return labelled_words(read(spark, d, "documents", "doc_id", "text"))
+
+
 def occurrences(spark, d):
-    return synthetic_occurrences(essays(spark, d))
+    return occurrences_from_words(words(spark, d))
 
 
 def pred(spark, d):
@@ -33,7 +38,8 @@ def pred(spark, d):
 
 
 def gold(spark, d):
-    return E.gold_table(essays(spark, d))
+    w = words(spark, d)
+    return w.filter(F.col("label") != F.lit("O")).select("document", "token", "label")
 
 
 def counts(spark, d, th=THRESHOLD):
@@ -108,7 +114,7 @@ def q_keep_entities(spark, d):
 SELECT document, token, label FROM gold""")
 def q_gold_table(spark, d):
     """Gold words without 'O' (posexplode: an empty essay yields no row)."""
-    return gold(spark, d)
+    return E.gold_table(essays(spark, d))
 
 
 @register("reference_table", S.chain(*BASE) + """

@@ -69,22 +69,38 @@ def score_occurrences(occ: DataFrame, gold_id: str = "g") -> DataFrame:
     return s.withColumn("probs", probs).drop(*drop)
 
 
-def synthetic_occurrences(essays: DataFrame, max_length: int = 1024, stride: int = 256,
-                          labels="bio13") -> DataFrame:
-    """(document, token, window, probs): one row per word occurrence in every word-level window.
+def labelled_words(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """documents -> one row per word (document, token, word, n_words, label).
 
-    Words are exploded straight into the 1-2 windows that hold them (same law as ``window``),
-    so no window array is ever materialised.
+    The words are exploded first and labelled with scalar rules, which stay inside whole-stage
+    codegen (a lambda over the token array is evaluated interpreted).
     """
+    from ..operators.detect import word_label
+    t = tokenise(documents, id_col, text_col).select("document", F.size("tokens").alias("n_words"), "tokens")
+    w = (t.select("document", "n_words", posexplode_rows(F.col("tokens"), "token", "word"))
+          .filter(F.col("token").isNotNull()))
+    return w.withColumn("label", word_label(F.col("word")))
+
+
+def occurrences_from_words(words: DataFrame, max_length: int = 1024, stride: int = 256,
+                           labels="bio13") -> DataFrame:
+    """(document, token, n_words, label) -> (document, token, window, probs): every word exploded
+    straight into the 1-2 word-level windows that hold it (same law as ``window``), so no window
+    array is materialised."""
     cap, step = max_length, max_length - stride
+    w = words.select("document", "n_words", "token", label_id(F.col("label"), labels).alias("g"))
+    return score_occurrences(window_word_membership(w, cap, step)).select("document", "token", "window", "probs")
+
+
+def synthetic_occurrences(essays: DataFrame, max_length: int = 1024, stride: int = 256,
+                          labels="bio13") -> DataFrame:
+    """(document, token, window, probs) from essays (D1 with labels)."""
     # n_words is computed before the explode, so the token array is not carried into (and
     # copied with) every exploded word row
     per_doc = essays.select("document", F.size("tokens").alias("n_words"), "labels")
     words = (per_doc.select("document", "n_words", posexplode_rows(F.col("labels"), "token", "label"))
-                    .filter(F.col("token").isNotNull())
-                    .withColumn("g", label_id(F.col("label"), labels)))
-    occ = window_word_membership(words, cap, step)
-    return score_occurrences(occ).select("document", "token", "window", "probs")
+                    .filter(F.col("token").isNotNull()))
+    return occurrences_from_words(words, max_length, stride, labels)
 
 
 def scored_windows(essays: DataFrame, max_length: int = 1024, stride: int = 256, labels="bio13") -> DataFrame:

@@ -40,6 +40,8 @@ def test_one_pass_curve_equals_naive(spark):
         if not c:
             tot = (0, 0, gold.count())
         assert curve[i] == tot
+    pred.unpersist()
+    gold.unpersist()
 
 
 def test_results_independent_of_partitions(spark):
