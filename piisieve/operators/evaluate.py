@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import argmax_entity, outside_prob, posexplode_rows, round_half_away
 from ..functions.labels import entity_type, id_label, taxonomy
 from ..functions.metrics import prf_columns
-from ..settings import CUT_DEBERTA
+from ..settings import CUT_TOKEN_MODEL
 from .indexing import with_row_index
 
 KEYS = ["document", "token"]
@@ -27,7 +27,7 @@ def explode_occurrences(df: DataFrame, word_ids: str = "word_ids", probs: str =
     return df.select("document", F.inline(z))
 
 
-def drop_confident_outside(df: DataFrame, cut: float = CUT_DEBERTA, probs: str = "probs",
+def drop_confident_outside(df: DataFrame, cut: float = CUT_TOKEN_MODEL, probs: str = "probs",
                            n_classes: int | None = None) -> DataFrame:
     """P5: drop occurrences whose outside probability is >= cut (strict <, applied before the mean)."""
     return df.filter(outside_prob(F.col(probs), n_classes) < F.lit(float(cut)))
@@ -48,7 +48,7 @@ def mean_probs(df: DataFrame, n_classes: int, probs: str = "probs", digits: int
     return agg.select(*KEYS, F.array(*vals).alias("probs"))
 
 
-def prediction_table(occurrences: DataFrame, labels="bio13", cut: float = CUT_DEBERTA,
+def prediction_table(occurrences: DataFrame, labels="bio13", cut: float = CUT_TOKEN_MODEL,
                      digits: int | None = 9) -> DataFrame:
     """D8 pred_df: (document, token, probs, outside_prob, most_probable_label).
 

@@ -11,12 +11,12 @@ from ..functions.arrays import round_half_away
 from ..operators import curve as C
 from ..operators import evaluate as E
 from ..operators.tokenise import explode_words
-from ..settings import CUT_DEBERTA, THRESHOLD_SPAN_MODELS
+from ..settings import CUT_TOKEN_MODEL, THRESHOLD_SPAN_MODELS
 from . import sql as S
 from .registry import read, register
 from .synthetic import essays_from_documents, labelled_words, occurrences_from_words, synthetic_occurrences
 
-CUT = CUT_DEBERTA                   # confident-outside cut
+CUT = CUT_TOKEN_MODEL               # confident-outside cut
 THRESHOLD = THRESHOLD_SPAN_MODELS   # outside threshold used by the flagship report
 
 

@@ -2,11 +2,11 @@
 
 # ---- fixed values: run settings of the original solution, kept so that results match it ----
 # confident-outside cut applied to occurrences before the mean (strict <)
-CUT_DEBERTA = 0.995
+CUT_TOKEN_MODEL = 0.995
 CUT_LLM = 0.99
 CUT_SPAN_MODELS = 0.991
 # outside threshold applied to the mean (inclusive <=)
-THRESHOLD_DEBERTA = 0.995
+THRESHOLD_TOKEN_MODEL = 0.995
 THRESHOLD_LLM = 0.925
 THRESHOLD_SPAN_MODELS = 0.9
 # windows: pieces per window (special pieces included) and pieces shared by neighbours
