@@ -76,3 +76,25 @@ def op2_sentencepiece_codec(spark, sf_dir):
     from .sentencepiece_codec import PieceModel, codec_digests
 
     return codec_digests(table(spark, sf_dir, "documents"), PieceModel.load(piece_model_path()))
+
+
+@query("op7_language_id")
+def op7_language_id(spark, sf_dir):
+    """Learn on documents whose crc32(doc_id) mod 4 is not 2, predict every whole text."""
+    from .language_id import detect_language, fit_language_model
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_language_model(docs.filter(~F.coalesce(held_out, F.lit(False)) & F.col("doc_id").isNotNull()))
+    return detect_language(docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")),
+                           model).drop("text")
+
+
+@query("op3_minhash_near_dup")
+def op3_minhash_near_dup(spark, sf_dir):
+    """Near-duplicate classes of all documents."""
+    from .minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))

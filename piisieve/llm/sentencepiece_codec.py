@@ -28,6 +28,7 @@ from collections import defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -257,7 +258,7 @@ def encode_texts(df: DataFrame, model: PieceModel, text: str = "text", ids: str
     model_b = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("array<int>")
-    def encode(texts: "pd.Series") -> "pd.Series":  # noqa: F821
+    def encode(texts: pd.Series) -> pd.Series:
         codec = _codec(model_b)
         return texts.map(lambda t: codec.encode(t or "").astype(np.int32))
 
@@ -269,7 +270,7 @@ def decode_ids(df: DataFrame, model: PieceModel, ids: str = "token_ids", text: s
     model_b = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")
-    def decode(arrays: "pd.Series") -> "pd.Series":  # noqa: F821
+    def decode(arrays: pd.Series) -> pd.Series:
         codec = _codec(model_b)
         return arrays.map(lambda a: None if a is None else codec.decode(np.asarray(a, dtype=np.int64)))
 
