@@ -98,3 +98,24 @@ def op3_minhash_near_dup(spark, sf_dir):
     from .minhash_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+
+@query("op8_substring_dedup", sql=f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, p, list_aggregate(w[p:p + 12], 'string_agg', ' ') AS k
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+firsts AS (SELECT k, min(doc_id) AS first_doc FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i FROM windows JOIN firsts USING (k) WHERE doc_id > first_doc),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def op8_substring_dedup(spark, sf_dir):
+    """Words of 13-word windows that start in an earlier document are removed."""
+    from .substring_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
