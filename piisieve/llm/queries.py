@@ -119,3 +119,83 @@ def op8_substring_dedup(spark, sf_dir):
     from .substring_dedup import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+_BLANK = r"chr(32) || chr(9) || chr(11) || chr(12) || chr(13)"
+
+
+@query("op5_line_spread", sql=f"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                  generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
+k AS (SELECT doc_id, coalesce(source, chr(1)) AS source, line, pos, trim(line, {_BLANK}) AS k FROM l),
+b AS (SELECT k, min(doc_id) AS first_doc FROM k WHERE k <> '' GROUP BY k HAVING count(DISTINCT source) >= 10),
+j AS (SELECT k.*, coalesce(doc_id > first_doc, false) AS gone FROM k LEFT JOIN b USING (k))
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+         string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS kept FROM j GROUP BY doc_id) USING (doc_id)""")
+def op5_line_spread(spark, sf_dir):
+    """Lines on ten sources or more are removed from all documents but the first that holds them."""
+    from .line_spread import remove_boilerplate
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return remove_boilerplate(docs).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+_HOST = r"""translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
+
+
+def _level_strength(children: str, parent: str) -> str:
+    """Twin of url_reputation._strength."""
+    return f"""(SELECT CASE WHEN coalesce(sum(total), 0) = 0 OR coalesce(sum(total - nn / total), 0) = 0
+              OR sum(kk - total * mean * mean - (parts - 1) * mean * (1 - mean)) <= 0 THEN 10000.0
+         ELSE least(10000.0, greatest(1.0, sum(total * mean * (1 - mean)) / sum(total)
+              / (sum(kk - total * mean * mean - (parts - 1) * mean * (1 - mean)) / sum(total - nn / total)) - 1)) END AS s
+       FROM (SELECT sum(n) AS total, sum(k) / sum(n) AS mean, count(*) AS parts, sum(k * k / n) AS kk, sum(n * n) AS nn
+             FROM {children} WHERE n > 0 GROUP BY {parent}))"""
+
+
+@query("op4_url_reputation", sql=f"""
+WITH r AS (SELECT page_id, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
+p AS (SELECT page_id, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+o AS (SELECT doc_id AS page_id, max(CASE (quality = 0 OR toxic = 1) WHEN true THEN 1.0::DOUBLE WHEN false THEN 0.0::DOUBLE END) AS bad FROM labels GROUP BY 1),
+h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM p LEFT JOIN o USING (page_id) GROUP BY host),
+named AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM h),
+hosts AS (SELECT host, n, k, regexp_extract(name, '([^.]*[.])?[^.]*$', 0) AS domain, regexp_extract(name, '[^.]*$', 0) AS suffix FROM named),
+domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, 1 AS al, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
+overall AS (SELECT (coalesce(sum(k), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS m FROM suffixes),
+a AS {_level_strength("suffixes", "al")}, b AS {_level_strength("domains", "suffix")}, c AS {_level_strength("hosts", "domain")},
+sr AS (SELECT suffix, (k + a.s * m) / (n + a.s) AS suffix_rate FROM suffixes, a, overall),
+dr AS (SELECT domain, (k + b.s * suffix_rate) / (n + b.s) AS domain_rate FROM domains JOIN sr USING (suffix), b),
+xy AS (SELECT host, k + c.s * domain_rate AS x, n - k + c.s * (1 - domain_rate) AS y FROM hosts JOIN dr USING (domain), c),
+bound AS (SELECT host, x / (x + y) - 1.645::DOUBLE * sqrt(x / (x + y) * (1 - x / (x + y)) / (x + y + 1)) AS bound FROM xy),
+ruled AS (SELECT *, CASE
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM p)
+SELECT page_id, host, path, rule, CASE rule WHEN 'net/' THEN 'block' WHEN 'example.com/de/' THEN 'block'
+       WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
+       ELSE CASE WHEN bound > 0.5 THEN 'block' ELSE 'allow' END END AS verdict
+FROM ruled JOIN bound USING (host)""")
+def op4_url_reputation(spark, sf_dir):
+    """Every page's url judged by the four rules, else by its host's reputation (labels of its id)."""
+    from .url_reputation import UrlRule, judge_urls
+
+    rules = [UrlRule("block", "net", "/"), UrlRule("allow", "example.net", "/en/"),
+             UrlRule("block", "example.com", "/de/"), UrlRule("allow", "org", "/fr/")]
+    return judge_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), rules).select(
+        "page_id", "host", "path", "rule", "verdict")
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark, sf_dir):
+    """Statistics, base rule and learned decision list for every document."""
+    from .decision_list import COUNTS, apply_rules, learn_rules
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = learn_rules(docs, table(spark, sf_dir, "labels"))
+    return apply_rules(docs, rules).select("doc_id", *COUNTS, "base_failed", "kept", "rule")
