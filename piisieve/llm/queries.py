@@ -199,3 +199,11 @@ def op9_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rules = learn_rules(docs, table(spark, sf_dir, "labels"))
     return apply_rules(docs, rules).select("doc_id", *COUNTS, "base_failed", "kept", "rule")
+
+
+@query("op6_mixing")
+def op6_mixing(spark, sf_dir):
+    """All documents mixed to the sources' target weights; the words the mix takes of each."""
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
