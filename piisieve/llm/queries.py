@@ -207,3 +207,11 @@ def op6_mixing(spark, sf_dir):
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_cross_polytope")
+def op10_cross_polytope(spark, sf_dir):
+    """Ten nearest of every vector whose id is divisible by 100, among all others."""
+    from .cross_polytope import nearest_neighbours
+
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
