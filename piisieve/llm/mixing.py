@@ -54,6 +54,11 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
+def document_hash(key: str, text: str, seed: int = MixSettings.seed) -> Column:
+    """Tells documents apart; repeated rows share it."""
+    return F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(seed))
+
+
 def source_targets(sizes: DataFrame, s: MixSettings = MixSettings()) -> DataFrame:
     """(source, source_size, target) from (source, source_size); one row per source, all in one place.
 
@@ -178,12 +183,12 @@ def _dealt_blocks(blocks: DataFrame, s: MixSettings) -> DataFrame:
 
 def mix(docs: DataFrame, settings: MixSettings = MixSettings(), key: str = "doc_id", text: str = "text",
         source: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, ``draws`` (array of shard and
-    position: one for each copy that the mix takes, sort a shard by position) and taken (words)."""
+    """One row per document: doc_id, source, h (document_hash), size, source_size, target, ``draws`` (array of
+    shard and position: one for each copy that the mix takes, sort a shard by position) and taken (words)."""
     s = settings
     rows = stored(docs.select(
         F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"),
-        F.xxhash64(F.col(key).cast("string"), F.col(text), F.lit(s.seed)).alias("h"))
+        document_hash(key, text, s.seed).alias("h"))
         .withColumns({"block": F.pmod(F.col("h"), F.lit(s.blocks)).cast("int"),
                       "row": F.monotonically_increasing_id()}), "sizes")  # row tells repeated rows apart
     targets = stored(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), s), "targets")
@@ -205,7 +210,7 @@ def mix(docs: DataFrame, settings: MixSettings = MixSettings(), key: str = "doc_
     draws = F.transform("shards", lambda shard, i: F.struct(
         shard.alias("shard"), F.xxhash64("h", i, F.lit("position")).alias("position")))
     return (chosen.join(targets.withColumnRenamed("source", "s1"), F.col("source").eqNullSafe(F.col("s1")))
-            .select("doc_id", "source", "size", "source_size", "target", draws.alias("draws"))
+            .select("doc_id", "source", "h", "size", "source_size", "target", draws.alias("draws"))
             .withColumn("taken", F.col("size") * F.size("draws")))
 
 
