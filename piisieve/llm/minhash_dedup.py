@@ -11,9 +11,9 @@ text is one shingle). Two documents are linked when 100 * |intersection| >= 75 *
    doc_id: n - 1 candidate edges for n members. Edges are confirmed on full sets.
 4. *The rest, exactly.* A star does not test two members that both miss the centre. In every bucket
    whose other members are still in more than one component, the members outside the bucket's
-   largest component are compared, in blocks of bounded size, with all members. A sketch of 512
-   minima discards pairs more than five standard deviations below the limit; the remaining pairs
-   are confirmed on full sets. No bucket is capped, skipped or emitted as all pairs.
+   largest component are compared, in blocks of bounded size, with all members: an inverted index
+   over a block's full sets counts what a member has in common with each of them. Only links leave
+   a block, one for each document and component. No bucket is capped, skipped or emitted as pairs.
 5. *Components* over confirmed links (large-star / small-star).
 
 A linked pair that shares no bucket is lost: (1 - 0.75^4)^32 = 5e-6 at the limit, less above it.
@@ -38,8 +38,6 @@ from .components import connected_components
 from .tables import stored
 from .words import as_signed, mix64, window_hashes, word_hashes
 
-SKETCH_BINS = 512
-
 
 @dataclass(frozen=True)
 class NearDupSettings:
@@ -98,12 +96,6 @@ def band_keys(shingles: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
-def minima_sketch(shingles: np.ndarray) -> bytes:
-    """One byte per bin: 0 for an empty bin, else 1-255 from the bin's minimum."""
-    values, filled = bin_minima(shingles, SKETCH_BINS)
-    return np.where(filled, 1 + mix64(values) % np.uint64(255), 0).astype(np.uint8).tobytes()
-
-
 def signatures(docs: DataFrame, s: NearDupSettings, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, d1, d2, bands): set size, 128-bit digest of the set, band keys (null if empty)."""
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("data"))
@@ -162,31 +154,53 @@ def confirm(pairs: DataFrame, texts: DataFrame, s: NearDupSettings) -> DataFrame
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def _sketches(texts: DataFrame, s: NearDupSettings) -> DataFrame:
+def _sets(texts: DataFrame, s: NearDupSettings) -> DataFrame:
+    """(doc_id, hashes): the sorted shingle hashes of each text as packed 64-bit integers."""
     def run(batches):
         for b in batches:
-            sets = [shingle_set(v, s.shingle_words) for v in b.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(x) for x in sets], pa.int64()),
-                 pa.array([minima_sketch(x) for x in sets], pa.binary())], names=["doc_id", "size", "sketch"])
-
-    return texts.select("doc_id", "data").mapInArrow(run, "doc_id long, size long, sketch binary")
-
-
-def may_reach(sketch: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
-    """Which of the others may be similar enough to one document: by set sizes, then by sketches, where a
-    pair is given up only five standard deviations (sampling of bins without replacement) below."""
-    either = (others != 0) | (sketch != 0)
-    seen = either.sum(axis=1)
-    equal = ((others == sketch) & (sketch != 0)).sum(axis=1)
-    union = np.maximum((size + sizes) / (1 + similarity), 1)
-    spread = np.sqrt(similarity * (1 - similarity) / seen * np.clip(1 - seen / union, 0, 1))
-    near = equal / seen >= similarity - 0.03 - 5 * spread
-    return near & (np.minimum(size, sizes) >= similarity * np.maximum(size, sizes) - 1e-9)
-
-
-def untested_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, s: NearDupSettings) -> DataFrame:
-    """Pairs (a, b) that share a bucket, are in different components and were not tested by its star."""
+                [b.column("doc_id"), pa.array([shingle_set(v, s.shingle_words).tobytes() for v in b.column("data").to_pylist()],
+                                              pa.binary())], names=["doc_id", "hashes"])
+
+    return texts.select("doc_id", "data").mapInArrow(run, "doc_id long, hashes binary")
+
+
+class OutlierBlock:
+    """An inverted index over the sets of a block of documents: one lookup of a set counts what it has in
+    common with each of them."""
+
+    def __init__(self, rows: list[tuple[int, int, np.ndarray]]):
+        self.docs = np.array([r[0] for r in rows], dtype=np.int64)
+        self.components = np.array([r[1] for r in rows], dtype=np.int64)
+        self.sizes = np.array([len(r[2]) for r in rows], dtype=np.int64)
+        hashes = np.concatenate([r[2] for r in rows])
+        owners = np.repeat(np.arange(len(rows)), self.sizes)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners = hashes[order], owners[order]
+        self.linked: set[tuple[int, int]] = set()
+
+    def common(self, x: np.ndarray) -> np.ndarray:
+        low = np.searchsorted(self.hashes, x, "left")
+        counts = np.searchsorted(self.hashes, x, "right") - low
+        low, counts = low[counts > 0], counts[counts > 0]
+        at = np.arange(counts.sum()) + np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts)
+        return np.bincount(self.owners[at], minlength=len(self.docs))
+
+    def links(self, doc: int, component: int, x: np.ndarray, outlier: bool, similarity_pct: int) -> list[int]:
+        """Documents of the block that are similar enough to the member, one link for each document and
+        component of partners: further ones cannot change any class."""
+        both = self.common(x)
+        near = (100 * both >= similarity_pct * (self.sizes + len(x) - both)) & (self.components != component)
+        if outlier:
+            near &= self.docs < doc  # two outliers meet twice
+        new = [i for i in np.flatnonzero(near).tolist() if (i, component) not in self.linked]
+        self.linked.update((i, component) for i in new)
+        return self.docs[new].tolist()
+
+
+def untested_links(members: DataFrame, labels: DataFrame, texts: DataFrame, s: NearDupSettings) -> DataFrame:
+    """Links (a, b) between documents that share a bucket, are in different components and were not tested
+    by its star, decided on full sets inside the blocks."""
     rest = (members.filter("doc_id <> centre").join(labels, F.col("doc_id") == F.col("node"), "left")
             .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     counts = rest.groupBy("key", "component").agg(F.count("*").alias("n"))
@@ -203,37 +217,28 @@ def untested_pairs(members: DataFrame, labels: DataFrame, texts: DataFrame, s: N
     all_members = rows.select(
         "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("o_blocks") - 1)).alias("ob"), m_block.alias("mb"),
         F.lit(1).alias("role"), "doc_id", "component", "outlier")
-    sketches = stored(_sketches(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), s), "sketches")
-    dealt = (outliers.unionByName(all_members).join(sketches, "doc_id").repartition("key", "ob", "mb")
+    sets = stored(_sets(texts.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), s), "sets")
+    dealt = (outliers.unionByName(all_members).join(sets, "doc_id").repartition("key", "ob", "mb")
              .sortWithinPartitions("key", "ob", "mb", "role", "doc_id")
-             .select("key", "ob", "mb", "role", "doc_id", "component", "outlier", "size", "sketch"))
-    similarity = s.similarity_pct / 100
+             .select("key", "ob", "mb", "role", "doc_id", "component", "outlier", "hashes"))
 
     def run(batches):
         group, held, block = None, [], None
         for b in batches:
             left, right = [], []
-            for key, ob, mb, role, doc, component, outlier, size, sketch in zip(*(c.to_pylist() for c in b.columns)):
+            for key, ob, mb, role, doc, component, outlier, hashes in zip(*(c.to_pylist() for c in b.columns)):
                 if group != (key, ob, mb):
                     group, held, block = (key, ob, mb), [], None
-                sketch = np.frombuffer(sketch, dtype=np.uint8)
+                x = np.frombuffer(hashes, dtype=np.uint64)
                 if role == 0:
-                    held.append((doc, component, size, sketch))
-                    continue
-                if block is None and held:
-                    block = (np.array([h[0] for h in held]), np.array([h[1] for h in held]),
-                             np.array([h[2] for h in held]), np.stack([h[3] for h in held]))
-                if block is None:
+                    held.append((doc, component, x))
                     continue
-                docs, components, sizes, sketches_ = block
-                test = components != component
-                if outlier:
-                    test &= docs < doc  # two outliers meet twice
-                at = np.flatnonzero(test)
-                if len(at):
-                    at = at[may_reach(sketch, size, sketches_[at], sizes[at], similarity)]
-                    left += docs[at].tolist()
-                    right += [doc] * len(at)
+                if held:
+                    block, held = OutlierBlock(held), []
+                if block is not None:
+                    found = block.links(doc, component, x, outlier, s.similarity_pct)
+                    left += found
+                    right += [doc] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -255,7 +260,7 @@ def near_duplicates(docs: DataFrame, settings: NearDupSettings = NearDupSettings
                    .join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
     links = stored(confirm(edges, texts, s), "links")
     labels = stored(connected_components(links, "a", "b"), "labels")
-    more = stored(confirm(untested_pairs(members, labels, texts, s), texts, s), "links")
+    more = stored(untested_links(members, labels, texts, s), "links")
     labels = connected_components(links.unionByName(more), "a", "b")
     classes = stored(groups.select("d1", "d2", "doc_id").join(labels, F.col("doc_id") == F.col("node"), "left")
                      .select("d1", "d2", F.coalesce("component", "doc_id").alias("component")), "classes")
