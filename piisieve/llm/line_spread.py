@@ -77,5 +77,6 @@ def remove_boilerplate(docs: DataFrame, settings: LineSpreadSettings = LineSprea
     removed = F.when(F.col("cuts").isNull(), 0).otherwise(F.size("cuts")).cast("long")
     before = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
     return (rows.join(cuts, ["doc_id", "t"], "left")
-            .select("row.*", F.array_join(kept, "\n").alias(text), before.alias(n_lines), removed.alias(n_removed))
+            .select("row", F.array_join(kept, "\n").alias("kept"), before.alias("before"), removed.alias("gone"))
+            .select("row.*", F.col("kept").alias(text), F.col("before").alias(n_lines), F.col("gone").alias(n_removed))
             .select(*[f"`{c}`" for c in docs.columns if c not in (n_lines, n_removed)], n_lines, n_removed))

@@ -113,7 +113,7 @@ def _shared_parts(src: DataFrame, size: int, part: int) -> DataFrame:
 
 
 def _windows(texts: DataFrame, size: int, part: int) -> DataFrame:
-    """(k1, k2, doc_id, pos) of the windows whose representing short window is shared."""
+    """(k1, k2, doc_id, t1, pos) of the windows whose representing short window is shared."""
     def run(batches):
         for b in batches:
             out = []
@@ -124,36 +124,36 @@ def _windows(texts: DataFrame, size: int, part: int) -> DataFrame:
                 h = word_hashes(words)
                 wanted = np.array(parts, dtype=np.int64).view(np.uint64)
                 at = np.flatnonzero(np.isin(window_minima(h, size, part), wanted))
-                out.append(_keys(h, words, at, size, doc))
+                out.append(_keys(h, words, at, size, doc, t1))
             yield from _key_batches(out)
 
-    return texts.mapInArrow(run, "k1 long, k2 long, doc_id long, pos long")
+    return texts.mapInArrow(run, "k1 long, k2 long, doc_id long, t1 long, pos long")
 
 
-def _keys(h: np.ndarray, words: list[bytes], at: np.ndarray, size: int, doc: int):
+def _keys(h: np.ndarray, words: list[bytes], at: np.ndarray, size: int, doc: int, t1: int):
     if not len(at):
         empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty, empty
+        return empty, empty, empty, empty, empty
     other = window_hashes(word_hashes(words, 1), size)
     return (as_signed(window_hashes(h, size)[at]), as_signed(other[at]), np.full(len(at), doc, dtype=np.int64),
-            at.astype(np.int64))
+            np.full(len(at), t1, dtype=np.int64), at.astype(np.int64))
 
 
 def _key_batches(out):
     if out:
         columns = [np.concatenate(c) for c in zip(*out)]
-        rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k1", "k2", "doc_id", "pos"])
+        rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k1", "k2", "doc_id", "t1", "pos"])
         for at in range(0, rows.num_rows, 100_000):
             yield rows.slice(at, 100_000)
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
-    """(doc_id, pos, first_doc) of the windows found in two documents or more; first_doc is the smallest."""
+    """(doc_id, t1, pos, first_doc) of the windows found in two documents or more; first_doc is the smallest."""
     def run(batches):
-        held = [np.zeros(0, dtype=np.int64) for _ in range(4)]  # last group's rows while they are of one document
+        held = [np.zeros(0, dtype=np.int64) for _ in range(5)]  # last group's rows while they are of one document
         opened = None  # (k1, k2, first_doc) of a last group already known to repeat
         for b in batches:
-            k1, k2, doc, pos = (np.concatenate([x, c.to_numpy()]) for x, c in zip(held, b.columns))
+            k1, k2, doc, t1, pos = (np.concatenate([x, c.to_numpy()]) for x, c in zip(held, b.columns))
             if not len(k1):
                 continue
             start = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
@@ -166,14 +166,14 @@ def _repeated(windows: DataFrame) -> DataFrame:
             emit = repeats[group]
             last = group == group[-1]
             if repeats[-1]:
-                opened, held = (k1[-1], k2[-1], first[-1]), [x[:0] for x in (k1, k2, doc, pos)]
+                opened, held = (k1[-1], k2[-1], first[-1]), [x[:0] for x in (k1, k2, doc, t1, pos)]
             else:
-                opened, held = None, [x[last] for x in (k1, k2, doc, pos)]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[emit]), pa.array(pos[emit]), pa.array(first[group][emit])],
-                                             names=["doc_id", "pos", "first_doc"])
+                opened, held = None, [x[last] for x in (k1, k2, doc, t1, pos)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[emit]) for x in (doc, t1, pos, first[group])],
+                                             names=["doc_id", "t1", "pos", "first_doc"])
 
-    return (windows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "doc_id", "pos")
-            .mapInArrow(run, "doc_id long, pos long, first_doc long"))
+    return (windows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "doc_id", "t1", "pos")
+            .mapInArrow(run, "doc_id long, t1 long, pos long, first_doc long"))
 
 
 def _extended(texts: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
@@ -187,11 +187,11 @@ def _extended(texts: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
                     continue
                 starts = np.array(starts, dtype=np.int64)
                 at = np.sort(starts[np.isin(starts + size, starts)])
-                out.append(_keys(word_hashes(words), words, at[at + 2 * size <= len(words)], 2 * size, doc))
+                out.append(_keys(word_hashes(words), words, at[at + 2 * size <= len(words)], 2 * size, doc, t1))
             yield from _key_batches(out)
 
-    starts = repeated.groupBy("doc_id").agg(F.collect_set("pos").alias("starts"))
-    return texts.join(starts, "doc_id").mapInArrow(run, "k1 long, k2 long, doc_id long, pos long")
+    starts = repeated.groupBy("doc_id", "t1").agg(F.collect_set("pos").alias("starts"))
+    return texts.join(starts, ["doc_id", "t1"]).mapInArrow(run, "k1 long, k2 long, doc_id long, t1 long, pos long")
 
 
 def _prepare(docs: DataFrame, size: int, key: str, text: str):
@@ -236,7 +236,7 @@ def remove_repeats(docs: DataFrame, window_words: int = 13, key: str = "doc_id",
     smaller doc_id. Longer windows cannot change that, so the levels end at ``window_words``."""
     sequences, first, texts, part = _prepare(docs, window_words, key, text)
     later = _repeated(_windows(texts, window_words, part)).filter("doc_id > first_doc")
-    starts = later.groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
+    starts = later.groupBy("doc_id", "t1").agg(F.collect_set("pos").alias("starts"))
 
     def cut(batches):
         for b in batches:
@@ -261,7 +261,7 @@ def remove_repeats(docs: DataFrame, window_words: int = 13, key: str = "doc_id",
                  pa.array(sha, pa.string()), pa.array(kept_text, pa.string())],
                 names=["doc_id", "t1", "removed", "sha", "kept_text"])
 
-    cuts = (texts.join(starts, "doc_id").mapInArrow(
+    cuts = (texts.join(starts, ["doc_id", "t1"]).mapInArrow(
         cut, "doc_id long, t1 long, removed long, sha string, kept_text string").distinct())
     copies = sequences.join(first, ["t1", "t2"], "left")
     copy = F.col("doc_id") > F.col("first_copy")
