@@ -7,8 +7,9 @@ fits an ordered list of threshold conjunctions to labelled documents by sequenti
   FOIL gain until no good document is covered or nothing gains; thresholds are quantiles, and one
   grouped aggregation per step counts all of them;
 * *prune*: on the other third, cut the conjunction back to its best prefix;
-* a rule stays if its precision on both parts reaches ``min_precision`` with ``min_support`` rows;
-  the rows it covers are set aside and the next rule is grown on the rest.
+* a rule stays if its precision on the pruning part, and its Laplace-corrected precision on both
+  parts, reach ``min_precision`` (at 0.9 that asks for eight covered rows or more); the rows it covers
+  are set aside and the next rule is grown on the rest.
 
 The result is a list of :class:`Rule`, each a readable conjunction and a Spark condition;
 ``first_rule`` turns the list into one ordered conditional expression.
@@ -28,7 +29,7 @@ import operator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tables import stored
@@ -45,7 +46,6 @@ class RuleSettings:
     max_conditions: int = 3
     quantiles: int = 24
     min_precision: float = 0.9
-    min_support: int = 15
     min_words: int = 20
     max_repeat_pct: int = 30
 
@@ -155,8 +155,8 @@ def _labelled(docs: DataFrame, labels: DataFrame, s: RuleSettings, key: str, tex
 
 
 def _thresholds(rows: DataFrame, s: RuleSettings) -> dict[str, list[float]]:
-    """Candidate thresholds per statistic: quantiles of all rows and of the bad rows."""
-    at = [i / (s.quantiles + 1) for i in range(1, s.quantiles + 1)]
+    """Candidate thresholds per statistic: quantiles, from the minimum, of all rows and of the bad rows."""
+    at = [i / s.quantiles for i in range(s.quantiles)]
     found = rows.agg(*[F.percentile_approx(c, at, 10_000).alias(c) for c in RATIOS],
                      *[F.percentile_approx(F.when(F.col("bad") == 1, F.col(c)), at, 10_000).alias(f"bad_{c}") for c in RATIOS]).first()
     return {c: sorted({*(found[c] or []), *(found[f"bad_{c}"] or [])}) for c in RATIOS}
@@ -225,8 +225,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, settings: RuleSettings = Rul
         held, grown = prune.agg(*sums).first(), grow.agg(*sums).first()
         scores = [(_precision(held[2 * k], held[2 * k + 1]), -k) for k in range(len(prefixes))]
         k = -max(scores)[1]
-        support = (held[2 * k] or 0) + (grown[2 * k] or 0)
-        if scores[k][0] < s.min_precision or _precision(grown[2 * k], grown[2 * k + 1]) < s.min_precision or support < s.min_support:
+        p, n = ((held[2 * k + i] or 0) + (grown[2 * k + i] or 0) for i in (0, 1))
+        if scores[k][0] < s.min_precision or (p + 1) / (p + n + 2) < s.min_precision:
             break
         rules.append(Rule(prefixes[k]))
     return rules
