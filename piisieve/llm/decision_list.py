@@ -7,9 +7,9 @@ fits an ordered list of threshold conjunctions to labelled documents by sequenti
   FOIL gain until no good document is covered or nothing gains; thresholds are quantiles, and one
   grouped aggregation per step counts all of them;
 * *prune*: on the other third, cut the conjunction back to its best prefix;
-* a rule stays if its precision on the pruning part, and its Laplace-corrected precision on both
-  parts, reach ``min_precision`` (at 0.9 that asks for eight covered rows or more); the rows it covers
-  are set aside and the next rule is grown on the rest.
+* a rule stays if its precision reaches ``min_precision`` on the growing part and, Laplace-corrected, on
+  the pruning part, which it was not grown on (at 0.9 that asks for eight covered rows there or
+  more); the rows it covers are set aside and the next rule is grown on the rest.
 
 The result is a list of :class:`Rule`, each a readable conjunction and a Spark condition;
 ``first_rule`` turns the list into one ordered conditional expression.
@@ -225,8 +225,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, settings: RuleSettings = Rul
         held, grown = prune.agg(*sums).first(), grow.agg(*sums).first()
         scores = [(_precision(held[2 * k], held[2 * k + 1]), -k) for k in range(len(prefixes))]
         k = -max(scores)[1]
-        p, n = ((held[2 * k + i] or 0) + (grown[2 * k + i] or 0) for i in (0, 1))
-        if scores[k][0] < s.min_precision or (p + 1) / (p + n + 2) < s.min_precision:
+        p, n = held[2 * k] or 0, held[2 * k + 1] or 0
+        if (p + 1) / (p + n + 2) < s.min_precision or _precision(grown[2 * k], grown[2 * k + 1]) < s.min_precision:
             break
         rules.append(Rule(prefixes[k]))
     return rules
