@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 
 def softmax(logits: Column) -> Column:
-    """A1: numerically stable softmax over an array column."""
-    mx = F.array_max(logits)
-    ex = F.transform(logits, lambda x: F.exp(x - mx))
-    total = F.aggregate(ex, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(ex, lambda x: x / total)
+    """A1: numerically stable softmax over an array column, linear in its length.
+
+    What a lambda refers to from outside is evaluated again for each element, so the maximum, the
+    exponentials and their total are handed on as values: each step maps a one-element array.
+    """
+    shifted = F.transform(F.array(F.struct(logits.alias("x"), F.array_max(logits).alias("top"))), lambda s: F.transform(
+        s["x"], lambda x: F.exp(x - s["top"])))
+    scaled = F.transform(shifted, lambda ex: F.struct(ex.alias("ex"), F.aggregate(
+        ex, F.lit(0.0), lambda acc, x: acc + x).alias("total")))
+    return F.transform(scaled, lambda s: F.transform(s["ex"], lambda x: x / s["total"]))[0]
 
 
 def outside_prob(probs: Column, n_classes: int | None = None) -> Column:
@@ -52,11 +57,11 @@ def round_half_away(x, digits: int):
 
     Pure double arithmetic (whole-stage codegen), unlike ``round`` which builds a BigDecimal per
     value; y - floor(y) is exact, so R equals C's round() and results agree with engines that
-    round that way.
+    round that way. From 2^52 on a scaled double has no fraction left and the value is returned as it is.
     """
     x = F.col(x) if isinstance(x, str) else x
     m = float(10 ** digits)
     y = F.abs(x) * F.lit(m)
     fl = F.floor(y).cast("double")
     r = fl + F.when(y - fl >= F.lit(0.5), F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(x.isNull() | F.isnan(x), x).otherwise(F.signum(x) * r / F.lit(m))
+    return F.when(x.isNull() | F.isnan(x) | (y >= F.lit(2.0 ** 52)), x).otherwise(F.signum(x) * r / F.lit(m))

@@ -64,7 +64,7 @@ def id_label(idx: Column, name_or_labels, default: str | None = None) -> Column:
 
 def entity_type(label: Column) -> Column:
     """'B-EMAIL' -> 'EMAIL'; 'O' stays 'O' (prefix stripped only for B-/I- labels)."""
-    return F.when(label == F.lit("O"), F.lit("O")).otherwise(F.substring(label, 3, 1 << 20))
+    return F.when(label == F.lit("O"), F.lit("O")).otherwise(F.substring(label, F.lit(3), F.length(label)))
 
 
 def taxonomy_table(spark: SparkSession, names=None) -> DataFrame:

@@ -27,14 +27,14 @@ def length_buckets(df: DataFrame, batch_size: int = BATCH_SIZE, multiple: int =
     b = df.withColumn("batch_id", F.floor(F.col(order_col) / F.lit(batch_size)).cast("long"))
     w = Window.partitionBy("batch_id")
     b = b.withColumn("padded_len", round_up(F.max("input_length").over(w), multiple))
-    if "spans" in b.columns:
-        b = b.withColumn("span_len", F.max(F.size("spans")).over(w))
+    if "n_spans" in b.columns or "spans" in b.columns:
+        b = b.withColumn("span_len", F.max("n_spans" if "n_spans" in b.columns else F.size("spans")).over(w))
     return b
 
 
 def pad_arrays(df: DataFrame) -> DataFrame:
     """Pad pieces ([PAD]), attention mask (0), word ids (-1), labels (-100) to padded_len;
-    span arrays to span_len with head = padded_len - 2 and tail = padded_len."""
+    span arrays to span_len with head = padded_len - 2 and tail = padded_len, span labels with -100."""
     L = F.col("padded_len")
     out = (df.withColumn("attention_mask", pad_to(F.array_repeat(F.lit(1), F.size("pieces")), L, 0))
              .withColumn("pieces", pad_to(F.col("pieces"), L, PAD))
@@ -45,6 +45,8 @@ def pad_arrays(df: DataFrame) -> DataFrame:
         filler = F.struct(F.lit(SPECIAL_WORD).alias("word"), (L - 2).alias("head"), L.alias("tail"))
         out = out.withColumn("spans", F.concat(
             "spans", F.array_repeat(filler, F.greatest(F.col("span_len") - F.size("spans"), F.lit(0)))))
+        if "span_label_ids" in df.columns:
+            out = out.withColumn("span_label_ids", pad_to(F.col("span_label_ids"), F.col("span_len"), IGNORE_ID))
     return out
 
 

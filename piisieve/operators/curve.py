@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import round_half_away
 
 from ..functions.metrics import prf_columns
+from ..session import scratch_path
 from .evaluate import (KEYS, apply_threshold, compare, keep_entities, overall_scores, per_type_scores,
                        prediction_table, submission, type_counts)
 
@@ -59,41 +60,70 @@ def threshold_curve(pred: DataFrame, gold: DataFrame, grid=THRESHOLD_GRID, beta:
                      F.coalesce("fp", F.lit(0)).cast("long").alias("fp"),
                      (F.coalesce("n_gold", F.lit(0)) - F.coalesce("tp", F.lit(0))).cast("long").alias("fn")))
     p, r, _, fb = prf_columns(beta=beta)
-    return curve.select("grid_idx", "threshold", "tp", "fp", "fn", p.alias("p"), r.alias("r"), fb.alias("f5"))
+    return curve.select("grid_idx", "threshold", "tp", "fp", "fn", p.alias("p"), r.alias("r"), fb.alias(f"f{beta:g}"))
 
 
-def curve_points(curve: DataFrame) -> DataFrame:
-    """The reference's printed curve: (threshold rounded to 2, F5 rounded to 4)."""
-    return curve.select(round_half_away("threshold", 2).alias("threshold"), round_half_away("f5", 4).alias("f5"))
+def curve_points(curve: DataFrame, score: str = "f5") -> DataFrame:
+    """The reference's printed curve: (threshold rounded to 2, F-beta rounded to 4)."""
+    return curve.select(round_half_away("threshold", 2).alias("threshold"), round_half_away(score, 4).alias(score))
 
 
-def best_threshold(curve: DataFrame) -> DataFrame:
-    """Best F5; strict improvement, so the lowest threshold wins ties (24 rows, one task)."""
-    return curve.orderBy(F.col("f5").desc(), F.col("threshold").asc()).limit(1).select(
-        F.col("threshold").alias("best_threshold"), F.col("f5").alias("best_f5"))
+def best_threshold(curve: DataFrame, score: str = "f5") -> DataFrame:
+    """Best F-beta; strict improvement, so the lowest threshold wins ties (24 rows, one task)."""
+    return curve.orderBy(F.col(score).desc(), F.col("threshold").asc()).limit(1).select(
+        F.col("threshold").alias("best_threshold"), F.col(score).alias(f"best_{score}"))
 
 
-def evaluate(occurrences: DataFrame, gold: DataFrame, labels="bio13", cut: float = 0.995,
-             threshold: float = 0.995, grid=THRESHOLD_GRID, beta: float = 5.0, persist: bool = True) -> dict:
+def evaluate(occurrences: DataFrame, gold: DataFrame, labels="bio13", cut: float = 0.995, threshold: float = 0.995,
+             grid=THRESHOLD_GRID, beta: float = 5.0, keep: str = "persist", digits: int | None = None) -> dict:
     """The whole evaluation from per-piece probabilities and gold words.
 
-    ``pred`` is computed once (persisted) and feeds the curve, the scores and the submission.
+    The prediction table is made once and feeds the curve, the scores and the submission: ``keep`` is
+    ``persist`` (call ``release`` when done), ``store`` (written under the shared checkpoint folder, so
+    lost executors cost nothing) or ``none`` (recomputed by each output).
     """
-    pred = prediction_table(occurrences, labels, cut)
-    if persist:
+    if keep not in ("persist", "store", "none"):
+        raise ValueError("keep must be 'persist', 'store' or 'none'")
+    pred = prediction_table(occurrences, labels, cut, digits)
+    release = lambda: None
+    if keep == "persist":
         pred = pred.persist()
+        release = pred.unpersist
+    elif keep == "store":
+        path = scratch_path(pred.sparkSession, "predictions")
+        pred.write.parquet(path)
+        pred = pred.sparkSession.read.schema(pred.schema).parquet(path)
     labelled = apply_threshold(pred, threshold)
     counts = type_counts(keep_entities(labelled), gold)
     curve = threshold_curve(pred, gold, grid, beta)
+    score = f"f{beta:g}"
     return {
         "pred": labelled,
         "counts": counts,
         "per_type": per_type_scores(counts, beta),
         "scores": overall_scores(counts, beta),
         "curve": curve,
-        "best": best_threshold(curve),
+        "best": best_threshold(curve, score),
         "submission": lambda: submission(pred, threshold),
+        "score": score,
+        "release": release,
     }
 
 
-__all__ = ["THRESHOLD_GRID", "threshold_curve", "best_threshold", "curve_points", "evaluate", "KEYS"]
+def bundle_rows(out: dict) -> DataFrame:
+    """The bundle's tables as rows (section, name, metric, value): overall, type, curve, best."""
+    score = out["score"]
+
+    def long(df: DataFrame, section: str, name, metrics) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(c).cast("double").alias("value")) for m, c in metrics])
+        return df.select(F.lit(section).alias("section"), name.cast("string").alias("name"), F.inline(cells))
+
+    same = [(m, m) for m in ("tp", "fp", "fn", "p", "r", score)]
+    overall = [("tp", "tp"), ("fp", "fp"), ("fn", "fn"), ("p", "ents_p"), ("r", "ents_r"), (score, f"ents_{score}")]
+    return (long(out["scores"], "overall", F.lit("all"), overall)
+            .unionByName(long(out["per_type"], "type", F.col("type"), same))
+            .unionByName(long(out["curve"], "curve", F.col("grid_idx"), [*same, ("threshold", "threshold")]))
+            .unionByName(long(out["best"], "best", F.lit("all"), [("threshold", "best_threshold"), (score, f"best_{score}")])))
+
+
+__all__ = ["THRESHOLD_GRID", "threshold_curve", "best_threshold", "curve_points", "evaluate", "bundle_rows", "KEYS"]

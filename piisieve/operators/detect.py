@@ -6,12 +6,13 @@ no look-around, no back-references.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import entity_type
-from .indexing import broadcast_if_small
-from .tokenise import _exclusive_cumsum
 
 # Word-level rules: the first matching rule labels the word, otherwise 'O'.
 WORD_RULES: list[tuple[str, str]] = [
@@ -26,8 +27,8 @@ WORD_RULES: list[tuple[str, str]] = [
 PATTERN_RULES: dict[str, str] = {
     "EMAIL": "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+([.][A-Za-z0-9-]+)*[.][A-Za-z]{2,}",
     "PHONE_NUM": "[+][0-9]{1,3} [(][0-9]{3}[)] [0-9]{3}-[0-9]{4}",
-    "ID_NUM": "[0-9]{13,19}",
-    "URL_PERSONAL": "https?://[A-Za-z0-9.-]+(/[A-Za-z0-9._~%/?#=&+-]*)?",
+    "ID_NUM": "[0-9]{13,}",
+    "URL_PERSONAL": "https?://[A-Za-z0-9.-]+(/[A-Za-z0-9._~%/?#=&+@-]*)?",
 }
 
 
@@ -54,32 +55,51 @@ def detect_patterns(df: DataFrame, rules: dict | None = None, text: str = "text"
               .select(*keys, "type", F.posexplode("m").alias("occurrence", "match")))
 
 
-def match_offsets(df: DataFrame, entity: str, pattern: str, text: str = "text",
-                  keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """R2: character offsets [start, end) of every match, without a regex UDF.
+def has_match(text: Column, rules: dict) -> Column:
+    """Whether any rule matches, without leaving the JVM."""
+    return text.rlike("|".join(f"(?:{p})" for p in rules.values()))
 
-    ``split`` and ``regexp_extract_all`` walk the same find() sequence, so part i is the text
-    before match i; starts are prefix sums of the interleaved part/match lengths.
-    """
-    parts = F.split(F.col(text), pattern, -1)
-    matches = F.regexp_extract_all(F.col(text), F.lit(pattern), 0)
-    z = F.arrays_zip(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))).alias("part"), matches.alias("m"))
-    lens = F.flatten(F.transform(z, lambda e: F.array(F.length(e["part"]), F.length(e["m"]))))
-    d = df.select(*keys, matches.alias("_m"), _exclusive_cumsum(lens).alias("_c"))
-    return (d.select(*keys, F.posexplode("_m").alias("occurrence", "match"), "_c")
-             .select(*keys, F.lit(entity).alias("type"), "occurrence", "match",
-                     F.element_at("_c", F.col("occurrence") * 2 + 2).alias("start"))
-             .withColumn("end", F.col("start") + F.length("match")))
+
+def rule_spans(rules: dict):
+    """text -> [(type, occurrence, start, end, match)] of every rule, offsets in code points."""
+    compiled = [(t, re.compile(p)) for t, p in rules.items()]
+
+    def find(text: str):
+        return [(t, k, m.start(), m.end(), m.group()) for t, p in compiled
+                for k, m in enumerate(p.finditer(text)) if m.end() > m.start()]
+
+    return find
+
+
+SPAN_TYPE = "array<struct<type:string,occurrence:int,start:int,end:int,match:string>>"
+
+
+def with_spans(df: DataFrame, rules: dict | None = None, text: str = "text", out: str = "spans") -> DataFrame:
+    """R2 in the row: one scan, one array of the spans of all rules; only texts with a match leave the JVM."""
+    from ..session import ship_package
+    ship_package(df.sparkSession)
+    rules = rules or PATTERN_RULES
+    find = rule_spans(rules)
+
+    @F.pandas_udf(SPAN_TYPE)
+    def spans(texts: pd.Series) -> pd.Series:
+        names = ("type", "occurrence", "start", "end", "match")
+        return texts.map(lambda t: None if t is None else [dict(zip(names, x)) for x in find(t)])
+
+    return df.withColumn(out, spans(F.when(has_match(F.col(text), rules), F.col(text))))
 
 
 def all_match_offsets(df: DataFrame, rules: dict | None = None, text: str = "text",
                       keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    rules = rules or PATTERN_RULES
-    out = None
-    for t, p in rules.items():
-        m = match_offsets(df, t, p, text, keys)
-        out = m if out is None else out.unionByName(m)
-    return out
+    """R2: (keys, type, occurrence, match, start, end) of every match of every rule."""
+    found = with_spans(df.select(*keys, text), rules, text, "_spans")
+    return found.select(*keys, F.inline("_spans")).select(*keys, "type", "occurrence", "match", "start", "end")
+
+
+def match_offsets(df: DataFrame, entity: str, pattern: str, text: str = "text",
+                  keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """R2 for one rule."""
+    return all_match_offsets(df, {entity: pattern}, text, keys)
 
 
 def normalise(word: Column) -> Column:
@@ -89,13 +109,42 @@ def normalise(word: Column) -> Column:
 
 def detect_gazetteer(words: DataFrame, pool: DataFrame, word_col: str = "word",
                      keys: tuple[str, ...] = ("document", "token")) -> DataFrame:
-    """Equi-join of normalised words with a value pool (entity_type, value).
-
-    The pool is broadcast only behind a size check; beyond it the join is a shuffle join.
-    """
+    """Equi-join of normalised words with a pool of single values (entity_type, value). The join
+    strategy is left to Spark's size estimates."""
     p = pool.select("entity_type", normalise(F.col("value")).alias("_key")).dropDuplicates(["entity_type", "_key"])
     w = words.withColumn("_key", normalise(F.col(word_col))).filter(F.length("_key") > 0)
-    return w.join(broadcast_if_small(p), "_key").drop("_key")
+    return w.join(p, "_key").drop("_key")
+
+
+def detect_entries(essays: DataFrame, pool: DataFrame, max_words: int, tokens: str = "tokens",
+                   doc: str = "document") -> DataFrame:
+    """R3 for entries of 1 to ``max_words`` words: (document, token, n_words, entity_type).
+
+    N-grams are built inside the document row from its normalised, non-empty words (shifted copies
+    zipped together) and joined with the pool's entries, normalised word by word. Only n-grams that
+    start with the first word of some entry reach the join of whole entries.
+    """
+    from .tokenise import WORD_SEPARATOR
+
+    def key(words: Column) -> Column:
+        return F.array_join(words, " ")
+
+    entry = F.filter(F.transform(F.split("value", WORD_SEPARATOR, -1), normalise), lambda w: w != "")
+    p = (pool.select("entity_type", entry.alias("_w")).filter(F.size("_w").between(1, max_words))
+         .select("entity_type", key(F.col("_w")).alias("_key"), F.col("_w")[0].alias("_first"), F.size("_w").alias("_n"))
+         .dropDuplicates(["entity_type", "_key"]))
+    words = F.filter(F.transform(tokens, lambda w, i: F.struct(normalise(w).alias("w"), i.alias("token"))), lambda x: x["w"] != "")
+    rows = essays.select(doc, words.alias("_all"))
+    shifted = [F.slice("_all", F.lit(k + 1), F.greatest(F.size("_all"), F.lit(1))).alias(f"s{k}") for k in range(max_words)]
+    grams = (rows.select(doc, *shifted).select(doc, F.inline(F.arrays_zip(*[f"s{k}" for k in range(max_words)])))
+             .filter("s0 IS NOT NULL")
+             .select(doc, F.col("s0.token").alias("token"), F.col("s0.w").alias("_first"),
+                     F.array(*[F.col(f"s{k}.w") for k in range(max_words)]).alias("_gram")))
+    sizes = p.select("_first", "_n").distinct()
+    hits = grams.join(sizes, "_first").withColumn("_key", key(F.slice("_gram", F.lit(1), F.col("_n"))))
+    whole = F.forall(F.slice("_gram", F.lit(1), F.col("_n")), lambda w: w.isNotNull())  # none runs over the end
+    return (hits.filter(whole).join(p.select("entity_type", "_key"), "_key")
+            .select(doc, "token", F.col("_n").alias("n_words"), "entity_type"))
 
 
 def email_domain_in_pool(matches: DataFrame, domains: DataFrame, match_col: str = "match",
@@ -103,8 +152,8 @@ def email_domain_in_pool(matches: DataFrame, domains: DataFrame, match_col: str
     """Left semi (or anti) join of e-mail matches with a domain pool."""
     m = matches.withColumn("_domain", F.lower(F.regexp_extract(F.col(match_col), "@([A-Za-z0-9.-]+)", 1)))
     d = domains.select(F.lower(F.col("value")).alias("_domain")).distinct()
-    return m.join(broadcast_if_small(d), "_domain", "left_anti" if anti else "left_semi").drop("_domain")
+    return m.join(d, "_domain", "left_anti" if anti else "left_semi").drop("_domain")
 
 
 __all__ = ["WORD_RULES", "PATTERN_RULES", "label_words", "word_label", "detect_patterns", "match_offsets",
-           "all_match_offsets", "detect_gazetteer", "email_domain_in_pool", "normalise", "entity_type"]
+           "all_match_offsets", "with_spans", "detect_gazetteer", "detect_entries", "email_domain_in_pool", "normalise", "entity_type"]

@@ -15,7 +15,7 @@ from ..functions.arrays import argmax_entity, outside_prob, posexplode_rows, rou
 from ..functions.labels import entity_type, id_label, taxonomy
 from ..functions.metrics import prf_columns
 from ..settings import CUT_TOKEN_MODEL
-from .indexing import with_row_index
+from .indexing import require_unique, with_row_index
 
 KEYS = ["document", "token"]
 
@@ -33,11 +33,11 @@ def drop_confident_outside(df: DataFrame, cut: float = CUT_TOKEN_MODEL, probs: s
     return df.filter(outside_prob(F.col(probs), n_classes) < F.lit(float(cut)))
 
 
-def mean_probs(df: DataFrame, n_classes: int, probs: str = "probs", digits: int | None = 9,
+def mean_probs(df: DataFrame, n_classes: int, probs: str = "probs", digits: int | None = None,
                as_columns: bool = False) -> DataFrame:
     """A3 (X2): element-wise mean vector per (document, token) as n scalar sums plus one shared
-    count in one hash aggregate (partial aggregation map-side; avg is sum / count); then rounded
-    to ``digits``. ``as_columns`` returns the means as scalar columns _m0.._m{n-1}."""
+    count in one hash aggregate (partial aggregation map-side; avg is sum / count); rounded only if
+    ``digits`` is given (rounding can change labels at a threshold). ``as_columns`` returns the means as scalar columns _m0.._m{n-1}."""
     aggs = [F.sum(F.col(probs).getItem(i)).alias(f"_p{i}") for i in range(n_classes)]
     agg = df.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n"), *aggs)
     vals = [F.col(f"_p{i}") / F.col("_n").cast("double") for i in range(n_classes)]
@@ -49,7 +49,7 @@ def mean_probs(df: DataFrame, n_classes: int, probs: str = "probs", digits: int
 
 
 def prediction_table(occurrences: DataFrame, labels="bio13", cut: float = CUT_TOKEN_MODEL,
-                     digits: int | None = 9) -> DataFrame:
+                     digits: int | None = None) -> DataFrame:
     """D8 pred_df: (document, token, probs, outside_prob, most_probable_label).
 
     P4 (special pieces) and P5 (confident outside) run before the mean. The means stay scalar
@@ -92,12 +92,12 @@ def reference_table(essays: DataFrame, order_col: str = "document", num_partitio
 
     row_id = (words of all essays before this one in ``order_col`` order) + position. The
     per-essay offsets are a weighted prefix sum over a narrow essay-level frame; only the sparse
-    gold rows are joined to them.
+    gold rows are joined to them. A repeated document id raises (T5): its words could not be told apart.
     """
     # words per essay: tokens and labels explode together, so count tokens when present (labels
     # may be a derived column that need not be computed just to be counted)
     n_words = F.size("tokens") if "tokens" in essays.columns else F.size("labels")
-    sizes = essays.select("document", F.col(order_col).alias("_ord"), n_words.alias("_n"))
+    sizes = require_unique(essays.select("document", F.col(order_col).alias("_ord"), n_words.alias("_n")), "document")
     offsets = with_row_index(sizes, ["_ord", "document"], "_off", weight_col="_n",
                              num_partitions=num_partitions).select("document", "_off")
     gold = gold_table(essays)
@@ -111,7 +111,12 @@ def compare(pred: DataFrame, gold: DataFrame, pred_label: str = "label", gold_la
     """M11 as one full outer join on (document, token): each side holds one row per word, so
     matching on (document, token, label) is matching the keys and then the labels."""
     p = pred.select(*KEYS, F.col(pred_label).alias("p_label"), *extra)
-    g = gold.select(*KEYS, F.col(gold_label).alias("g_label"))
+    # one gold row per word: repeated rows count once (sets), contradicting ones raise. The aggregate
+    # needs the exchange that the join needs anyway, and the gold words are sparse.
+    low, high = F.min(gold_label), F.max(gold_label)
+    g = gold.groupBy(*KEYS).agg(low.alias("_low"), high.alias("_high")).select(*KEYS, F.when(
+        F.col("_low") == F.col("_high"), F.col("_low")).otherwise(F.raise_error(F.concat(
+            F.lit("repeated document id: two gold labels for document "), F.col("document").cast("string")))).alias("g_label"))
     # hash join built on the (sparse) gold words: the large prediction side keeps the
     # aggregate's partitioning and is neither re-shuffled nor sorted
     return p.join(g.hint("shuffle_hash"), KEYS, "full_outer")

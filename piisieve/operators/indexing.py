@@ -1,4 +1,4 @@
-"""Global order without a single-partition window (X5), uniqueness checks, checked broadcasts.
+"""Global order without a single-partition window (X5), uniqueness checks, range joins.
 
 ``with_row_index`` range-partitions by the order key, sorts inside partitions and freezes that
 layout with a reliable checkpoint (range bounds come from sampling, so they must not be
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 
-BROADCAST_MAX_ROWS = 1_000_000
-
 
 def _num_partitions(df: DataFrame, n: int | None) -> int:
     if n:
@@ -74,6 +72,17 @@ def with_row_index(df: DataFrame, order_cols, out: str = "row_index", weight_col
                   .drop("_pid", "_local", "_offset", "_w"))
 
 
+def indexed_by_keys(df: DataFrame, order_cols, out: str = "row_index", condition=None,
+                    num_partitions: int | None = None) -> DataFrame:
+    """``with_row_index`` for wide rows: only the key columns are range-sorted and checkpointed, and the
+    index is joined back on them (the keys must be unique and not null). ``condition`` keeps some of the
+    index rows before that join."""
+    keys = list(order_cols)
+    idx = with_row_index(df.select(*keys), keys, out, num_partitions=num_partitions)
+    idx = idx if condition is None else idx.filter(condition)
+    return idx if set(df.columns) == set(keys) else df.join(idx, keys)
+
+
 def count_rows(df: DataFrame) -> int:
     return int(df.count())
 
@@ -87,12 +96,6 @@ def require_unique(df: DataFrame, keys) -> DataFrame:
     return df
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast only behind a row-count check; above it the join stays a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def range_overlap_join(left: DataFrame, right: DataFrame, keys, l_start: str, l_end: str,
                        r_start: str, r_end: str, bucket: int = 256, how: str = "inner") -> DataFrame:
     """Pairs whose half-open ranges overlap on equal ``keys`` (range join by bucketing).
@@ -108,10 +111,11 @@ def range_overlap_join(left: DataFrame, right: DataFrame, keys, l_start: str, l_
         hi = F.floor((F.greatest(F.col(e), F.col(s) + 1) - 1) / F.lit(bucket)).cast("long")
         return df.withColumn(name, F.explode(F.sequence(lo, hi)))
 
+    # unique names on both sides: either may stem from the other
     lb = buckets(left, l_start, l_end, "_bk")
-    rb = buckets(right, r_start, r_end, "_bk")
-    cond = [lb[k] == rb[k] for k in keys] + [lb["_bk"] == rb["_bk"]]
+    rb = buckets(right, r_start, r_end, "_r_bk").withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    cond = [F.col(k) == F.col(f"_r_{k}") for k in keys] + [F.col("_bk") == F.col("_r_bk")]
     j = lb.join(rb, cond, how)
-    overlap = (j[l_start] < j[r_end]) & (j[r_start] < j[l_end])
-    owner = F.floor(F.greatest(j[l_start], j[r_start]) / F.lit(bucket)).cast("long") == lb["_bk"]
-    return j.filter(overlap & owner).drop(rb["_bk"]).drop(lb["_bk"]).drop(*[rb[k] for k in keys])
+    overlap = (F.col(l_start) < F.col(r_end)) & (F.col(r_start) < F.col(l_end))
+    owner = F.floor(F.greatest(l_start, r_start) / F.lit(bucket)).cast("long") == F.col("_bk")
+    return j.filter(overlap & owner).drop("_bk", "_r_bk", *[f"_r_{k}" for k in keys])

@@ -1,62 +1,119 @@
-"""Removal: pattern redaction, span redaction by offsets (R7) and consistent pseudonyms."""
+"""Removal: redaction by rules or by spans (R7) and consistent pseudonyms.
+
+Every form works on the offsets of all spans in the original text. Overlapping spans are merged
+into their union, which takes the type of its earliest (then longest) span, so no character of any
+span survives; touching spans stay apart.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import hash32
-from .detect import PATTERN_RULES
-from .indexing import broadcast_if_small
+from .detect import PATTERN_RULES, has_match, rule_spans
+
+SPANS = "array<struct<start:int,end:int,type:string>>"
+
+
+def merge_spans(spans) -> list[tuple[int, int, str]]:
+    """Unions of overlapping (start, end, type) spans in order; empty spans vanish."""
+    out: list[list] = []
+    for start, end, kind in sorted(((s, e, t) for s, e, t in spans if e > s), key=lambda x: (x[0], -x[1])):
+        if out and start < out[-1][1]:
+            out[-1][1] = max(out[-1][1], end)
+        else:
+            out.append([start, end, kind])
+    return [tuple(x) for x in out]
+
+
+def replace_spans(text: str, spans, substitute) -> str:
+    """The text with each merged span replaced by ``substitute(start, end, type)``; linear in the text."""
+    parts, at = [], 0
+    for start, end, kind in merge_spans(spans):
+        start, end = max(start, at), min(end, len(text))
+        if start >= end:
+            continue
+        parts += [text[at:start], substitute(start, end, kind)]
+        at = end
+    return "".join([*parts, text[at:]])
+
+
+def _tag(start: int, end: int, kind: str) -> str:
+    return f"[{kind}]"
 
 
 def redact(df: DataFrame, rules: dict | None = None, text: str = "text", out: str = "redacted") -> DataFrame:
-    """R7 pattern form: replace every match by '[TYPE]', rule by rule, in the row."""
+    """R7 pattern form: every match of every rule on the original text becomes '[TYPE]', in the row.
+
+    Texts without a match (a JVM-side test) do not leave the JVM.
+    """
     rules = rules or PATTERN_RULES
-    e = F.col(text)
-    for t, p in rules.items():
-        e = F.regexp_replace(e, p, f"[{t}]")
-    return df.withColumn(out, e)
+    find = rule_spans(rules)
+
+    @F.pandas_udf("string")
+    def rewrite(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else replace_spans(
+            t, [(s, e, kind) for kind, _, s, e, _ in find(t)], _tag))
+
+    matched = F.when(has_match(F.col(text), rules), F.col(text))
+    return df.withColumn(out, F.coalesce(rewrite(matched), F.col(text)))
+
+
+def _rebuild(substitutes: bool):
+    @F.pandas_udf("string")
+    def rebuild(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        def one(t, rows):
+            if t is None or rows is None:
+                return None
+            named = {(r["start"], r["end"], r["type"]): r.get("surrogate") for r in rows}
+            use = _tag if not substitutes else lambda s, e, k: named.get((s, e, k)) or f"[{k}]"
+            return replace_spans(t, list(named), use)
+        return pd.Series([one(t, rows) for t, rows in zip(texts, spans)], dtype=object)
+
+    return rebuild
 
 
 def redact_spans(docs: DataFrame, spans: DataFrame, doc: str = "doc_id", text: str = "text",
                  out: str = "redacted") -> DataFrame:
-    """R7 span form: cut the text at [start, end) offsets and insert '[TYPE]'.
+    """R7 span form: replace the [start, end) offsets of ``spans`` by '[TYPE]'.
 
-    Spans are grouped per document (one small array per document), sorted, overlaps dropped
-    (an earlier start wins), then the text is rebuilt in one pass over that array. The span
-    arrays meet the documents in one join; AQE broadcasts them when they are small at run time.
+    Spans are gathered per document (bounded by the document) and meet the documents in one join;
+    texts without spans are passed through untouched.
     """
-    per_doc = spans.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(
-        F.col("start").alias("start"), (-F.col("end")).alias("neg_end"), F.col("type").alias("type")))).alias("_sp"))
-    kept = F.aggregate(
-        "_sp", F.array().cast("array<struct<start:int,end:int,type:string>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) == 0) | (s["start"] >= F.element_at(acc, -1)["end"]),
-            F.concat(acc, F.array(F.struct(s["start"].cast("int").alias("start"),
-                                           (-s["neg_end"]).cast("int").alias("end"),
-                                           s["type"].alias("type"))))).otherwise(acc))
-    empty = F.array().cast("array<struct<start:int,end:int,type:string>>")
-    j = docs.join(per_doc, doc, "left").withColumn("_k", F.coalesce(kept, empty))
-    # previous span end zipped in as an argument (no per-element lookups)
-    ends = F.transform("_k", lambda s: s["end"])
-    prev_end = F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.greatest(F.size("_k") - 1, F.lit(0))))
-    z = F.arrays_zip(F.col("_k").alias("s"), prev_end.alias("pe"))
-    pieces = F.transform(z, lambda e: F.concat(
-        F.substring(F.col(text), e["pe"] + 1, e["s"]["start"] - e["pe"]),
-        F.lit("["), e["s"]["type"], F.lit("]")))
-    tail_from = F.when(F.size("_k") == 0, F.lit(1)).otherwise(F.element_at("_k", -1)["end"] + 1)
-    rebuilt = F.concat(F.array_join(pieces, ""), F.substring(F.col(text), tail_from, 1 << 30))
-    return j.withColumn(out, rebuilt).drop("_sp", "_k")
+    per_doc = spans.groupBy(doc).agg(F.collect_list(F.struct(
+        F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type")).alias("_sp"))
+    j = docs.join(per_doc, doc, "left")
+    touched = F.when(F.col("_sp").isNotNull(), F.col(text))
+    return j.withColumn(out, F.coalesce(_rebuild(False)(touched, F.col("_sp")), F.col(text))).drop("_sp")
+
+
+def _pool_index(value: Column, salt: str, n: int) -> Column:
+    return hash32(value, F.lit(salt)) % F.lit(n)
 
 
 def pseudonymise(matches: DataFrame, pool: DataFrame, salt: str, value: str = "match",
                  out: str = "surrogate", pool_size: int | None = None) -> DataFrame:
-    """Replace each value by a pool entry chosen by md5(value | salt) mod pool size, so the
-    same value always gets the same surrogate. The pool is broadcast behind a size check."""
+    """A pool entry for each value, chosen by md5(value | salt) mod pool size, so the same value
+    always gets the same surrogate. How the join runs is left to Spark's size estimates."""
     n = pool_size if pool_size is not None else pool.count()
     if n <= 0:
         raise ValueError("empty surrogate pool")
-    idx = (hash32(F.col(value), F.lit(salt)) % F.lit(n)).alias("_idx")
     p = pool.select(F.col("idx").cast("long").alias("_idx"), F.col("value").alias(out))
-    return matches.withColumn("_idx", idx).join(broadcast_if_small(p), "_idx", "left").drop("_idx")
+    return matches.withColumn("_idx", _pool_index(F.col(value), salt, n)).join(p, "_idx", "left").drop("_idx")
+
+
+def pseudonymise_text(docs: DataFrame, pool: DataFrame, salt: str, rules: dict, doc: str = "doc_id",
+                      text: str = "text", out: str = "pseudonymised") -> DataFrame:
+    """R8 in the text: every match of the rules is replaced by its surrogate. A merged span (overlapping
+    matches) gets the tag of its type instead, since no single value stands for it."""
+    from .detect import all_match_offsets
+
+    found = all_match_offsets(docs, rules, text, (doc,))
+    named = pseudonymise(found, pool, salt)
+    per_doc = named.groupBy(doc).agg(F.collect_list(F.struct(
+        F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type", "surrogate")).alias("_sp"))
+    j = docs.join(per_doc, doc, "left")
+    touched = F.when(F.col("_sp").isNotNull(), F.col(text))
+    return j.withColumn(out, F.coalesce(_rebuild(True)(touched, F.col("_sp")), F.col(text))).drop("_sp")

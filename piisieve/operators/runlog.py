@@ -70,14 +70,31 @@ def early_stop(log: DataFrame, run: str = "run_id", order=("step",), score: str
                block: Column | None = None, step: str = "step") -> tuple[DataFrame, DataFrame]:
     """L3: patience counter (evaluations since the last best) and the first step reaching patience.
 
-    counter = eval_no - eval_no of the last best; the last best comes from a running max of
-    best positions (same two-level scheme), so no island window over a whole run is needed.
+    counter = position - position of the last best. One pass over (run, block) cells: a row knows its
+    cell's running maximum and count; a cell's row holds its size, its maximum and the last position
+    of that maximum, which is a best exactly when it reaches the maximum before the cell. Windows
+    over the cells (one row each) give what came before, one join brings it to the rows.
     """
-    b = running_best(log, run, order, score, block)
-    b = b.withColumn("_best_pos", F.when(F.col("is_best"), F.col("eval_no")).otherwise(F.lit(0)).cast("double"))
-    s = running_stats(b, [run], list(order), "_best_pos", block, "_p_")
-    rows = (s.withColumn("patience_counter", (F.col("eval_no") - F.col("_p_max")).cast("long"))
-             .drop("_p_count", "_p_sum", "_p_max", "_p_prev_max", "_best_pos"))
+    v = F.col(score)
+    b = log.withColumn("_blk", F.lit(0) if block is None else block)
+    cell = Window.partitionBy(run, "_blk").orderBy(*order)
+    local = (b.withColumn("_lc", F.count(F.lit(1)).over(cell.rowsBetween(UNB, 0)))
+              .withColumn("_lp", F.max(v).over(cell.rowsBetween(UNB, -1))))
+    cells = local.groupBy(run, "_blk").agg(F.count(F.lit(1)).alias("_cc"), F.max(v).alias("_cm"), F.max(
+        F.struct(v.alias("v"), F.col("_lc").alias("at"))).alias("_top"))
+    before = Window.partitionBy(run).orderBy("_blk").rowsBetween(UNB, -1)
+    cells = cells.select(run, "_blk", "_cm", "_top", F.coalesce(F.sum("_cc").over(before), F.lit(0)).alias("_oc"),
+                         F.coalesce(F.max("_cm").over(before), F.lit(-1.0)).alias("_om"))
+    best_in = F.when(F.greatest("_om", F.lit(-1.0)) <= F.col("_cm"), F.col("_oc") + F.col("_top.at"))
+    cells = cells.withColumn("_ob", F.max(best_in).over(before)).select(run, "_blk", "_oc", "_om", "_ob")
+    j = local.join(cells, [run, "_blk"])
+    j = (j.withColumn("eval_no", F.col("_oc") + F.col("_lc"))
+          .withColumn("is_best", v >= F.greatest(F.lit(-1.0), "_om", "_lp")))
+    last = F.greatest(F.max(F.when(F.col("is_best"), F.col("eval_no"))).over(cell.rowsBetween(UNB, 0)),
+                      F.coalesce("_ob", F.lit(0)))
+    best = F.greatest(F.lit(-1.0), "_om", F.max(v).over(cell.rowsBetween(UNB, 0)))
+    rows = (j.withColumn("best_lb", best).withColumn("patience_counter", (F.col("eval_no") - last).cast("long"))
+             .drop("_blk", "_lc", "_lp", "_oc", "_om", "_ob"))
     stops = (rows.filter(F.col("patience_counter") >= patience)
                  .groupBy(run).agg(F.min_by(F.col(step), F.col("eval_no")).alias("stop_step"),
                                    F.min("eval_no").alias("stop_eval_no")))

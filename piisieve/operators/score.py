@@ -1,25 +1,46 @@
 """Model scoring hook (R9): a user function scores window batches inside the tasks.
 
-``fn(pdf) -> pdf`` receives a pandas frame of windows (document, window, word_ids, ...) and
-returns per-window probability arrays. It runs through ``mapInPandas`` (Arrow batches), so a
-model is loaded once per Python worker and no row passes through the driver.
+``fn(pdf) -> pdf`` receives a pandas frame of windows (document, window, word_ids, ...) and returns
+per-window probability arrays. It runs through ``mapInPandas`` (Arrow batches), so no row passes
+through the driver. A model that has to be loaded is given as ``loader``: a function without
+arguments that each Python worker calls once and keeps, and that returns ``fn``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 OUT_SCHEMA = "document long, window int, word_ids array<int>, probs array<array<double>>"
 
+_LOADED: dict = {}
 
-def score_windows(windows: DataFrame, fn, schema: str = OUT_SCHEMA) -> DataFrame:
+
+def _scorer(loader, key: str):
+    """The loaded model of this worker process; one for each key."""
+    if key not in _LOADED:
+        _LOADED[key] = loader()
+    return _LOADED[key]
+
+
+def score_windows(windows: DataFrame, fn=None, schema: str = OUT_SCHEMA, loader=None, loader_key: str = "model",
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """Scores of every window; ``keep`` names input columns that are passed on next to the scores."""
     from ..session import ship_package
     ship_package(windows.sparkSession)
+    if (fn is None) == (loader is None):
+        raise ValueError("give either fn or loader")
 
     def run(batches):
+        score = fn if fn is not None else _scorer(loader, loader_key)
         for pdf in batches:
-            yield fn(pdf)
-    return windows.mapInPandas(run, schema)
+            out = score(pdf)
+            for c in keep:
+                out[c] = pdf[c].to_numpy()
+            yield out
+
+    types = StructType([*StructType.fromDDL(schema).fields, *[windows.schema[c] for c in keep]])
+    return windows.mapInPandas(run, types)
 
 
 def synthetic_model(pdf):

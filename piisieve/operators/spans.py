@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,64 @@ def spans_to_bio(words: DataFrame, spans: DataFrame, doc: str = "document", buck
                              F.col("type")).alias("label"))
 
 
+def label_matches(essays: DataFrame, rules: dict | None = None, doc: str = "document") -> DataFrame:
+    """R4 in the row: (document, token, type, occurrence, label) of every word that a rule's match overlaps.
+
+    ``essays`` has full_text, tokens and separators. Texts without a match leave neither the JVM nor
+    the row; the others are cut into word offsets and searched per span (binary search, no join).
+    """
+    from .detect import PATTERN_RULES, with_spans
+    rules = rules or PATTERN_RULES
+    found = with_spans(essays, rules, "full_text", "_spans")
+    has = F.col("_spans").isNotNull()
+
+    @F.pandas_udf("array<struct<token:int,type:string,occurrence:int,label:string>>")
+    def label(spans: pd.Series, words: pd.Series, gaps: pd.Series) -> pd.Series:
+        def one(rows, w, g):
+            if rows is None or w is None:
+                return None
+            size, gap = np.asarray(w, dtype=np.int64), np.zeros(len(w), dtype=np.int64)
+            gap[:len(g)] = g
+            start = np.cumsum(size + gap) - size - gap
+            end, out = start + size, []
+            for r in rows:
+                # words that end after the span's start and start before its end
+                first, last = np.searchsorted(end, r["start"], "right"), np.searchsorted(start, r["end"], "left")
+                named = [t for t in range(first, last) if size[t] or start[t] > r["start"]]
+                out += [{"token": int(t), "type": r["type"], "occurrence": r["occurrence"],
+                         "label": ("B-" if t == named[0] else "I-") + r["type"]} for t in named]
+            return out
+        return pd.Series([one(*x) for x in zip(spans, words, gaps)], dtype=object)
+
+    lengths = F.when(has, F.transform("tokens", lambda t: F.length(t)))
+    gaps = F.when(has, F.transform("separators", lambda t: F.length(t)))
+    return found.select(doc, F.inline(label(F.col("_spans"), lengths, gaps)))
+
+
+def bio_spans_in_row(essays: DataFrame, doc: str = "document", labels: str = "labels") -> DataFrame:
+    """R5 while the labels are still an array: (document, type, start_token, end_token), no shuffle.
+
+    Entity words are kept with their positions; each is zipped with the one before, a span starts where
+    the rule of ``bio_to_spans`` says, and ends before the next start.
+    """
+    def shifted(arr, first):
+        return F.concat(F.array(first), F.slice(arr, F.lit(1), F.greatest(F.size(arr) - 1, F.lit(0))))
+
+    entity = F.filter(F.transform(labels, lambda x, i: F.struct(i.alias("i"), x.alias("label"))), lambda e: e["label"] != "O")
+    rows = essays.select(doc, entity.alias("_e"))
+    nothing = F.lit(None).cast("struct<i:int,label:string>")
+    rows = rows.select(doc, F.arrays_zip(F.col("_e").alias("e"), F.slice(shifted(F.col("_e"), nothing), F.lit(1), F.size("_e")).alias("p")).alias("_z"))
+    starts = F.transform("_z", lambda z: F.struct(z["e"]["i"].alias("i"), entity_type(z["e"]["label"]).alias("type"), (
+        z["e"]["label"].startswith("B-") | z["p"].isNull() | (z["p"]["i"] != z["e"]["i"] - 1)
+        | (entity_type(z["p"]["label"]) != entity_type(z["e"]["label"]))).alias("start")))
+    rows = rows.select(doc, starts.alias("_s"))
+    ends = F.concat(F.slice(F.transform("_s", lambda x: x["start"]), F.lit(2), F.greatest(F.size("_s") - 1, F.lit(0))), F.array(F.lit(True)))
+    rows = rows.select(doc, F.filter("_s", lambda x: x["start"]).alias("_from"), F.filter(
+        F.slice(F.arrays_zip(F.col("_s").alias("s"), ends.alias("end")), F.lit(1), F.size("_s")), lambda x: x["end"]).alias("_to"))
+    return rows.select(doc, F.inline(F.arrays_zip("_from", "_to"))).select(
+        doc, F.col("_from.type").alias("type"), F.col("_from.i").alias("start_token"), (F.col("_to.s.i") + 1).alias("end_token"))
+
+
 def bio_to_spans(words: DataFrame, doc: str = "document", label: str = "label", block: int = 4096) -> DataFrame:
     """Entity words -> spans. A new span starts on 'B-', on a type change, on a gap in
     token numbers, or at a lone 'I-'.

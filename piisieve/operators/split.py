@@ -8,18 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import unit_hash
-from ..settings import EXTERNAL_FOLD
-from .indexing import with_row_index
+from ..settings import EXTERNAL_FOLD, KEY_FOLDS, POSITION_FOLDS, RANDOM_SEED, RANDOM_VALID_FRACTION
+from .indexing import indexed_by_keys
 
 
-def split_by_position(df: DataFrame, order_cols, k: int = 5, fold: int = 0,
+def split_by_position(df: DataFrame, order_cols, k: int = POSITION_FOLDS, fold: int = 0,
                       position: str = "position", num_partitions: int | None = None) -> DataFrame:
     """M1: position in ``order_cols`` order (the file order); valid when position % k == fold."""
-    idx = with_row_index(df, order_cols, position, num_partitions=num_partitions)
+    idx = indexed_by_keys(df, order_cols, position, num_partitions=num_partitions)
     return idx.withColumn("split", F.when(F.col(position) % k == fold, "valid").otherwise("train"))
 
 
-def split_by_key(df: DataFrame, key: str = "document", k: int = 4, fold: int = 0,
+def split_by_key(df: DataFrame, key: str = "document", k: int = KEY_FOLDS, fold: int = 0,
                  all_data: bool = False) -> tuple[DataFrame, DataFrame]:
     """M2 (+M6): valid = key % k == fold; train = the rest, or everything with ``all_data``."""
     is_valid = F.col(key) % k == fold
@@ -28,7 +28,7 @@ def split_by_key(df: DataFrame, key: str = "document", k: int = 4, fold: int = 0
     return train, valid
 
 
-def split_random(df: DataFrame, frac: float = 0.25, seed: int = 42, key: str = "document") -> DataFrame:
+def split_random(df: DataFrame, frac: float = RANDOM_VALID_FRACTION, seed: int = RANDOM_SEED, key: str = "document") -> DataFrame:
     """M3: keyed hash split, stable across reruns, retries and partitionings."""
     return df.withColumn("split", F.when(unit_hash(F.col(key), F.lit(seed)) < F.lit(float(frac)), "valid")
                          .otherwise("train"))
@@ -83,7 +83,8 @@ def mix(df: DataFrame, sets, weights, set_col: str = "set_name", available=None)
     if len(sets) != len(weights):
         raise ValueError("datamix sets and weights must have the same length")
     if available is None:
-        available = [r[0] for r in df.select(set_col).distinct().collect()]  # one row per set
+        wanted = df.filter(F.col(set_col).isin(sets)).select(set_col).distinct()
+        available = [r[0] for r in wanted.collect()]  # the requested names at most
     unknown = [s for s in sets if s not in set(available)]
     if unknown:
         raise KeyError(f"unknown set(s) {unknown}")
@@ -95,10 +96,8 @@ def mix(df: DataFrame, sets, weights, set_col: str = "set_name", available=None)
 
 def take_prefix(df: DataFrame, frac: float, order_cols, num_partitions: int | None = None) -> DataFrame:
     """M9: the first int(frac * n) rows in ``order_cols`` order (a prefix, not a random sample)."""
-    idx = with_row_index(df, order_cols, "_pos", num_partitions=num_partitions)
-    n = idx.count()
-    limit = int(math.floor(frac * n))
-    return idx.filter(F.col("_pos") < limit).drop("_pos")
+    limit = int(math.floor(frac * df.select(*order_cols).count()))
+    return indexed_by_keys(df, order_cols, "_pos", F.col("_pos") < limit, num_partitions).drop("_pos")
 
 
 def shuffle(df: DataFrame, seed: int, key_cols, out: str = "shuffle_pos",
@@ -106,4 +105,4 @@ def shuffle(df: DataFrame, seed: int, key_cols, out: str = "shuffle_pos",
     """A seeded permutation: order by md5(key | seed), then a dense position."""
     h = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols], F.lit(str(seed))))
     keyed = df.withColumn("_h", h)
-    return with_row_index(keyed, ["_h", *key_cols], out, num_partitions=num_partitions).drop("_h")
+    return indexed_by_keys(keyed, ["_h", *key_cols], out, num_partitions=num_partitions).drop("_h")

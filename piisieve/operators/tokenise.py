@@ -79,19 +79,21 @@ def explode_words(df: DataFrame, cols: tuple[str, ...] = ("document",), with_lab
     return out.select(*sel)
 
 
-def _cumsum_one(a):
-    if a is None:
-        return None
-    a = np.asarray(a, dtype=np.int64)
-    out = np.empty(len(a), dtype=np.int64)
-    if len(a):
-        out[0] = 0
-        np.cumsum(a[:-1], out=out[1:])
-    return out
-
-
 def _cumsum_series(s: pd.Series) -> pd.Series:
-    return s.map(_cumsum_one)
+    """Exclusive prefix sums of each array: one cumulative sum over the whole batch, cut at the rows."""
+    present = s.notna()
+    arrays = [np.asarray(a, dtype=np.int64) for a in s[present]]
+    sizes = np.array([len(a) for a in arrays], dtype=np.int64)
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int64)
+    before = np.cumsum(flat) - flat
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    first = np.zeros(len(sizes), dtype=np.int64)
+    first[sizes > 0] = before[starts[sizes > 0]]
+    before -= np.repeat(first, sizes)
+    out = pd.Series([None] * len(s), index=s.index, dtype=object)
+    out[present] = pd.Series([before[a:b] for a, b in zip(starts, ends)], index=s.index[present], dtype=object)
+    return out
 
 
 _CUMSUM_UDF = []

@@ -17,6 +17,7 @@ from .registry import read, register
 from .synthetic import essays_from_documents, labelled_words, occurrences_from_words, synthetic_occurrences
 
 CUT = CUT_TOKEN_MODEL               # confident-outside cut
+DIGITS = 9                          # the queries round means, as their SQL twins do
 THRESHOLD = THRESHOLD_SPAN_MODELS   # outside threshold used by the flagship report
 
 
@@ -34,7 +35,7 @@ def occurrences(spark, d):
 
 
 def pred(spark, d):
-    return E.prediction_table(occurrences(spark, d), "bio13", CUT)
+    return E.prediction_table(occurrences(spark, d), "bio13", CUT, DIGITS)
 
 
 def gold(spark, d):
@@ -60,8 +61,8 @@ def q_tokenise(spark, d):
 
 
 @register("explode_occurrences", S.chain(*OCC) + """
-SELECT document, token, CAST(count(*) AS BIGINT) AS n_occ, round(sum(p12), 9) AS sum_outside,
-       round(sum(p0), 9) AS sum_p0 FROM occ GROUP BY document, token""")
+SELECT document, token, CAST(count(*) AS BIGINT) AS n_occ, """ + ", ".join(f"round(sum(p{k}), 9) AS sum_p{k}" for k in range(13)) + """
+FROM occ GROUP BY document, token""")
 def q_explode_occurrences(spark, d):
     """A2 (+R9): per-window probability arrays from the model hook, zip-exploded per occurrence
     (summarised per word)."""
@@ -69,8 +70,7 @@ def q_explode_occurrences(spark, d):
     occ = E.explode_occurrences(scored_windows(essays(spark, d)))
     return occ.groupBy("document", "token").agg(
         F.count(F.lit(1)).alias("n_occ"),
-        round_half_away(F.sum(F.col("probs")[12]), 9).alias("sum_outside"),
-        round_half_away(F.sum(F.col("probs")[0]), 9).alias("sum_p0"))
+        *[round_half_away(F.sum(F.col("probs")[k]), 9).alias(f"sum_p{k}") for k in range(13)])
 
 
 @register("drop_confident_outside", S.chain(*OCC) + f"""
@@ -194,7 +194,7 @@ def q_score_merge(spark, d):
     for half in ([f"src{i}" for i in range(0, 10)], None):
         cond = F.col("source").isin(half) if half else ~F.col("source").isin([f"src{i}" for i in range(0, 10)])
         part = es.filter(cond)
-        p = E.prediction_table(synthetic_occurrences(part), "bio13", CUT)
+        p = E.prediction_table(synthetic_occurrences(part), "bio13", CUT, DIGITS)
         parts.append(E.type_counts(E.keep_entities(E.apply_threshold(p, THRESHOLD)), E.gold_table(part),
                                    ).select("type", "tp", "fp", "fn"))
     return E.merge_counts(*parts)
@@ -255,9 +255,31 @@ def q_submission(spark, d):
     return E.submission(pred(spark, d), THRESHOLD)
 
 
-@register("evaluate", S.chain(*_predicted_sql(), S.type_counts()) + f"""
-SELECT type, tp, fp, fn, {S.prf()} FROM counts WHERE type <> 'O'""")
+_CURVE_PARTS = _curve_sql()[len("WITH "):].rstrip()
+_BUNDLE_METRICS = ["tp", "fp", "fn", "p", "r", "f5"]
+
+
+def _long(section: str, name: str, source: str) -> str:
+    return "\nUNION ALL ".join(
+        f"SELECT '{section}' AS section, CAST({name} AS VARCHAR) AS name, '{m}' AS metric, CAST({m} AS DOUBLE) AS value FROM {source}"
+        for m in _BUNDLE_METRICS)
+
+
+_OVERALL = f"""(SELECT tp, fp, fn, {S.prf()} FROM (SELECT coalesce(sum(tp), 0) AS tp, coalesce(sum(fp), 0) AS fp, coalesce(sum(fn), 0) AS fn FROM counts))"""
+
+
+@register("evaluate", "WITH " + _CURVE_PARTS + f""",
+{S.labelled(THRESHOLD)}, predicted AS (SELECT document, token, label FROM labelled WHERE label <> 'O'),
+{S.type_counts()},
+cs AS (SELECT grid_idx, threshold, tp, fp, fn, {S.prf()} FROM c),
+top AS (SELECT threshold, f5 FROM cs ORDER BY f5 DESC, threshold LIMIT 1)
+{_long('overall', "'all'", _OVERALL)}
+UNION ALL {_long('type', 'type', f"(SELECT type, tp, fp, fn, {S.prf()} FROM counts WHERE type <> 'O')")}
+UNION ALL {_long('curve', 'grid_idx', 'cs')}
+UNION ALL SELECT 'curve', CAST(grid_idx AS VARCHAR), 'threshold', threshold FROM cs
+UNION ALL SELECT 'best', 'all', 'threshold', threshold FROM top
+UNION ALL SELECT 'best', 'all', 'f5', f5 FROM top""")
 def q_evaluate(spark, d):
-    """The evaluation bundle; per-type precision / recall / F5 at the configured threshold."""
-    out = C.evaluate(occurrences(spark, d), gold(spark, d), "bio13", CUT, THRESHOLD, persist=False)
-    return out["per_type"]
+    """The evaluation bundle (overall, per type, curve, best threshold) from one prediction table."""
+    out = C.evaluate(occurrences(spark, d), gold(spark, d), "bio13", CUT, THRESHOLD, keep="store", digits=DIGITS)
+    return C.bundle_rows(out)

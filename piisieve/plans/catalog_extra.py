@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import round_half_away
 
-from ..functions.labels import id_label, label_id
+from ..functions.labels import TAXONOMIES, convert_labels, id_label
 from ..operators import metrics_extra as X
 from ..operators import runlog as L
 from ..operators import windows as W
-from ..operators.detect import (PATTERN_RULES, all_match_offsets, detect_gazetteer, detect_patterns,
-                                email_domain_in_pool)
+from ..operators.detect import (PATTERN_RULES, all_match_offsets, detect_entries, detect_gazetteer, detect_patterns,
+                                email_domain_in_pool, normalise)
 from ..operators.profile import pii_profile
-from ..operators.redact import pseudonymise, redact, redact_spans
-from ..operators.spans import bio_to_spans, spans_to_bio
+from ..operators.redact import pseudonymise, pseudonymise_text, redact, redact_spans
+from ..operators.spans import bio_spans_in_row, bio_to_spans, label_matches, spans_to_bio
 from ..operators.tokenise import explode_words, rebuild_text, word_offsets
 from ..sources.pools import pool_from_table
 from ..settings import PATIENCE as PATIENCE_SETTING
@@ -30,14 +30,14 @@ SALT = "s1"
 
 # ----------------------------------------------------------------------------- A1, A18-A20
 @register("softmax", """
-WITH x AS (SELECT vec_id, unnest(embedding[1:13])::DOUBLE AS x, generate_subscripts(embedding[1:13], 1) AS k FROM embeddings),
+WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS k FROM embeddings),
 m AS (SELECT *, max(x) OVER (PARTITION BY vec_id) AS mx FROM x),
 e AS (SELECT vec_id, k, exp(x - mx) AS ex FROM m)
 SELECT vec_id, CAST(k - 1 AS BIGINT) AS k, round(ex / sum(ex) OVER (PARTITION BY vec_id), 9) AS p FROM e""")
 def q_softmax(spark, d):
-    """A1: softmax over 13 logits (the first 13 embedding values) per row."""
+    """A1: softmax over the whole embedding vector of each row."""
     e = read(spark, d, "embeddings", "vec_id", "embedding").select(
-        "vec_id", F.transform(F.slice("embedding", 1, 13), lambda x: x.cast("double")).alias("logits"))
+        "vec_id", F.col("embedding").cast("array<double>").alias("logits"))
     p = X.softmax_probs(e)
     return p.select("vec_id", F.posexplode("probs").alias("k", "p")).withColumn("p", round_half_away("p", 9))
 
@@ -61,32 +61,28 @@ FROM (SELECT o.*, x.g FROM occ o JOIN (SELECT document, token, {S.label_id_case(
 def q_token_log_loss(spark, d):
     """Mean -log p(gold label) over scored window pieces (ignore id -100 skipped)."""
     from .synthetic import scored_windows
-    from ..operators.windows import align_labels, window, words_as_pieces
-    e = essays(spark, d)
-    sw = scored_windows(e)
-    lab = window(words_as_pieces(e, taxonomy="bio13"), 1024, 256, 0, sliced={"label_ids": -100}).select(
-        "document", "window", "label_ids")
-    out = X.token_log_loss(sw.join(lab, ["document", "window"]))
+    out = X.token_log_loss(scored_windows(essays(spark, d), keep_labels=True))
     return out.select(round_half_away("log_loss", 6).alias("log_loss"), "n_pieces")
 
 
-@register("span_mean", S.chain(*WIN_SQL) + """
+VECTOR_DIMS = 64
+
+
+@register("span_mean", S.chain(*WIN_SQL) + f"""
 SELECT wp.document, wp."window", wp.token AS word, CAST(count(*) AS BIGINT) AS n_pieces,
-       round(avg(e.embedding[1]::DOUBLE), 6) AS m0, round(avg(e.embedding[2]::DOUBLE), 6) AS m1
+       {', '.join(f'round(sum(coalesce(e.embedding[{i + 1}]::DOUBLE, 0)) / count(*), 6) AS m{i}' for i in range(VECTOR_DIMS))}
 FROM wp JOIN pieces p ON p.document = wp.document AND p.ppos = wp.ppos
-JOIN embeddings e ON e.vec_id = length(p.piece)
+LEFT JOIN embeddings e ON e.vec_id = length(p.piece)
 WHERE wp.ppos IS NOT NULL GROUP BY wp.document, wp."window", wp.token""")
 def q_span_mean(spark, d):
-    """Mean-pool piece vectors over each word span [head, tail) of every window."""
-    w = W.word_spans(windows(spark, d))
-    pieces = w.select("document", "window", F.posexplode("pieces").alias("pos", "piece")).select(
-        "document", "window", "pos", F.length("piece").cast("long").alias("vec_key"))
-    spans = w.select("document", "window", F.explode("spans").alias("s")).select(
-        "document", "window", "s.word", "s.head", "s.tail")
+    """Mean-pool the whole piece vectors over each word span [head, tail) of every window."""
+    w = W.word_spans(windows(spark, d)).select(
+        "document", "window", "spans", F.transform("pieces", lambda p: F.length(p).cast("long")).alias("piece_keys"))
     vecs = read(spark, d, "embeddings", "vec_id", "embedding").select(
         F.col("vec_id").alias("vec_key"), F.col("embedding").alias("vector"))
-    m = X.span_mean(pieces, spans, vecs, dims=2)
-    return m.select("document", "window", "word", "n_pieces", round_half_away("m0", 6).alias("m0"), round_half_away("m1", 6).alias("m1"))
+    m = X.span_mean(w, vecs, VECTOR_DIMS)
+    return m.select("document", "window", "word", "n_pieces",
+                    *[round_half_away(f"m{i}", 6).alias(f"m{i}") for i in range(VECTOR_DIMS)])
 
 
 # ----------------------------------------------------------------------------- L1-L4
@@ -204,6 +200,27 @@ def q_detect_gazetteer(spark, d):
     return detect_gazetteer(w, pool).select("document", "token", "entity_type")
 
 
+ENTRY_WORDS = 3
+ENTRY_NORM = "lower(regexp_replace({0}, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g'))"
+
+
+@register("detect_entries", S.chain(S.WORDS) + f"""
+, nw AS (SELECT document, token, w, row_number() OVER (PARTITION BY document ORDER BY token) AS p
+  FROM (SELECT document, token, {ENTRY_NORM.format('word')} AS w FROM words) WHERE w <> ''),
+tri AS (SELECT document, token, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM nw
+  WINDOW o AS (PARTITION BY document ORDER BY p)),
+own AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[ \n]+'), lambda x: {ENTRY_NORM.format('x')}), lambda x: x <> '') AS a FROM benchmark),
+pool AS (SELECT DISTINCT 'PASSAGE' AS entity_type, n, array_to_string(a[1:n], ' ') AS k FROM own, (VALUES (1), (2), (3)) t(n) WHERE len(a) >= n)
+SELECT document, token, n AS n_words, entity_type FROM tri JOIN pool ON k = CASE n WHEN 1 THEN w1 WHEN 2 THEN w1 || ' ' || w2 ELSE w1 || ' ' || w2 || ' ' || w3 END""")
+def q_detect_entries(spark, d):
+    """Dictionary entries of one to three words (the openings of the benchmark passages)."""
+    words = F.filter(F.transform(F.split("text", "[ \n]+", -1), normalise), lambda w: w != "")
+    own = read(spark, d, "benchmark", "text").select(words.alias("a"))
+    pool = own.select(F.lit("PASSAGE").alias("entity_type"), F.explode(F.array(
+        *[F.when(F.size("a") >= n, F.array_join(F.slice("a", 1, n), " ")) for n in range(1, ENTRY_WORDS + 1)])).alias("value")).filter("value IS NOT NULL")
+    return detect_entries(essays(spark, d), pool, ENTRY_WORDS)
+
+
 PAGE_DOMAINS = f"""doms AS (SELECT DISTINCT lower(regexp_extract(e, '@([A-Za-z0-9.-]+)', 1)) AS dom FROM
   (SELECT unnest(regexp_extract_all(html, '{PATTERN_RULES["EMAIL"]}', 0)) AS e FROM pages))"""
 
@@ -258,82 +275,126 @@ def q_rebuild_text(spark, d):
                     F.length("full_text").alias("n_chars"))
 
 
-SPAN_TYPES = ["EMAIL", "PHONE_NUM", "ID_NUM"]
+@register("spans_to_bio", S.chain(S.WORDS, WOFF_SQL, OFFSETS_SQL) + """
+, ov AS (SELECT w.document, w.token, o.type, o.occurrence FROM woff w JOIN offsets o
+  ON o.doc_id = w.document AND w.start < o.start + length(o.match) AND o.start < w.start + length(w.word))
+SELECT document, token, type, occurrence,
+  CASE WHEN token = min(token) OVER (PARTITION BY document, type, occurrence) THEN 'B-' ELSE 'I-' END || type AS label
+FROM ov""")
+def q_spans_to_bio(spark, d):
+    """The spans of all rules -> B-/I- word labels, inside the document row."""
+    return label_matches(essays(spark, d)).select("document", "token", "type", "occurrence", "label")
 
 
-@register("spans_to_bio", S.chain(S.WORDS, WOFF_SQL, OFFSETS_SQL) + f"""
+@register("spans_to_bio_join", S.chain(S.WORDS, WOFF_SQL, OFFSETS_SQL) + """
 , ov AS (SELECT w.document, w.token, o.type, o.occurrence FROM woff w JOIN offsets o
-  ON o.doc_id = w.document AND w.start < o.start + length(o.match) AND o.start < w.start + length(w.word)
-  WHERE o.type IN ({', '.join(f"'{t}'" for t in SPAN_TYPES)}))
+  ON o.doc_id = w.document AND w.start < o.start + length(o.match) AND o.start < w.start + length(w.word))
 SELECT document, token, type, occurrence,
   CASE WHEN token = min(token) OVER (PARTITION BY document, type, occurrence) THEN 'B-' ELSE 'I-' END || type AS label
 FROM ov""")
-def q_spans_to_bio(spark, d):
-    """Character spans of matches -> B-/I- word labels (bucketed interval join)."""
-    e = word_offsets(essays(spark, d))
-    words = explode_words(e, with_offsets=True)
-    rules = {t: PATTERN_RULES[t] for t in SPAN_TYPES}
-    m = all_match_offsets(docs_text(spark, d), rules).select(
+def q_spans_to_bio_join(spark, d):
+    """R4 for spans that come as a table: only documents with spans are cut into words."""
+    m = all_match_offsets(docs_text(spark, d)).select(
         F.col("doc_id").alias("document"), "type", "occurrence", "start", "end",
         F.concat_ws("|", "type", "occurrence").alias("span_id"))
-    b = spans_to_bio(words, m)
+    with_any = essays(spark, d).join(m.select("document").distinct(), "document", "left_semi")
+    b = spans_to_bio(explode_words(word_offsets(with_any), with_offsets=True), m)
     occurrence = F.split("span_id", "[|]").getItem(1).cast("long")
     return b.select("document", "token", "type", occurrence.alias("occurrence"), "label")
 
 
-@register("bio_to_spans", S.chain(S.WORDS, S.LWORDS) + """
+BIO_SPANS_SQL = S.chain(S.WORDS, S.LWORDS) + """
 , e AS (SELECT *, CASE WHEN label = 'O' THEN 'O' ELSE substr(label, 3) END AS type FROM lwords WHERE label <> 'O'),
 f AS (SELECT *, CASE WHEN label LIKE 'B-%' OR lag(token) OVER w IS NULL OR lag(token) OVER w <> token - 1
         OR lag(type) OVER w <> type THEN 1 ELSE 0 END AS st FROM e WINDOW w AS (PARTITION BY document ORDER BY token)),
 g AS (SELECT *, sum(st) OVER (PARTITION BY document ORDER BY token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS sp FROM f)
-SELECT document, any_value(type) AS type, min(token) AS start_token, max(token) + 1 AS end_token FROM g GROUP BY document, sp""")
+SELECT document, any_value(type) AS type, min(token) AS start_token, max(token) + 1 AS end_token FROM g GROUP BY document, sp"""
+
+
+@register("bio_to_spans", BIO_SPANS_SQL)
 def q_bio_to_spans(spark, d):
-    """B-/I- words -> entity spans (gaps-and-islands over the sparse entity words)."""
+    """B-/I- labels -> entity spans, inside the document row."""
+    return bio_spans_in_row(essays(spark, d))
+
+
+@register("bio_to_spans_words", BIO_SPANS_SQL)
+def q_bio_to_spans_words(spark, d):
+    """R5 for a table of labelled words (gaps-and-islands over the sparse entity words)."""
     w = explode_words(essays(spark, d), with_labels=True)
     return bio_to_spans(w).select("document", "type", "start_token", "end_token")
 
 
-def _replace_chain(types, text="text"):
-    e = text
-    for t in types:
-        e = f"regexp_replace({e}, '{PATTERN_RULES[t]}', '[{t}]', 'g')"
-    return e
+RULE_ORDER = "CASE type " + " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(PATTERN_RULES)) + " END"
 
 
-@register("redact", f"""
-SELECT doc_id, md5({_replace_chain(PATTERN_RULES)}) AS redacted_md5,
-       CAST(length({_replace_chain(PATTERN_RULES)}) AS BIGINT) AS n_chars FROM documents""")
+def _redacted_sql() -> str:
+    """Offsets of all rules -> islands of overlapping spans -> text rebuilt around them."""
+    return S.chain(OFFSETS_SQL) + f""",
+o AS (SELECT doc_id, start, start + length(match) AS e, type, {RULE_ORDER} AS r FROM offsets),
+i AS (SELECT *, CASE WHEN start < max(e) OVER (PARTITION BY doc_id ORDER BY start, e DESC, r
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS first FROM o),
+g AS (SELECT *, sum(first) OVER (PARTITION BY doc_id ORDER BY start, e DESC, r ROWS UNBOUNDED PRECEDING) AS island FROM i),
+m AS (SELECT doc_id, island, min(start) AS s, max(e) AS e, arg_min(type, struct_pack(a := start, b := -e, c := r)) AS type
+      FROM g GROUP BY doc_id, island),
+n AS (SELECT m.*, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM m),
+x AS (SELECT n.doc_id, string_agg(substr(d.text, (before + 1)::INT, (s - before)::INT) || '[' || type || ']', '' ORDER BY s)
+        || any_value(substr(d.text, (last + 1)::INT)) AS t
+      FROM n JOIN documents d USING (doc_id) JOIN (SELECT doc_id, max(e) AS last FROM m GROUP BY doc_id) USING (doc_id)
+      GROUP BY n.doc_id),
+red AS (SELECT d.doc_id, coalesce(x.t, d.text) AS t FROM documents d LEFT JOIN x USING (doc_id))
+SELECT doc_id, md5(t) AS redacted_md5, CAST(length(t) AS BIGINT) AS n_chars FROM red"""
+
+
+@register("redact", _redacted_sql())
 def q_redact(spark, d):
-    """Pattern redaction of every rule over whole texts."""
+    """Redaction of the merged matches of all rules, in the row."""
     r = redact(docs_text(spark, d))
     return r.select("doc_id", F.md5("redacted").alias("redacted_md5"), F.length("redacted").alias("n_chars"))
 
 
-@register("redact_spans", f"""
-SELECT doc_id, md5({_replace_chain(["EMAIL", "PHONE_NUM"])}) AS redacted_md5 FROM documents""")
+@register("redact_spans", _redacted_sql())
 def q_redact_spans(spark, d):
-    """Span redaction by character offsets (e-mail and phone spans), rebuilt per document."""
+    """Redaction by a table of character spans (all rules), overlapping spans merged."""
     t = docs_text(spark, d)
-    spans = all_match_offsets(t, {k: PATTERN_RULES[k] for k in ("EMAIL", "PHONE_NUM")})
-    r = redact_spans(t, spans.select("doc_id", "type", "start", "end"))
-    return r.select("doc_id", F.md5("redacted").alias("redacted_md5"))
+    r = redact_spans(t, all_match_offsets(t).select("doc_id", "type", "start", "end"))
+    return r.select("doc_id", F.md5("redacted").alias("redacted_md5"), F.length("redacted").alias("n_chars"))
 
 
 SURR_SQL = """spool AS (SELECT CAST(row_number() OVER (ORDER BY v) - 1 AS BIGINT) AS idx, v FROM (
   SELECT DISTINCT lower(replace(c_name, '#', '.')) || '@example.org' AS v FROM customer))"""
 
 
+def _surrogates(spark, d):
+    cust = read(spark, d, "customer", "c_name").select(
+        F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.org")).alias("v"))
+    return pool_from_table(cust, "EMAIL", "v")
+
+
 @register("pseudonymise", S.chain(MATCHES_SQL, SURR_SQL) + f"""
 SELECT m.doc_id, m.occurrence, m.match, s.v AS surrogate FROM matches m
 JOIN spool s ON s.idx = ('0x' || substr(md5(m.match || '|{SALT}'), 1, 8))::BIGINT % (SELECT count(*) FROM spool)
 WHERE m.type = 'EMAIL'""")
 def q_pseudonymise(spark, d):
     """Every e-mail gets a surrogate address, the same one for the same value."""
-    cust = read(spark, d, "customer", "c_name").select(
-        F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.org")).alias("v"))
-    pool = pool_from_table(cust, "EMAIL", "v")
     m = detect_patterns(docs_text(spark, d), {"EMAIL": PATTERN_RULES["EMAIL"]})
-    return pseudonymise(m, pool, SALT).select("doc_id", "occurrence", "match", "surrogate")
+    return pseudonymise(m, _surrogates(spark, d), SALT).select("doc_id", "occurrence", "match", "surrogate")
+
+
+@register("pseudonymise_text", S.chain(OFFSETS_SQL, SURR_SQL) + f"""
+, m AS (SELECT o.doc_id, o.start AS s, o.start + length(o.match) AS e, p.v FROM offsets o
+  JOIN spool p ON p.idx = ('0x' || substr(md5(o.match || '|{SALT}'), 1, 8))::BIGINT % (SELECT count(*) FROM spool)
+  WHERE o.type = 'EMAIL'),
+n AS (SELECT m.*, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM m),
+x AS (SELECT n.doc_id, string_agg(substr(d.text, (before + 1)::INT, (s - before)::INT) || v, '' ORDER BY s)
+        || any_value(substr(d.text, (last + 1)::INT)) AS t
+      FROM n JOIN documents d USING (doc_id) JOIN (SELECT doc_id, max(e) AS last FROM m GROUP BY doc_id) USING (doc_id)
+      GROUP BY n.doc_id)
+SELECT d.doc_id, md5(coalesce(x.t, d.text)) AS text_md5, CAST(length(coalesce(x.t, d.text)) AS BIGINT) AS n_chars
+FROM documents d LEFT JOIN x USING (doc_id)""")
+def q_pseudonymise_text(spark, d):
+    """Every e-mail in the text replaced by its surrogate address."""
+    r = pseudonymise_text(docs_text(spark, d), _surrogates(spark, d), SALT, {"EMAIL": PATTERN_RULES["EMAIL"]})
+    return r.select("doc_id", F.md5("pseudonymised").alias("text_md5"), F.length("pseudonymised").alias("n_chars"))
 
 
 @register("pii_profile", S.chain(MATCHES_SQL) + """
@@ -341,20 +402,19 @@ SELECT m.type, d.source, CAST(count(*) AS BIGINT) AS n_entities, CAST(count(DIST
 FROM matches m JOIN documents d USING (doc_id) GROUP BY ROLLUP (m.type, d.source)""")
 def q_pii_profile(spark, d):
     """Entities and affected documents by type and source, with rollup totals."""
-    m = detect_patterns(docs_text(spark, d))
-    return pii_profile(m, read(spark, d, "documents", "doc_id", "source"))
+    m = detect_patterns(read(spark, d, "documents", "doc_id", "text", "source"), keys=("doc_id", "source"))
+    return pii_profile(m)
 
 
 @register("convert_labels", S.chain(S.WORDS, S.LWORDS) + f"""
-SELECT document, token, label, {S.label_id_case('label', __import__('piisieve.functions.labels', fromlist=['x']).TAXONOMIES['full15'])} AS id_full15,
-  {S.label_id_case("CASE WHEN label = 'O' THEN 'O' ELSE substr(label, 3) END", __import__('piisieve.functions.labels', fromlist=['x']).TAXONOMIES['reduced'])} AS id_reduced
+SELECT document, token, label, {S.label_id_case('label', TAXONOMIES['full15'])} AS id_full15,
+  {S.label_id_case("CASE WHEN label = 'O' THEN 'O' ELSE substr(label, 3) END", TAXONOMIES['reduced'])} AS id_reduced
 FROM lwords""")
 def q_convert_labels(spark, d):
     """13-label words into the 15-label taxonomy and the reduced (prefix-free) one."""
     w = explode_words(essays(spark, d), with_labels=True)
-    return w.select("document", "token", "label", label_id(F.col("label"), "full15").alias("id_full15"),
-                    label_id(F.when(F.col("label") == "O", "O").otherwise(F.substring("label", 3, 100)), "reduced")
-                    .alias("id_reduced"))
+    w = convert_labels(convert_labels(w, "label", "full15", "id_full15"), "label", "reduced", "id_reduced", reduce_bio=True)
+    return w.select("document", "token", "label", "id_full15", "id_reduced")
 
 
 @register("id_to_label", S.chain(*WIN_SQL) + """
@@ -380,9 +440,7 @@ def q_score_windows(spark, d):
                     .alias("sum_outside"))
 
 
-@register("stream_redact", f"""
-SELECT doc_id, md5({_replace_chain(PATTERN_RULES)}) AS redacted_md5,
-       CAST(length({_replace_chain(PATTERN_RULES)}) AS BIGINT) AS n_chars FROM documents""")
+@register("stream_redact", _redacted_sql())
 def q_stream_redact(spark, d):
     """Structured Streaming: documents arriving as files -> redaction -> Parquet sink with a
     checkpoint (availableNow trigger); the sink equals the batch redaction."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.arrays import round_half_away
 from ..functions.hashing import unit_hash
 from ..operators import evaluate as E
 from ..operators import split as M
@@ -13,7 +14,7 @@ from ..sources import sinks as SK
 from ..sources.pools import pool_from_table
 from ..settings import EXTERNAL_SAMPLING_RATE, RANDOM_SEED
 from . import sql as S
-from .catalog_core import CUT, THRESHOLD, essays, pred
+from .catalog_core import CUT, DIGITS, PRED, THRESHOLD, _predicted_sql, essays, pred
 from .registry import read, register
 
 SEED = RANDOM_SEED
@@ -191,7 +192,22 @@ def q_read_mixture(spark, d):
     return m.select("document", "set_name", F.size("tokens").alias("n_tokens"))
 
 
-SUB_SQL = S.chain(*__import__("piisieve.plans.catalog_core", fromlist=["x"])._predicted_sql()) + """
+@register("read_mixture_json", S.chain(S.WORDS, S.LWORDS) + """
+SELECT l.document, d.source AS set_name, CAST(count(*) AS BIGINT) AS n_tokens,
+       CAST(sum(CASE WHEN l.label <> 'O' THEN 1 ELSE 0 END) AS BIGINT) AS n_entities FROM lwords l
+JOIN documents d ON d.doc_id = l.document WHERE d.source IN ('src1', 'src2', 'src3') GROUP BY l.document, d.source""")
+def q_read_mixture_json(spark, d):
+    """Three sets written as one JSON object (set -> essays) and read back by name."""
+    path = scratch_path(spark, "mixture-json")
+    sets = ["src1", "src2", "src3"]
+    e = essays(spark, d).join(docs(spark, d, "doc_id", "source").filter(F.col("source").isin(sets)), "document")
+    SE.write_mixture_json(e.withColumnRenamed("source", "set_name"), path, sets)
+    m = SE.read_mixture(spark, path, sets, json_object=True)
+    return m.select("document", "set_name", F.size("tokens").alias("n_tokens"),
+                    F.size(F.filter("labels", lambda x: x != "O")).alias("n_entities"))
+
+
+SUB_SQL = S.chain(*_predicted_sql()) + """
 SELECT CAST(row_number() OVER (ORDER BY document, token) - 1 AS BIGINT) AS row_id, document, token, label FROM predicted"""
 
 
@@ -203,15 +219,15 @@ def q_write_submission(spark, d):
     return SK.read_submission(spark, path)
 
 
-@register("write_predictions", S.chain(*__import__("piisieve.plans.catalog_core", fromlist=["x"]).PRED) + """
-SELECT document, token, outside_prob, most_probable_label, p0, p12 FROM pred""")
+@register("write_predictions", S.chain(*PRED) + """
+SELECT document, token, outside_prob, most_probable_label, """ + ", ".join(f"p{k}" for k in range(13)) + """ FROM pred""")
 def q_write_predictions(spark, d):
     """pred_df (probability arrays included) written as Parquet and read back."""
     path = scratch_path(spark, "predictions")
     SK.write_predictions(pred(spark, d), path)
     p = spark.read.parquet(path)
     return p.select("document", "token", "outside_prob", "most_probable_label",
-                    F.col("probs")[0].alias("p0"), F.col("probs")[12].alias("p12"))
+                    *[F.col("probs")[k].alias(f"p{k}") for k in range(13)])
 
 
 @register("value_pool", """
@@ -233,7 +249,7 @@ def q_preview_entities(spark, d):
     return w.join(first, "document", "left_semi")
 
 
-@register("stage_counts", S.chain(*__import__("piisieve.plans.catalog_core", fromlist=["x"])._predicted_sql()) + f"""
+@register("stage_counts", S.chain(*_predicted_sql()) + f"""
 SELECT 'documents' AS stage, CAST(count(*) AS BIGINT) AS n FROM documents
 UNION ALL SELECT 'words', count(*) FROM lwords
 UNION ALL SELECT 'gold', count(*) FROM gold
@@ -242,17 +258,21 @@ UNION ALL SELECT 'kept_occurrences', count(*) FROM occ WHERE p12 < {CUT}
 UNION ALL SELECT 'pred', count(*) FROM pred
 UNION ALL SELECT 'entities', count(*) FROM predicted""")
 def q_stage_counts(spark, d):
-    """Row counts per stage as one union and one grouped count."""
-    from ..operators.tokenise import explode_words
-    from .catalog_core import gold, occurrences
-    e = essays(spark, d)
-    occ = occurrences(spark, d)
-    p = pred(spark, d)
-    parts = [("documents", docs(spark, d, "doc_id")), ("words", explode_words(e)), ("gold", gold(spark, d)),
-             ("occurrences", occ), ("kept_occurrences", E.drop_confident_outside(occ, CUT, n_classes=13)),
-             ("pred", p), ("entities", E.keep_entities(E.apply_threshold(p, THRESHOLD)))]
-    u = None
-    for name, df in parts:
-        t = df.select(F.lit(name).alias("stage"))
-        u = t if u is None else u.unionByName(t)
-    return u.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    """Row counts per stage: documents from a pruned scan, the rest from two levels of one aggregate
+    (occurrences by word, words in total), so the text is split once."""
+    from .catalog_core import words
+    from .synthetic import N_ENTITY, occurrences_from_words
+    occ = occurrences_from_words(words(spark, d), keep=("g",))
+    outside = F.col("probs")[N_ENTITY]
+    kept = outside < F.lit(CUT)
+    per_word = occ.groupBy("document", "token").agg(
+        F.first("g").alias("g"), F.count(F.lit(1)).alias("n"), F.count(F.when(kept, 1)).alias("k"),
+        F.sum(F.when(kept, outside)).alias("s"))
+    entity = round_half_away(F.col("s") / F.col("k"), DIGITS) <= F.lit(THRESHOLD)
+    stages = {"words": F.count(F.lit(1)), "gold": F.count(F.when(F.col("g") != N_ENTITY, 1)), "occurrences": F.sum("n"),
+              "kept_occurrences": F.sum("k"), "pred": F.count(F.when(F.col("k") > 0, 1)),
+              "entities": F.count(F.when((F.col("k") > 0) & entity, 1))}
+    one = per_word.agg(*[F.coalesce(c, F.lit(0)).cast("long").alias(n) for n, c in stages.items()])
+    rows = one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("stage"), F.col(n).alias("n")) for n in stages])))
+    total = docs(spark, d, "doc_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit("documents").alias("stage"), "n")
+    return rows.unionByName(total)

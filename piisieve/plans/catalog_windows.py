@@ -8,12 +8,13 @@ from ..functions.hashing import unit_hash
 from ..operators import batches as B
 from ..operators import windows as W
 from ..operators.tokenise import leading_space_tokens
-from ..settings import BATCH_SIZE, RANDOM_SEED
+from ..session import scratch_path
+from ..settings import BATCH_SIZE, RANDOM_SEED, STRIDE_SPAN_MODELS
 from . import sql as S
 from .catalog_core import essays
 from .registry import register
 
-MAX_LEN, STRIDE = 512, 128          # span-model settings: 510 content pieces, step 382
+MAX_LEN, STRIDE = 512, STRIDE_SPAN_MODELS          # span-model settings: 510 content pieces, step 382
 CAP, STEP = MAX_LEN - 2, MAX_LEN - 2 - STRIDE
 BATCH = BATCH_SIZE
 SEED = RANDOM_SEED
@@ -214,16 +215,50 @@ SELECT document, "window", padded_len, padded_len - input_length + 2 AS n_minus1
   FROM ordered)""")
 def q_pad_arrays(spark, d):
     """Padded word ids (-1), labels (-100) and pieces ([PAD]) counted per window."""
-    w = windows(spark, d)
-    o = B.order_by_length(w.select("document", "window", "input_length"))
-    b = B.length_buckets(o, BATCH, 16).select("document", "window", "padded_len")
-    p = B.pad_arrays(w.join(b, ["document", "window"]))
+    p = B.pad_arrays(_batched(spark, windows(spark, d)))
     return p.select("document", "window", "padded_len",
                     F.size(F.filter("word_ids", lambda x: x == -1)).alias("n_minus1"),
                     F.size(F.filter("label_ids", lambda x: x == -100)).alias("n_ignore"),
                     F.size(F.filter("pieces", lambda x: x == W.PAD)).alias("n_pad"))
 
 
+def _batched(spark, w):
+    """Windows with their batch's lengths: the windows are made once and written, their narrow keys ordered."""
+    path = scratch_path(spark, "windows")
+    w.write.parquet(path)
+    w = spark.read.schema(w.schema).parquet(path)
+    narrow = ["document", "window", "input_length"]
+    keys = w.select(*narrow, F.size("spans").alias("n_spans")) if "spans" in w.columns else w.select(*narrow)
+    b = B.length_buckets(B.order_by_length(keys), BATCH, 16).drop("input_length", "order_idx", "n_spans")
+    return w.join(b, ["document", "window"])
+
+
+@register("pad_spans", ORDER_SQL + f""",
+sp AS (SELECT document, "window", token, any_value(label) AS label FROM wp WHERE ppos IS NOT NULL GROUP BY document, "window", token),
+ns AS (SELECT document, "window", count(*) AS n, count(*) FILTER (WHERE label <> 'O') AS n_entity FROM sp GROUP BY document, "window"),
+o AS (SELECT document, "window", input_length, order_idx, coalesce(n, 0) AS n, coalesce(n_entity, 0) AS n_entity
+  FROM ordered LEFT JOIN ns USING (document, "window")),
+p AS (SELECT *, CAST(ceil(max(input_length) OVER (PARTITION BY floor(order_idx / {BATCH})) / 16.0) * 16 AS BIGINT) AS padded_len,
+        max(n) OVER (PARTITION BY floor(order_idx / {BATCH})) AS span_len FROM o)
+SELECT document, "window", padded_len, span_len, span_len - n AS n_filler_spans, span_len - n AS n_filler_labels,
+       n_entity AS n_entity_labels, (span_len - n) * (padded_len - 2) AS sum_filler_heads FROM p""")
+def q_pad_spans(spark, d):
+    """W11 on span level: spans, heads, tails and span labels padded to the batch's longest span list."""
+    w = W.word_spans(windows(spark, d)).withColumn("first_piece", F.transform("spans", lambda s: s["head"]))
+    # a span's label is the label of its first piece: looked up in the row, by zipping positions
+    by_piece = F.filter(F.arrays_zip(F.col("label_ids").alias("l"), F.col("word_ids").alias("w"), F.concat(
+        F.array(F.lit(-2)), F.slice("word_ids", F.lit(1), F.size("word_ids") - 1)).alias("before")),
+        lambda z: (z["w"] != -1) & (z["w"] != z["before"]))
+    w = w.withColumn("span_label_ids", F.transform(by_piece, lambda z: z["l"])).drop("first_piece")
+    p = B.pad_arrays(_batched(spark, w))
+    filler = F.filter("spans", lambda s: s["word"] == -1)
+    return p.select("document", "window", "padded_len", F.size("spans").alias("span_len"),
+                    F.size(filler).alias("n_filler_spans"),
+                    F.size(F.filter("span_label_ids", lambda x: x == -100)).alias("n_filler_labels"),
+                    F.size(F.filter("span_label_ids", lambda x: (x != -100) & (x != 12))).alias("n_entity_labels"),
+                    F.aggregate(filler, F.lit(0).cast("long"), lambda a, s: a + s["head"]).alias("sum_filler_heads"))
+
+
 @register("mask_augment", S.chain(*WIN_SQL) + f"""
 SELECT document, "window", pos FROM wp WHERE ppos IS NOT NULL AND
   (('0x' || substr(md5(CAST(document AS VARCHAR) || '|' || CAST("window" AS VARCHAR) || '|' || CAST(pos AS VARCHAR) || '|{SEED}'), 1, 8))::BIGINT / 4294967296.0) < {MASK_P}""")

@@ -21,6 +21,7 @@ TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
 
 
 def read(spark, sf_dir: str, table: str, *cols):
-    """Pruned scan of one driver table; text tables are spread over the cores when the scan is narrow."""
-    from ..sources.tables import read_table
-    return read_table(spark, f"{sf_dir.rstrip('/')}/{table}.parquet", *cols, spread=table in TEXT_TABLES)
+    """Pruned scan of one driver table; text tables are dealt out only if the session asks for it."""
+    from ..sources.tables import MIN_TASKS, read_table
+    tasks = spark.conf.get(MIN_TASKS, None) if table in TEXT_TABLES else None
+    return read_table(spark, f"{sf_dir.rstrip('/')}/{table}.parquet", *cols, min_tasks=int(tasks) if tasks else None)

@@ -83,13 +83,13 @@ def labelled_words(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def occurrences_from_words(words: DataFrame, max_length: int = 1024, stride: int = 256,
-                           labels="bio13") -> DataFrame:
+                           labels="bio13", keep: tuple[str, ...] = ()) -> DataFrame:
     """(document, token, n_words, label) -> (document, token, window, probs): every word exploded
     straight into the 1-2 word-level windows that hold it (same law as ``window``), so no window
     array is materialised."""
     cap, step = max_length, max_length - stride
     w = words.select("document", "n_words", "token", label_id(F.col("label"), labels).alias("g"))
-    return score_occurrences(window_word_membership(w, cap, step)).select("document", "token", "window", "probs")
+    return score_occurrences(window_word_membership(w, cap, step)).select("document", "token", "window", "probs", *keep)
 
 
 def synthetic_occurrences(essays: DataFrame, max_length: int = 1024, stride: int = 256,
@@ -103,11 +103,15 @@ def synthetic_occurrences(essays: DataFrame, max_length: int = 1024, stride: int
     return occurrences_from_words(words, max_length, stride, labels)
 
 
-def scored_windows(essays: DataFrame, max_length: int = 1024, stride: int = 256, labels="bio13") -> DataFrame:
+def scored_windows(essays: DataFrame, max_length: int = 1024, stride: int = 256, labels="bio13",
+                   keep_labels: bool = False) -> DataFrame:
     """Word-level windows (no specials) scored by the model hook (R9): per-window probability
-    arrays, as a model emits them (D7 before the explode)."""
+    arrays, as a model emits them (D7 before the explode). ``keep_labels`` lets the label ids pass
+    through the hook. The scorer is a fixture that is given the gold ids, so scores made with it say
+    nothing about quality."""
     from ..operators.score import score_windows, synthetic_model
     pieces = words_as_pieces(essays, taxonomy=labels)
     win = window(pieces, max_length, stride, n_special=0, keep=("document",),
                  sliced={"label_ids": IGNORE_ID})
-    return score_windows(win.select("document", "window", "word_ids", "label_ids"), synthetic_model)
+    return score_windows(win.select("document", "window", "word_ids", "label_ids"), synthetic_model,
+                         keep=("label_ids",) if keep_labels else ())

@@ -3,11 +3,7 @@
 # ---- fixed values: run settings of the original solution, kept so that results match it ----
 # confident-outside cut applied to occurrences before the mean (strict <)
 CUT_TOKEN_MODEL = 0.995
-CUT_LLM = 0.99
-CUT_SPAN_MODELS = 0.991
 # outside threshold applied to the mean (inclusive <=)
-THRESHOLD_TOKEN_MODEL = 0.995
-THRESHOLD_LLM = 0.925
 THRESHOLD_SPAN_MODELS = 0.9
 # windows: pieces per window (special pieces included) and pieces shared by neighbours
 MAX_LENGTH = 1024
@@ -16,8 +12,6 @@ STRIDE_SPAN_MODELS = 128
 # batching: windows per batch, padded length rounded up to a multiple of
 BATCH_SIZE = 4
 PAD_MULTIPLE = 16
-# mask augmentation probability (when enabled)
-MASK_AUG_PROB = 0.05
 # early stopping: evaluations without improvement
 PATIENCE = 10
 # splits: position mod 5, document mod 4, random 25 % with seed 42, external fold id 99
@@ -28,7 +22,4 @@ RANDOM_SEED = 42
 EXTERNAL_FOLD = 99
 # prefix sample of the external sets
 EXTERNAL_SAMPLING_RATE = 0.15
-# windows kept for training need more than 4 spans, for validation more than 0
-MIN_TRAIN_SPANS = 4
-MIN_VALID_SPANS = 0
 # ---- end of fixed values ----

@@ -37,20 +37,48 @@ def read_mixture(spark: SparkSession, path: str, sets=None, set_col: str = "set_
                  json_object: bool = False) -> DataFrame:
     """Named mixture as one table with a ``set_name`` column.
 
-    Parquet layout: partitioned by ``set_name``, so a set filter prunes directories. The JSON
-    object form (set -> [essay]) is read with a map schema and exploded.
+    Parquet layout: partitioned by ``set_name``, so a set filter prunes directories. The JSON object
+    form (top-level set name -> [essay]) has its set names as fields: requested names are declared
+    as the schema, so nothing else is parsed; without a request the names are read from the file's
+    own schema. A requested set that is not there raises. One such file cannot be split: convert it
+    once with ``write_mixture``.
     """
-    if json_object:
-        schema = T.StructType([T.StructField("sets", T.MapType(T.StringType(), T.ArrayType(ESSAY_SCHEMA)))])
-        raw = spark.read.schema(schema).option("multiLine", True).json(path)
-        df = (raw.select(F.explode("sets").alias(set_col, "essays"))
-                 .select(set_col, F.posexplode("essays").alias("position", "e"))
-                 .select(set_col, "position", "e.*"))
-    else:
+    if not json_object:
         df = spark.read.parquet(path)
-    if sets is not None:
-        df = df.filter(F.col(set_col).isin(list(sets)))
-    return df
+        if sets is not None:
+            found = {r[0] for r in df.filter(F.col(set_col).isin(list(sets))).select(set_col).distinct().collect()}
+            _require_sets(sets, found)
+            df = df.filter(F.col(set_col).isin(list(sets)))
+        return df
+    names = list(sets) if sets is not None else spark.read.option("multiLine", True).json(path).columns
+    schema = T.StructType([T.StructField(n, T.ArrayType(ESSAY_SCHEMA)) for n in names])
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    # an absent set reads as null in every file; an empty one is an empty array
+    present = raw.select(*[F.max(F.col(f"`{n}`").isNotNull()).alias(str(i)) for i, n in enumerate(names)]).first()
+    _require_sets(names, {n for i, n in enumerate(names) if present[i]})
+    both = F.array(*[F.struct(F.lit(n).alias(set_col), F.col(f"`{n}`").alias("essays")) for n in names])
+    return (raw.select(F.inline(both)).select(set_col, F.posexplode("essays").alias("position", "e"))
+               .select(set_col, "position", "e.*"))
+
+
+def _require_sets(wanted, found) -> None:
+    missing = [s for s in wanted if s not in found]
+    if missing:
+        raise KeyError(f"unknown set(s) {missing}")
+
+
+def write_mixture(df: DataFrame, path: str, set_col: str = "set_name") -> None:
+    """The Parquet layout of a mixture: one directory per set."""
+    df.write.mode("overwrite").partitionBy(set_col).parquet(path)
+
+
+def write_mixture_json(df: DataFrame, path: str, sets, set_col: str = "set_name") -> None:
+    """The JSON object form with the named sets as fields. The object is one value, so this is an export
+    for small mixtures; each set's essays are ordered by document."""
+    fields = [f.name for f in ESSAY_SCHEMA.fields]
+    essay = F.struct(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in fields])
+    one = df.agg(*[F.array_sort(F.collect_list(F.when(F.col(set_col) == n, essay))).alias(n) for n in sets])
+    one.coalesce(1).write.mode("overwrite").json(path)
 
 
 def read_folds(spark: SparkSession, path: str) -> DataFrame:

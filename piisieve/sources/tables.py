@@ -1,27 +1,17 @@
-"""Table readers with column pruning and a parallelism guard for text tables."""
+"""Table readers with column pruning."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Session setting: at least so many tasks for scans of text tables. Unset by default: tables are read as
+#: Spark splits them. Local runs over a single small file set it; a table of many files never needs it.
+MIN_TASKS = "spark.piisieve.scan.minTasks"
 
-def spread_if_narrow(df: DataFrame, min_tasks: int | None = None) -> DataFrame:
-    """Round-robin a scan only when it yields fewer tasks than the cluster has cores.
 
-    Text rows explode ~100-1000x downstream, so a single-split file would run the whole
-    per-document stage in one task. Large inputs (many splits) are returned untouched: no
-    shuffle is added at scale.
-    """
-    try:
-        want = min_tasks or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. Spark Connect): read as split
-        return df
-    return df.repartition(want) if have < want else df
-
-
-def read_table(spark: SparkSession, path: str, *cols: str, spread: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, path: str, *cols: str, min_tasks: int | None = None) -> DataFrame:
+    """The pruned columns of one table; ``min_tasks`` deals the rows out to so many tasks (a shuffle)."""
     df = spark.read.parquet(path)
     if cols:
         df = df.select(*cols)
-    return spread_if_narrow(df) if spread else df
+    return df.repartition(min_tasks) if min_tasks else df

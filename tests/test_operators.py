@@ -65,12 +65,103 @@ def test_pseudonyms_are_consistent(spark):
     assert out[1] == out[2] and out[1].endswith("@example.org")
 
 
-def test_redact_spans_drops_overlaps(spark):
+def test_redact_spans_merges_overlaps(spark):
     from piisieve.operators.redact import redact_spans
-    docs = spark.createDataFrame([(1, "abcdefghij")], "doc_id long, text string")
-    spans = spark.createDataFrame([(1, "X", 2, 5), (1, "Y", 3, 8), (1, "Z", 8, 10)],
-                                  "doc_id long, type string, start int, end int")
-    assert redact_spans(docs, spans).first().redacted == "ab[X]fgh[Z]"
+    docs = spark.createDataFrame([(1, "abcdefghij"), (2, "abcdefghij"), (3, "abcdefghij"), (4, None), (5, "abc")], "doc_id long, text string")
+    spans = spark.createDataFrame(
+        [(1, "X", 2, 5), (1, "Y", 3, 8), (1, "Z", 8, 10), (2, "A", 0, 4), (2, "B", 2, 8), (3, "IN", 3, 4), (3, "OUT", 1, 9), (4, "X", 0, 2),
+         (5, "E", 1, 1), (5, "F", 2, 99)],
+        "doc_id long, type string, start int, end int")
+    got = {r.doc_id: r.redacted for r in redact_spans(docs, spans).collect()}
+    assert got == {1: "ab[X][Z]", 2: "[A]ij", 3: "a[OUT]j", 4: None, 5: "ab[F]"}
+
+
+REDACTED = [("see https://x.com/u/ada@x.org/private ok https://y.org/1234567890123456/home",
+             "see [URL_PERSONAL] ok [URL_PERSONAL]"),
+            ("https://x.com ada@x.org/a", "[URL_PERSONAL] [EMAIL]/a"), ("https://a-b@x.org", "[URL_PERSONAL]"),
+            ("n 12345678901234567890123.", "n [ID_NUM]."), ("n 1234567890123456789012345678901 é", "n [ID_NUM] é"),
+            ("a.b@c.org,+1 (555) 555-5555", "[EMAIL],[PHONE_NUM]"), ("clean", "clean"), ("", ""), (None, None)]
+
+
+def test_redact_leaves_nothing_of_overlapping_matches(spark):
+    from piisieve.operators.detect import all_match_offsets
+    from piisieve.operators.redact import redact, redact_spans
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(REDACTED)], "doc_id long, text string")
+    want = {i: r for i, (_, r) in enumerate(REDACTED)}
+    assert {r.doc_id: r.redacted for r in redact(df).collect()} == want
+    assert {r.doc_id: r.redacted for r in redact_spans(df, all_match_offsets(df)).collect()} == want
+
+
+def test_pseudonymise_text(spark):
+    from piisieve.operators.redact import pseudonymise_text
+    from piisieve.operators.detect import PATTERN_RULES
+    from piisieve.sources.pools import value_pool
+    pool = value_pool(spark, {"EMAIL": ["one@example.org"]})
+    df = spark.createDataFrame([(1, "a@x.org and b@x.org."), (2, "none"), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: r.pseudonymised for r in pseudonymise_text(df, pool, "s", {"EMAIL": PATTERN_RULES["EMAIL"]}).collect()}
+    assert got == {1: "one@example.org and one@example.org.", 2: "none", 3: None}
+
+
+def test_dictionary_entries_of_several_words(spark):
+    from piisieve.operators.detect import detect_entries
+    from piisieve.sources.pools import value_pool
+    e = spark.createDataFrame([(1, "He lives at 1 Main Street, near Oak .".split(" ")), (2, ["Main"]), (3, [])], "document long, tokens array<string>")
+    found = detect_entries(e, value_pool(spark), 4).collect()
+    assert [(r.document, r.token, r.n_words, r.entity_type) for r in found] == [(1, 3, 3, "STREET_ADDRESS")]
+
+
+def test_log_loss_of_a_zero_probability(spark):
+    from piisieve.operators.metrics_extra import token_log_loss
+    df = spark.createDataFrame([([[0.0, 1.0], [0.5, 0.5]], [0, 0])], "probs array<array<double>>, label_ids array<int>")
+    assert token_log_loss(df).first().log_loss == math.inf
+    r = token_log_loss(df, floor=1e-15).first()
+    assert r.n_pieces == 2 and abs(r.log_loss - (-(math.log(1e-15) + math.log(0.5)) / 2)) < 1e-9
+
+
+def test_mixture_json_object(spark, tmp_path):
+    import json
+    from piisieve.sources.essays import read_mixture
+    essay = {"document": 1, "full_text": "a b", "tokens": ["a", "b"], "trailing_whitespace": [True, False], "labels": ["O", "B-EMAIL"]}
+    path = str(tmp_path / "mix.json")
+    with open(path, "w") as f:
+        json.dump({"competition": [essay, {**essay, "document": 2}], "x": [], "odd name": [{**essay, "document": 3}]}, f)
+    rows = read_mixture(spark, path, ["competition", "odd name"], json_object=True).collect()
+    assert sorted((r.set_name, r.position, r.document, r.labels[1]) for r in rows) == [
+        ("competition", 0, 1, "B-EMAIL"), ("competition", 1, 2, "B-EMAIL"), ("odd name", 0, 3, "B-EMAIL")]
+    assert read_mixture(spark, path, json_object=True).count() == 3
+    assert read_mixture(spark, path, ["x"], json_object=True).count() == 0
+    with pytest.raises(KeyError):
+        read_mixture(spark, path, ["competition", "nope"], json_object=True)
+
+
+def test_essays_from_one_json_array(spark, tmp_path):
+    import json
+    from piisieve.sources.essays import read_essays
+    path = str(tmp_path / "train.json")
+    with open(path, "w") as f:
+        json.dump([{"document": 7, "full_text": "x", "tokens": ["x"], "trailing_whitespace": [False]}], f, indent=1)
+    r = read_essays(spark, path).first()
+    assert (r.document, r.tokens, r.labels) == (7, ["x"], None)
+
+
+def test_model_loader_is_called_once_per_worker(spark):
+    from piisieve.operators.score import score_windows, synthetic_model
+    df = spark.createDataFrame([(i, 0, [0, 1], [12, 12]) for i in range(40)],
+                               "document long, window int, word_ids array<int>, label_ids array<int>").repartition(4)
+
+    def loader():
+        calls = []
+
+        def fn(pdf):
+            calls.append(1)
+            return synthetic_model(pdf)
+        return fn
+    a = score_windows(df, loader=loader, keep=("label_ids",)).collect()
+    b = score_windows(df, synthetic_model).collect()
+    assert sorted((r.document, r.probs) for r in a) == sorted((r.document, r.probs) for r in b)
+    assert all(r.label_ids == [12, 12] for r in a)
+    with pytest.raises(ValueError):
+        score_windows(df)
 
 
 def test_spans_to_bio_multiword(spark):

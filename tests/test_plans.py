@@ -1,5 +1,7 @@
 """Plan checks: pruning, no Python outside the model hook, one exchange for mean + compare."""
 
+import pytest
+
 from conftest import SF
 from piisieve.plans import catalog_core as cc
 
@@ -30,10 +32,64 @@ def test_gold_join_is_hash_join_without_sorting_predictions(spark):
     assert "ShuffledHashJoin" in p and "SortMergeJoin" not in p
 
 
-def test_dictionary_join_is_broadcast(spark):
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def query_plan(spark, name):
     import __spark_entry__ as e
-    p = plan(e.queries()["detect_gazetteer"](spark, SF))
-    assert "BroadcastHashJoin" in p
+    return plan(e.queries()[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["match_offsets", "redact", "spans_to_bio"])
+def test_rules_scan_the_text_once_without_a_join(spark, no_broadcast, name):
+    p = query_plan(spark, name)
+    assert p.count("FileScan parquet") == 1 and "Join" not in p and "hashpartitioning" not in p
+
+
+def test_span_mean_joins_only_the_vectors(spark, no_broadcast):
+    p = query_plan(spark, "span_mean")
+    assert p.count("FileScan parquet") == 2 and p.count("SortMergeJoin") + p.count("ShuffledHashJoin") == 1
+
+
+def test_spans_in_the_row_do_not_shuffle(spark, no_broadcast):
+    assert "hashpartitioning" not in query_plan(spark, "bio_to_spans")
+
+
+def test_early_stop_has_few_exchanges(spark, no_broadcast):
+    assert query_plan(spark, "early_stop").count("Exchange hashpartitioning") <= 5
+
+
+def test_wide_rows_are_not_range_sorted(spark):
+    from piisieve.operators.split import split_by_position
+    from pyspark.sql import functions as F
+    df = spark.range(100).select(F.col("id").alias("document"), F.repeat(F.lit("x"), 1000).alias("full_text"))
+    out = split_by_position(df, ["document"])
+    assert out.filter("split = 'valid'").count() == 20 and "full_text" in out.columns
+    assert "rangepartitioning" not in plan(out)  # the keys were ordered before, in a checkpoint
+
+
+def test_evaluation_uses_one_prediction_table(spark):
+    from piisieve.operators import curve as C
+    out = C.evaluate(cc.occurrences(spark, SF), cc.gold(spark, SF), keep="store")
+    for name in ("curve", "counts", "per_type", "scores"):
+        assert "_p0" not in plan(out[name])  # the mean aggregate is behind the stored table
+    kept = C.evaluate(cc.occurrences(spark, SF), cc.gold(spark, SF), keep="persist")
+    assert kept["scores"].count() == 1 and kept["pred"].count() > 0
+    kept["release"]()
+
+
+def test_no_size_switch_and_no_hidden_shuffle(spark):
+    before = spark.conf.get("spark.piisieve.scan.minTasks")
+    spark.conf.unset("spark.piisieve.scan.minTasks")
+    try:
+        assert "RoundRobin" not in plan(cc.words(spark, SF))
+    finally:
+        spark.conf.set("spark.piisieve.scan.minTasks", before)
 
 
 def test_mixture_weights_are_broadcast(spark):
