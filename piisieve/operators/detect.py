@@ -93,7 +93,9 @@ def all_match_offsets(df: DataFrame, rules: dict | None = None, text: str = "tex
                       keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """R2: (keys, type, occurrence, match, start, end) of every match of every rule."""
     found = with_spans(df.select(*keys, text), rules, text, "_spans")
-    return found.select(*keys, F.inline("_spans")).select(*keys, "type", "occurrence", "match", "start", "end")
+    # the outer form: the inner one would infer a filter that evaluates the function a second time
+    rows = found.select(*keys, F.inline_outer("_spans")).filter(F.col("type").isNotNull())
+    return rows.select(*keys, "type", "occurrence", "match", "start", "end")
 
 
 def match_offsets(df: DataFrame, entity: str, pattern: str, text: str = "text",

@@ -57,7 +57,7 @@ def label_matches(essays: DataFrame, rules: dict | None = None, doc: str = "docu
 
     lengths = F.when(has, F.transform("tokens", lambda t: F.length(t)))
     gaps = F.when(has, F.transform("separators", lambda t: F.length(t)))
-    return found.select(doc, F.inline(label(F.col("_spans"), lengths, gaps)))
+    return found.select(doc, F.inline_outer(label(F.col("_spans"), lengths, gaps))).filter(F.col("token").isNotNull())
 
 
 def bio_spans_in_row(essays: DataFrame, doc: str = "document", labels: str = "labels") -> DataFrame:
