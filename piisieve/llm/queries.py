@@ -92,7 +92,23 @@ def op7_language_id(spark, sf_dir):
                            model).drop("text")
 
 
-@query("op3_minhash_near_dup")
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query("op3_minhash_near_dup", sql=f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("coalesce(text, '')", f"translate(coalesce(text, ''), {_LOWER})")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN
+        list_transform(range(1, len(w) - 3), lambda i: list_aggregate(w[i:i + 4], 'string_agg', ' '))
+        WHEN len(w) > 0 THEN [list_aggregate(w, 'string_agg', ' ')] ELSE [] END) AS k FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, reach.r FROM reach JOIN e ON e.x = reach.doc_id),
+c AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)""")
 def op3_minhash_near_dup(spark, sf_dir):
     """Near-duplicate classes of all documents."""
     from .minhash_dedup import near_duplicates
@@ -100,9 +116,6 @@ def op3_minhash_near_dup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
-
-
 @query("op8_substring_dedup", sql=f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 windows AS (SELECT doc_id, p, list_aggregate(w[p:p + 12], 'string_agg', ' ') AS k
