@@ -189,3 +189,59 @@ def test_convert_labels_reduced(spark):
     df = spark.createDataFrame([("B-EMAIL",), ("I-ID_NUM",), ("O",), ("B-LOC",)], "label string")
     out = [r.label_id for r in convert_labels(df, "label", "reduced", reduce_bio=True).collect()]
     assert out == [0, 1, 7, -100]
+
+
+def test_t10_first_and_last_word_of_a_span_agree(spark):
+    from piisieve.operators.windows import word_spans
+    df = spark.createDataFrame([([-1, 0, 0, 1, 3, 3, 3, -1],)], "word_ids array<int>")
+    r = word_spans(df).first()
+    assert [(s.word, r.word_ids[s.head], r.word_ids[s.tail - 1]) for s in r.spans] == [(0, 0, 0), (1, 1, 1), (3, 3, 3)]
+
+
+def test_t11_searching_a_threshold_does_not_change_the_predictions(spark):
+    from piisieve.operators import curve as C
+    occ = spark.createDataFrame([(1, 0, [0.0] * 11 + [0.2, 0.8]), (1, 1, [0.0] * 11 + [0.05, 0.95])],
+                                "document long, token int, probs array<double>")
+    gold = spark.createDataFrame([(1, 0, "I-URL_PERSONAL")], "document long, token int, label string")
+    out = C.evaluate(occ, gold, cut=None, threshold=0.9, keep="none")
+    before = sorted((r.token, r.label) for r in out["pred"].collect())
+    out["best"].collect()
+    assert sorted((r.token, r.label) for r in out["pred"].collect()) == before
+    assert {t for t, label in before if label != "O"} == {0}
+
+
+def test_a3_means_are_not_rounded_by_default(spark):
+    from piisieve.operators.evaluate import apply_threshold, prediction_table
+    occ = spark.createDataFrame([(1, 0, [1.0 - 0.90000000001] + [0.0] * 11 + [0.90000000001])],
+                                "document long, token int, probs array<double>")
+    assert apply_threshold(prediction_table(occ), 0.9).first().label == "O"
+    assert apply_threshold(prediction_table(occ, digits=9), 0.9).first().label == "B-EMAIL"
+
+
+def test_a8_repeated_gold_rows_count_once_and_contradictions_raise(spark):
+    import pytest
+    from piisieve.operators.evaluate import reference_table, type_counts
+    pred = spark.createDataFrame([(7, 0, "B-EMAIL")], "document long, token int, label string")
+    twice = spark.createDataFrame([(7, 0, "B-EMAIL")] * 2, pred.schema)
+    assert [(r.tp, r.fp, r.fn) for r in type_counts(pred, twice).collect()] == [(1, 0, 0)]
+    both = spark.createDataFrame([(7, 0, "B-EMAIL"), (7, 0, "B-ID_NUM")], pred.schema)
+    with pytest.raises(Exception, match="two gold labels"):
+        type_counts(pred, both).collect()
+    essays = spark.createDataFrame([(7, ["a"], ["B-EMAIL"])] * 2, "document long, tokens array<string>, labels array<string>")
+    with pytest.raises(ValueError):
+        reference_table(essays)
+
+
+def test_a1_softmax_is_linear_in_its_length(spark):
+    import time
+    from pyspark.sql import functions as F
+    from piisieve.functions.arrays import softmax
+
+    def seconds(n):
+        df = spark.range(2000).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: (i + F.col("id")).cast("double") / n).alias("x"))
+        out = df.select(F.aggregate(softmax(F.col("x")), F.lit(0.0), lambda a, v: a + v).alias("s"))
+        out.agg(F.sum("s")).collect()
+        t = time.time()
+        assert abs(out.agg(F.sum("s")).first()[0] - 2000) < 1e-6
+        return time.time() - t
+    assert seconds(400) < 60 * max(seconds(13), 0.05)
