@@ -12,8 +12,9 @@ About a quarter of the positions are shuffled, and only documents with a shared
 Texts with equal word sequences are one text from the start: all but the smallest doc_id lose every
 word that a window covers, which is all of them from 13 words on.
 
-Groups are streamed in sorted order with numpy; a window that a third of all documents hold costs
-its rows, never a buffer of the group.
+Groups are streamed in sorted order with numpy, never buffered. Before each shuffle by window a batch
+settles what it can: one document stands for a window that several documents of the batch hold, and
+the rows of the others are dealt evenly, so a window in a third of all documents is no hot key.
 
 Defined results: null or word-less text has no words; rows with a null doc_id lose nothing and make
 others lose nothing; rows that share a doc_id do not repeat each other; an empty table gives an
@@ -34,6 +35,10 @@ from .tables import stored
 from .words import as_signed, window_hashes, word_hashes
 
 
+#: Rows whose part in the result is settled before the shuffle by window.
+UNKNOWN, REPEATED, KNOWN = 0, 1, 2
+
+
 def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("data"))
 
@@ -75,7 +80,11 @@ def window_minima(h: np.ndarray, size: int, part: int) -> np.ndarray:
 
 
 def _shared_parts(src: DataFrame, size: int, part: int) -> DataFrame:
-    """(t1, parts): of every text, the representing short windows that another text has too."""
+    """(t1, parts): of every text, the representing short windows that another text has too.
+
+    Texts that share one within a batch are told apart there: one of them stands for it in the shuffle by
+    window, the others (``known``) are dealt by text, so a window in very many texts is no hot key.
+    """
     def emit(batches):
         for b in batches:
             hashes, texts = [], []
@@ -87,28 +96,35 @@ def _shared_parts(src: DataFrame, size: int, part: int) -> DataFrame:
                 hashes.append(as_signed(found))
                 texts.append(np.full(len(found), _digest(words)[0], dtype=np.int64))
             if hashes:
-                rows = pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes)), pa.array(np.concatenate(texts))],
-                                                  names=["part", "t1"])
+                p, t = np.concatenate(hashes), np.concatenate(texts)
+                order = np.lexsort((t, p))
+                p, t = p[order], t[order]
+                same = (p[1:] == p[:-1]) & (t[1:] != t[:-1])  # the row before has the window in another text
+                state = np.zeros(len(p), dtype=np.int8)
+                state[:-1][same] = 1
+                state[1:][same] = 2
+                rows = pa.RecordBatch.from_arrays([pa.array(p), pa.array(t), pa.array(state)], names=["part", "t1", "state"])
                 for at in range(0, rows.num_rows, 100_000):
                     yield rows.slice(at, 100_000)
 
     def shared(batches):
-        last = (None, None)  # the row before: a text is shared where its neighbour in the group is another
+        last = None  # the row before: a text is shared where its neighbour in the group is another
         for b in batches:
-            p, t = b.column(0).to_numpy(), b.column(1).to_numpy()
+            p, t, known = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy() > 0
             if not len(p):
                 continue
-            if last[0] is not None:
-                p, t = np.concatenate([[last[0]], p]), np.concatenate([[last[1]], t])
+            if last is not None:
+                p, t, known = np.concatenate([[last[0]], p]), np.concatenate([[last[1]], t]), np.concatenate([[False], known])
             meets = (p[1:] == p[:-1]) & (t[1:] != t[:-1])
-            flagged = np.zeros(len(p), dtype=bool)
+            flagged = known.copy()
             flagged[1:] |= meets
             flagged[:-1] |= meets
             last = (p[-1], t[-1])
             yield pa.RecordBatch.from_arrays([pa.array(t[flagged]), pa.array(p[flagged])], names=["t1", "part"])
 
-    rows = src.mapInArrow(emit, "part long, t1 long")
-    found = rows.repartition("part").sortWithinPartitions("part", "t1").mapInArrow(shared, "t1 long, part long")
+    rows = src.mapInArrow(emit, "part long, t1 long, state byte")
+    dealt = rows.repartition(F.when(F.col("state") == KNOWN, F.xxhash64("t1")).otherwise(F.col("part")))
+    found = dealt.sortWithinPartitions("part", "t1").mapInArrow(shared, "t1 long, part long")
     return found.groupBy("t1").agg(F.collect_set("part").alias("parts"))
 
 
@@ -127,7 +143,7 @@ def _windows(texts: DataFrame, size: int, part: int) -> DataFrame:
                 out.append(_keys(h, words, at, size, doc, t1))
             yield from _key_batches(out)
 
-    return texts.mapInArrow(run, "k1 long, k2 long, doc_id long, t1 long, pos long")
+    return texts.mapInArrow(run, "k1 long, k2 long, doc_id long, t1 long, pos long, state byte")
 
 
 def _keys(h: np.ndarray, words: list[bytes], at: np.ndarray, size: int, doc: int, t1: int):
@@ -140,40 +156,63 @@ def _keys(h: np.ndarray, words: list[bytes], at: np.ndarray, size: int, doc: int
 
 
 def _key_batches(out):
-    if out:
-        columns = [np.concatenate(c) for c in zip(*out)]
-        rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k1", "k2", "doc_id", "t1", "pos"])
-        for at in range(0, rows.num_rows, 100_000):
-            yield rows.slice(at, 100_000)
+    """Rows with a state: within the batch a window's first document stands for it (REPEATED if others have
+    it), rows of later documents are KNOWN to repeat a smaller one and need no shuffle by window."""
+    if not out:
+        return
+    k1, k2, doc, t1, pos = (np.concatenate(c) for c in zip(*out))
+    if not len(k1):
+        return
+    order = np.lexsort((doc, k2, k1))
+    k1, k2, doc, t1, pos = (x[order] for x in (k1, k2, doc, t1, pos))
+    start = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+    group = np.cumsum(start) - 1
+    first = doc[np.flatnonzero(start)]
+    later = doc != first[group]
+    shared = np.zeros(len(first), dtype=bool)
+    shared[group[later]] = True
+    state = np.where(later, KNOWN, np.where(shared[group], REPEATED, UNKNOWN)).astype(np.int8)
+    rows = pa.RecordBatch.from_arrays([pa.array(c) for c in (k1, k2, doc, t1, pos, state)],
+                                      names=["k1", "k2", "doc_id", "t1", "pos", "state"])
+    for at in range(0, rows.num_rows, 100_000):
+        yield rows.slice(at, 100_000)
 
 
 def _repeated(windows: DataFrame) -> DataFrame:
-    """(doc_id, t1, pos, first_doc) of the windows found in two documents or more; first_doc is the smallest."""
+    """(doc_id, t1, pos, later) of the windows found in two documents or more; later: also in a smaller one."""
     def run(batches):
-        held = [np.zeros(0, dtype=np.int64) for _ in range(5)]  # last group's rows while they are of one document
-        opened = None  # (k1, k2, first_doc) of a last group already known to repeat
+        held = [np.zeros(0, dtype=np.int64) for _ in range(6)]  # last group's rows while they are of one document
+        opened = None  # (k1, k2, first document) of a last group already known to repeat
         for b in batches:
-            k1, k2, doc, t1, pos = (np.concatenate([x, c.to_numpy()]) for x, c in zip(held, b.columns))
-            if not len(k1):
-                continue
-            start = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
-            first_at = np.flatnonzero(start)
-            group = np.cumsum(start) - 1
-            first, repeats = doc[first_at], np.zeros(len(first_at), dtype=bool)
-            repeats[group[doc != first[group]]] = True  # rows are in doc_id order
-            if opened is not None and (k1[0], k2[0]) == opened[:2]:
-                first[0], repeats[0] = opened[2], True
-            emit = repeats[group]
-            last = group == group[-1]
-            if repeats[-1]:
-                opened, held = (k1[-1], k2[-1], first[-1]), [x[:0] for x in (k1, k2, doc, t1, pos)]
+            columns = [c.to_numpy().astype(np.int64, copy=False) for c in b.columns]
+            known = columns[5] == KNOWN
+            settled = [x[known] for x in columns[2:5]]
+            k1, k2, doc, t1, pos, state = (np.concatenate([x, c[~known]]) for x, c in zip(held, columns))
+            if len(k1):
+                start = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
+                first_at = np.flatnonzero(start)
+                group = np.cumsum(start) - 1
+                first, repeats = doc[first_at], np.zeros(len(first_at), dtype=bool)
+                repeats[group[(doc != first[group]) | (state == REPEATED)]] = True  # rows are in doc_id order
+                if opened is not None and (k1[0], k2[0]) == opened[:2]:
+                    first[0], repeats[0] = opened[2], True
+                emit = repeats[group]
+                if repeats[-1]:
+                    opened, held = (k1[-1], k2[-1], first[-1]), [x[:0] for x in held]
+                else:
+                    last = group == group[-1]
+                    opened, held = None, [x[last] for x in (k1, k2, doc, t1, pos, state)]
+                found = [x[emit] for x in (doc, t1, pos)]
+                later = (doc > first[group])[emit]
             else:
-                opened, held = None, [x[last] for x in (k1, k2, doc, t1, pos)]
-            yield pa.RecordBatch.from_arrays([pa.array(x[emit]) for x in (doc, t1, pos, first[group])],
-                                             names=["doc_id", "t1", "pos", "first_doc"])
+                found, later = [x[:0] for x in settled], np.zeros(0, dtype=bool)
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(np.concatenate([x, y])) for x, y in zip(found, settled)),
+                 pa.array(np.concatenate([later, np.ones(len(settled[0]), dtype=bool)]))], names=["doc_id", "t1", "pos", "later"])
 
-    return (windows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "doc_id", "t1", "pos")
-            .mapInArrow(run, "doc_id long, t1 long, pos long, first_doc long"))
+    by_window = F.when(F.col("state") == KNOWN, F.xxhash64("doc_id", "pos")).otherwise(F.xxhash64("k1", "k2"))
+    return (windows.repartition(by_window).sortWithinPartitions("k1", "k2", "doc_id", "t1", "pos")
+            .mapInArrow(run, "doc_id long, t1 long, pos long, later boolean"))
 
 
 def _extended(texts: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
@@ -191,7 +230,7 @@ def _extended(texts: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
             yield from _key_batches(out)
 
     starts = repeated.groupBy("doc_id", "t1").agg(F.collect_set("pos").alias("starts"))
-    return texts.join(starts, ["doc_id", "t1"]).mapInArrow(run, "k1 long, k2 long, doc_id long, t1 long, pos long")
+    return texts.join(starts, ["doc_id", "t1"]).mapInArrow(run, "k1 long, k2 long, doc_id long, t1 long, pos long, state byte")
 
 
 def _prepare(docs: DataFrame, size: int, key: str, text: str):
@@ -235,7 +274,7 @@ def remove_repeats(docs: DataFrame, window_words: int = 13, key: str = "doc_id",
     with ``with_text`` that kept text. A word goes if a window over it also starts in a document with a
     smaller doc_id. Longer windows cannot change that, so the levels end at ``window_words``."""
     sequences, first, texts, part = _prepare(docs, window_words, key, text)
-    later = _repeated(_windows(texts, window_words, part)).filter("doc_id > first_doc")
+    later = _repeated(_windows(texts, window_words, part)).filter("later")
     starts = later.groupBy("doc_id", "t1").agg(F.collect_set("pos").alias("starts"))
 
     def cut(batches):
