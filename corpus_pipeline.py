@@ -45,13 +45,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix's documents, one row for each copy it takes, in shards and in shuffled order inside them."""
-    drawn = (mix(docs.select("doc_id", "text", "source")).filter("size(draws) > 0").groupBy("doc_id", "source", "h")
-             .agg(F.flatten(F.collect_list("draws")).alias("draws"))
-             .withColumnsRenamed({"doc_id": "d1", "source": "s1", "h": "h1"}))
+    # null-free keys: repeated rows are found and joined to their draws in one shuffle of the texts
+    keys = {"k1": F.coalesce("doc_id", F.lit(-1 << 63)), "k2": F.coalesce("source", F.lit("\x00none"))}
+    drawn = (mix(docs.select("doc_id", "text", "source")).filter("size(draws) > 0").withColumns(keys)
+             .groupBy("k1", "k2", "h").agg(F.flatten(F.collect_list("draws")).alias("draws")))
     # rows that agree in id, source and text are repeated rows: their draws are one list
-    rows = docs.withColumn("h", document_hash("doc_id", "text")).dropDuplicates(["doc_id", "source", "h"])
-    same = F.col("doc_id").eqNullSafe(F.col("d1")) & F.col("source").eqNullSafe(F.col("s1")) & (F.col("h") == F.col("h1"))
-    return (rows.join(drawn, same).select(*COLUMNS, F.explode("draws").alias("draw"))
+    rows = docs.withColumns(keys).withColumn("h", document_hash("doc_id", "text")).dropDuplicates(["k1", "k2", "h"])
+    return (rows.join(drawn, ["k1", "k2", "h"]).select(*COLUMNS, F.explode("draws").alias("draw"))
             .repartition("draw.shard", F.pmod("draw.position", F.lit(64))).sortWithinPartitions("draw.shard", "draw.position")
             .select(*COLUMNS))
 
