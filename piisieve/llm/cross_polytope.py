@@ -18,7 +18,7 @@ Grow ``last_axes`` (a power of two up to the dimension) with the table so that b
 and ``probes`` or ``tables`` to hold recall; measure recall with :func:`exact_neighbours` on a fixture.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part; so do null ids; a vector is no candidate of its own id; rows that share an
+components take no part (components beyond 1e150 overflow a double's square); so do null ids; a vector is no candidate of its own id; rows that share an
 id are one candidate at their smallest distance; ties go to the smaller id; fewer than ``k``
 candidates are all returned; an empty table gives an empty result; extra columns are ignored.
 """
@@ -111,8 +111,9 @@ class Rotations:
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, vector: array<double>) of the rows that take part."""
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")).filter(
+    """(id, vector) of the rows that take part; floats stay floats, so they cost half the shuffle."""
+    kind = "array<float>" if df.select(F.col(vector)).schema[0].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("vector")).filter(
         "id IS NOT NULL AND vector IS NOT NULL AND size(vector) > 0")
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return rows.filter(fine & F.exists("vector", lambda x: x != 0))
@@ -124,7 +125,7 @@ def _dimension(rows: DataFrame) -> int | None:
 
 
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dimension)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dimension).astype(np.float64, copy=False)
 
 
 def _with_codes(rows: DataFrame, rotations: Rotations, probes: bool) -> DataFrame:
@@ -138,7 +139,8 @@ def _with_codes(rows: DataFrame, rotations: Rotations, probes: bool) -> DataFram
             offsets = pa.array(np.arange(0, codes.size + 1, codes.shape[1]), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, flat)], names=["id", "vector", "codes"])
 
-    return rows.select("id", "vector").mapInArrow(run, "id long, vector array<double>, codes array<int>")
+    kind = rows.schema["vector"].dataType.simpleString()
+    return rows.select("id", "vector").mapInArrow(run, f"id long, vector {kind}, codes array<int>")
 
 
 def _rerank(entries: DataFrame, probes: DataFrame, dimension: int, k: int) -> DataFrame:
@@ -177,36 +179,39 @@ class BestLists:
     """The k nearest vectors of each query so far, by (distance, id)."""
 
     def __init__(self, k: int):
-        self.k, self.best = k, {}
+        self.k, self.best, self.limit = k, {}, {}
 
     def __len__(self) -> int:
         return len(self.best)
 
     def add(self, query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-        """Fast products choose whom to measure; distances that count are taken on the differences."""
-        squares = (vectors ** 2).sum(axis=1)
-        for i, q in enumerate(query_ids.tolist()):
-            held = self.best.setdefault(q, {})
-            near = squares - 2 * (vectors @ queries[i])
-            other = ids != q
-            slack = 1e-9 * (squares.max() + (queries[i] ** 2).sum())
-            # only the k nearest of this part can matter, with those that products cannot tell apart
-            limit = np.partition(near[other], self.k - 1)[self.k - 1] + slack if other.sum() > self.k else np.inf
-            if len(held) >= self.k:
-                limit = min(limit, max(held.values()) ** 2 - (queries[i] ** 2).sum() + slack)
-            at = np.flatnonzero(other & (near <= limit))
-            if not len(at):
-                continue
-            score = np.sqrt(((vectors[at] - queries[i]) ** 2).sum(axis=1))
-            for v, d in zip(ids[at].tolist(), score.tolist()):
-                if d < held.get(v, np.inf):
-                    held[v] = d
-            if len(held) > self.k:
-                self.best[q] = dict(sorted(held.items(), key=lambda e: (e[1], e[0]))[:self.k])
+        """A block of queries meets a part of the vectors: products choose whom to measure (within their
+        rounding, the k nearest of the part that can beat what is held); distances that count are taken
+        on the differences."""
+        squares, own = (vectors ** 2).sum(axis=1), (queries ** 2).sum(axis=1)
+        near = squares[None, :] + own[:, None] - 2 * (queries @ vectors.T)
+        near[query_ids[:, None] == ids[None, :]] = np.inf
+        asked = query_ids.tolist()
+        limits = np.array([self.limit.get(q, np.finfo(float).max) for q in asked])
+        if len(ids) > self.k:
+            limits = np.minimum(limits, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
+        rows, at = np.nonzero(near <= (limits + 1e-9 * (squares.max() + own))[:, None])
+        score = np.sqrt(((vectors[at] - queries[rows]) ** 2).sum(axis=1))
+        touched = set()
+        for r, v, d in zip(rows.tolist(), ids[at].tolist(), score.tolist()):
+            held = self.best.setdefault(asked[r], {})
+            if d < held.get(v, np.inf):
+                held[v] = d
+                touched.add(asked[r])
+        for q in touched:
+            held = sorted(self.best[q].items(), key=lambda e: (e[1], e[0]))[:self.k]
+            self.best[q] = dict(held)
+            if len(held) == self.k:
+                self.limit[q] = held[-1][1] ** 2
 
     def flush(self) -> pa.RecordBatch:
         rows = [(q, v, d) for q, held in self.best.items() for v, d in held.items()]
-        self.best = {}
+        self.best, self.limit = {}, {}
         columns = list(zip(*rows)) if rows else [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
                                            pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])

@@ -59,6 +59,15 @@ def test_many_copies_of_one_vector(spark):
     assert [v for _, v, _ in got[0]] == list(range(1, 11)) and [v for _, v, _ in got[280]] == list(range(10))
 
 
+def test_doubles_keep_their_precision(spark):
+    rows = [(i, [1.0 + i * 1e-12, 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = search(df, k=3)
+    assert [v for _, v, _ in got[0]] == [1, 2, 3] and got[0][0][2] == abs(rows[1][1][0] - rows[0][1][0])
+    whole = spark.createDataFrame([(0, [3, 4]), (1, [0, 1]), (2, None)], "vec_id long, embedding array<int>")
+    assert search(whole)[0] == [(1, 1, 18 ** 0.5)]
+
+
 def test_empty_and_single(spark):
     assert search(table(spark, [])) == {} and search(table(spark, [(0, [1.0, 2.0])])) == {} and search(table(spark, [(5, None)])) == {}
 
