@@ -19,7 +19,7 @@ and ``probes`` or ``tables`` to hold recall; measure recall with :func:`exact_ne
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part (components beyond 1e150 overflow a double's square); so do null ids; a vector is no candidate of its own id; rows that share an
-id are one candidate at their smallest distance; ties go to the smaller id; fewer than ``k``
+id are one candidate at their smallest distance and take one of the ``k`` places; ties go to the smaller id; fewer than ``k``
 candidates are all returned; an empty table gives an empty result; extra columns are ignored.
 """
 
@@ -175,6 +175,28 @@ def _rerank(entries: DataFrame, probes: DataFrame, dimension: int, k: int) -> Da
     return rows.mapInArrow(run, "query_id long, vec_id long, score double")
 
 
+#: (query, vector) pairs whose vectors are gathered at once.
+PAIRS = 100_000
+
+
+def _needed(ids: np.ndarray, vectors: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) in the order of the ids, of equal vectors only those of the ``keep`` smallest ids: they
+    tie for every query, so no other is among its nearest. A row that repeats id and vector goes."""
+    odd = (2 * np.arange(vectors.shape[1], dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    digest = (np.ascontiguousarray(vectors).view(np.uint64) * odd).sum(axis=1)
+    order = np.lexsort((ids, digest))
+    again = np.concatenate([[False], digest[order[1:]] == digest[order[:-1]]])
+    if again.any():
+        at = np.flatnonzero(again)
+        again[at] = (vectors[order[at]] == vectors[order[at - 1]]).all(axis=1)
+        new_id = ~again | np.concatenate([[True], ids[order[1:]] != ids[order[:-1]]])
+        number = np.cumsum(new_id)
+        first = np.maximum.accumulate(np.where(again, 0, np.arange(len(order))))
+        order = order[new_id & (number - number[first] < keep)]
+    order = order[np.argsort(ids[order], kind="stable")]
+    return ids[order], vectors[order]
+
+
 class BestLists:
     """The k nearest vectors of each query so far, by (distance, id)."""
 
@@ -188,21 +210,32 @@ class BestLists:
         """A block of queries meets a part of the vectors: products choose whom to measure (within their
         rounding, the k nearest of the part that can beat what is held); distances that count are taken
         on the differences."""
+        if len(ids) > self.k:
+            ids, vectors = _needed(ids, vectors, self.k + 1)  # one of them may be the query's own
         squares, own = (vectors ** 2).sum(axis=1), (queries ** 2).sum(axis=1)
         near = squares[None, :] + own[:, None] - 2 * (queries @ vectors.T)
         near[query_ids[:, None] == ids[None, :]] = np.inf
         asked = query_ids.tolist()
         limits = np.array([self.limit.get(q, np.finfo(float).max) for q in asked])
         if len(ids) > self.k:
-            limits = np.minimum(limits, np.partition(near, self.k - 1, axis=1)[:, self.k - 1])
+            # the k places are for ids, not for rows: an id counts once, at its smallest distance
+            firsts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            if len(firsts) > self.k:
+                by_id = near if len(firsts) == len(ids) else np.minimum.reduceat(near, firsts, axis=1)
+                limits = np.minimum(limits, np.partition(by_id, self.k - 1, axis=1)[:, self.k - 1])
         rows, at = np.nonzero(near <= (limits + 1e-9 * (squares.max() + own))[:, None])
-        score = np.sqrt(((vectors[at] - queries[rows]) ** 2).sum(axis=1))
+        for start in range(0, len(rows), PAIRS):
+            r, v = rows[start:start + PAIRS], at[start:start + PAIRS]
+            score = np.sqrt(((vectors[v] - queries[r]) ** 2).sum(axis=1))
+            self._hold([asked[i] for i in r.tolist()], ids[v].tolist(), score.tolist())
+
+    def _hold(self, asked: list[int], ids: list[int], score: list[float]) -> None:
         touched = set()
-        for r, v, d in zip(rows.tolist(), ids[at].tolist(), score.tolist()):
-            held = self.best.setdefault(asked[r], {})
+        for q, v, d in zip(asked, ids, score):
+            held = self.best.setdefault(q, {})
             if d < held.get(v, np.inf):
                 held[v] = d
-                touched.add(asked[r])
+                touched.add(q)
         for q in touched:
             held = sorted(self.best[q].items(), key=lambda e: (e[1], e[0]))[:self.k]
             self.best[q] = dict(held)
@@ -239,8 +272,9 @@ def _dealt(entries: DataFrame, probes: DataFrame, s: AnnSettings) -> tuple[DataF
 
 
 def build_index(df: DataFrame, rotations: Rotations, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(id, vector, codes): every usable vector with its bucket in every table, written to the shared folder."""
-    rows = usable_vectors(df, key, vector).filter(F.size("vector") == rotations.dimension)
+    """(id, vector, codes): every usable vector with its bucket in every table, written to the shared folder.
+    Rows that agree in id and vector are one."""
+    rows = usable_vectors(df, key, vector).filter(F.size("vector") == rotations.dimension).dropDuplicates(["id", "vector"])
     return stored(_with_codes(rows, rotations, probes=False), "index")
 
 

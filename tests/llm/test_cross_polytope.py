@@ -92,3 +92,40 @@ def test_best_lists_over_parts():
     want = exact_neighbours(dict(zip(ids.tolist(), x)), [3, 9], 7)
     for q in (3, 9):
         assert set(got[got.query_id == q].vec_id) == {v for v, _ in want[q]}
+
+
+def test_repeated_rows_take_one_place():
+    rng = np.random.default_rng(6)
+    x, ids = rng.normal(size=(60, 6)), np.arange(60)
+    want = exact_neighbours(dict(zip(ids.tolist(), x)), [3, 9], 10)
+    nearest = [v for v, _ in want[3]][:1]
+    for often in (2, 11):
+        for many in (ids, np.array(nearest)):  # every row, or one near row, repeated
+            at = np.concatenate([ids, np.repeat(many, often - 1)])
+            best = BestLists(10)
+            best.add(np.array([3, 9]), x[[3, 9]], at, x[at])
+            got = best.flush().to_pandas()
+            for q in (3, 9):
+                assert sorted(got[got.query_id == q].vec_id) == sorted(v for v, _ in want[q])
+    # one id with several different vectors is one candidate at its smallest distance
+    best = BestLists(10)
+    best.add(np.array([3]), x[[3]], np.concatenate([ids, np.full(30, 7)]), np.concatenate([x, x[[3]] + 1e-3 * rng.normal(size=(30, 6))]))
+    got = best.flush().to_pandas()
+    assert set(got.vec_id) == {7, *[v for v, _ in want[3] if v != 7][:9]}
+
+
+def test_ties_keep_the_smallest_ids():
+    best = BestLists(4)
+    ids = np.arange(5_000)[::-1].copy()
+    best.add(np.array([0, 2, 9_999]), np.ones((3, 8)), ids, np.ones((5_000, 8)))
+    got = best.flush().to_pandas()
+    for q, want in ((0, [1, 2, 3, 4]), (2, [0, 1, 3, 4]), (9_999, [0, 1, 2, 3])):
+        assert sorted(got[got.query_id == q].vec_id) == want
+
+
+def test_repeated_rows_change_no_result(spark):
+    vectors = clustered(400, 16)
+    rows = [(i, v.tolist()) for i, v in vectors.items()]
+    want = search(table(spark, rows))
+    assert all(len(v) == 10 for v in want.values())
+    assert search(table(spark, rows * 11)) == want
