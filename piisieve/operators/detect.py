@@ -118,35 +118,53 @@ def detect_gazetteer(words: DataFrame, pool: DataFrame, word_col: str = "word",
     return w.join(p, "_key").drop("_key")
 
 
-def detect_entries(essays: DataFrame, pool: DataFrame, max_words: int, tokens: str = "tokens",
+def detect_entries(essays: DataFrame, pool: DataFrame, gram_words: int = 3, tokens: str = "tokens",
                    doc: str = "document") -> DataFrame:
-    """R3 for entries of 1 to ``max_words`` words: (document, token, n_words, entity_type).
+    """R3 for entries of any number of words: (document, token, n_words, entity_type).
 
-    N-grams are built inside the document row from its normalised, non-empty words (shifted copies
-    zipped together) and joined with the pool's entries, normalised word by word. Only n-grams that
-    start with the first word of some entry reach the join of whole entries.
+    An entry is keyed by its whole normalised text. Entries of up to ``gram_words`` words meet n-grams
+    built inside the document row from its normalised, non-empty words (shifted copies zipped together);
+    only n-grams that start with the first word of some entry reach the join of whole entries. Of a longer
+    entry the first ``gram_words`` words are looked up so; where they occur, the words of the document are
+    joined again and as many of them as the entry has are compared. ``gram_words`` changes no result.
     """
     from .tokenise import WORD_SEPARATOR
 
     def key(words: Column) -> Column:
         return F.array_join(words, " ")
 
+    def opening(words: str, n: Column) -> Column:
+        return F.slice(words, F.lit(1), n)
+
     entry = F.filter(F.transform(F.split("value", WORD_SEPARATOR, -1), normalise), lambda w: w != "")
-    p = (pool.select("entity_type", entry.alias("_w")).filter(F.size("_w").between(1, max_words))
-         .select("entity_type", key(F.col("_w")).alias("_key"), F.col("_w")[0].alias("_first"), F.size("_w").alias("_n"))
+    p = (pool.select("entity_type", entry.alias("_w")).filter(F.size("_w") > 0)
+         .select("entity_type", key(F.col("_w")).alias("_key"), F.col("_w")[0].alias("_first"), F.size("_w").alias("_n"),
+                 F.least(F.size("_w"), F.lit(gram_words)).alias("_m"), key(opening("_w", F.lit(gram_words))).alias("_open"))
          .dropDuplicates(["entity_type", "_key"]))
     words = F.filter(F.transform(tokens, lambda w, i: F.struct(normalise(w).alias("w"), i.alias("token"))), lambda x: x["w"] != "")
     rows = essays.select(doc, words.alias("_all"))
-    shifted = [F.slice("_all", F.lit(k + 1), F.greatest(F.size("_all"), F.lit(1))).alias(f"s{k}") for k in range(max_words)]
-    grams = (rows.select(doc, *shifted).select(doc, F.inline(F.arrays_zip(*[f"s{k}" for k in range(max_words)])))
-             .filter("s0 IS NOT NULL")
-             .select(doc, F.col("s0.token").alias("token"), F.col("s0.w").alias("_first"),
-                     F.array(*[F.col(f"s{k}.w") for k in range(max_words)]).alias("_gram")))
-    sizes = p.select("_first", "_n").distinct()
-    hits = grams.join(sizes, "_first").withColumn("_key", key(F.slice("_gram", F.lit(1), F.col("_n"))))
-    whole = F.forall(F.slice("_gram", F.lit(1), F.col("_n")), lambda w: w.isNotNull())  # none runs over the end
-    return (hits.filter(whole).join(p.select("entity_type", "_key"), "_key")
-            .select(doc, "token", F.col("_n").alias("n_words"), "entity_type"))
+    shifted = [F.slice("_all", F.lit(k + 1), F.greatest(F.size("_all"), F.lit(1))).alias(f"s{k}") for k in range(gram_words)]
+    grams = (rows.select(doc, *shifted).select(doc, F.posexplode(F.arrays_zip(*[f"s{k}" for k in range(gram_words)])).alias("_at", "g"))
+             .select(doc, "_at", "g.*").filter("s0 IS NOT NULL")
+             .select(doc, "_at", F.col("s0.token").alias("token"), F.col("s0.w").alias("_first"),
+                     F.array(*[F.col(f"s{k}.w") for k in range(gram_words)]).alias("_gram")))
+    sizes = p.select("_first", "_m").distinct()
+    hits = grams.join(sizes, "_first").withColumn("_open", key(opening("_gram", F.col("_m"))))
+    hits = hits.filter(F.forall(opening("_gram", F.col("_m")), lambda w: w.isNotNull()))  # none runs over the end
+    out = [doc, "token", F.col("_n").alias("n_words"), "entity_type"]
+    found = hits.join(p.filter(F.col("_n") <= gram_words).select("entity_type", "_open", "_n"), "_open").select(*out)
+    if p.filter(F.col("_n") > gram_words).isEmpty():
+        return found
+    longer = p.filter(F.col("_n") > gram_words)
+    # distinct places of a document id: its rows are compared each, also where an id is repeated
+    places = (hits.join(longer.select("_open", "_m", "_n").distinct(), ["_open", "_m"])
+              .select(F.col(doc).alias("_doc"), "_at", "_n").distinct())
+    # two plain arrays shuffle in half the bytes of an array of structs
+    texts = rows.select(doc, F.col("_all.w").alias("_words"), F.col("_all.token").alias("_tokens"))
+    whole = (texts.join(places, F.col(doc).eqNullSafe(F.col("_doc")) & (F.col("_at") + F.col("_n") <= F.size("_words")))
+             .select(doc, "_n", F.get("_tokens", F.col("_at")).alias("token"),
+                     key(F.slice("_words", F.col("_at") + 1, F.col("_n"))).alias("_key")))
+    return found.unionByName(whole.join(longer.select("entity_type", "_key", "_n"), ["_key", "_n"]).select(*out))
 
 
 def email_domain_in_pool(matches: DataFrame, domains: DataFrame, match_col: str = "match",

@@ -221,6 +221,21 @@ def q_detect_entries(spark, d):
     return detect_entries(essays(spark, d), pool, ENTRY_WORDS)
 
 
+@register("detect_whole_entries", S.chain(S.WORDS) + f"""
+, nw AS (SELECT document, token, w, row_number() OVER (PARTITION BY document ORDER BY token) AS p
+  FROM (SELECT document, token, {ENTRY_NORM.format('word')} AS w FROM words) WHERE w <> ''),
+own AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[ \n]+'), lambda x: {ENTRY_NORM.format('x')}), lambda x: x <> '') AS a FROM benchmark),
+pool AS (SELECT DISTINCT 'PASSAGE' AS entity_type, a FROM own WHERE len(a) >= 1),
+pw AS (SELECT a, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM pool),
+starts AS (SELECT nw.document, nw.p - pw.i AS at, pw.a, count(*) AS n FROM nw JOIN pw ON nw.w = pw.w GROUP BY ALL)
+SELECT s.document, nw.token, CAST(len(s.a) AS INTEGER) AS n_words, 'PASSAGE' AS entity_type FROM starts s
+JOIN nw ON nw.document = s.document AND nw.p = s.at + 1 WHERE s.n = len(s.a)""")
+def q_detect_whole_entries(spark, d):
+    """Dictionary entries of any length (the whole benchmark passages)."""
+    pool = read(spark, d, "benchmark", "text").select(F.lit("PASSAGE").alias("entity_type"), F.col("text").alias("value"))
+    return detect_entries(essays(spark, d), pool)
+
+
 PAGE_DOMAINS = f"""doms AS (SELECT DISTINCT lower(regexp_extract(e, '@([A-Za-z0-9.-]+)', 1)) AS dom FROM
   (SELECT unnest(regexp_extract_all(html, '{PATTERN_RULES["EMAIL"]}', 0)) AS e FROM pages))"""
 

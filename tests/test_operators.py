@@ -110,6 +110,22 @@ def test_dictionary_entries_of_several_words(spark):
     assert [(r.document, r.token, r.n_words, r.entity_type) for r in found] == [(1, 3, 3, "STREET_ADDRESS")]
 
 
+def test_dictionary_entries_of_any_length(spark):
+    from piisieve.operators.detect import detect_entries
+    from piisieve.sources.pools import value_pool
+    address = "591 Smith Centers Apt. 656\nJoshuamouth, RI 95963"
+    pool = value_pool(spark, {"STREET_ADDRESS": [address, address + ", USA", "591 Smith Centers", "Oak", " . "], "PLACE": [address.lower()]})
+    text = "at 591 Smith Centers, Apt. 656 - Joshuamouth RI 95963 , USA or 591 Smith Centers Apt. 656 Joshuamouth, RI"
+    e = spark.createDataFrame([(1, text.split(" ")), (1, text.split(" ")), (1, ["591"] * 9), (2, []), (None, address.split())],
+                              "document long, tokens array<string>")
+    want = sorted([(1, 1, 3, "STREET_ADDRESS"), (1, 1, 8, "PLACE"), (1, 1, 8, "STREET_ADDRESS"), (1, 1, 9, "STREET_ADDRESS"),
+                   (1, 13, 3, "STREET_ADDRESS")] * 2
+                  + [(-1, 0, 3, "STREET_ADDRESS"), (-1, 0, 8, "PLACE"), (-1, 0, 8, "STREET_ADDRESS")])
+    for words in (1, 3, 20):
+        found = detect_entries(e, pool, words).collect()
+        assert sorted((-1 if r.document is None else r.document, r.token, r.n_words, r.entity_type) for r in found) == want
+
+
 def test_log_loss_of_a_zero_probability(spark):
     from piisieve.operators.metrics_extra import token_log_loss
     df = spark.createDataFrame([([[0.0, 1.0], [0.5, 0.5]], [0, 0])], "probs array<array<double>>, label_ids array<int>")
