@@ -16,6 +16,7 @@ from ..settings import EXTERNAL_SAMPLING_RATE, RANDOM_SEED
 from . import sql as S
 from .catalog_core import CUT, DIGITS, PRED, THRESHOLD, _predicted_sql, essays, pred
 from .registry import read, register
+from .synthetic import essays_from_documents
 
 SEED = RANDOM_SEED
 MIX_SETS = ["src1", "src2", "src3", "src4", "src5"]
@@ -200,7 +201,8 @@ def q_read_mixture_json(spark, d):
     """Three sets written as one JSON object (set -> essays) and read back by name."""
     path = scratch_path(spark, "mixture-json")
     sets = ["src1", "src2", "src3"]
-    e = essays(spark, d).join(docs(spark, d, "doc_id", "source").filter(F.col("source").isin(sets)), "document")
+    own = read(spark, d, "documents", "doc_id", "text", "source").filter(F.col("source").isin(sets))
+    e = essays_from_documents(own, keep=("source",))
     SE.write_mixture_json(e.withColumnRenamed("source", "set_name"), path, sets)
     m = SE.read_mixture(spark, path, sets, json_object=True)
     return m.select("document", "set_name", F.size("tokens").alias("n_tokens"),

@@ -72,13 +72,22 @@ def write_mixture(df: DataFrame, path: str, set_col: str = "set_name") -> None:
     df.write.mode("overwrite").partitionBy(set_col).parquet(path)
 
 
-def write_mixture_json(df: DataFrame, path: str, sets, set_col: str = "set_name") -> None:
-    """The JSON object form with the named sets as fields. The object is one value, so this is an export
-    for small mixtures; each set's essays are ordered by document."""
+def write_mixture_json(df: DataFrame, path: str, sets, set_col: str = "set_name", block_essays: int = 200) -> None:
+    """The JSON object form with the named sets as fields, in many files of one object each: an object holds
+    at most ``block_essays`` essays, ordered by document, so no set is gathered in one row. Blocks follow the
+    order of set and document, and positions count inside an object. ``read_mixture`` reads the folder as one
+    mixture; a set without essays is an empty array."""
+    from ..operators.indexing import with_row_index
+    names = list(sets)
     fields = [f.name for f in ESSAY_SCHEMA.fields]
-    essay = F.struct(*[F.col(c) if c in df.columns else F.lit(None).alias(c) for c in fields])
-    one = df.agg(*[F.array_sort(F.collect_list(F.when(F.col(set_col) == n, essay))).alias(n) for n in sets])
-    one.coalesce(1).write.mode("overwrite").json(path)
+    essay = F.struct(*[F.col(c) if c in df.columns else F.lit(None).cast(ESSAY_SCHEMA[c].dataType).alias(c) for c in fields])
+    rows = df.filter(F.col(set_col).isin(names)).select(F.col(set_col).alias("_set"), essay.alias("_essay"), F.col("document").alias("_document"))
+    block = F.floor(F.col("_index") / block_essays)
+    blocks = (with_row_index(rows, ["_set", "_document"], "_index").groupBy(block.alias("_block"))
+              .agg(*[F.array_sort(F.collect_list(F.when(F.col("_set") == n, F.col("_essay")))).alias(n) for n in names]).select(*[F.col(f"`{n}`") for n in names]))
+    # one object without essays: every requested set is there, also in an empty mixture
+    empty = df.sparkSession.createDataFrame([tuple([] for _ in names)], blocks.schema)
+    blocks.unionByName(empty).write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def read_folds(spark: SparkSession, path: str) -> DataFrame:

@@ -203,3 +203,21 @@ def test_softmax_and_id_label_default(spark):
     assert abs(sum(p) - 1.0) < 1e-12 and p[2] > p[1] > p[0]
     df = spark.createDataFrame([(0,), (12,), (-100,)], "i int")
     assert [r.l for r in df.select(id_label(F.col("i"), "bio13", default="O").alias("l")).collect()] == ["B-EMAIL", "O", "O"]
+
+
+def test_mixture_json_is_many_bounded_objects(spark, tmp_path):
+    import glob
+    import json
+    from piisieve.sources.essays import read_mixture, write_mixture_json
+    rows = [("hot", 1 + i // 2, ["a", str(i)], ["O", "B-EMAIL"]) for i in range(50)] + [("odd name", 7, [], []), ("other", 8, ["x"], ["O"])]
+    df = spark.createDataFrame(rows, "set_name string, document long, tokens array<string>, labels array<string>")
+    path, sets = str(tmp_path / "mix"), ["hot", "odd name", "none"]
+    write_mixture_json(df, path, sets, block_essays=8)
+    files = [open(f).read().splitlines() for f in glob.glob(path + "/part-*.json")]
+    assert max(len(f) for f in files) == 1
+    sizes = [sum(len(v) for v in json.loads(f[0]).values()) for f in files if f]
+    assert sum(sizes) == 51 and max(sizes) == 8
+    got = read_mixture(spark, path, sets, json_object=True).collect()
+    assert sorted((r.set_name, r.document, r.tokens, r.labels) for r in got) == sorted(r for r in rows if r[0] != "other")
+    write_mixture_json(df.limit(0), path, sets)
+    assert read_mixture(spark, path, sets, json_object=True).count() == 0
