@@ -228,3 +228,31 @@ def op10_cross_polytope(spark, sf_dir):
     from .cross_polytope import nearest_neighbours
 
     return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """The contract's rewriting of every tenth document (by crc32 of its id): from word a on the words repeat
+    with period p. Other texts stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+
+    def repeated(w):  # w is bound once: the words are extracted once
+        n = F.size(w).cast("long")
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        period = F.slice(w, (a + 1).cast("int"), p.cast("int"))
+        times = F.ceil((n - a) / p).cast("int")
+        return F.array_join(F.slice(F.concat(F.slice(w, F.lit(1), a.cast("int")), F.flatten(F.array_repeat(period, times))),
+                                    F.lit(1), n.cast("int")), " ")
+
+    chosen = (F.pmod(h, F.lit(10)) == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return docs.select("doc_id", F.when(chosen, F.transform(F.array(words), repeated)[0]).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark, sf_dir):
+    """Runs of every whole text after the contract's rewriting, the highest power and the collapsed text."""
+    from .periodic_runs import collapse_runs
+
+    return collapse_runs(with_planted_runs(table(spark, sf_dir, "documents")))
