@@ -256,3 +256,42 @@ def op13_periodic_runs(spark, sf_dir):
     from .periodic_runs import collapse_runs
 
     return collapse_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+
+
+@query("op12_prefix_trie", sql="""
+WITH t AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS g,
+                  length(coalesce(text, ''))::BIGINT AS chars, turn FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, g, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, g) - 1 AS i FROM t),
+z AS (SELECT conv_id, count(*) AS own FROM o GROUP BY 1),
+crc AS (  -- crc32 by its table, a byte at a time
+  WITH RECURSIVE tab(n, c, k) AS (SELECT n, n::BIGINT, 0 FROM range(256) r(n) UNION ALL
+         SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM tab WHERE k < 8),
+  byte AS (SELECT n, c FROM tab WHERE k = 8),
+  step(conv_id, s, c) AS (SELECT conv_id, conv_id::VARCHAR, 4294967295::BIGINT FROM z UNION ALL
+         SELECT conv_id, s[2:], xor(step.c // 256, byte.c) FROM step JOIN byte ON byte.n = xor(step.c % 256, ascii(s[1])::BIGINT) WHERE s <> '')
+  SELECT conv_id, xor(c, 4294967295) % 6 AS h FROM step WHERE s = ''),
+v AS (SELECT z.conv_id, h, z.conv_id - z.conv_id % 100 AS base, least(h, coalesce(b.own, 0)) AS got
+      FROM z JOIN crc USING (conv_id) LEFT JOIN z b ON b.conv_id = z.conv_id - z.conv_id % 100),
+r AS (SELECT v.conv_id, i + 1 AS pos, g, chars FROM v JOIN o ON o.conv_id = base WHERE i < h
+      UNION ALL SELECT conv_id, i - h + got + 1, g, chars FROM v JOIN o USING (conv_id) WHERE i >= h),
+p AS (SELECT conv_id, pos AS depth, string_agg(g, '') OVER w AS k, chars FROM r
+      WINDOW w AS (PARTITION BY conv_id ORDER BY pos) UNION ALL SELECT conv_id, 0, '', 0 FROM z),
+n AS (SELECT k, depth, min(conv_id) AS owner, count(*) AS n_convs, min(chars) AS chars FROM p GROUP BY k, depth),
+m AS (SELECT p.conv_id, p.k, p.depth, n.owner, n.n_convs, n.chars FROM p JOIN n USING (k, depth)),
+kids AS (SELECT left(k, 32 * (depth - 1)) AS k, depth - 1 AS depth, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+below AS (SELECT DISTINCT x.k, x.depth, y.k AS yk, y.depth AS yd, y.n_convs AS yn, y.chars AS yc
+          FROM m x JOIN m y ON x.conv_id = y.conv_id AND y.depth >= x.depth),
+sums AS (SELECT b.k, b.depth, count(*) FILTER (WHERE kids.k IS NULL) AS n_leaves, sum((yn - 1) * yc)::BIGINT AS saved_tokens
+         FROM below b LEFT JOIN kids ON kids.k = yk AND kids.depth = yd GROUP BY ALL),
+last AS (SELECT conv_id, max(depth) AS depth FROM p GROUP BY conv_id),
+ends AS (SELECT m.k, m.depth, string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id) AS ids
+         FROM m JOIN last USING (conv_id, depth) GROUP BY ALL)
+SELECT n.owner AS conv_id, n.depth, q.owner AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM n LEFT JOIN n q ON q.depth = n.depth - 1 AND q.k = left(n.k, 32 * (n.depth - 1)) LEFT JOIN kids ON kids.k = n.k AND kids.depth = n.depth
+JOIN sums ON sums.k = n.k AND sums.depth = n.depth LEFT JOIN ends ON ends.k = n.k AND ends.depth = n.depth""")
+def op12_prefix_trie(spark, sf_dir):
+    """Trie of all conversations after the contract's rebuilding from shared first turns."""
+    from .prefix_trie import ordered_turns, prefix_trie, with_shared_heads
+
+    return prefix_trie(with_shared_heads(ordered_turns(table(spark, sf_dir, "conversations"))))
