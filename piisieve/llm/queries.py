@@ -295,3 +295,11 @@ def op12_prefix_trie(spark, sf_dir):
     from .prefix_trie import ordered_turns, prefix_trie, with_shared_heads
 
     return prefix_trie(with_shared_heads(ordered_turns(table(spark, sf_dir, "conversations"))))
+
+
+@query("op11_secret_scan")
+def op11_secret_scan(spark, sf_dir):
+    """Secrets of every whole text: fixed patterns, and literals assigned to sensitive names."""
+    from .secret_scan import scan_secrets, secret_digests
+
+    return secret_digests(scan_secrets(table(spark, sf_dir, "documents")))
