@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 CACHE_WORDS = 400_000
+PIECE_LETTERS = 100
 
 
 @dataclass(frozen=True)
@@ -70,10 +71,13 @@ def fit_language_model(df: DataFrame, key: str = "doc_id", text: str = "text", l
     marked = F.concat(F.lit("^"), F.col("item"), F.lit("$"))
     grams = None
     for size in range(1, max_gram + 1):
-        each = (words.filter(F.length("item") <= 100)
-                .select("lang", "n", F.lit(size).alias("size"), F.explode(
-                    F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - (size - 1), F.lit(1))),
-                                lambda i: F.substring(marked, i, F.lit(size)))).alias("item"))
+        # runs of any length are cut into pieces that overlap by size - 1 letters, so each n-gram starts in one piece
+        piece = F.transform(F.sequence(F.lit(0), F.floor((F.length(marked) - 1) / PIECE_LETTERS).cast("int")),
+                            lambda i: F.substring(marked, i * PIECE_LETTERS + 1, F.lit(PIECE_LETTERS + size - 1)))
+        pieces = words.select("lang", "n", F.explode(piece).alias("piece"))
+        each = (pieces.select("lang", "n", F.lit(size).alias("size"), F.explode(
+                    F.transform(F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(PIECE_LETTERS))),
+                                lambda i: F.substring(F.col("piece"), i, F.lit(size)))).alias("item"))
                 .filter(F.length("item") == size))
         grams = each if grams is None else grams.unionByName(each)
     grams = grams.groupBy("lang", "size", "item").agg(F.sum("n").alias("n"))

@@ -17,7 +17,8 @@ all shards add up exactly to the quotas. Shards then take disjoint runs of each
 blocks and are shuffled inside by a hash.
 
 A source holding a third of all rows is spread over its blocks; only block totals and source totals
-(bounded by sources times blocks) meet in one place. No document is cut.
+(bounded by sources times blocks) meet in one place; more than ``max_sources`` sources are refused.
+No document is cut.
 
 Defined results: null text has size 0 and is never taken; a null source is a source of its own (last);
 an empty table, or one without words, takes nothing; repeated rows and null ids are documents of
@@ -42,6 +43,7 @@ class MixSettings:
     blocks: int = 512
     tree_levels: int = 4  # 2 ** tree_levels output shards
     corrections: int = 2
+    max_sources: int = 10_000
     seed: int = 17
 
 
@@ -77,7 +79,9 @@ def source_targets(sizes: DataFrame, s: MixSettings = MixSettings()) -> DataFram
     level = ((F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
              / F.sum("weight").over(onwards))
     rows = rows.withColumn("level", level).withColumn("open", F.col("level") <= F.col("cap") / F.col("weight"))
-    rows = rows.withColumn("common", F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(whole)["level"])
+    # the first open source in that order; sources that fill up at one level are told apart by their names
+    first_open = F.min(F.when(F.col("open"), F.struct(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source", "level"))).over(whole)
+    rows = rows.withColumn("common", first_open["level"])
     target = F.least(F.col("cap"), F.coalesce(F.col("common") * F.col("weight"), F.col("cap")))
     return rows.select("source", "source_size", target.cast("double").alias("target"))
 
@@ -191,7 +195,11 @@ def mix(docs: DataFrame, settings: MixSettings = MixSettings(), key: str = "doc_
         document_hash(key, text, s.seed).alias("h"))
         .withColumns({"block": F.pmod(F.col("h"), F.lit(s.blocks)).cast("int"),
                       "row": F.monotonically_increasing_id()}), "sizes")  # row tells repeated rows apart
-    targets = stored(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), s), "targets")
+    sizes = stored(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "source_sizes")
+    found_sources = sizes.count()
+    if found_sources > s.max_sources:
+        raise ValueError(f"{found_sources} sources; targets are shared in one place, so at most max_sources = {s.max_sources}")
+    targets = stored(source_targets(sizes, s), "targets")
     blocks = stored(_dealt_blocks(stored(_blocks_taken(rows, targets, s), "blocks"), s), "dealt")
     found = rows.join(blocks.withColumnsRenamed({"source": "s1", "block": "b1"}),
                       F.col("source").eqNullSafe(F.col("s1")) & (F.col("block") == F.col("b1")), "left").drop("s1", "b1")

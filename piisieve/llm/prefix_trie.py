@@ -123,12 +123,14 @@ def decomposition(nodes: DataFrame, members: DataFrame, values: list[str]) -> li
     steps = members.select("conv_id", (F.col("depth") - 1).alias("depth"), F.col("owner").alias("next"))
     shared = stored(shared.join(steps, ["conv_id", "depth"]).select(
         F.col("conv_id").alias("owner"), F.col("depth").alias("at"), F.col("owner").alias("above"), "next"), "ancestors")
-    root = nodes.filter("depth = 0").select(F.col("owner").alias("top"), F.lit(0).cast("long").alias("top_depth"))
-    state = stored(nodes.select("owner", "depth", "weight", *values).join(own, "owner").crossJoin(F.broadcast(root)), "state")
+    root = nodes.filter("depth = 0").agg(F.min("owner").alias("top")).first()["top"]  # one number
+    state = stored(nodes.select("owner", "depth", "weight", *values).join(own, "owner").withColumns(
+        {"top": F.lit(root).cast("long"), "top_depth": F.lit(0).cast("long")}), "state")
     comp, rounds = ["top", "top_depth"], []
     while not state.isEmpty():
         total = state.groupBy(*comp).agg(F.max("weight").alias("total"))
-        heavy = state.join(total, comp).withColumn("path", 2 * F.col("weight") > F.col("total"))
+        # stored, so that a join by a large component is not bound to the aggregation after it and can be split
+        heavy = stored(state.join(total, comp).withColumn("path", 2 * F.col("weight") > F.col("total")).drop("total"), "heavy")
         centre = heavy.filter("path").groupBy(*comp).agg(
             F.max_by(F.struct(F.col("owner").alias("c"), F.col("depth").alias("c_depth"), F.col("weight").alias("c_weight")), "depth").alias("m"))
         half = heavy.join(centre.select(*comp, "m.*"), comp)

@@ -170,13 +170,34 @@ def _level_strength(children: str, parent: str) -> str:
              FROM {children} WHERE n > 0 GROUP BY {parent}))"""
 
 
+def _suffix_rules() -> str:
+    """Twin of url_reputation.suffix_labels: labels of the public suffix, rule by rule."""
+    from .url_reputation import PUBLIC_SUFFIXES
+
+    out = []
+    for rule in sorted(PUBLIC_SUFFIXES, key=lambda r: (not r.startswith("!"), -r.count("."))):
+        n = rule.count(".") + 1
+        if rule.startswith("!"):
+            out.append(f"WHEN name = '{rule[1:]}' OR name LIKE '%.{rule[1:]}' THEN {n - 1}")
+        elif rule.startswith("*."):
+            out.append(f"WHEN name LIKE '%.{rule[2:]}' THEN {n}")
+        else:
+            out.append(f"WHEN name = '{rule}' OR name LIKE '%.{rule}' THEN {n}")
+    return f"CASE {' '.join(out)} ELSE 1 END"
+
+
+_SUFFIX_LABELS = _suffix_rules()
+
+
 @query("op4_url_reputation", sql=f"""
 WITH r AS (SELECT page_id, coalesce(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END, '') AS rest FROM pages),
 p AS (SELECT page_id, {_HOST} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 o AS (SELECT doc_id AS page_id, max(CASE (quality = 0 OR toxic = 1) WHEN true THEN 1.0::DOUBLE WHEN false THEN 0.0::DOUBLE END) AS bad FROM labels GROUP BY 1),
 h AS (SELECT host, count(bad)::DOUBLE AS n, coalesce(sum(bad), 0)::DOUBLE AS k FROM p LEFT JOIN o USING (page_id) GROUP BY host),
 named AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM h),
-hosts AS (SELECT host, n, k, regexp_extract(name, '([^.]*[.])?[^.]*$', 0) AS domain, regexp_extract(name, '[^.]*$', 0) AS suffix FROM named),
+cut AS (SELECT host, n, k, name, string_split(name, '.') AS l, regexp_matches(name, '^[0-9.]+$') OR starts_with(name, '[') AS address, {_SUFFIX_LABELS} AS s FROM named),
+hosts AS (SELECT host, n, k, CASE WHEN address THEN name ELSE array_to_string(l[-(s + 1):], '.') END AS domain,
+                 CASE WHEN address THEN 'address' ELSE array_to_string(l[-s:], '.') END AS suffix FROM cut),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, 1 AS al, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
 overall AS (SELECT (coalesce(sum(k), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS m FROM suffixes),
@@ -214,6 +235,29 @@ def op9_quality_rules(spark, sf_dir):
     return apply_rules(docs, rules).select("doc_id", *COUNTS, "base_failed", "kept", "rule")
 
 
+_SIZED = r"""SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS n FROM documents GROUP BY source"""
+
+
+@query("mixing_targets", sql=f"""
+WITH RECURSIVE sized AS ({_SIZED}),
+w AS (SELECT source, n, [5.0::DOUBLE, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS weight FROM sized),
+fill(step, source, n, weight, is_full) AS (  -- whoever would get more than three times its size is full; again until none is
+  SELECT 0, source, n, weight, false FROM w UNION ALL
+  SELECT step + 1, source, n, weight, is_full OR share * weight > 3 * n FROM (
+    SELECT *, (sum(n) OVER () - sum(3 * n) FILTER (WHERE is_full) OVER ()) / sum(weight) FILTER (WHERE NOT is_full) OVER () AS share0,
+           coalesce(share0, sum(n) OVER () / sum(weight) OVER ()) AS share FROM fill) WHERE step < (SELECT count(*) FROM w)),
+done AS (SELECT * FROM fill WHERE step = (SELECT count(*) FROM w))
+SELECT source, n AS source_size, CASE WHEN is_full THEN 3.0 * n ELSE
+         weight * ((SELECT sum(n) FROM w) - (SELECT coalesce(sum(3 * n), 0) FROM done WHERE is_full)) / (SELECT sum(weight) FROM done WHERE NOT is_full) END AS target
+FROM done""")
+def mixing_targets(spark, sf_dir):
+    """Size and target of every source of all documents."""
+    from .mixing import source_targets, word_count
+
+    docs = table(spark, sf_dir, "documents").select(F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
+    return source_targets(docs.groupBy("source").agg(F.sum("size").alias("source_size")))
+
+
 @query("op6_mixing")
 def op6_mixing(spark, sf_dir):
     """All documents mixed to the sources' target weights; the words the mix takes of each."""

@@ -5,7 +5,9 @@ mean is its registered domain's shrunken rate, which in turn is shrunk towards i
 that towards the overall rate; the strength of each level is estimated from the spread between its
 children (method of moments for the beta-binomial). A host is blocked when the lower bound of its
 posterior bad rate, ``z`` standard deviations below the mean, is above ``block_above``. Hosts without
-outcomes get their domain's prior.
+outcomes get their domain's prior. Public suffixes are rules with wildcards and exceptions; the default
+knows a part of the public list only, so under a suffix that it lacks unrelated hosts share a domain:
+give the whole list (``read_suffixes``) for real crawls.
 
 Defined results: a null url or one without ``://`` has an empty host and path and is judged like any
 host; port and user name count as part of the host for rules but not for reputation; among rules of
@@ -23,9 +25,15 @@ from pyspark.sql import functions as F
 
 from .tables import stored
 
-# ---- fixed values: two-label public suffixes that this filter knows ----
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp",
-                      "co.kr", "co.nz", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "co.in", "co.za")
+# ---- fixed values: public suffixes of several labels that this filter knows by default, a part of the public list;
+# give the whole list with ``read_suffixes`` ----
+PUBLIC_SUFFIXES = (
+    "ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "edu.au", "gov.au", "co.jp", "ne.jp", "or.jp", "ac.jp", "go.jp",
+    "co.kr", "or.kr", "co.nz", "org.nz", "com.br", "gov.br", "org.br", "net.br", "com.cn", "gov.cn", "org.cn", "com.mx", "com.tr", "com.tw",
+    "co.in", "gov.in", "co.za", "org.za", "com.sg", "edu.sg", "gov.sg", "co.il", "org.il", "ac.il", "com.ar", "com.co", "com.hk", "com.my",
+    "com.ph", "com.pl", "com.ua", "com.vn", "com.eg", "com.sa", "co.id", "co.th", "in.th", "com.pk", "com.ng", "co.ke", "com.pe", "com.ve",
+    "github.io", "gitlab.io", "blogspot.com", "appspot.com", "herokuapp.com", "netlify.app", "vercel.app", "pages.dev", "web.app",
+    "azurewebsites.net", "cloudfront.net", "*.ck", "!www.ck", "*.kawasaki.jp", "!city.kawasaki.jp")
 # ---- end of fixed values ----
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,6 +55,7 @@ class ReputationSettings:
     z: float = 1.645
     block_above: float = 0.5
     max_strength: float = 10_000.0
+    suffixes: tuple[str, ...] = PUBLIC_SUFFIXES
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -67,14 +76,38 @@ def match_rules(host: Column, path: Column, rules: list[UrlRule]) -> tuple[Colum
     return name, verdict
 
 
-def domain_and_suffix(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix of a host without user name and port; an address is its own domain."""
+def read_suffixes(spark, path: str) -> tuple[str, ...]:
+    """Rules of several labels from a file in the public suffix list's format (a rule to a line, ``//`` comments,
+    ``*.`` wildcards, ``!`` exceptions). The list has about ten thousand rules; one label needs no rule."""
+    rule = F.lower(F.regexp_extract("value", r"^\s*(\S+)", 1))
+    rows = spark.read.text(path).select(rule.alias("rule")).filter("rule LIKE '%.%' AND rule NOT LIKE '//%'").distinct().collect()
+    return tuple(sorted(r["rule"] for r in rows))
+
+
+def suffix_labels(name: Column, suffixes: tuple[str, ...]) -> Column:
+    """How many labels of ``name`` are its public suffix: the longest rule that fits, an exception taking its first
+    label off a wildcard; one label if no rule fits."""
+    labels = F.lit(1)
+    for n in range(2, max((s.count(".") + 1 for s in suffixes), default=1) + 1):
+        last, rest = F.substring_index(name, ".", -n), F.substring_index(name, ".", -(n - 1))
+        plain = [s for s in suffixes if s[0] not in "*!" and s.count(".") == n - 1]
+        wild = [s[2:] for s in suffixes if s.startswith("*.") and s.count(".") == n - 1]
+        if plain or wild:  # a wildcard stands for a label that is there
+            labels = F.when(last.isin(*plain) | (rest.isin(*wild) & (last != rest)), n).otherwise(labels)
+    for s in suffixes:
+        if s[0] == "!":
+            labels = F.when(F.concat(F.lit("."), name).endswith("." + s[1:]), s.count(".")).otherwise(labels)
+    return labels
+
+
+def domain_and_suffix(host: Column, suffixes: tuple[str, ...] = PUBLIC_SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and public suffix of a host without user name and port; an address is its own domain,
+    and so is a host that is a public suffix."""
     name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
-    two = F.substring_index(name, ".", -2)
-    long_suffix = two.isin(*TWO_LABEL_SUFFIXES)
     address = name.rlike(r"^[0-9.]+$") | name.startswith("[")
-    suffix = F.when(address, "address").when(long_suffix, two).otherwise(F.substring_index(name, ".", -1))
-    domain = F.when(address, name).when(long_suffix, F.substring_index(name, ".", -3)).otherwise(two)
+    n = suffix_labels(name, suffixes)
+    suffix = F.when(address, "address").otherwise(F.call_function("substring_index", name, F.lit("."), -n))
+    domain = F.when(address, name).otherwise(F.call_function("substring_index", name, F.lit("."), -(n + 1)))
     return domain, suffix
 
 
@@ -98,7 +131,7 @@ def _strength(children: DataFrame, parent: str, s: ReputationSettings) -> float:
 
 def host_reputations(outcomes: DataFrame, s: ReputationSettings = ReputationSettings()) -> DataFrame:
     """(host, bad_rate, bad_bound) for each host of ``outcomes`` (host, bad: boolean, null if unlabelled)."""
-    domain, suffix = domain_and_suffix(F.col("host"))
+    domain, suffix = domain_and_suffix(F.col("host"), s.suffixes)
     counted = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"),
                                            F.sum(F.col("bad").cast("double")).alias("k"))
     hosts = stored(counted.select("host", domain.alias("domain"), suffix.alias("suffix"), "n",

@@ -62,3 +62,27 @@ def test_a_full_cache_changes_nothing(monkeypatch):
     monkeypatch.setattr(m, "CACHE_WORDS", 5)
     one = Scorer(model)
     assert [one.predict(t) for t in texts] == whole
+
+
+def test_long_runs_teach_their_ngrams(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(5)
+    run = {x: ["".join(rng.choice(SYLLABLES[x]) for _ in range(60)) for _ in range(12)] for x in ("aa", "bb")}
+    rows = [(i, r, x, "s", 1) for x in run for i, r in enumerate(run[x])] + [(99, "".join(run["aa"]) * 3, "aa", "s", 1)]
+    assert min(len(r[1]) for r in rows) > 100
+    model = fit_language_model(documents(spark, rows), smoothing=0.5)
+    counts = {}
+    for _, t, x, *_ in rows:
+        for size in range(1, 5):
+            marked = f"^{t}$"
+            counts.setdefault(size, {}).setdefault(x, Counter()).update(marked[i:i + size] for i in range(len(marked) - size + 1))
+    for size, by_lang in counts.items():
+        items = set().union(*by_lang.values())
+        assert {g for g in model.grams if len(g) == size} == items
+        for i, x in enumerate(model.langs):
+            total = sum(by_lang[x].values()) + 0.5 * len(items)
+            assert all(math.isclose(model.grams[g][i], math.log((by_lang[x][g] + 0.5) / total)) for g in items)
+    test = spark.createDataFrame([(1, "".join(rng.choice(SYLLABLES["bb"]) for _ in range(70)))], "doc_id long, text string")
+    assert detect_language(test, model).first().lang_pred == "bb"

@@ -85,3 +85,30 @@ def test_tree_deals_all_blocks(spark):
 def test_plan_has_no_python(spark):
     plan = mix(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
+def test_targets_under_ties(spark):
+    import pytest
+    from piisieve.llm.mixing import source_targets
+
+    cases = [{f"s{i}": 8 for i in range(6)}, {"a": 100, "b": 40, "c": 20}, {f"s{i:03}": 8 for i in range(300)}, {f"s{i}": 160 for i in range(6)},
+             {"a": 8, "b": 8, None: 8}, {"a": 0, "b": 5, "c": 0}, {"a": 1, "b": 1000, "c": 1, "d": 1000, "e": 7, None: 1}]
+    for sizes in cases:
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+        got = {r.source: r.target for r in source_targets(df).collect()}
+        want = brute_targets(sizes)
+        assert all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-9) and got[k] >= 0 for k in sizes)
+        assert math.isclose(sum(got.values()), sum(min(3 * n, 1e18) if got[k] >= 3 * n else got[k] for k, n in sizes.items()))
+        if all(got[k] < 3 * n for k, n in sizes.items()):
+            assert math.isclose(sum(got.values()), sum(sizes.values()))
+    with pytest.raises(ValueError):
+        mix(documents(spark), MixSettings(max_sources=2))
+
+
+def test_mix_of_equal_sources(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 8), "en", f"s{i % 60:02}", 1) for i in range(240)]
+    got = check(documents(spark, rows))
+    assert abs(sum(r.taken for r in got) - 240 * 8) <= 60 * 5

@@ -55,7 +55,7 @@ def odd_conversations():
         for t in range(rng.randint(1, 9)):
             rows.append((c, t, rng.choice(["user", "assistant"]), rng.choice(["hi", "ok", "é👍", "", None, "long " * 40])))
     rows += [(c, t, "user", "same") for c in range(300, 330) for t in range(7)]  # copies
-    rows += [(400, t, "user", str(t % 3)) for t in range(400)] + [(401, t, "user", str(t % 3)) for t in range(2600)]  # deep
+    rows += [(400, t, "user", str(t % 3)) for t in range(400)] + [(401, t, "user", str(t % 3)) for t in range(1100)]  # deep
     rows += [(500, None, None, None), (500, None, "user", None), (500, 3, "a", "x"), (500, 3, "a", "x"), (500, 3, "b", "x")]
     rows += [(None, 1, "user", "lost"), (650, 0, "user", "y" * 50_000)]
     return rows
@@ -74,13 +74,13 @@ def test_nodes_of_odd_conversations(spark):
 
 
 def test_rounds_are_logarithmic(spark):
-    rows = [(1000 + c, t, "user", f"{c if t >= 200 else 0} {t}") for c in range(3) for t in range(600)]
+    rows = [(1000 + c, t, "user", f"{c if t >= 100 else 0} {t}") for c in range(3) for t in range(300)]
     turns = ordered_turns(frame(spark, rows)).select("conv_id", (F.col("idx") + 1).alias("pos"), "digest", "chars")
     nodes, members = trie_nodes(stored(prefixes(turns), "p"))
     rounds = decomposition(nodes.withColumn("one", F.lit(1).cast("long")), members, ["one"])
-    assert len(rounds) <= 12  # 1803 prefix rows
+    assert len(rounds) <= 11  # 903 prefix rows
     sizes = [r.count() for r in rounds]
-    assert sizes[0] == 1 + 200 + 3 * 400 and sizes == sorted(sizes, reverse=True)
+    assert sizes[0] == 1 + 100 + 3 * 200 and sizes == sorted(sizes, reverse=True)
 
 
 def test_end_digests_over_many_ids(spark):

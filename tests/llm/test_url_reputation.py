@@ -76,3 +76,28 @@ def test_url_columns_of_every_character(spark):
     host, path = host_and_path(F.col("url"))
     for r in df.select("url", host.alias("host"), path.alias("path")).collect():
         assert (r.host, r.path) == parts(r.url)
+
+
+def test_public_suffixes(spark, tmp_path):
+    from piisieve.llm.url_reputation import read_suffixes
+
+    want = {"a.b.com.sg": ("b.com.sg", "com.sg"), "u1.github.io": ("u1.github.io", "github.io"), "x.u2.github.io": ("u2.github.io", "github.io"),
+            "a.b.c.ck": ("b.c.ck", "c.ck"), "a.www.ck": ("www.ck", "ck"), "ck": ("ck", "ck"), "com.sg": ("com.sg", "com.sg"), "a.b.com": ("b.com", "com"),
+            "x.y.z.kawasaki.jp": ("y.z.kawasaki.jp", "z.kawasaki.jp"), "x.city.kawasaki.jp": ("city.kawasaki.jp", "kawasaki.jp"),
+            "10.0.0.1:80": ("10.0.0.1", "address"), "me@a.co.uk:1": ("a.co.uk", "co.uk"), "": ("", ""), "xcom.sg": ("xcom.sg", "sg")}
+    domain, suffix = domain_and_suffix(F.col("h"))
+    df = spark.createDataFrame([(h,) for h in want], "h string")
+    assert {r.h: (r.d, r.s) for r in df.select("h", domain.alias("d"), suffix.alias("s")).collect()} == want
+    (tmp_path / "list.dat").write_text("// comment\ncom\n\n*.Foo.bar\nco.xx  x\n!a.foo.bar\n")
+    assert read_suffixes(spark, str(tmp_path / "list.dat")) == ("!a.foo.bar", "*.foo.bar", "co.xx")
+    alone = domain_and_suffix(F.col("h"), ("co.xx",))
+    assert tuple(spark.createDataFrame([("a.b.com.sg",)], "h string").select(*alone).first()) == ("com.sg", "sg")
+
+
+def test_strangers_under_a_shared_suffix_do_not_judge_each_other(spark):
+    urls = [f"http://bad{i}.github.io/{j}" for i in range(5) for j in range(40)] + ["http://clean.github.io/"]
+    found = judge_urls(pages(spark, urls), labels(spark, [(i, 0, 0) for i in range(200)]), []).collect()
+    assert all(r.verdict == "block" for r in found if r.page_id < 200)
+    domains = domain_and_suffix(F.col("host"))[0]
+    hosts = spark.createDataFrame([("bad1.github.io",), ("clean.github.io",)], "host string").select(domains.alias("d")).collect()
+    assert len({r.d for r in hosts}) == 2
