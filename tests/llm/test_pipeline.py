@@ -82,3 +82,21 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
     assert docs.collect() == []
+
+
+def test_near_dedup_of_shared_and_missing_ids(spark):
+    rng = random.Random(6)
+    a, b, c, d, e = (prose(rng, 40) for _ in range(5))
+    rows = [(1, a), (2, a), (2, b), (None, a), (None, d), (None, d), (3, c), (3, c), (4, e + " more"), (None, e), (5, None), (5, None), (6, "")]
+    docs = documents(spark, [(i, t, "en", "s", 1) for i, t in rows])
+    got = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(
+        [(1, a), (2, b), (None, d), (3, c), (4, e + " more"), (5, None), (6, "")], key=str)
+
+
+def test_near_dedup_of_own_ids_is_the_operator(spark):
+    from piisieve.llm.minhash_dedup import near_duplicates
+
+    docs = documents(spark, [r for r in corpus() if r[0] is not None and r[0] >= 100])
+    want = {r.doc_id for r in near_duplicates(docs).filter("kept").collect()}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == want
