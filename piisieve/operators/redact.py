@@ -8,11 +8,11 @@ span survives; touching spans stay apart.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.hashing import hash32
 from .detect import PATTERN_RULES, has_match, rule_spans
+from .surrogates import assign_surrogates
 
 SPANS = "array<struct<start:int,end:int,type:string>>"
 
@@ -89,29 +89,25 @@ def redact_spans(docs: DataFrame, spans: DataFrame, doc: str = "doc_id", text: s
     return j.withColumn(out, F.coalesce(_rebuild(False)(touched, F.col("_sp")), F.col(text))).drop("_sp")
 
 
-def _pool_index(value: Column, salt: str, n: int) -> Column:
-    return hash32(value, F.lit(salt)) % F.lit(n)
-
-
-def pseudonymise(matches: DataFrame, pool: DataFrame, salt: str, value: str = "match",
-                 out: str = "surrogate", pool_size: int | None = None) -> DataFrame:
-    """A pool entry for each value, chosen by md5(value | salt) mod pool size, so the same value
-    always gets the same surrogate. How the join runs is left to Spark's size estimates."""
-    n = pool_size if pool_size is not None else pool.count()
-    if n <= 0:
-        raise ValueError("empty surrogate pool")
-    p = pool.select(F.col("idx").cast("long").alias("_idx"), F.col("value").alias(out))
-    return matches.withColumn("_idx", _pool_index(F.col(value), salt, n)).join(p, "_idx", "left").drop("_idx")
+def pseudonymise(matches: DataFrame, pool: DataFrame, salt: str, value: str = "match", kind: str = "type",
+                 out: str = "surrogate", known: DataFrame | None = None) -> DataFrame:
+    """A pool entry of the value's type for each value; equal values of a type get the same entry and, while
+    the type's pool lasts, different values different ones. One row per match; a null value has no
+    surrogate. ``known`` is an earlier run's assignment (see ``surrogates``)."""
+    values = matches.select(F.col(kind).alias("entity_type"), F.col(value).alias("value"))
+    named = assign_surrogates(values, pool, salt, known).select(
+        F.col("entity_type").alias("_kind"), F.col("value").alias("_value"), F.col("surrogate").alias(out))
+    return matches.join(named, (F.col(kind) == F.col("_kind")) & (F.col(value) == F.col("_value")), "left").drop("_kind", "_value")
 
 
 def pseudonymise_text(docs: DataFrame, pool: DataFrame, salt: str, rules: dict, doc: str = "doc_id",
-                      text: str = "text", out: str = "pseudonymised") -> DataFrame:
+                      text: str = "text", out: str = "pseudonymised", known: DataFrame | None = None) -> DataFrame:
     """R8 in the text: every match of the rules is replaced by its surrogate. A merged span (overlapping
     matches) gets the tag of its type instead, since no single value stands for it."""
     from .detect import all_match_offsets
 
     found = all_match_offsets(docs, rules, text, (doc,))
-    named = pseudonymise(found, pool, salt)
+    named = pseudonymise(found, pool, salt, known=known)
     per_doc = named.groupBy(doc).agg(F.collect_list(F.struct(
         F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "type", "surrogate")).alias("_sp"))
     j = docs.join(per_doc, doc, "left")

@@ -3,7 +3,12 @@
 ``fn(pdf) -> pdf`` receives a pandas frame of windows (document, window, word_ids, ...) and returns
 per-window probability arrays. It runs through ``mapInPandas`` (Arrow batches), so no row passes
 through the driver. A model that has to be loaded is given as ``loader``: a function without
-arguments that each Python worker calls once and keeps, and that returns ``fn``.
+arguments that each Python worker calls once and keeps, and that returns ``fn``. Workers tell loaders
+apart by their pickled form (code and what they close over), so two models of a session stay two.
+
+With ``batch_size`` the model gets small batches: the windows of each Arrow batch are sorted by length, cut
+into batches and their arrays padded to the batch's longest, rounded up to a multiple of 16, so little
+work goes into padding. Outputs as long as the padded input are cut back; rows keep their order.
 """
 
 from __future__ import annotations
@@ -16,25 +21,65 @@ OUT_SCHEMA = "document long, window int, word_ids array<int>, probs array<array<
 _LOADED: dict = {}
 
 
-def _scorer(loader, key: str):
-    """The loaded model of this worker process; one for each key."""
+PADDING = {"word_ids": -1, "label_ids": -100, "pieces": "[PAD]"}
+MAX_LOADED = 4
+
+
+def identity(loader) -> str:
+    """A name for a function: the digest of its pickled form."""
+    import hashlib
+
+    from pyspark import cloudpickle
+    return hashlib.sha256(cloudpickle.dumps(loader)).hexdigest()
+
+
+def loaded(loader, key: str):
+    """What the loader returned in this worker process, one for each key; the oldest of more than a few goes."""
     if key not in _LOADED:
+        while len(_LOADED) >= MAX_LOADED:
+            _LOADED.pop(next(iter(_LOADED)))
         _LOADED[key] = loader()
     return _LOADED[key]
 
 
-def score_windows(windows: DataFrame, fn=None, schema: str = OUT_SCHEMA, loader=None, loader_key: str = "model",
-                  keep: tuple[str, ...] = ()) -> DataFrame:
-    """Scores of every window; ``keep`` names input columns that are passed on next to the scores."""
+def in_length_batches(pdf, score, batch_size: int, length: str = "word_ids", padding: dict | None = None, multiple: int = 16):
+    """``score`` over batches of ``pdf``'s rows in length order, arrays padded to a common length; its rows in
+    the order of ``pdf``."""
+    import numpy as np
+    import pandas as pd
+
+    padding = PADDING if padding is None else padding
+    sizes = pdf[length].map(len).to_numpy()
+    order, out = np.argsort(sizes, kind="stable"), []
+    for at in range(0, len(order), batch_size):
+        rows = order[at:at + batch_size]
+        batch, width = pdf.iloc[rows].reset_index(drop=True), -(-int(sizes[rows].max()) // multiple) * multiple
+        for c in (c for c in padding if c in pdf.columns):
+            batch[c] = pd.Series([[*x, *[padding[c]] * (width - len(x))] for x in batch[c]], dtype=object)
+        got = score(batch)
+        for c in got.columns:
+            if got[c].dtype == object:
+                got[c] = pd.Series([x[:n] if isinstance(x, (list, np.ndarray)) and len(x) == width else x
+                                    for x, n in zip(got[c], sizes[rows])], dtype=object)
+        out.append(got.set_axis(rows, axis=0))
+    return pd.concat(out).sort_index().reset_index(drop=True) if out else score(pdf)
+
+
+def score_windows(windows: DataFrame, fn=None, schema: str = OUT_SCHEMA, loader=None, loader_key: str | None = None,
+                  keep: tuple[str, ...] = (), batch_size: int | None = None, padding: dict | None = None) -> DataFrame:
+    """Scores of every window; ``keep`` names input columns that are passed on next to the scores. ``loader_key``
+    names the model in place of the loader's identity; ``padding`` gives the columns to pad with their fillers."""
     from ..session import ship_package
     ship_package(windows.sparkSession)
     if (fn is None) == (loader is None):
         raise ValueError("give either fn or loader")
 
+    key = loader_key if loader_key is not None or loader is None else identity(loader)
+
     def run(batches):
-        score = fn if fn is not None else _scorer(loader, loader_key)
+        score = fn if fn is not None else loaded(loader, key)
         for pdf in batches:
-            out = score(pdf)
+            out = score(pdf) if batch_size is None or not len(pdf) else in_length_batches(pdf, score, batch_size, padding=padding)
             for c in keep:
                 out[c] = pdf[c].to_numpy()
             yield out

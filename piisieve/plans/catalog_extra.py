@@ -80,9 +80,10 @@ def q_span_mean(spark, d):
         "document", "window", "spans", F.transform("pieces", lambda p: F.length(p).cast("long")).alias("piece_keys"))
     vecs = read(spark, d, "embeddings", "vec_id", "embedding").select(
         F.col("vec_id").alias("vec_key"), F.col("embedding").alias("vector"))
-    m = X.span_mean(w, vecs, VECTOR_DIMS)
+    m = X.span_mean(w, vecs).withColumn("mean", F.transform("mean", lambda x: round_half_away(x, 6)))
+    # windows without any known vector have a mean of no dimensions: zero in each
     return m.select("document", "window", "word", "n_pieces",
-                    *[round_half_away(f"m{i}", 6).alias(f"m{i}") for i in range(VECTOR_DIMS)])
+                    *[F.coalesce(F.get("mean", F.lit(i)), F.lit(0.0)).alias(f"m{i}") for i in range(VECTOR_DIMS)])
 
 
 # ----------------------------------------------------------------------------- L1-L4
@@ -225,11 +226,13 @@ def q_detect_entries(spark, d):
 , nw AS (SELECT document, token, w, row_number() OVER (PARTITION BY document ORDER BY token) AS p
   FROM (SELECT document, token, {ENTRY_NORM.format('word')} AS w FROM words) WHERE w <> ''),
 own AS (SELECT item_id, list_filter(list_transform(regexp_split_to_array(text, '[ \n]+'), lambda x: {ENTRY_NORM.format('x')}), lambda x: x <> '') AS a FROM benchmark),
-pool AS (SELECT DISTINCT 'PASSAGE' AS entity_type, a FROM own WHERE len(a) >= 1),
-pw AS (SELECT a, unnest(a) AS w, generate_subscripts(a, 1) AS i FROM pool),
-starts AS (SELECT nw.document, nw.p - pw.i AS at, pw.a, count(*) AS n FROM nw JOIN pw ON nw.w = pw.w GROUP BY ALL)
-SELECT s.document, nw.token, CAST(len(s.a) AS INTEGER) AS n_words, 'PASSAGE' AS entity_type FROM starts s
-JOIN nw ON nw.document = s.document AND nw.p = s.at + 1 WHERE s.n = len(s.a)""")
+pool AS (SELECT row_number() OVER () AS id, a FROM (SELECT DISTINCT a FROM own WHERE len(a) >= 1)),
+pairs AS (SELECT id, n, i, a[i] || ' ' || a[i + 1] AS k FROM (SELECT id, a, len(a) AS n, unnest(range(1, len(a))) AS i FROM pool)),
+nk AS (SELECT document, token, p, w, w || ' ' || lead(w) OVER (PARTITION BY document ORDER BY p) AS k FROM nw),
+starts AS (SELECT document, p - i AS at, id, n FROM nk JOIN pairs USING (k) GROUP BY ALL HAVING count(*) = n - 1
+  UNION ALL SELECT document, p - 1, id, 1 FROM nk JOIN pool ON len(a) = 1 AND a[1] = w)
+SELECT s.document, nw.token, CAST(s.n AS INTEGER) AS n_words, 'PASSAGE' AS entity_type FROM starts s
+JOIN nw ON nw.document = s.document AND nw.p = s.at + 1""")
 def q_detect_whole_entries(spark, d):
     """Dictionary entries of any length (the whole benchmark passages)."""
     pool = read(spark, d, "benchmark", "text").select(F.lit("PASSAGE").alias("entity_type"), F.col("text").alias("value"))
@@ -375,30 +378,63 @@ def q_redact_spans(spark, d):
     return r.select("doc_id", F.md5("redacted").alias("redacted_md5"), F.length("redacted").alias("n_chars"))
 
 
-SURR_SQL = """spool AS (SELECT CAST(row_number() OVER (ORDER BY v) - 1 AS BIGINT) AS idx, v FROM (
-  SELECT DISTINCT lower(replace(c_name, '#', '.')) || '@example.org' AS v FROM customer))"""
+SURR_SQL = """entries AS (
+  SELECT DISTINCT 'EMAIL' AS entity_type, lower(replace(c_name, '#', '.')) || '@example.org' AS v FROM customer UNION
+  SELECT 'PHONE_NUM', '+1 (555) ' || substr(lpad(s_suppkey::VARCHAR, 7, '0'), 1, 3) || '-' || substr(lpad(s_suppkey::VARCHAR, 7, '0'), 4) FROM supplier UNION
+  SELECT 'ID_NUM', lpad(p_partkey::VARCHAR, 16, '0') FROM part UNION
+  SELECT 'URL_PERSONAL', 'https://example.org/' || lower(replace(s_name, '#', '.')) FROM supplier),
+spool AS (SELECT entity_type, CAST(row_number() OVER (PARTITION BY entity_type ORDER BY v) - 1 AS BIGINT) AS idx, v FROM entries)"""
 
 
-def _surrogates(spark, d):
-    cust = read(spark, d, "customer", "c_name").select(
-        F.concat(F.lower(F.regexp_replace("c_name", "#", ".")), F.lit("@example.org")).alias("v"))
-    return pool_from_table(cust, "EMAIL", "v")
-
+def _walk_sql(matches: str) -> str:
+    """Twin of surrogates.assign_surrogates: the Feistel network walked until it lands inside the pool."""
+    def f(n, half):
+        return f"('0x' || substr(md5('{SALT}|' || type || '|' || cycle || '|{n}|' || {half}), 1, 8))::BIGINT"
 
-@register("pseudonymise", S.chain(MATCHES_SQL, SURR_SQL) + f"""
-SELECT m.doc_id, m.occurrence, m.match, s.v AS surrogate FROM matches m
-JOIN spool s ON s.idx = ('0x' || substr(md5(m.match || '|{SALT}'), 1, 8))::BIGINT % (SELECT count(*) FROM spool)
-WHERE m.type = 'EMAIL'""")
-def q_pseudonymise(spark, d):
-    """Every e-mail gets a surrogate address, the same one for the same value."""
-    m = detect_patterns(docs_text(spark, d), {"EMAIL": PATTERN_RULES["EMAIL"]})
-    return pseudonymise(m, _surrogates(spark, d), SALT).select("doc_id", "occurrence", "match", "surrogate")
+    step = (f"(x // b + {f(1, 'x % b')}) % a AS l1, (x % b + {f(2, 'l1')}) % b AS r1, (l1 + {f(3, 'r1')}) % a AS l2, "
+            f"(r1 + {f(4, 'l2')}) % b AS r2, l2 * b + r2 AS y")
+    return f"""ranked AS (SELECT type, match, row_number() OVER (PARTITION BY type ORDER BY match) - 1 AS i FROM (SELECT DISTINCT type, match FROM {matches})),
+sized AS (SELECT entity_type AS type, count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a, ceil(count(*) / ceil(sqrt(count(*))))::BIGINT AS b FROM spool GROUP BY 1),
+walk AS (WITH RECURSIVE w(type, match, n, a, b, cycle, x) AS (
+    SELECT type, match, n, a, b, cycle, y FROM (SELECT *, i // n AS cycle, i % n AS x, {step} FROM ranked JOIN sized USING (type))
+    UNION ALL SELECT type, match, n, a, b, cycle, y FROM (SELECT *, {step} FROM w WHERE x >= n)) SELECT * FROM w WHERE x < n),
+named AS (SELECT w.type, w.match, s.v FROM walk w JOIN spool s ON s.entity_type = w.type AND s.idx = w.x)"""
 
 
-@register("pseudonymise_text", S.chain(OFFSETS_SQL, SURR_SQL) + f"""
-, m AS (SELECT o.doc_id, o.start AS s, o.start + length(o.match) AS e, p.v FROM offsets o
-  JOIN spool p ON p.idx = ('0x' || substr(md5(o.match || '|{SALT}'), 1, 8))::BIGINT % (SELECT count(*) FROM spool)
-  WHERE o.type = 'EMAIL'),
+def _surrogates(spark, d):
+    """A pool for each pattern type, made of names and keys of the tables."""
+    def dotted(c):
+        return F.lower(F.regexp_replace(c, "#", "."))
+
+    phone = F.lpad(F.col("s_suppkey").cast("string"), 7, "0")
+    pools = [("EMAIL", read(spark, d, "customer", "c_name").select(F.concat(dotted("c_name"), F.lit("@example.org")).alias("v"))),
+             ("PHONE_NUM", read(spark, d, "supplier", "s_suppkey").select(
+                 F.concat(F.lit("+1 (555) "), F.substring(phone, 1, 3), F.lit("-"), F.substring(phone, 4, 4)).alias("v"))),
+             ("ID_NUM", read(spark, d, "part", "p_partkey").select(F.lpad(F.col("p_partkey").cast("string"), 16, "0").alias("v"))),
+             ("URL_PERSONAL", read(spark, d, "supplier", "s_name").select(F.concat(F.lit("https://example.org/"), dotted("s_name")).alias("v")))]
+    frames = [pool_from_table(df, kind, "v") for kind, df in pools]
+    pool = frames[0]
+    for f in frames[1:]:
+        pool = pool.unionByName(f)
+    return pool
+
+
+@register("pseudonymise", S.chain(MATCHES_SQL, SURR_SQL, _walk_sql("matches")) + """
+SELECT m.doc_id, m.type, m.occurrence, m.match, n.v AS surrogate FROM matches m JOIN named n USING (type, match)""")
+def q_pseudonymise(spark, d):
+    """Every match of every type gets a surrogate of its type: the same for the same value, others for others."""
+    return pseudonymise(detect_patterns(docs_text(spark, d)), _surrogates(spark, d), SALT).select(
+        "doc_id", "type", "occurrence", "match", "surrogate")
+
+
+@register("pseudonymise_text", S.chain(OFFSETS_SQL, SURR_SQL, _walk_sql("matches")) + """
+, spans AS (SELECT o.doc_id, o.start AS s, o.start + length(o.match) AS e, o.type, p.v FROM offsets o JOIN named p USING (type, match)),
+marked AS (SELECT *, coalesce(s >= max(e) OVER (PARTITION BY doc_id ORDER BY s, e DESC, type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM spans),
+islands AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY s, e DESC, type) AS island FROM marked),
+m AS (SELECT doc_id, min(s) AS s, max(e) AS e, CASE WHEN count(*) = 1 THEN min(v)
+        ELSE coalesce(max(v) FILTER (WHERE e - s = whole AND first), '[' || min(type) FILTER (WHERE first) || ']') END AS v
+      FROM (SELECT *, max(e) OVER w - min(s) OVER w AS whole, row_number() OVER (PARTITION BY doc_id, island ORDER BY s, e DESC, type) = 1 AS first
+            FROM islands WINDOW w AS (PARTITION BY doc_id, island)) GROUP BY doc_id, island),
 n AS (SELECT m.*, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS before FROM m),
 x AS (SELECT n.doc_id, string_agg(substr(d.text, (before + 1)::INT, (s - before)::INT) || v, '' ORDER BY s)
         || any_value(substr(d.text, (last + 1)::INT)) AS t
@@ -407,8 +443,8 @@ x AS (SELECT n.doc_id, string_agg(substr(d.text, (before + 1)::INT, (s - before)
 SELECT d.doc_id, md5(coalesce(x.t, d.text)) AS text_md5, CAST(length(coalesce(x.t, d.text)) AS BIGINT) AS n_chars
 FROM documents d LEFT JOIN x USING (doc_id)""")
 def q_pseudonymise_text(spark, d):
-    """Every e-mail in the text replaced by its surrogate address."""
-    r = pseudonymise_text(docs_text(spark, d), _surrogates(spark, d), SALT, {"EMAIL": PATTERN_RULES["EMAIL"]})
+    """Every match of every type in the text replaced by its surrogate."""
+    r = pseudonymise_text(docs_text(spark, d), _surrogates(spark, d), SALT, PATTERN_RULES)
     return r.select("doc_id", F.md5("pseudonymised").alias("text_md5"), F.length("pseudonymised").alias("n_chars"))
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.hashing import unit_hash
 from ..operators import batches as B
 from ..operators import windows as W
+from ..functions.labels import TAXONOMIES
 from ..operators.tokenise import leading_space_tokens
+from ..operators.tokenizers import split_with_tokenizer, subwords
 from ..session import scratch_path
 from ..settings import BATCH_SIZE, RANDOM_SEED, STRIDE_SPAN_MODELS
 from . import sql as S
@@ -46,6 +48,27 @@ def q_split_pieces(spark, d):
         "document", "piece_pos", F.col("z.word_ids").alias("token"), F.col("z.pieces").alias("piece"))
 
 
+PIECE_LETTERS = 4
+CUT_SQL = [f"""cut AS (SELECT document, token, label, i, CASE WHEN i = 0 THEN '' ELSE '##' END || substr(w, i * {PIECE_LETTERS} + 1, {PIECE_LETTERS}) AS piece
+  FROM (SELECT *, unnest(range(0, CAST(ceil(length(w) / {PIECE_LETTERS}.0) AS BIGINT))) AS i
+        FROM (SELECT document, token, label, word AS w FROM lwords)))""",
+           """pieces AS (SELECT document, token, label, piece,
+  CAST(row_number() OVER (PARTITION BY document ORDER BY token, i) - 1 AS BIGINT) AS ppos FROM cut)""",
+           """npieces AS (SELECT d.doc_id AS document, count(p.ppos) AS n FROM documents d LEFT JOIN pieces p ON p.document = d.doc_id GROUP BY 1)"""]
+
+
+@register("split_with_tokenizer", S.chain(S.WORDS, S.LWORDS, *CUT_SQL, S.windows(CAP, STEP)) + f"""
+SELECT p.document, wp."window", wp.pos, p.token, p.piece, CAST({S.label_id_case('p.label', TAXONOMIES['bio13'])} AS BIGINT) AS label_id
+FROM wp JOIN pieces p ON p.document = wp.document AND p.ppos = wp.ppos WHERE wp.ppos IS NOT NULL""")
+def q_split_with_tokenizer(spark, d):
+    """W1 by a user tokenizer (a fixed sub-word cutter loaded once per worker) into windows and labels."""
+    p = split_with_tokenizer(essays(spark, d), subwords(PIECE_LETTERS), tokens="tokens", taxonomy="bio13")
+    w = W.window(p, MAX_LEN, STRIDE, 2, keep=("document",), sliced={"label_ids": -100})
+    z = w.select("document", "window", F.posexplode(F.arrays_zip("word_ids", "pieces", "label_ids")).alias("pos", "z"))
+    return z.select("document", "window", "pos", F.col("z.word_ids").alias("token"), F.col("z.pieces").alias("piece"),
+                    F.col("z.label_ids").alias("label_id")).filter("token <> -1")
+
+
 @register("with_leading_space", S.chain(S.WORDS, S.LWORDS) + """
 SELECT document, token, CASE WHEN token > 0 THEN ' ' || word ELSE word END AS input_token FROM lwords""")
 def q_with_leading_space(spark, d):
@@ -178,8 +201,17 @@ def q_select_model_columns(spark, d):
     return W.select_model_columns(windows(spark, d)).select("document", "window", "input_length")
 
 
-@register("drop_special", S.chain(*WIN_SQL) + """
-SELECT document, "window", pos, token AS word_id FROM wp WHERE ppos IS NOT NULL""")
+# Places of pieces in windows from the number of pieces of each word alone.
+PLACES_SQL = f"""wk AS (SELECT document, token, len(regexp_extract_all(CASE WHEN token > 0 THEN ' ' || word ELSE word END, '{S.PIECE_RE}', 0)) AS k FROM words),
+wc AS (SELECT document, token, k, CAST(sum(k) OVER (PARTITION BY document ORDER BY token) - k AS BIGINT) AS s, sum(k) OVER (PARTITION BY document) AS n FROM wk),
+wpos AS (SELECT document, token, n, unnest(generate_series(s, s + k - 1)) AS ppos FROM wc),
+places AS (SELECT document, "window", ppos - "window" * {STEP} + 1 AS pos, token FROM (SELECT *, unnest(generate_series(
+  greatest(0, CAST(floor((ppos - {CAP}) / {float(STEP)}) AS BIGINT) + 1),
+  least(CAST(greatest(0, ceil((n - {CAP}) / {float(STEP)})) AS BIGINT), CAST(floor(ppos / {float(STEP)}) AS BIGINT)))) AS "window" FROM wpos))"""
+
+
+@register("drop_special", S.chain(S.WORDS, PLACES_SQL) + """
+SELECT document, "window", pos, token AS word_id FROM places""")
 def q_drop_special(spark, d):
     """Piece rows without the special / padding pieces (word id -1)."""
     w = windows(spark, d).select("document", "window", F.posexplode("word_ids").alias("pos", "token"))
@@ -259,8 +291,8 @@ def q_pad_spans(spark, d):
                     F.aggregate(filler, F.lit(0).cast("long"), lambda a, s: a + s["head"]).alias("sum_filler_heads"))
 
 
-@register("mask_augment", S.chain(*WIN_SQL) + f"""
-SELECT document, "window", pos FROM wp WHERE ppos IS NOT NULL AND
+@register("mask_augment", S.chain(S.WORDS, PLACES_SQL) + f"""
+SELECT document, "window", pos FROM places WHERE
   (('0x' || substr(md5(CAST(document AS VARCHAR) || '|' || CAST("window" AS VARCHAR) || '|' || CAST(pos AS VARCHAR) || '|{SEED}'), 1, 8))::BIGINT / 4294967296.0) < {MASK_P}""")
 def q_mask_augment(spark, d):
     """Keyed Bernoulli(0.15) masking of non-special pieces -> masked positions."""

@@ -60,9 +60,10 @@ def test_pseudonyms_are_consistent(spark):
     from piisieve.operators.redact import pseudonymise
     from piisieve.sources.pools import value_pool
     pool = value_pool(spark, {"EMAIL": [f"u{i}@example.org" for i in range(10)]})
-    m = spark.createDataFrame([(1, "a@x.org"), (2, "a@x.org"), (3, "b@x.org")], "doc_id long, match string")
+    m = spark.createDataFrame([(1, "EMAIL", "a@x.org"), (2, "EMAIL", "a@x.org"), (3, "EMAIL", "b@x.org"), (4, "EMAIL", None)],
+                              "doc_id long, type string, match string")
     out = {r.doc_id: r.surrogate for r in pseudonymise(m, pool, "salt").collect()}
-    assert out[1] == out[2] and out[1].endswith("@example.org")
+    assert out[1] == out[2] != out[3] and out[1].endswith("@example.org") and out[4] is None and len(out) == 4
 
 
 def test_redact_spans_merges_overlaps(spark):
