@@ -80,8 +80,8 @@ def q_span_mean(spark, d):
         "document", "window", "spans", F.transform("pieces", lambda p: F.length(p).cast("long")).alias("piece_keys"))
     vecs = read(spark, d, "embeddings", "vec_id", "embedding").select(
         F.col("vec_id").alias("vec_key"), F.col("embedding").alias("vector"))
-    m = X.span_mean(w, vecs).withColumn("mean", F.transform("mean", lambda x: round_half_away(x, 6)))
-    # windows without any known vector have a mean of no dimensions: zero in each
+    m = X.span_mean(w, vecs, digits=6)
+    # rows met without any known vector have a mean of no dimensions: zero in each
     return m.select("document", "window", "word", "n_pieces",
                     *[F.coalesce(F.get("mean", F.lit(i)), F.lit(0.0)).alias(f"m{i}") for i in range(VECTOR_DIMS)])
 

@@ -168,4 +168,14 @@ def test_span_means(spark):
     vec = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in vectors.items()], "vec_key long, vector array<double>")
     got = {(r.document, r.word): r.mean for r in span_mean(win, vec).collect()}
     assert all(all(math.isclose(a, b, abs_tol=1e-12) for a, b in zip(got[k], v)) for k, v in want.items())
-    assert len(got) == sum(len(r[3]) for r in rows) and all(got[k] == [] for k in got if k not in want)
+    assert len(got) == sum(len(r[3]) for r in rows) and all(not any(got[k]) for k in got if k not in want)
+
+
+def test_half_away_is_the_column_form(spark):
+    import numpy as np
+    from piisieve.functions.arrays import round_half_away
+    from piisieve.operators.metrics_extra import _half_away
+    rng = random.Random(3)
+    x = [0.0, 0.5e-6, -0.5e-6, 1.0000005, -2.5, 0.1234565, 123.4567895] + [rng.uniform(-2, 2) for _ in range(2000)]
+    want = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").coalesce(1).select(round_half_away("x", 6).alias("y")).collect()]
+    assert list(_half_away(np.array(x), 6)) == want
