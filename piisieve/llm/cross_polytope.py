@@ -1,8 +1,9 @@
 """Approximate nearest neighbours by cross-polytope hashing with multiprobe tables.
 
 *Hashes.* A vector, scaled to unit length, goes through three rounds of random signs and a fast Hadamard
-transform; its hash is the nearest signed axis. A table concatenates one hash over all axes and one
-over the first ``last_axes`` axes of a second rotation, which sets the number of buckets per table.
+transform; its hash is the nearest signed axis. A table concatenates one hash over all axes and, by further
+rotations, hashes over ``last_axes`` axes in all (over all axes each, the last over the rest), which sets the
+number of buckets per table.
 
 *Index.* One row per vector with its bucket in each of ``tables`` tables; every vector is indexed.
 
@@ -13,9 +14,12 @@ block and keeps the best ``k`` of each query, by exact distance on the original
 are merged per query. A query with fewer than ``k`` found is compared with all vectors, in the same
 parts and blocks.
 
-Broadcast: the table of buckets, at most tables * 4 * dimension * last_axes rows whatever the data.
-Grow ``last_axes`` (a power of two up to the dimension) with the table so that buckets stay small,
-and ``probes`` or ``tables`` to hold recall; measure recall with :func:`exact_neighbours` on a fixture.
+*Sizes.* Without ``settings``, :func:`sized` chooses ``last_axes`` in proportion to the number of vectors and
+``probes`` by its square root, so that the share of all vectors that a query meets falls as the table grows.
+Measure recall with :func:`exact_neighbours` on a fixture and give other settings if the data need them.
+
+Broadcast: the table of buckets with their counts if it has at most ``broadcast_buckets`` rows; a larger one is
+joined by bucket.
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part (components beyond 1e150 overflow a double's square); so do null ids; a vector is no candidate of its own id; rows that share an
@@ -25,7 +29,8 @@ candidates are all returned; an empty table gives an empty result; extra columns
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,18 @@ class AnnSettings:
     part_vectors: int = 4_096
     block_queries: int = 512
     seed: int = 11
+    broadcast_buckets: int = 1_000_000
+
+
+#: vectors for each axis of the hashes after the first, where :func:`sized` chooses.
+VECTORS_PER_AXIS = 1_000
+
+
+def sized(vectors: int, settings: AnnSettings = AnnSettings()) -> AnnSettings:
+    """Settings for so many vectors: ``last_axes`` the power of two below vectors / 1000 and ``probes`` growing by
+    its square root, neither below the given ones."""
+    last = max(settings.last_axes, 1 << max(0, (max(vectors, 1) // VECTORS_PER_AXIS).bit_length() - 1))
+    return replace(settings, last_axes=last, probes=math.ceil(settings.probes * math.sqrt(last / settings.last_axes)))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -57,15 +74,21 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class Rotations:
-    """The pseudo-random rotations of all tables: signs drawn from the seed, two rotations a table."""
+    """The pseudo-random rotations of all tables: signs drawn from the seed, one rotation for each hash of a table."""
 
     def __init__(self, dimension: int, s: AnnSettings):
         self.dimension, self.s = dimension, s
         self.size = 1 << max(0, (dimension - 1).bit_length())
-        self.last = min(s.last_axes, self.size)
-        signs = np.random.default_rng(s.seed).integers(0, 2, (s.tables, 2, 3, self.size))
+        self.axes = [self.size]
+        left = s.last_axes
+        while left > 1 or len(self.axes) == 1:
+            self.axes.append(min(left, self.size))
+            left //= self.size
+            if self.size == 1:
+                break
+        signs = np.random.default_rng(s.seed).integers(0, 2, (s.tables, len(self.axes), 3, self.size))
         self.signs = 2.0 * signs - 1
-        self.buckets = 2 * self.size * 2 * self.last
+        self.buckets = math.prod(2 * n for n in self.axes)
 
     def rotated(self, unit: np.ndarray, table: int, which: int) -> np.ndarray:
         x = unit
@@ -86,28 +109,30 @@ class Rotations:
 
     def codes(self, vectors: np.ndarray) -> np.ndarray:
         """Bucket of each vector in each table, numbered over all tables."""
-        unit, out = self.unit(vectors), np.empty((len(vectors), self.s.tables), dtype=np.int32)
+        unit, out = self.unit(vectors), np.empty((len(vectors), self.s.tables), dtype=np.int64)
         for t in range(self.s.tables):
-            first = self._sides(self.rotated(unit, t, 0)).argmax(axis=1)
-            second = self._sides(self.rotated(unit, t, 1)[:, :self.last]).argmax(axis=1)
-            out[:, t] = t * self.buckets + first * 2 * self.last + second
+            code = np.full(len(vectors), t, dtype=np.int64)
+            for which, axes in enumerate(self.axes):
+                code = code * 2 * axes + self._sides(self.rotated(unit, t, which)[:, :axes]).argmax(axis=1)
+            out[:, t] = code
         return out
 
     def probe_codes(self, vectors: np.ndarray) -> np.ndarray:
-        """The ``probes`` best buckets of each vector in each table: least loss against its own bucket."""
+        """The ``probes`` best buckets of each vector in each table: least loss against its own bucket. The best
+        sums over some hashes extend to the best sums over one more, so no more than ``probes`` are held."""
         unit, out, n = self.unit(vectors), [], len(vectors)
         for t in range(self.s.tables):
-            ranked = []
-            for which, axes in ((0, self.size), (1, self.last)):
+            code, loss = np.full((n, 1), t, dtype=np.int64), np.zeros((n, 1))
+            for which, axes in enumerate(self.axes):
                 sides = self._sides(self.rotated(unit, t, which)[:, :axes])
                 order = np.argsort(-sides, axis=1, kind="stable")[:, :self.s.probes]
                 value = np.take_along_axis(sides, order, axis=1)
-                ranked.append((order, (value[:, :1] - value) ** 2))
-            loss = (ranked[0][1][:, :, None] + ranked[1][1][:, None, :]).reshape(n, -1)
-            code = (ranked[0][0][:, :, None] * 2 * self.last + ranked[1][0][:, None, :]).reshape(n, -1)
-            best = np.argsort(loss, axis=1, kind="stable")[:, :self.s.probes]
-            out.append(t * self.buckets + np.take_along_axis(code, best, axis=1))
-        return np.concatenate(out, axis=1).astype(np.int32)
+                code = (code[:, :, None] * 2 * axes + order[:, None, :]).reshape(n, -1)
+                loss = (loss[:, :, None] + ((value[:, :1] - value) ** 2)[:, None, :]).reshape(n, -1)
+                best = np.argsort(loss, axis=1, kind="stable")[:, :self.s.probes]
+                code, loss = np.take_along_axis(code, best, axis=1), np.take_along_axis(loss, best, axis=1)
+            out.append(code)
+        return np.concatenate(out, axis=1)
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -119,28 +144,30 @@ def usable_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.filter(fine & F.exists("vector", lambda x: x != 0))
 
 
-def _dimension(rows: DataFrame) -> int | None:
-    r = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return r["n"] if r else None
-
-
 def _matrix(column: pa.Array, dimension: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dimension).astype(np.float64, copy=False)
 
 
+#: sums of losses that a task holds at once.
+PROBE_SUMS = 2_000_000
+
+
 def _with_codes(rows: DataFrame, rotations: Rotations, probes: bool) -> DataFrame:
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
             x = _matrix(b.column("vector"), rotations.dimension)
-            codes = rotations.probe_codes(x) if probes else rotations.codes(x)
-            flat = pa.array(codes.reshape(-1), pa.int32())
+            # rows at once: a table of probes * probes sums is held for each
+            step = max(1, PROBE_SUMS // rotations.s.probes ** 2) if probes else len(x)
+            hashed = rotations.probe_codes if probes else rotations.codes
+            codes = np.concatenate([hashed(x[i:i + step]) for i in range(0, len(x), step)])
+            flat = pa.array(codes.reshape(-1), pa.int64())
             offsets = pa.array(np.arange(0, codes.size + 1, codes.shape[1]), pa.int32())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(offsets, flat)], names=["id", "vector", "codes"])
 
     kind = rows.schema["vector"].dataType.simpleString()
-    return rows.select("id", "vector").mapInArrow(run, f"id long, vector {kind}, codes array<int>")
+    return rows.select("id", "vector").mapInArrow(run, f"id long, vector {kind}, codes array<long>")
 
 
 def _rerank(entries: DataFrame, probes: DataFrame, dimension: int, k: int) -> DataFrame:
@@ -260,9 +287,10 @@ def _dealt(entries: DataFrame, probes: DataFrame, s: AnnSettings) -> tuple[DataF
     """Both sides (code, id, vector) with part and block: asked buckets alone, large ones in several pieces."""
     counts = probes.groupBy("code").agg(F.count("*").alias("queries")).join(
         entries.groupBy("code").agg(F.count("*").alias("vectors")), "code")
-    # one row per bucket: bounded by the settings, not by the data
-    plan = F.broadcast(stored(counts.select("code", F.ceil(F.col("vectors") / s.part_vectors).cast("int").alias("parts"),
-                                            F.ceil(F.col("queries") / s.block_queries).cast("int").alias("blocks")), "buckets"))
+    plan = stored(counts.select("code", F.ceil(F.col("vectors") / s.part_vectors).cast("int").alias("parts"),
+                                F.ceil(F.col("queries") / s.block_queries).cast("int").alias("blocks")), "buckets")
+    if plan.count() <= s.broadcast_buckets:
+        plan = F.broadcast(plan)
     part, block = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     vectors = entries.join(plan, "code").select(
         "code", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "vector")
@@ -278,14 +306,14 @@ def build_index(df: DataFrame, rotations: Rotations, key: str = "vec_id", vector
     return stored(_with_codes(rows, rotations, probes=False), "index")
 
 
-def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 10, settings: AnnSettings = AnnSettings(),
+def nearest_neighbours(df: DataFrame, is_query: Column, k: int = 10, settings: AnnSettings | None = None,
                        key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found of each row that ``is_query`` (a condition on
-    the column ``id``) names, among all rows."""
-    s = settings
-    dimension = _dimension(usable_vectors(df, key, vector))
-    if dimension is None:
+    the column ``id``) names, among all rows. Without ``settings`` they follow the number of vectors."""
+    sizes = usable_vectors(df, key, vector).groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if sizes is None:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dimension, s = sizes["n"], settings or sized(sizes["count"])
     rotations = Rotations(dimension, s)
     index = build_index(df, rotations, key, vector)
     asked = index.filter(is_query).select("id", "vector")

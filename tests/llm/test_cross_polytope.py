@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 from llm_fixtures import with_clashes
-from piisieve.llm.cross_polytope import AnnSettings, BestLists, Rotations, exact_neighbours, hadamard, nearest_neighbours
+from piisieve.llm.cross_polytope import AnnSettings, BestLists, Rotations, exact_neighbours, hadamard, nearest_neighbours, sized
 from pyspark.sql import functions as F
 
 
@@ -10,7 +10,7 @@ def table(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
 
 
-def search(df, k=10, every=20, settings=AnnSettings()):
+def search(df, k=10, every=20, settings=None):
     got = {}
     for r in nearest_neighbours(df, F.col("id") % every == 0, k, settings).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
@@ -129,3 +129,47 @@ def test_repeated_rows_change_no_result(spark):
     want = search(table(spark, rows))
     assert all(len(v) == 10 for v in want.values())
     assert search(table(spark, rows * 11)) == want
+
+
+def test_sizes_follow_the_number_of_vectors():
+    assert sized(0) == sized(4_999) == AnnSettings()
+    assert (sized(51_282).last_axes, sized(51_282).probes) == (32, 46)
+    for n in (10 ** 4, 10 ** 6, 10 ** 9):
+        assert n / 2_000 < sized(n).last_axes <= n / 1_000
+
+
+def test_more_hashes_than_two_and_their_probes():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 8))
+    for last in (4, 8, 32, 256):
+        r = Rotations(8, AnnSettings(tables=3, last_axes=last, probes=12))
+        assert math.prod(r.axes[1:]) == last and r.buckets == 16 * 2 ** (len(r.axes) - 1) * last
+        codes, probes = r.codes(x), r.probe_codes(x).reshape(40, 3, 12)
+        assert (probes[:, :, 0] == codes).all()
+        for t in range(3):
+            assert ((codes[:, t] >= t * r.buckets) & (codes[:, t] < (t + 1) * r.buckets)).all()
+            unit = r.unit(x)
+            losses = [np.sort(((v := r._sides(r.rotated(unit, t, h)[:, :a])).max(axis=1, keepdims=True) - v) ** 2, axis=1)
+                      for h, a in enumerate(r.axes)]
+            for row in range(40):  # the least sums over all choices of axes
+                sums = np.zeros(1)
+                for at in losses:
+                    sums = np.sort((sums[:, None] + at[row][None, :]).reshape(-1))[:5_000]
+                got = []
+                for c in probes[row, t]:
+                    loss, rest = 0.0, int(c) - t * r.buckets
+                    for h in reversed(range(len(r.axes))):
+                        rest, side = divmod(rest, 2 * r.axes[h])
+                        v = r._sides(r.rotated(unit[row:row + 1], t, h)[:, :r.axes[h]])[0]
+                        loss += (v.max() - v[side]) ** 2
+                    got.append(loss)
+                assert np.allclose(got, sums[:12]) and len(set(probes[row, t].tolist())) == 12
+
+
+def test_recall_with_a_larger_index(spark):
+    vectors = clustered()
+    df = table(spark, [(i, v.tolist()) for i, v in vectors.items()])
+    got = search(df, settings=AnnSettings(last_axes=64, probes=64, broadcast_buckets=0))
+    want = exact_neighbours(vectors, list(got), 10)
+    hits = sum(len({v for _, v, _ in got[q]} & {v for v, _ in want[q]}) for q in got)
+    assert hits >= 0.9 * 10 * len(got)
