@@ -119,15 +119,20 @@ def detect_gazetteer(words: DataFrame, pool: DataFrame, word_col: str = "word",
 
 
 def detect_entries(essays: DataFrame, pool: DataFrame, gram_words: int = 3, tokens: str = "tokens",
-                   doc: str = "document") -> DataFrame:
+                   doc: str = "document", max_entries: int = 100_000, max_bytes: int = 4 << 20) -> DataFrame:
     """R3 for entries of any number of words: (document, token, n_words, entity_type).
 
-    An entry is keyed by its whole normalised text. Entries of up to ``gram_words`` words meet n-grams
+    An entry is keyed by its whole normalised text. A pool of at most ``max_entries`` entries and ``max_bytes``
+    bytes of keys (counted first, which reads the pool alone) is broadcast as an automaton that every text walks
+    once (``dictionary``): one read of the texts, no shuffle.
+
+    A larger pool is joined: entries of up to ``gram_words`` words meet n-grams
     built inside the document row from its normalised, non-empty words (shifted copies zipped together);
     only n-grams that start with the first word of some entry reach the join of whole entries. Of a longer
     entry the first ``gram_words`` words are looked up so; where they occur, the words of the document are
-    joined again and as many of them as the entry has are compared. ``gram_words`` changes no result.
+    joined again and as many of them as the entry has are compared. Neither way nor ``gram_words`` changes a result.
     """
+    from .dictionary import walk_entries
     from .tokenise import WORD_SEPARATOR
 
     def key(words: Column) -> Column:
@@ -143,6 +148,12 @@ def detect_entries(essays: DataFrame, pool: DataFrame, gram_words: int = 3, toke
          .dropDuplicates(["entity_type", "_key"]))
     words = F.filter(F.transform(tokens, lambda w, i: F.struct(normalise(w).alias("w"), i.alias("token"))), lambda x: x["w"] != "")
     rows = essays.select(doc, words.alias("_all"))
+    size = p.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(F.octet_length("_key")), F.lit(0)).alias("bytes"),
+                 F.coalesce(F.max("_n"), F.lit(0)).alias("words")).first()
+    if size["entries"] <= max_entries and size["bytes"] <= max_bytes:
+        keys = p.groupBy("_key", "_n").agg(F.sort_array(F.collect_list("entity_type")).alias("types")).orderBy("_key").collect()
+        return walk_entries(rows.select(doc, F.col("_all.w").alias("_words"), F.col("_all.token").alias("_tokens")),
+                            [(r["_key"], r["types"], r["_n"]) for r in keys], doc, "_words", "_tokens")
     shifted = [F.slice("_all", F.lit(k + 1), F.greatest(F.size("_all"), F.lit(1))).alias(f"s{k}") for k in range(gram_words)]
     grams = (rows.select(doc, *shifted).select(doc, F.posexplode(F.arrays_zip(*[f"s{k}" for k in range(gram_words)])).alias("_at", "g"))
              .select(doc, "_at", "g.*").filter("s0 IS NOT NULL")
@@ -153,7 +164,7 @@ def detect_entries(essays: DataFrame, pool: DataFrame, gram_words: int = 3, toke
     hits = hits.filter(F.forall(opening("_gram", F.col("_m")), lambda w: w.isNotNull()))  # none runs over the end
     out = [doc, "token", F.col("_n").alias("n_words"), "entity_type"]
     found = hits.join(p.filter(F.col("_n") <= gram_words).select("entity_type", "_open", "_n"), "_open").select(*out)
-    if p.filter(F.col("_n") > gram_words).isEmpty():
+    if size["words"] <= gram_words:
         return found
     longer = p.filter(F.col("_n") > gram_words)
     # distinct places of a document id: its rows are compared each, also where an id is repeated

@@ -122,11 +122,26 @@ def test_dictionary_entries_of_any_length(spark):
     want = sorted([(1, 1, 3, "STREET_ADDRESS"), (1, 1, 8, "PLACE"), (1, 1, 8, "STREET_ADDRESS"), (1, 1, 9, "STREET_ADDRESS"),
                    (1, 13, 3, "STREET_ADDRESS")] * 2
                   + [(-1, 0, 3, "STREET_ADDRESS"), (-1, 0, 8, "PLACE"), (-1, 0, 8, "STREET_ADDRESS")])
-    for words in (1, 3, 20):
-        found = detect_entries(e, pool, words).collect()
+    # walked by the automaton, then joined: a pool above either size
+    for words, bounds in ((3, {}), (1, {"max_entries": 5}), (3, {"max_bytes": 20}), (20, {"max_entries": 0})):
+        found = detect_entries(e, pool, words, **bounds).collect()
         assert sorted((-1 if r.document is None else r.document, r.token, r.n_words, r.entity_type) for r in found) == want
 
 
+def test_dictionary_walk_counts_code_points_and_handles_empty_pools(spark):
+    from piisieve.operators.detect import detect_entries
+    from piisieve.operators.dictionary import automaton, places
+    walker = automaton([("a b", ["X", "Y"], 2), ("b", ["Z"], 1), ("b a", ["X"], 2)])
+    assert sorted(places(walker, "\U0001f600 a b a b ab")) == [
+        (1, 2, "X"), (1, 2, "Y"), (2, 1, "Z"), (2, 2, "X"), (3, 2, "X"), (3, 2, "Y"), (4, 1, "Z")]
+    e = spark.createDataFrame([(1, ["Oak", None, "\U0001f600x", "oak"]), (2, None)], "document long, tokens array<string>")
+    none = spark.createDataFrame([("X", " . "), (None, None)], "entity_type string, value string")
+    one = spark.createDataFrame([("X", "OAK"), ("X", "oak"), ("X", None)], "entity_type string, value string")
+    for bounds in ({}, {"max_entries": 0}):
+        assert detect_entries(e, none, **bounds).collect() == []
+        assert sorted((r.document, r.token) for r in detect_entries(e, one, **bounds).collect()) == [(1, 0), (1, 3)]
+
+
 def test_log_loss_of_a_zero_probability(spark):
     from piisieve.operators.metrics_extra import token_log_loss
     df = spark.createDataFrame([([[0.0, 1.0], [0.5, 0.5]], [0, 0])], "probs array<array<double>>, label_ids array<int>")
