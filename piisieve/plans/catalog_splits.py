@@ -11,6 +11,7 @@ from ..operators import split as M
 from ..session import scratch_path
 from ..sources import essays as SE
 from ..sources import sinks as SK
+from ..sources.json_array import write_json_array
 from ..sources.pools import pool_from_table
 from ..settings import EXTERNAL_SAMPLING_RATE, RANDOM_SEED
 from . import sql as S
@@ -181,6 +182,15 @@ def q_read_essays(spark, d):
     return essay_summary(SE.read_essays(spark, path, multi_line=False))
 
 
+@register("read_essays_array", ESSAY_SUMMARY)
+def q_read_essays_array(spark, d):
+    """Essays written as files of one JSON array each and read back in byte ranges."""
+    path = scratch_path(spark, "essay-array")
+    e = essays(spark, d).select("document", "full_text", "tokens", "trailing_whitespace", "labels")
+    write_json_array(e, path)
+    return essay_summary(SE.read_essays(spark, path, split=True))
+
+
 @register("read_mixture", S.chain(S.WORDS, S.LWORDS) + """
 SELECT l.document, d.source AS set_name, CAST(count(*) AS BIGINT) AS n_tokens FROM lwords l
 JOIN documents d ON d.doc_id = l.document WHERE d.source IN ('src1', 'src2') GROUP BY l.document, d.source""")

@@ -17,12 +17,16 @@ ESSAY_SCHEMA = T.StructType([
 FOLD_SCHEMA = "document long, kfold int"
 
 
-def read_essays(spark: SparkSession, path: str, multi_line: bool = True, schema=ESSAY_SCHEMA) -> DataFrame:
+def read_essays(spark: SparkSession, path: str, multi_line: bool = True, schema=ESSAY_SCHEMA, split: bool = False) -> DataFrame:
     """Essays from JSON with a declared schema (labels optional, decided by schema: T13).
 
-    ``multi_line=True`` reads the reference's one-array file; such a file cannot be split, so
-    convert it once to Parquet (or JSON lines, ``multi_line=False``) for parallel reads.
+    ``multi_line=True`` reads files of one array each, a file a task; ``split=True`` reads such files in byte
+    ranges, twice, and raises where one is malformed (``json_array``). JSON lines (``multi_line=False``) are
+    split by Spark.
     """
+    if split:
+        from .json_array import read_json_array
+        return read_json_array(spark, path, schema)
     return spark.read.schema(schema).option("multiLine", multi_line).json(path)
 
 
