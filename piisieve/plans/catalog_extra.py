@@ -148,6 +148,25 @@ def q_eval_points(spark, d):
     return L.eval_points(r, EVAL_EVERY).select("event_id", "eval_no")
 
 
+@register("stream_run_log", BEST_SQL + """, m AS (SELECT event_id, round(avg(loss) OVER (PARTITION BY run_id, epoch ORDER BY ts, event_id
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS running_loss FROM log)
+SELECT event_id, running_loss, eval_no, best_lb, is_best, CAST(patience_counter AS BIGINT) AS patience_counter FROM c JOIN m USING (event_id)""")
+def q_stream_run_log(spark, d):
+    """L1-L3 on an arriving log: three pieces in the order of time, the stream stopped and started again between them."""
+    from ..session import scratch_path
+    from ..streaming.run_log_stream import read_run_log, start_run_log
+    src, out, ckpt = (scratch_path(spark, n) for n in ("run-log", "run-log-out", "run-log-ckpt"))
+    log = run_log(spark, d)
+    cuts = log.select(F.percentile_approx(F.col("ts").cast("double"), [1 / 3, 2 / 3]).alias("c")).first()["c"] or [0.0, 0.0]
+    at = F.col("ts").cast("double")
+    for piece in (at < cuts[0], (at >= cuts[0]) & (at < cuts[1]), at >= cuts[1]):
+        log.filter(piece).write.mode("append").parquet(src)
+        arriving = spark.readStream.schema(log.schema).parquet(src)
+        start_run_log(arriving, out, ckpt, order=ORDER, block=minute_block()).awaitTermination()
+    r = read_run_log(spark, out)
+    return r.select("event_id", round_half_away("running_loss", 6).alias("running_loss"), "eval_no", "best_lb", "is_best", "patience_counter")
+
+
 # ----------------------------------------------------------------------------- R1-R12
 def _rule_union(body: str) -> str:
     return "\nUNION ALL ".join(body.format(t=t, p=p) for t, p in PATTERN_RULES.items())
