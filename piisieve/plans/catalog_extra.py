@@ -157,8 +157,8 @@ def q_stream_run_log(spark, d):
     from ..streaming.run_log_stream import read_run_log, start_run_log
     src, out, ckpt = (scratch_path(spark, n) for n in ("run-log", "run-log-out", "run-log-ckpt"))
     log = run_log(spark, d)
-    cuts = log.select(F.percentile_approx(F.col("ts").cast("double"), [1 / 3, 2 / 3]).alias("c")).first()["c"] or [0.0, 0.0]
-    at = F.col("ts").cast("double")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    cuts = log.select(F.percentile_approx(at, [1 / 3, 2 / 3]).alias("c")).first()["c"] or [0, 0]
     for piece in (at < cuts[0], (at >= cuts[0]) & (at < cuts[1]), at >= cuts[1]):
         log.filter(piece).write.mode("append").parquet(src)
         arriving = spark.readStream.schema(log.schema).parquet(src)
