@@ -21,7 +21,7 @@ def read_essays(spark: SparkSession, path: str, multi_line: bool = True, schema=
     """Essays from JSON with a declared schema (labels optional, decided by schema: T13).
 
     ``multi_line=True`` reads files of one array each, a file a task; ``split=True`` reads such files in byte
-    ranges, twice, and raises where one is malformed (``json_array``). JSON lines (``multi_line=False``) are
+    ranges, three times, and raises where one is malformed (``json_array``). JSON lines (``multi_line=False``) are
     split by Spark.
     """
     if split:

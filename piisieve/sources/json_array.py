@@ -5,7 +5,8 @@ object, also where the array is one line. A closing brace may lie in a string or
 depends on all text before. Two passes settle that: the first gives, for each byte range, how it changes the state
 (inside a string or not, depth of brackets) under both starting states - one row a range, composed in file order
 on the driver; the second starts every range in its right state and hands on whole objects. Objects that cross
-borders of ranges leave as fragments and are put together in one shuffle of these fragments alone.
+borders of ranges leave as fragments and are put together in one shuffle of these fragments alone. The second pass
+runs twice, once for the whole objects and once for the fragments, so the text is read three times in all.
 """
 
 from __future__ import annotations
