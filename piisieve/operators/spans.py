@@ -26,6 +26,45 @@ def spans_to_bio(words: DataFrame, spans: DataFrame, doc: str = "document", buck
                              F.col("type")).alias("label"))
 
 
+def spans_to_bio_sweep(words: DataFrame, spans: DataFrame, doc: str = "document", block: int = 4096) -> DataFrame:
+    """R4 by a sweep over sorted borders: same rows as ``spans_to_bio``, for spans of any length.
+
+    The words of a document are in text order and do not overlap, so the words that a span overlaps are
+    numbered in one stretch: from behind the last word that ends at or before the span's start to the last word that
+    starts before its end. Both are running maxima of the token number along the sorted borders: every
+    word and every span is one row in each of the two sweeps, however long the span. A sweep runs in (document,
+    block of ``block`` characters) cells plus one row per cell, so a long document is many tasks' work.
+
+    ``words``: doc + token + start + end, all words of the document with tokens numbered without gaps from
+    0; ``spans``: doc + span_id + type + start + end (unique span_id in the document). Spans of documents
+    without words, spans between words and rows with nulls give nothing.
+    """
+    from .runlog import running_stats
+    w = words.filter(F.col("start").isNotNull() & F.col("end").isNotNull())
+    s = spans.filter(F.col("start").isNotNull() & F.col("end").isNotNull())
+
+    def borders(sweep, word_at, span_at, word_first):
+        nothing = F.lit(None)
+        of_words = w.select(F.col(doc).alias("_doc"), F.lit(sweep).alias("_sweep"), F.col(word_at).cast("long").alias("_at"), F.lit(not word_first).alias("_late"),
+                            F.col("token").cast("double").alias("_token"), nothing.cast("string").alias("_span"), nothing.cast("string").alias("_type"))
+        of_spans = s.select(F.col(doc).alias("_doc"), F.lit(sweep).alias("_sweep"), F.col(span_at).cast("long").alias("_at"), F.lit(word_first).alias("_late"),
+                            nothing.cast("double").alias("_token"), F.col("span_id").cast("string").alias("_span"), F.col("type").alias("_type"))
+        return of_words.unionByName(of_spans)
+
+    # at one place the borders of words come first in the sweep of ends and last in the sweep of starts
+    every = borders(0, "end", "start", True).unionByName(borders(1, "start", "end", False))
+    met = running_stats(every, ["_doc", "_sweep"], ["_at", "_late"], "_token", F.floor(F.col("_at") / F.lit(block)), "_w_")
+    ranges = met.filter(F.col("_span").isNotNull()).groupBy("_doc", "_span").agg(
+        F.first("_type").alias("type"),
+        (F.coalesce(F.max(F.when(F.col("_sweep") == 0, F.col("_w_max"))), F.lit(-1.0)) + 1).cast("long").alias("_first"),
+        F.max(F.when(F.col("_sweep") == 1, F.col("_w_max"))).cast("long").alias("_last"))
+    tokens = ranges.filter(F.col("_last") >= F.col("_first")).select(
+        F.col("_doc").alias(doc), F.explode(F.sequence("_first", "_last")).alias("token"), F.col("_span").alias("span_id"), "type", "_first")
+    return tokens.select(doc, F.col("token").cast(words.schema["token"].dataType).alias("token"),
+                         F.col("span_id").cast(spans.schema["span_id"].dataType).alias("span_id"), "type",
+                         F.concat(F.when(F.col("token") == F.col("_first"), F.lit("B-")).otherwise(F.lit("I-")), F.col("type")).alias("label"))
+
+
 def label_matches(essays: DataFrame, rules: dict | None = None, doc: str = "document") -> DataFrame:
     """R4 in the row: (document, token, type, occurrence, label) of every word that a rule's match overlaps.
 

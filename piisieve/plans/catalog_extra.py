@@ -12,9 +12,9 @@ from ..operators import runlog as L
 from ..operators import windows as W
 from ..operators.detect import (PATTERN_RULES, all_match_offsets, detect_entries, detect_gazetteer, detect_patterns,
                                 email_domain_in_pool, normalise)
-from ..operators.profile import pii_profile
+from ..operators.profile import pii_profile, read_profile, standard_error, write_profile
 from ..operators.redact import pseudonymise, pseudonymise_text, redact, redact_spans
-from ..operators.spans import bio_spans_in_row, bio_to_spans, label_matches, spans_to_bio
+from ..operators.spans import bio_spans_in_row, bio_to_spans, label_matches, spans_to_bio, spans_to_bio_sweep
 from ..operators.tokenise import explode_words, rebuild_text, word_offsets
 from ..sources.pools import pool_from_table
 from ..settings import PATIENCE as PATIENCE_SETTING
@@ -323,23 +323,40 @@ def q_spans_to_bio(spark, d):
     return label_matches(essays(spark, d)).select("document", "token", "type", "occurrence", "label")
 
 
-@register("spans_to_bio_join", S.chain(S.WORDS, WOFF_SQL, OFFSETS_SQL) + """
+SPANS_TO_BIO_SQL = S.chain(S.WORDS, WOFF_SQL, OFFSETS_SQL) + """
 , ov AS (SELECT w.document, w.token, o.type, o.occurrence FROM woff w JOIN offsets o
   ON o.doc_id = w.document AND w.start < o.start + length(o.match) AND o.start < w.start + length(w.word))
 SELECT document, token, type, occurrence,
   CASE WHEN token = min(token) OVER (PARTITION BY document, type, occurrence) THEN 'B-' ELSE 'I-' END || type AS label
-FROM ov""")
-def q_spans_to_bio_join(spark, d):
-    """R4 for spans that come as a table: only documents with spans are cut into words."""
-    m = all_match_offsets(docs_text(spark, d)).select(
+FROM ov"""
+
+
+def _spans_table(spark, d):
+    return all_match_offsets(docs_text(spark, d)).select(
         F.col("doc_id").alias("document"), "type", "occurrence", "start", "end",
         F.concat_ws("|", "type", "occurrence").alias("span_id"))
+
+
+def _labelled_by(spark, d, label):
+    m = _spans_table(spark, d)
     with_any = essays(spark, d).join(m.select("document").distinct(), "document", "left_semi")
-    b = spans_to_bio(explode_words(word_offsets(with_any), with_offsets=True), m)
+    b = label(explode_words(word_offsets(with_any), with_offsets=True), m)
     occurrence = F.split("span_id", "[|]").getItem(1).cast("long")
     return b.select("document", "token", "type", occurrence.alias("occurrence"), "label")
 
 
+@register("spans_to_bio_join", SPANS_TO_BIO_SQL)
+def q_spans_to_bio_join(spark, d):
+    """R4 for spans that come as a table: only documents with spans are cut into words."""
+    return _labelled_by(spark, d, spans_to_bio)
+
+
+@register("spans_to_bio_sweep", SPANS_TO_BIO_SQL)
+def q_spans_to_bio_sweep(spark, d):
+    """R4 for a table of spans of any length: a sweep over the sorted borders of words and spans."""
+    return _labelled_by(spark, d, spans_to_bio_sweep)
+
+
 BIO_SPANS_SQL = S.chain(S.WORDS, S.LWORDS) + """
 , e AS (SELECT *, CASE WHEN label = 'O' THEN 'O' ELSE substr(label, 3) END AS type FROM lwords WHERE label <> 'O'),
 f AS (SELECT *, CASE WHEN label LIKE 'B-%' OR lag(token) OVER w IS NULL OR lag(token) OVER w <> token - 1
@@ -476,6 +493,27 @@ def q_pii_profile(spark, d):
     return pii_profile(m)
 
 
+@register("pii_profile_merged", S.chain(MATCHES_SQL) + """
+SELECT m.type, d.source, CAST(count(*) AS BIGINT) AS n_entities, true AS documents_within_error
+FROM matches m JOIN documents d USING (doc_id) GROUP BY ROLLUP (m.type, d.source)""")
+def q_pii_profile_merged(spark, d):
+    """R10 from stored sketches: the documents come in three parts, each stored as a day, and the merged profile's distinct
+    documents are held against the exact profile (four standard errors, and rounding)."""
+    from ..session import scratch_path
+
+    docs = read(spark, d, "documents", "doc_id", "text", "source")
+    path = scratch_path(spark, "profile")
+    for part in range(3):
+        arrived = docs.filter(F.pmod("doc_id", F.lit(3)) == part)
+        write_profile(detect_patterns(arrived, keys=("doc_id", "source")), path, f"2024-01-0{part + 1}")
+    exact = detect_patterns(docs, keys=("doc_id", "source")).rollup("type", "source").agg(
+        F.grouping_id().cast("int").alias("_level"), F.countDistinct("doc_id").alias("_exact")).withColumnsRenamed({"type": "_type", "source": "_source"})
+    same = F.col("type").eqNullSafe(F.col("_type")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("level") == F.col("_level"))
+    close = F.abs(F.col("n_documents") - F.col("_exact")) <= 4 * standard_error() * F.col("_exact") + 0.5
+    return read_profile(spark, path).join(exact, same, "left").select(
+        "type", "source", "n_entities", F.coalesce(close, F.lit(False)).alias("documents_within_error"))
+
+
 @register("convert_labels", S.chain(S.WORDS, S.LWORDS) + f"""
 SELECT document, token, label, {S.label_id_case('label', TAXONOMIES['full15'])} AS id_full15,
   {S.label_id_case("CASE WHEN label = 'O' THEN 'O' ELSE substr(label, 3) END", TAXONOMIES['reduced'])} AS id_reduced
