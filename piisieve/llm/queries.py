@@ -116,6 +116,23 @@ def op3_minhash_near_dup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _doublings(levels: int) -> str:
+    """CTEs l0, l1, ...: windows of 13, 26, 52, ... words found in two documents (documents with one word sequence are
+    one), and longest: the greatest length by document."""
+    parts = ["""sequences AS (SELECT doc_id, w, sha256(list_aggregate(w, 'string_agg', ' ')) AS t FROM d WHERE len(w) >= 13 AND doc_id IS NOT NULL),
+reps AS (SELECT t, min(doc_id) AS rep FROM sequences GROUP BY t),
+l0 AS (SELECT k, doc_id, t, p FROM (SELECT *, min(doc_id) OVER (PARTITION BY k) <> max(doc_id) OVER (PARTITION BY k) AS twice
+  FROM (SELECT rep AS doc_id, t, p, md5(list_aggregate(w[p:p + 12], 'string_agg', ' ')) AS k
+        FROM (SELECT rep, t, w, unnest(range(1, len(w) - 11)) AS p FROM (SELECT DISTINCT rep, t, w FROM reps JOIN sequences USING (t) WHERE rep = doc_id)))) WHERE twice)"""]
+    for i in range(1, levels):
+        parts.append(f"""l{i} AS (SELECT k, doc_id, t, p FROM (SELECT *, min(doc_id) OVER (PARTITION BY k) <> max(doc_id) OVER (PARTITION BY k) AS twice
+  FROM (SELECT a.doc_id, a.t, a.p, md5(a.k || b.k) AS k FROM l{i - 1} a JOIN l{i - 1} b ON a.doc_id = b.doc_id AND a.t = b.t AND b.p = a.p + {13 * 2 ** (i - 1)})) WHERE twice)""")
+    every = " UNION ALL ".join(f"SELECT doc_id, t, {13 * 2 ** i} AS size FROM l{i}" for i in range(levels))
+    parts.append(f"longest AS (SELECT t, max(size) AS size FROM ({every}) GROUP BY t)")
+    return ",\n".join(parts)
+
+
+# eleven levels: up to 13,312 words, the longest window of 13 doubled that a text of the tables (20,000 words) can hold
 @query("op8_substring_dedup", sql=f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 windows AS (SELECT doc_id, p, list_aggregate(w[p:p + 12], 'string_agg', ' ') AS k
@@ -124,14 +141,18 @@ firsts AS (SELECT k, min(doc_id) AS first_doc FROM windows GROUP BY k),
 gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS i FROM windows JOIN firsts USING (k) WHERE doc_id > first_doc),
 words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
-removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
-FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+{_doublings(11)}
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256,
+       coalesce(size, 0)::BIGINT AS longest_repeat
+FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
+LEFT JOIN sequences s ON s.doc_id = d.doc_id LEFT JOIN longest ON longest.t = s.t""")
 def op8_substring_dedup(spark, sf_dir):
-    """Words of 13-word windows that start in an earlier document are removed."""
+    """Words of 13-word windows that start in an earlier document are removed; the levels go on by doubling to the
+    greatest length at which a window of the document repeats in another."""
     from .substring_dedup import remove_repeats
 
-    return remove_repeats(table(spark, sf_dir, "documents"))
+    return remove_repeats(table(spark, sf_dir, "documents"), longest=True)
 
 
 _BLANK = r"chr(32) || chr(9) || chr(11) || chr(12) || chr(13)"

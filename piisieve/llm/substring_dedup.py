@@ -2,8 +2,10 @@
 
 A window of ``2L`` words can only repeat if its windows of ``L`` words do, so each level hashes the
 windows that survived the level before, extended to (at most) twice their length, and keeps those
-found in two documents. Levels run 7 -> 13 words for the 13-word rule and go on by doubling (26, 52,
-...) until no candidates survive when the longest repeats are asked for.
+found in two documents. Levels run 7 -> 13 words for the 13-word rule, which alone decides what is removed, and
+go on by doubling (26, 52, ...) until no candidates survive when the longest repeats are asked for. Levels
+beyond 13 words read only passages: the stretches of words whose windows both of a doubled window's halves
+come from.
 
 The first level is sparse without losing any window: every 13-word window holds seven 7-word windows
 and is represented by the one with the smallest hash, so equal long windows share it (winnowing).
@@ -215,22 +217,38 @@ def _repeated(windows: DataFrame) -> DataFrame:
             .mapInArrow(run, "doc_id long, t1 long, pos long, later boolean"))
 
 
-def _extended(texts: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
+def _passages(words: list[bytes], starts: np.ndarray, size: int) -> list[dict]:
+    """Stretches of words covered by windows of ``2 * size`` words both of whose halves start in ``starts``."""
+    at = np.sort(starts[np.isin(starts + size, starts)])
+    if not len(at):
+        return []
+    cuts = np.flatnonzero(at[1:] > at[:-1] + 2 * size) + 1
+    return [{"start": int(run[0]), "data": b" ".join(words[run[0]:run[-1] + 2 * size])} for run in np.split(at, cuts)]
+
+
+def _extended(passages: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
     """Keys of the windows of twice the length both of whose halves repeat."""
     def run(batches):
         for b in batches:
             out = []
-            for doc, data, t1, starts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "data", "t1", "starts"))):
+            for doc, t1, first, data, starts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t1", "start", "data", "starts"))):
                 words = data.split()
-                if _digest(words)[0] != t1:
-                    continue
-                starts = np.array(starts, dtype=np.int64)
-                at = np.sort(starts[np.isin(starts + size, starts)])
-                out.append(_keys(word_hashes(words), words, at[at + 2 * size <= len(words)], 2 * size, doc, t1))
+                starts = np.array(starts, dtype=np.int64) - first
+                at = np.sort(starts[np.isin(starts + size, starts) & (starts >= 0) & (starts + 2 * size <= len(words))])
+                k1, k2, docs, t1s, pos = _keys(word_hashes(words), words, at, 2 * size, doc, t1)
+                out.append((k1, k2, docs, t1s, pos + first))
             yield from _key_batches(out)
 
     starts = repeated.groupBy("doc_id", "t1").agg(F.collect_set("pos").alias("starts"))
-    return texts.join(starts, ["doc_id", "t1"]).mapInArrow(run, "k1 long, k2 long, doc_id long, t1 long, pos long, state byte")
+    return passages.join(starts, ["doc_id", "t1"]).select("doc_id", "t1", "start", "data", "starts").mapInArrow(
+        run, "k1 long, k2 long, doc_id long, t1 long, pos long, state byte")
+
+
+def _doubled(passages: DataFrame, level: DataFrame, size: int):
+    """Stored levels (size, rows of ``_repeated``) from ``size`` on by doubling, until no candidates survive."""
+    while not level.isEmpty():
+        yield size, level
+        level, size = stored(_repeated(_extended(passages, level, size)), "level"), 2 * size
 
 
 def _prepare(docs: DataFrame, size: int, key: str, text: str):
@@ -247,67 +265,87 @@ def _prepare(docs: DataFrame, size: int, key: str, text: str):
     return sequences, first, texts, part
 
 
+_CUTS = "doc_id long, t1 long, removed long, sha string, kept_text string, passages array<struct<start:long,data:binary>>"
+
+
+def _cuts(texts: DataFrame, level: DataFrame, size: int, with_text: bool, with_passages: bool) -> DataFrame:
+    """One row per text with a repeated window: what goes, what is kept, and the passages for the next level."""
+    def cut(batches):
+        for b in batches:
+            out = []
+            for doc, data, t1, at, every in zip(*(b.column(c).to_pylist() for c in ("doc_id", "data", "t1", "starts", "every"))):
+                words = data.split()
+                if _digest(words)[0] != t1:  # another row with this doc_id
+                    continue
+                removed, sha, text = 0, None, None
+                if at:
+                    covered = np.zeros(len(words) + 1, dtype=np.int64)
+                    at = np.array(at, dtype=np.int64)
+                    np.add.at(covered, at, 1)
+                    np.add.at(covered, at + size, -1)
+                    gone = np.cumsum(covered)[:-1] > 0
+                    kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
+                    removed, sha, text = int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept
+                passages = _passages(words, np.array(every, dtype=np.int64), size) if with_passages else None
+                out.append((doc, t1, removed, sha, text.decode("utf-8") if with_text and text is not None else None, passages))
+            columns = list(zip(*out)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
+
+    names = ["doc_id", "t1", "removed", "sha", "kept_text", "passages"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("data", pa.binary())]))]
+    every = F.collect_set("pos") if with_passages else F.lit(None).cast("array<long>")
+    if not with_passages:
+        level = level.filter("later")
+    starts = level.groupBy("doc_id", "t1").agg(F.collect_set(F.when(F.col("later"), F.col("pos"))).alias("starts"), every.alias("every"))
+    return texts.join(starts, ["doc_id", "t1"]).select("doc_id", "data", "t1", "starts", "every").mapInArrow(cut, _CUTS).distinct()
+
+
 def longest_repeats(docs: DataFrame, window_words: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, pos, length): where a passage that another document holds starts, and the greatest length
     (window_words doubled any number of times) at which the window there repeats. Levels run until no
     candidates survive. Further copies of an equal word sequence are not listed."""
     _, _, texts, part = _prepare(docs, window_words, key, text)
-    size, found = window_words, []
-    windows = _windows(texts, size, part)
-    while True:
-        level = stored(_repeated(windows), "level")
-        if level.isEmpty():
-            break
-        found.append(level.select("doc_id", "pos", F.lit(size).alias("length")))
-        windows, size = _extended(texts, level, size), 2 * size
-    if not found:
-        return texts.sparkSession.createDataFrame([], "doc_id long, pos long, length int")
-    every = found[0]
-    for level in found[1:]:
-        every = every.unionByName(level)
+    level = stored(_repeated(_windows(texts, window_words, part)), "level")
+    passages = stored(_cuts(texts, level, window_words, False, True).select("doc_id", "t1", F.inline("passages")), "passages")
+    every = texts.sparkSession.createDataFrame([], "doc_id long, pos long, length int")
+    for size, rows in _doubled(passages, level, window_words):
+        every = every.unionByName(rows.select("doc_id", "pos", F.lit(size).alias("length")))
     return every.groupBy("doc_id", "pos").agg(F.max("length").alias("length"))
 
 
 def remove_repeats(docs: DataFrame, window_words: int = 13, key: str = "doc_id", text: str = "text",
-                   with_text: bool = False) -> DataFrame:
+                   with_text: bool = False, longest: bool = False) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (kept words joined by one space), and
     with ``with_text`` that kept text. A word goes if a window over it also starts in a document with a
-    smaller doc_id. Longer windows cannot change that, so the levels end at ``window_words``."""
+    smaller doc_id; longer windows cannot change that. ``longest`` runs the doubling to its end and adds
+    longest_repeat: the greatest length (window_words doubled any number of times) at which a window of
+    the text is found in a document with another word sequence, 0 if there is none. Word sequences are judged by the
+    first documents that hold them, and their copies take over the number; rows without a doc_id have 0."""
     sequences, first, texts, part = _prepare(docs, window_words, key, text)
-    later = _repeated(_windows(texts, window_words, part)).filter("later")
-    starts = later.groupBy("doc_id", "t1").agg(F.collect_set("pos").alias("starts"))
-
-    def cut(batches):
-        for b in batches:
-            ids, t1s, removed, sha, kept_text = [], [], [], [], []
-            for doc, data, t1, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "data", "t1", "starts"))):
-                words = data.split()
-                if _digest(words)[0] != t1:
-                    continue
-                covered = np.zeros(len(words) + 1, dtype=np.int64)
-                at = np.array(at, dtype=np.int64)
-                np.add.at(covered, at, 1)
-                np.add.at(covered, at + window_words, -1)
-                gone = np.cumsum(covered)[:-1] > 0
-                kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
-                ids.append(doc)
-                t1s.append(t1)
-                removed.append(int(gone.sum()))
-                sha.append(hashlib.sha256(kept).hexdigest())
-                kept_text.append(kept.decode("utf-8") if with_text else None)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(t1s, pa.int64()), pa.array(removed, pa.int64()),
-                 pa.array(sha, pa.string()), pa.array(kept_text, pa.string())],
-                names=["doc_id", "t1", "removed", "sha", "kept_text"])
-
-    cuts = (texts.join(starts, ["doc_id", "t1"]).mapInArrow(
-        cut, "doc_id long, t1 long, removed long, sha string, kept_text string").distinct())
+    level = _repeated(_windows(texts, window_words, part))
+    if longest:
+        level = stored(level, "level")
+    cuts = _cuts(texts, level, window_words, with_text, longest)
     copies = sequences.join(first, ["t1", "t2"], "left")
     copy = F.col("doc_id") > F.col("first_copy")
     nothing = hashlib.sha256(b"").hexdigest()
-    out = copies.join(cuts, ["doc_id", "t1"], "left").select(
+    if longest:
+        cuts = stored(cuts, "cuts")
+        passages = stored(cuts.select("doc_id", "t1", F.inline("passages")), "passages")
+        sizes = None
+        for size, rows in _doubled(passages, level, window_words):
+            found = rows.select(F.col("doc_id").alias("first_copy"), "t1").distinct().withColumn("longest_repeat", F.lit(size).cast("long"))
+            sizes = found if sizes is None else sizes.unionByName(found)
+        if sizes is None:
+            copies = copies.withColumn("longest_repeat", F.lit(0).cast("long"))
+        else:
+            sizes = sizes.groupBy("first_copy", "t1").agg(F.max("longest_repeat").alias("longest_repeat"))
+            copies = copies.join(sizes, ["first_copy", "t1"], "left").withColumn(
+                "longest_repeat", F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("longest_repeat", F.lit(0))).cast("long"))
+    extra = ["longest_repeat"] if longest else []
+    out = copies.join(cuts.select("doc_id", "t1", "removed", "sha", "kept_text"), ["doc_id", "t1"], "left").select(
         "doc_id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(copy, F.lit(nothing)).otherwise(F.coalesce("sha", "whole_sha256")).alias("kept_sha256"),
-        F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
+        *extra, F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
     return out if with_text else out.drop("kept_text")

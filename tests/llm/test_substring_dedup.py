@@ -77,3 +77,61 @@ def test_every_window_keeps_a_representative():
     h = word_hashes([str(i).encode() for i in np.random.default_rng(1).integers(0, 5, 200)])
     found, parts = window_minima(h, 13, 7), window_hashes(h, 7)
     assert all(found[i] == parts[i:i + 7].min() for i in range(len(h) - 12))
+
+
+def brute_longest(rows, size=13):
+    """(doc_id, longest) with every length of every window tried, documents of one word sequence as one."""
+    first = {}
+    for doc, text in rows:
+        w = tuple(WORD.findall(text or ""))
+        if doc is not None and len(w) >= size:
+            first[w] = min(first.get(w, doc), doc)
+    best = dict.fromkeys(first, 0)
+    while size <= max(map(len, first), default=0):
+        holders = {}
+        for w, doc in first.items():
+            for i in range(len(w) - size + 1):
+                holders.setdefault(w[i:i + size], set()).add(doc)
+        for w in first:
+            if any(len(holders[w[i:i + size]]) > 1 for i in range(len(w) - size + 1)):
+                best[w] = size
+        size *= 2
+    return sorted(((doc, best.get(tuple(WORD.findall(text or "")), 0) if doc is not None else 0) for doc, text in rows), key=str)
+
+
+def longest(df):
+    return sorted(((r.doc_id, r.longest_repeat) for r in remove_repeats(df, longest=True).collect()), key=str)
+
+
+def test_longest_of_odd_documents(spark):
+    df = with_clashes(documents(spark))
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    assert longest(df) == brute_longest(rows)
+    whole = remove_repeats(df, longest=True)
+    assert sorted((tuple(r)[:4] for r in whole.collect()), key=str) == brute(rows)
+    assert remove_repeats(df.limit(0), longest=True).collect() == []
+    alone = spark.createDataFrame([(1, prose(random.Random(1), 40))], "doc_id long, text string")
+    assert longest(alone) == [(1, 0)]
+
+
+def test_longest_by_doubling(spark):
+    rng = random.Random(21)
+    passages = [prose(rng, n) for n in (12, 13, 25, 26, 27, 52, 120, 230)]
+    few = "a b".split()
+    rows = []
+    for i in range(120):
+        parts = [rng.choice([prose(rng, rng.randint(0, 30)), rng.choice(passages), " ".join(rng.choice(few) for _ in range(40))]) for _ in range(4)]
+        rows.append((rng.randint(0, 99), " ".join(parts)))  # ids repeat
+    rows += [(200 + i, rows[i][1]) for i in range(10)]  # copies
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute_longest(rows)
+    assert longest(df) == want and {n for _, n in want} >= {0, 13, 26, 104, 208}
+    assert sorted((tuple(r)[:4] for r in remove_repeats(df, longest=True).collect()), key=str) == brute(rows)
+
+
+def test_kept_text_with_longest(spark):
+    p = " ".join(map(str, range(30)))
+    rows = [(1, p), (2, f"x {p}\ny"), (3, p), (4, "alone")]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True, longest=True).collect()}
+    assert (got[2].kept_text, got[3].kept_text, got[1].kept_text) == ("x y", "", None)
+    assert [got[i].longest_repeat for i in (1, 2, 3, 4)] == [26, 26, 26, 0]
