@@ -217,38 +217,68 @@ def _repeated(windows: DataFrame) -> DataFrame:
             .mapInArrow(run, "doc_id long, t1 long, pos long, later boolean"))
 
 
-def _passages(words: list[bytes], starts: np.ndarray, size: int) -> list[dict]:
-    """Stretches of words covered by windows of ``2 * size`` words both of whose halves start in ``starts``."""
+def _lists(column) -> list[np.ndarray]:
+    """The arrays of a list column; a null is an empty one."""
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), ends[:-1]) if len(ends) else []
+
+
+_PASSAGES = "passages array<struct<start:long,data:binary,at:array<int>>>"
+_PASSAGE_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("data", pa.binary()), ("at", pa.list_(pa.int32()))]))
+
+
+def _passages(words: list[bytes], starts: np.ndarray, size: int, offset: int = 0) -> list[dict]:
+    """Stretches of words covered by windows of ``2 * size`` words both of whose halves start in ``starts``, with
+    those windows' places in them."""
     at = np.sort(starts[np.isin(starts + size, starts)])
     if not len(at):
         return []
     cuts = np.flatnonzero(at[1:] > at[:-1] + 2 * size) + 1
-    return [{"start": int(run[0]), "data": b" ".join(words[run[0]:run[-1] + 2 * size])} for run in np.split(at, cuts)]
+    return [{"start": int(run[0]) + offset, "data": b" ".join(words[run[0]:run[-1] + 2 * size]), "at": (run - run[0]).astype(np.int32)}
+            for run in np.split(at, cuts)]
 
 
-def _extended(passages: DataFrame, repeated: DataFrame, size: int) -> DataFrame:
-    """Keys of the windows of twice the length both of whose halves repeat."""
+def _doubled(passages: DataFrame, size: int) -> DataFrame:
+    """Keys of the passages' windows of ``size`` words, whose halves repeat."""
     def run(batches):
         for b in batches:
             out = []
-            for doc, t1, first, data, starts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t1", "start", "data", "starts"))):
+            for doc, t1, first, data, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t1", "start", "data")), _lists(b.column("at"))):
                 words = data.split()
-                starts = np.array(starts, dtype=np.int64) - first
-                at = np.sort(starts[np.isin(starts + size, starts) & (starts >= 0) & (starts + 2 * size <= len(words))])
-                k1, k2, docs, t1s, pos = _keys(word_hashes(words), words, at, 2 * size, doc, t1)
+                k1, k2, docs, t1s, pos = _keys(word_hashes(words), words, at, size, doc, t1)
                 out.append((k1, k2, docs, t1s, pos + first))
             yield from _key_batches(out)
 
+    return passages.mapInArrow(run, "k1 long, k2 long, doc_id long, t1 long, pos long, state byte")
+
+
+def _surviving(passages: DataFrame, repeated: DataFrame, size: int, with_places: bool) -> DataFrame:
+    """(doc_id, t1, passages, places) of the passages in which windows of ``size`` words repeat, cut down to the
+    passages of the next level."""
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc, t1, first, data, starts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t1", "start", "data")), _lists(b.column("starts"))):
+                words = data.split()
+                starts = starts - first
+                starts = starts[(starts >= 0) & (starts + size <= len(words))]
+                if len(starts):
+                    out.append((doc, t1, _passages(words, starts, size, first), starts + first if with_places else None))
+            columns = list(zip(*out)) if out else [[]] * 4
+            types = [pa.int64(), pa.int64(), _PASSAGE_TYPE, pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "t1", "passages", "places"])
+
     starts = repeated.groupBy("doc_id", "t1").agg(F.collect_set("pos").alias("starts"))
     return passages.join(starts, ["doc_id", "t1"]).select("doc_id", "t1", "start", "data", "starts").mapInArrow(
-        run, "k1 long, k2 long, doc_id long, t1 long, pos long, state byte")
+        run, f"doc_id long, t1 long, {_PASSAGES}, places array<long>")
 
 
-def _doubled(passages: DataFrame, level: DataFrame, size: int):
-    """Stored levels (size, rows of ``_repeated``) from ``size`` on by doubling, until no candidates survive."""
+def _levels(level: DataFrame, size: int, with_places: bool = False):
+    """Stored levels (size, doc_id, t1, passages, places) from ``size`` on by doubling, until no candidates survive."""
     while not level.isEmpty():
         yield size, level
-        level, size = stored(_repeated(_extended(passages, level, size)), "level"), 2 * size
+        passages, size = level.select("doc_id", "t1", F.inline("passages")), 2 * size
+        level = stored(_surviving(passages, _repeated(_doubled(passages, size)), size, with_places), "level")
 
 
 def _prepare(docs: DataFrame, size: int, key: str, text: str):
@@ -265,39 +295,38 @@ def _prepare(docs: DataFrame, size: int, key: str, text: str):
     return sequences, first, texts, part
 
 
-_CUTS = "doc_id long, t1 long, removed long, sha string, kept_text string, passages array<struct<start:long,data:binary>>"
-
-
-def _cuts(texts: DataFrame, level: DataFrame, size: int, with_text: bool, with_passages: bool) -> DataFrame:
-    """One row per text with a repeated window: what goes, what is kept, and the passages for the next level."""
+def _cuts(texts: DataFrame, level: DataFrame, size: int, with_text: bool = False, with_passages: bool = False,
+          with_places: bool = False) -> DataFrame:
+    """One row per text with a repeated window (``with_passages``) or with words that go: what goes, what is kept,
+    and the passages for the next level."""
     def cut(batches):
         for b in batches:
             out = []
-            for doc, data, t1, at, every in zip(*(b.column(c).to_pylist() for c in ("doc_id", "data", "t1", "starts", "every"))):
+            for doc, data, t1, at, every in zip(*(b.column(c).to_pylist() for c in ("doc_id", "data", "t1")), _lists(b.column("starts")), _lists(b.column("every"))):
                 words = data.split()
                 if _digest(words)[0] != t1:  # another row with this doc_id
                     continue
                 removed, sha, text = 0, None, None
-                if at:
+                if len(at):
                     covered = np.zeros(len(words) + 1, dtype=np.int64)
-                    at = np.array(at, dtype=np.int64)
                     np.add.at(covered, at, 1)
                     np.add.at(covered, at + size, -1)
                     gone = np.cumsum(covered)[:-1] > 0
                     kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
                     removed, sha, text = int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept
-                passages = _passages(words, np.array(every, dtype=np.int64), size) if with_passages else None
-                out.append((doc, t1, removed, sha, text.decode("utf-8") if with_text and text is not None else None, passages))
-            columns = list(zip(*out)) if out else [[]] * 6
+                out.append((doc, t1, removed, sha, text.decode("utf-8") if with_text and text is not None else None,
+                            _passages(words, every, size) if with_passages else None, every if with_places else None))
+            columns = list(zip(*out)) if out else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
-    names = ["doc_id", "t1", "removed", "sha", "kept_text", "passages"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("data", pa.binary())]))]
+    names = ["doc_id", "t1", "removed", "sha", "kept_text", "passages", "places"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), _PASSAGE_TYPE, pa.list_(pa.int64())]
     every = F.collect_set("pos") if with_passages else F.lit(None).cast("array<long>")
-    if not with_passages:
-        level = level.filter("later")
-    starts = level.groupBy("doc_id", "t1").agg(F.collect_set(F.when(F.col("later"), F.col("pos"))).alias("starts"), every.alias("every"))
-    return texts.join(starts, ["doc_id", "t1"]).select("doc_id", "data", "t1", "starts", "every").mapInArrow(cut, _CUTS).distinct()
+    starts = (level if with_passages else level.filter("later")).groupBy("doc_id", "t1").agg(
+        F.collect_set(F.when(F.col("later"), F.col("pos"))).alias("starts"), every.alias("every"))
+    rows = texts.join(starts, ["doc_id", "t1"]).select("doc_id", "data", "t1", "starts", "every").mapInArrow(
+        cut, f"doc_id long, t1 long, removed long, sha string, kept_text string, {_PASSAGES}, places array<long>")
+    return rows.dropDuplicates(["doc_id", "t1"])  # rows repeated in id and text
 
 
 def longest_repeats(docs: DataFrame, window_words: int = 13, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -305,11 +334,11 @@ def longest_repeats(docs: DataFrame, window_words: int = 13, key: str = "doc_id"
     (window_words doubled any number of times) at which the window there repeats. Levels run until no
     candidates survive. Further copies of an equal word sequence are not listed."""
     _, _, texts, part = _prepare(docs, window_words, key, text)
-    level = stored(_repeated(_windows(texts, window_words, part)), "level")
-    passages = stored(_cuts(texts, level, window_words, False, True).select("doc_id", "t1", F.inline("passages")), "passages")
+    level = _repeated(_windows(texts, window_words, part))
+    cuts = stored(_cuts(texts, level, window_words, with_passages=True, with_places=True), "cuts")
     every = texts.sparkSession.createDataFrame([], "doc_id long, pos long, length int")
-    for size, rows in _doubled(passages, level, window_words):
-        every = every.unionByName(rows.select("doc_id", "pos", F.lit(size).alias("length")))
+    for size, rows in _levels(cuts, window_words, True):
+        every = every.unionByName(rows.select("doc_id", F.explode("places").alias("pos"), F.lit(size).alias("length")))
     return every.groupBy("doc_id", "pos").agg(F.max("length").alias("length"))
 
 
@@ -323,17 +352,14 @@ def remove_repeats(docs: DataFrame, window_words: int = 13, key: str = "doc_id",
     first documents that hold them, and their copies take over the number; rows without a doc_id have 0."""
     sequences, first, texts, part = _prepare(docs, window_words, key, text)
     level = _repeated(_windows(texts, window_words, part))
-    if longest:
-        level = stored(level, "level")
     cuts = _cuts(texts, level, window_words, with_text, longest)
     copies = sequences.join(first, ["t1", "t2"], "left")
     copy = F.col("doc_id") > F.col("first_copy")
     nothing = hashlib.sha256(b"").hexdigest()
     if longest:
         cuts = stored(cuts, "cuts")
-        passages = stored(cuts.select("doc_id", "t1", F.inline("passages")), "passages")
         sizes = None
-        for size, rows in _doubled(passages, level, window_words):
+        for size, rows in _levels(cuts, window_words):
             found = rows.select(F.col("doc_id").alias("first_copy"), "t1").distinct().withColumn("longest_repeat", F.lit(size).cast("long"))
             sizes = found if sizes is None else sizes.unionByName(found)
         if sizes is None:
