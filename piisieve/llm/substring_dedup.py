@@ -278,20 +278,20 @@ def _levels(level: DataFrame, size: int, with_places: bool = False):
     while not level.isEmpty():
         yield size, level
         passages, size = level.select("doc_id", "t1", F.inline("passages")), 2 * size
-        level = stored(_surviving(passages, _repeated(_doubled(passages, size)), size, with_places), "level")
+        level = stored(_surviving(passages, _repeated(_doubled(passages, size)), size, with_places), "level", release=True)
 
 
 def _prepare(docs: DataFrame, size: int, key: str, text: str):
     """(sequences, representatives, texts with shared parts)."""
     src = _source(docs, key, text)
     part = (size + 1) // 2
-    sequences = stored(_word_sequences(src), "sequences")
+    sequences = stored(_word_sequences(src), "sequences", release=True)
     first = sequences.filter((F.col("n_words") >= size) & F.col("doc_id").isNotNull()).groupBy("t1", "t2").agg(
         F.min("doc_id").alias("first_copy"))
-    first = stored(first, "first_copies")
+    first = stored(first, "first_copies", release=True)
     parts = _shared_parts(src, size, part)
     wanted = first.join(parts, "t1").select(F.col("first_copy").alias("doc_id"), "t1", "parts")
-    texts = stored(src.join(wanted, "doc_id"), "shared_texts")
+    texts = stored(src.join(wanted, "doc_id"), "shared_texts", release=True)
     return sequences, first, texts, part
 
 
@@ -335,7 +335,7 @@ def longest_repeats(docs: DataFrame, window_words: int = 13, key: str = "doc_id"
     candidates survive. Further copies of an equal word sequence are not listed."""
     _, _, texts, part = _prepare(docs, window_words, key, text)
     level = _repeated(_windows(texts, window_words, part))
-    cuts = stored(_cuts(texts, level, window_words, with_passages=True, with_places=True), "cuts")
+    cuts = stored(_cuts(texts, level, window_words, with_passages=True, with_places=True), "cuts", release=True)
     every = texts.sparkSession.createDataFrame([], "doc_id long, pos long, length int")
     for size, rows in _levels(cuts, window_words, True):
         every = every.unionByName(rows.select("doc_id", F.explode("places").alias("pos"), F.lit(size).alias("length")))
@@ -357,7 +357,7 @@ def remove_repeats(docs: DataFrame, window_words: int = 13, key: str = "doc_id",
     copy = F.col("doc_id") > F.col("first_copy")
     nothing = hashlib.sha256(b"").hexdigest()
     if longest:
-        cuts = stored(cuts, "cuts")
+        cuts = stored(cuts, "cuts", release=True)
         sizes = None
         for size, rows in _levels(cuts, window_words):
             found = rows.select(F.col("doc_id").alias("first_copy"), "t1").distinct().withColumn("longest_repeat", F.lit(size).cast("long"))
