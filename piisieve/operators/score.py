@@ -14,7 +14,7 @@ work goes into padding. Outputs as long as the padded input are cut back; rows k
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 OUT_SCHEMA = "document long, window int, word_ids array<int>, probs array<array<double>>"
 
@@ -23,6 +23,7 @@ _LOADED: dict = {}
 
 PADDING = {"word_ids": -1, "label_ids": -100, "pieces": "[PAD]"}
 MAX_LOADED = 4
+CALL_PIECES = 1 << 16
 
 
 def identity(loader) -> str:
@@ -65,6 +66,23 @@ def in_length_batches(pdf, score, batch_size: int, length: str = "word_ids", pad
     return pd.concat(out).sort_index().reset_index(drop=True) if out else score(pdf)
 
 
+def in_calls(pdf, length: str | None, least: int = 1, pieces: int = CALL_PIECES):
+    """The rows of ``pdf`` in order, cut into frames of at least ``least`` rows and, beyond those, at most ``pieces``
+    entries of the array column ``length``."""
+    import numpy as np
+
+    if length is None or not len(pdf):
+        yield pdf
+        return
+    ends = np.cumsum(pdf[length].map(lambda a: 0 if a is None else len(a)).to_numpy(dtype=np.int64))
+    at = 0
+    while at < len(pdf):
+        before = ends[at - 1] if at else 0
+        to = min(max(int(np.searchsorted(ends, before + pieces, side="right")), at + least), len(pdf))
+        yield pdf if to - at == len(pdf) else pdf.iloc[at:to].reset_index(drop=True)
+        at = to
+
+
 def score_windows(windows: DataFrame, fn=None, schema: str = OUT_SCHEMA, loader=None, loader_key: str | None = None,
                   keep: tuple[str, ...] = (), batch_size: int | None = None, padding: dict | None = None) -> DataFrame:
     """Scores of every window; ``keep`` names input columns that are passed on next to the scores. ``loader_key``
@@ -75,10 +93,12 @@ def score_windows(windows: DataFrame, fn=None, schema: str = OUT_SCHEMA, loader=
         raise ValueError("give either fn or loader")
 
     key = loader_key if loader_key is not None or loader is None else identity(loader)
+    arrays = [f.name for f in windows.schema.fields if isinstance(f.dataType, ArrayType)]
+    length = "word_ids" if "word_ids" in arrays else arrays[0] if arrays else None
 
     def run(batches):
         score = fn if fn is not None else loaded(loader, key)
-        for pdf in batches:
+        for pdf in (call for batch in batches for call in in_calls(batch, length, batch_size or 1)):
             out = score(pdf) if batch_size is None or not len(pdf) else in_length_batches(pdf, score, batch_size, padding=padding)
             for c in keep:
                 out[c] = pdf[c].to_numpy()

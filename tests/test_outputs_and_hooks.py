@@ -179,3 +179,21 @@ def test_half_away_is_the_column_form(spark):
     x = [0.0, 0.5e-6, -0.5e-6, 1.0000005, -2.5, 0.1234565, 123.4567895] + [rng.uniform(-2, 2) for _ in range(2000)]
     want = [r.y for r in spark.createDataFrame([(v,) for v in x], "x double").coalesce(1).select(round_half_away("x", 6).alias("y")).collect()]
     assert list(_half_away(np.array(x), 6)) == want
+
+
+def test_scores_are_made_in_calls_of_few_pieces(spark):
+    """Many long windows in one Arrow batch reach the model in several calls, in order, each row once."""
+    from piisieve.operators.score import CALL_PIECES, score_windows
+
+    def model(pdf):
+        pieces = int(pdf["word_ids"].map(len).sum())
+        return pdf.assign(call=pieces, n=pdf["word_ids"].map(len))[["document", "n", "call"]]
+
+    long, n = CALL_PIECES // 4, 11
+    w = spark.range(n, numPartitions=1).selectExpr("id AS document", f"CASE WHEN id = 5 THEN null ELSE sequence(1, {long}) END AS word_ids")
+    w = w.withColumn("word_ids", F.coalesce("word_ids", F.array().cast("array<int>")))
+    got = score_windows(w, model, schema="document long, n int, call int").collect()
+    assert [(r.document, r.n) for r in got] == [(i, 0 if i == 5 else long) for i in range(n)]
+    assert max(r.call for r in got) <= CALL_PIECES
+    batched = score_windows(w, model, schema="document long, n int, call int", batch_size=8).collect()
+    assert len(batched) == n
