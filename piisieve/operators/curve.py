@@ -39,7 +39,9 @@ def threshold_curve(pred: DataFrame, gold: DataFrame, grid=THRESHOLD_GRID, beta:
     spark = pred.sparkSession
     n = len(grid)
     grid_arr = F.array(*[F.lit(float(t)) for t in grid])
-    c = compare(pred, gold, "most_probable_label", extra=("outside_prob",))
+    # no point of the grid admits a word beyond its last threshold: such words need not meet the gold words
+    outside = F.col("outside_prob")
+    c = compare(pred.filter(outside.isNull() | (outside <= F.lit(float(max(grid))))), gold, "most_probable_label", extra=("outside_prob",))
     bucket = F.size(F.filter(grid_arr, lambda g: g < F.col("outside_prob")))
     per_bucket = c.groupBy(F.when(F.col("p_label").isNotNull(), bucket).alias("bucket")).agg(
         F.sum(F.when(F.col("p_label") == F.col("g_label"), 1).otherwise(0)).cast("long").alias("hit"),

@@ -96,3 +96,20 @@ def test_mixture_weights_are_broadcast(spark):
     import __spark_entry__ as e
     p = plan(e.queries()["mix"](spark, SF))
     assert "BroadcastHashJoin" in p
+
+
+def test_vectors_of_words_are_not_shuffled(spark):
+    """The texts are dealt out by id; the means per word are then grouped without another exchange."""
+    p = plan(cc.pred(spark, SF))
+    assert "REPARTITION_BY_NUM" in p and "hashpartitioning(document" not in p and "hashpartitioning(doc_id" in p
+
+
+def test_partitions_by_key_follow_the_texts(spark):
+    from pyspark.sql import functions as F
+    from piisieve.operators.indexing import by_key
+    df = spark.range(200).select((F.col("id") % 50).alias("doc_id"), F.repeat(F.lit("x"), 100).alias("text"))
+    out = by_key(df, "doc_id", "text", 1000)
+    assert out.rdd.getNumPartitions() == 20 and out.count() == 200
+    ids = out.select("doc_id", F.spark_partition_id().alias("p")).distinct()
+    assert ids.count() == 50  # all rows of an id lie together
+    assert by_key(df.filter("doc_id < 0"), "doc_id", "text").count() == 0
