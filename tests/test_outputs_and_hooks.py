@@ -197,3 +197,17 @@ def test_scores_are_made_in_calls_of_few_pieces(spark):
     assert max(r.call for r in got) <= CALL_PIECES
     batched = score_windows(w, model, schema="document long, n int, call int", batch_size=8).collect()
     assert len(batched) == n
+
+
+def test_span_means_of_windows_that_share_a_key(spark):
+    """The arrays of windows meet a key of their own, not their first piece's; floats travel as floats."""
+    from piisieve.operators.metrics_extra import span_mean
+    win = spark.createDataFrame([(d, w, [5, None, 5, d], [(0, 0, 1), (1, 1, 3), (2, 3, 4)]) for d in range(4) for w in range(3)] + [(9, 0, [], [])],
+                                "document long, window int, piece_keys array<long>, spans array<struct<word:int,head:int,tail:int>>")
+    vec = spark.createDataFrame([(5, [1.0, 0.5]), (1, [4.0, 8.0])], "vec_key long, vector array<float>")
+    out = span_mean(win, vec)
+    got = {(r.document, r.window, r.word): (r.n_pieces, r.mean) for r in out.collect()}
+    assert len(got) == 36 and all(got[d, w, 0] == (1, [1.0, 0.5]) and got[d, w, 1] == (2, [0.5, 0.25]) for d in range(4) for w in range(3))
+    assert all(got[d, w, 2] == (1, [4.0, 8.0] if d == 1 else [0.0, 0.0]) for d in range(4) for w in range(3))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "window " in plan and "cast(vector" not in plan
