@@ -113,3 +113,14 @@ def test_partitions_by_key_follow_the_texts(spark):
     ids = out.select("doc_id", F.spark_partition_id().alias("p")).distinct()
     assert ids.count() == 50  # all rows of an id lie together
     assert by_key(df.filter("doc_id < 0"), "doc_id", "text").count() == 0
+
+
+def test_row_index_hands_over_no_table(spark):
+    """The offsets of partitions are constants of the plan: no Python worker and no broadcast makes them."""
+    from pyspark.sql import functions as F
+    from piisieve.operators.indexing import with_row_index
+    df = spark.range(100).select((F.col("id") * 7 % 100).alias("k"))
+    out = with_row_index(df, ["k"], "ix", num_partitions=7)
+    assert "Broadcast" not in plan(out) and "Join" not in plan(out)
+    assert all(r.k == r.ix for r in out.collect()) and out.schema["ix"].dataType.simpleString() == "bigint"
+    assert with_row_index(df.filter("k < 0"), ["k"], "ix", num_partitions=3).count() == 0
