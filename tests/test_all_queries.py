@@ -11,7 +11,7 @@ from conftest import SF
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 from check_oracle import canon, same  # noqa: E402
 
-TABLES = ["documents", "labels", "embeddings", "events", "pages", "nation", "customer", "conversations", "benchmark"]
+TABLES = ["documents", "labels", "embeddings", "events", "pages", "nation", "customer", "conversations", "benchmark", "supplier", "part"]
 
 
 @pytest.fixture(scope="module")
