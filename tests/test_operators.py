@@ -237,3 +237,25 @@ def test_mixture_json_is_many_bounded_objects(spark, tmp_path):
     assert sorted((r.set_name, r.document, r.tokens, r.labels) for r in got) == sorted(r for r in rows if r[0] != "other")
     write_mixture_json(df.limit(0), path, sets)
     assert read_mixture(spark, path, sets, json_object=True).count() == 0
+
+
+def test_rounding_half_away_of_odd_values(spark):
+    """The short form equals floor and exact remainder, value by value."""
+    import math
+    import random
+    from piisieve.functions.arrays import round_half_away
+    rng = random.Random(5)
+    values = [0.0, -0.0, 0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 1e-320, 4503599627370495.5, 2.0 ** 52, -2.0 ** 53, 1e300,
+              float("inf"), float("-inf"), *[rng.uniform(-2, 2) for _ in range(200)], *[rng.randrange(-999, 999) / 8 for _ in range(200)]]
+
+    def plain(x, digits):
+        y = abs(x) * 10.0 ** digits
+        if y >= 2.0 ** 52:
+            return x
+        fl = float(math.floor(y))
+        return math.copysign(1.0 if x else 0.0, x) * (fl + (1.0 if y - fl >= 0.5 else 0.0)) / 10.0 ** digits
+    df = spark.createDataFrame([(v,) for v in [*values, float("nan"), None]], "x double")
+    for digits in (0, 2, 9):
+        found = [r[0] for r in df.select(round_half_away("x", digits)).collect()]
+        assert [repr(f) for f in found[:-2]] == [repr(plain(v, digits)) for v in values]
+        assert math.isnan(found[-2]) and found[-1] is None

@@ -124,3 +124,19 @@ def test_row_index_hands_over_no_table(spark):
     assert "Broadcast" not in plan(out) and "Join" not in plan(out)
     assert all(r.k == r.ix for r in out.collect()) and out.schema["ix"].dataType.simpleString() == "bigint"
     assert with_row_index(df.filter("k < 0"), ["k"], "ix", num_partitions=3).count() == 0
+
+
+@pytest.mark.parametrize("name", ["mean_probs", "prediction_table", "apply_threshold", "keep_entities", "score_sets", "type_counts",
+                                  "per_type_scores", "overall_scores", "type_report", "threshold_curve", "explode_occurrences"])
+def test_generated_methods_are_compiled(spark, name):
+    """HotSpot leaves methods over 8000 bytes of bytecode to its interpreter, unless a session's JVM flag says otherwise."""
+    import re
+    import __spark_entry__ as e
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        executed = e.queries()[name](spark, SF)._jdf.queryExecution().executedPlan()
+        text = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenString(executed)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+    assert sizes and max(sizes) < 8000
