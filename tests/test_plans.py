@@ -140,3 +140,12 @@ def test_generated_methods_are_compiled(spark, name):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
     assert sizes and max(sizes) < 8000
+
+
+def test_best_and_last_store_their_gold_words(spark, monkeypatch):
+    """Four evaluations read the gold words; they are made from the texts once."""
+    from piisieve.plans import catalog_splits as cs
+    plans, made = [], cs.E.type_counts
+    monkeypatch.setattr(cs.E, "type_counts", lambda p, g: plans.append(plan(g)) or made(p, g))
+    assert cs.q_write_best_last(spark, SF).count() > 0
+    assert len(plans) == 4 and all("Generate" not in p and "Exchange" not in p for p in plans)
