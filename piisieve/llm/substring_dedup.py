@@ -14,9 +14,10 @@ About a quarter of the positions are shuffled, and only documents with a shared
 Texts with equal word sequences are one text from the start: all but the smallest doc_id lose every
 word that a window covers, which is all of them from 13 words on.
 
-Groups are streamed in sorted order with numpy, never buffered. Before each shuffle by window a batch
-settles what it can: one document stands for a window that several documents of the batch hold, and
-the rows of the others are dealt evenly, so a window in a third of all documents is no hot key.
+Texts are hashed with numpy over many documents at a time; windows are compared by Spark's window functions over their
+hashes. Before each shuffle by window a batch settles what it can: one document stands for a window that several
+documents of the batch hold, and the rows of the others are dealt evenly, so a window in a third of all
+documents is no hot key.
 
 Defined results: null or word-less text has no words; rows with a null doc_id lose nothing and make
 others lose nothing; rows that share a doc_id do not repeat each other; an empty table gives an
@@ -30,15 +31,17 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .tables import stored
-from .words import as_signed, window_hashes, word_hashes
+from .words import as_signed, hashed_words, mix64, run_hashes, window_hashes
 
 
 #: Rows whose part in the result is settled before the shuffle by window.
 UNKNOWN, REPEATED, KNOWN = 0, 1, 2
+#: Bytes of text that are hashed at a time: their arrays stay in the processor's cache.
+CHUNK_BYTES = 1 << 20
 
 
 def _source(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -75,12 +78,53 @@ def window_minima(h: np.ndarray, size: int, part: int) -> np.ndarray:
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out = small[:n].copy()
-    for k in range(1, size - part + 1):
-        np.minimum(out, small[k:k + n], out=out)
+    out, length = small, 1
+    while length < size - part + 1:
+        step = min(length, size - part + 1 - length)
+        out, length = np.minimum(out[:len(out) - step], out[step:]), length + step
     return out
 
 
+class _Words:
+    """The words of several texts in one row, so that each step on hashes is one over all of them."""
+
+    def __init__(self, texts: list[bytes]):
+        self.sizes, self.first, self.second = hashed_words(texts)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.count = len(self.first)
+        self.text = np.repeat(np.arange(len(texts)), self.sizes)  # whose word it is
+
+    def fit(self, size: int) -> np.ndarray:
+        """Whether a window of ``size`` words that starts at a word ends in its text; as long as the windows are many."""
+        n = max(0, self.count - size + 1)
+        return (self.starts + self.sizes)[self.text[:n]] - np.arange(n) >= size
+
+    def minima(self, size: int, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(smallest hashes, texts, lengths) of the stretches of windows that one short window represents; the windows
+        beyond a text's end are in stretches of text -1."""
+        small = window_minima(self.first, size, part)
+        text = np.where(self.fit(size), self.text[:len(small)], -1)
+        at = np.flatnonzero(np.concatenate([np.ones(min(1, len(small)), dtype=bool), (small[1:] != small[:-1]) | (text[1:] != text[:-1])]))
+        return small[at], text[at], np.diff(np.append(at, len(small)))
+
+    def keys(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of the windows of ``size`` words that start at ``at``."""
+        return as_signed(run_hashes(self.first, size)[at]), as_signed(run_hashes(self.second, size)[at])
+
+
+def _chunks(rows):
+    """Lists of rows, whose last field is a text, of about CHUNK_BYTES bytes of text."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row[-1])
+        if n >= CHUNK_BYTES:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def _shared_parts(src: DataFrame, size: int, part: int) -> DataFrame:
     """(t1, parts): of every text, the representing short windows that another text has too.
 
@@ -90,18 +134,20 @@ def _shared_parts(src: DataFrame, size: int, part: int) -> DataFrame:
     def emit(batches):
         for b in batches:
             hashes, texts = [], []
-            for doc, value in zip(b.column(0), b.column(1)):
-                words = (value.as_py() or b"").split()
-                if doc.as_py() is None or len(words) < size:
-                    continue
-                found = np.unique(window_minima(word_hashes(words), size, part))
-                hashes.append(as_signed(found))
-                texts.append(np.full(len(found), _digest(words)[0], dtype=np.int64))
-            if hashes:
+            rows = ((doc.as_py(), value.as_py() or b"") for doc, value in zip(b.column(0), b.column(1)))
+            for chunk in _chunks(row for row in rows if row[0] is not None):
+                found, text, _ = _Words([data for _, data in chunk]).minima(size, part)
+                hashes.append(as_signed(found[text >= 0]))
+                texts.append(np.array([_digest(data.split())[0] for _, data in chunk], dtype=np.int64)[text[text >= 0]])
+            if any(map(len, hashes)):
                 p, t = np.concatenate(hashes), np.concatenate(texts)
-                order = np.lexsort((t, p))
+                order, group = _grouped(p)
+                met = _members(group)  # windows found once need no order of their texts
+                order[met] = order[met][np.lexsort((t[order[met]], group[met]))]
                 p, t = p[order], t[order]
-                same = (p[1:] == p[:-1]) & (t[1:] != t[:-1])  # the row before has the window in another text
+                fresh = np.concatenate([[True], (p[1:] != p[:-1]) | (t[1:] != t[:-1])])
+                p, t = p[fresh], t[fresh]
+                same = (p[1:] == p[:-1])  # the row before has the window in another text
                 state = np.zeros(len(p), dtype=np.int8)
                 state[:-1][same] = 1
                 state[1:][same] = 2
@@ -109,24 +155,9 @@ def _shared_parts(src: DataFrame, size: int, part: int) -> DataFrame:
                 for at in range(0, rows.num_rows, 100_000):
                     yield rows.slice(at, 100_000)
 
-    def shared(batches):
-        last = None  # the row before: a text is shared where its neighbour in the group is another
-        for b in batches:
-            p, t, known = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy() > 0
-            if not len(p):
-                continue
-            if last is not None:
-                p, t, known = np.concatenate([[last[0]], p]), np.concatenate([[last[1]], t]), np.concatenate([[False], known])
-            meets = (p[1:] == p[:-1]) & (t[1:] != t[:-1])
-            flagged = known.copy()
-            flagged[1:] |= meets
-            flagged[:-1] |= meets
-            last = (p[-1], t[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(t[flagged]), pa.array(p[flagged])], names=["t1", "part"])
-
     rows = src.mapInArrow(emit, "part long, t1 long, state byte")
-    dealt = rows.repartition(F.when(F.col("state") == KNOWN, F.xxhash64("t1")).otherwise(F.col("part")))
-    found = dealt.sortWithinPartitions("part", "t1").mapInArrow(shared, "t1 long, part long")
+    alike = Window.partitionBy(F.when(F.col("state") == KNOWN, F.xxhash64("t1")).otherwise(F.col("part")))
+    found = rows.select("t1", "part", "state", F.min("t1").over(alike).alias("low"), F.max("t1").over(alike).alias("high")).filter("low < high OR state > 0")
     return found.groupBy("t1").agg(F.collect_set("part").alias("parts"))
 
 
@@ -135,26 +166,40 @@ def _windows(texts: DataFrame, size: int, part: int) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for doc, data, t1, parts in zip(*(b.column(c).to_pylist() for c in ("doc_id", "data", "t1", "parts"))):
-                words = data.split()
-                if _digest(words)[0] != t1:  # another row with this doc_id
-                    continue
-                h = word_hashes(words)
-                wanted = np.array(parts, dtype=np.int64).view(np.uint64)
-                at = np.flatnonzero(np.isin(window_minima(h, size, part), wanted))
-                out.append(_keys(h, words, at, size, doc, t1))
+            rows = zip(b.column("doc_id").to_pylist(), b.column("t1").to_pylist(), _lists(b.column("parts")),
+                       b.column("data").to_pylist())
+            for chunk in _chunks(row for row in rows if _digest(row[3].split())[0] == row[1]):  # else another row with this doc_id
+                docs, t1s, parts, texts = zip(*chunk)
+                words = _Words(texts)
+                found, text, lengths = words.minima(size, part)
+                # a text's number is mixed in; what that confuses is one candidate more
+                salt = mix64(np.arange(1, len(texts) + 1, dtype=np.uint64))
+                wanted = np.concatenate(parts).view(np.uint64) ^ np.repeat(salt, [len(x) for x in parts])
+                shared = (text >= 0) & np.isin(found ^ salt[text], wanted)
+                out.append(_keys(words, np.flatnonzero(np.repeat(shared, lengths)), size, docs, t1s))
             yield from _key_batches(out)
 
     return texts.mapInArrow(run, "k1 long, k2 long, doc_id long, t1 long, pos long, state byte")
 
 
-def _keys(h: np.ndarray, words: list[bytes], at: np.ndarray, size: int, doc: int, t1: int):
-    if not len(at):
-        empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty, empty, empty
-    other = window_hashes(word_hashes(words, 1), size)
-    return (as_signed(window_hashes(h, size)[at]), as_signed(other[at]), np.full(len(at), doc, dtype=np.int64),
-            np.full(len(at), t1, dtype=np.int64), at.astype(np.int64))
+def _keys(words: _Words, at: np.ndarray, size: int, docs, t1s, shift=0):
+    """Columns of the windows that start at the words ``at``; places count from ``shift`` on in each text."""
+    text = words.text[at]
+    pos = at - (words.starts - shift)[text]
+    return *words.keys(at, size), np.array(docs, dtype=np.int64)[text], np.array(t1s, dtype=np.int64)[text], pos
+
+
+def _grouped(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group): where the sorted values stand, and the number of each one's group of equals."""
+    order = np.argsort(values)
+    v = values[order]
+    return order, np.cumsum(np.concatenate([[False], v[1:] != v[:-1]]))
+
+
+def _members(group: np.ndarray) -> np.ndarray:
+    """Places in groups of two or more, of groups that stand one after another."""
+    same = group[1:] == group[:-1]
+    return np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
 
 
 def _key_batches(out):
@@ -165,7 +210,9 @@ def _key_batches(out):
     k1, k2, doc, t1, pos = (np.concatenate(c) for c in zip(*out))
     if not len(k1):
         return
-    order = np.lexsort((doc, k2, k1))
+    order, group = _grouped(k1)
+    met = _members(group)  # windows found once need no order of their documents
+    order[met] = order[met][np.lexsort((doc[order[met]], k2[order[met]], group[met]))]
     k1, k2, doc, t1, pos = (x[order] for x in (k1, k2, doc, t1, pos))
     start = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
     group = np.cumsum(start) - 1
@@ -182,39 +229,11 @@ def _key_batches(out):
 
 def _repeated(windows: DataFrame) -> DataFrame:
     """(doc_id, t1, pos, later) of the windows found in two documents or more; later: also in a smaller one."""
-    def run(batches):
-        held = [np.zeros(0, dtype=np.int64) for _ in range(6)]  # last group's rows while they are of one document
-        opened = None  # (k1, k2, first document) of a last group already known to repeat
-        for b in batches:
-            columns = [c.to_numpy().astype(np.int64, copy=False) for c in b.columns]
-            known = columns[5] == KNOWN
-            settled = [x[known] for x in columns[2:5]]
-            k1, k2, doc, t1, pos, state = (np.concatenate([x, c[~known]]) for x, c in zip(held, columns))
-            if len(k1):
-                start = np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])])
-                first_at = np.flatnonzero(start)
-                group = np.cumsum(start) - 1
-                first, repeats = doc[first_at], np.zeros(len(first_at), dtype=bool)
-                repeats[group[(doc != first[group]) | (state == REPEATED)]] = True  # rows are in doc_id order
-                if opened is not None and (k1[0], k2[0]) == opened[:2]:
-                    first[0], repeats[0] = opened[2], True
-                emit = repeats[group]
-                if repeats[-1]:
-                    opened, held = (k1[-1], k2[-1], first[-1]), [x[:0] for x in held]
-                else:
-                    last = group == group[-1]
-                    opened, held = None, [x[last] for x in (k1, k2, doc, t1, pos, state)]
-                found = [x[emit] for x in (doc, t1, pos)]
-                later = (doc > first[group])[emit]
-            else:
-                found, later = [x[:0] for x in settled], np.zeros(0, dtype=bool)
-            yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.concatenate([x, y])) for x, y in zip(found, settled)),
-                 pa.array(np.concatenate([later, np.ones(len(settled[0]), dtype=bool)]))], names=["doc_id", "t1", "pos", "later"])
-
-    by_window = F.when(F.col("state") == KNOWN, F.xxhash64("doc_id", "pos")).otherwise(F.xxhash64("k1", "k2"))
-    return (windows.repartition(by_window).sortWithinPartitions("k1", "k2", "doc_id", "t1", "pos")
-            .mapInArrow(run, "doc_id long, t1 long, pos long, later boolean"))
+    known = F.col("state") == KNOWN
+    alike = Window.partitionBy(F.when(known, F.xxhash64("doc_id", "pos")).otherwise(F.col("k1")), "k2")
+    rows = windows.select("doc_id", "t1", "pos", known.alias("known"), F.min("doc_id").over(alike).alias("first"), F.max("doc_id").over(alike).alias("last"),
+                          F.max("state").over(alike).alias("state"))
+    return rows.filter("first < last OR state > 0").select("doc_id", "t1", "pos", (F.col("known") | (F.col("doc_id") > F.col("first"))).alias("later"))
 
 
 def _lists(column) -> list[np.ndarray]:
@@ -230,7 +249,8 @@ _PASSAGE_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("data", pa.binary())
 def _passages(words: list[bytes], starts: np.ndarray, size: int, offset: int = 0) -> list[dict]:
     """Stretches of words covered by windows of ``2 * size`` words both of whose halves start in ``starts``, with
     those windows' places in them."""
-    at = np.sort(starts[np.isin(starts + size, starts)])
+    starts = np.unique(starts)
+    at = starts[np.isin(starts + size, starts, assume_unique=True)]
     if not len(at):
         return []
     cuts = np.flatnonzero(at[1:] > at[:-1] + 2 * size) + 1
@@ -243,10 +263,12 @@ def _doubled(passages: DataFrame, size: int) -> DataFrame:
     def run(batches):
         for b in batches:
             out = []
-            for doc, t1, first, data, at in zip(*(b.column(c).to_pylist() for c in ("doc_id", "t1", "start", "data")), _lists(b.column("at"))):
-                words = data.split()
-                k1, k2, docs, t1s, pos = _keys(word_hashes(words), words, at, size, doc, t1)
-                out.append((k1, k2, docs, t1s, pos + first))
+            rows = zip(*(b.column(c).to_pylist() for c in ("doc_id", "t1", "start")), _lists(b.column("at")), b.column("data").to_pylist())
+            for chunk in _chunks(rows):
+                docs, t1s, firsts, places, texts = zip(*chunk)
+                words = _Words(texts)
+                at = np.concatenate(places) + np.repeat(words.starts, [len(x) for x in places])
+                out.append(_keys(words, at, size, docs, t1s, np.array(firsts, dtype=np.int64)))
             yield from _key_batches(out)
 
     return passages.mapInArrow(run, "k1 long, k2 long, doc_id long, t1 long, pos long, state byte")
@@ -268,7 +290,7 @@ def _surviving(passages: DataFrame, repeated: DataFrame, size: int, with_places:
             types = [pa.int64(), pa.int64(), _PASSAGE_TYPE, pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "t1", "passages", "places"])
 
-    starts = repeated.groupBy("doc_id", "t1").agg(F.collect_set("pos").alias("starts"))
+    starts = repeated.groupBy("doc_id", "t1").agg(F.collect_list("pos").alias("starts"))
     return passages.join(starts, ["doc_id", "t1"]).select("doc_id", "t1", "start", "data", "starts").mapInArrow(
         run, f"doc_id long, t1 long, {_PASSAGES}, places array<long>")
 
@@ -321,9 +343,9 @@ def _cuts(texts: DataFrame, level: DataFrame, size: int, with_text: bool = False
 
     names = ["doc_id", "t1", "removed", "sha", "kept_text", "passages", "places"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), _PASSAGE_TYPE, pa.list_(pa.int64())]
-    every = F.collect_set("pos") if with_passages else F.lit(None).cast("array<long>")
+    every = F.collect_list("pos") if with_passages else F.lit(None).cast("array<long>")
     starts = (level if with_passages else level.filter("later")).groupBy("doc_id", "t1").agg(
-        F.collect_set(F.when(F.col("later"), F.col("pos"))).alias("starts"), every.alias("every"))
+        F.collect_list(F.when(F.col("later"), F.col("pos"))).alias("starts"), every.alias("every"))
     rows = texts.join(starts, ["doc_id", "t1"]).select("doc_id", "data", "t1", "starts", "every").mapInArrow(
         cut, f"doc_id long, t1 long, removed long, sha string, kept_text string, {_PASSAGES}, places array<long>")
     return rows.dropDuplicates(["doc_id", "t1"])  # rows repeated in id and text

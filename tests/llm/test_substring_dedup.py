@@ -5,8 +5,8 @@ import re
 import numpy as np
 
 from llm_fixtures import documents, prose, with_clashes
-from piisieve.llm.substring_dedup import longest_repeats, remove_repeats, window_minima
-from piisieve.llm.words import window_hashes, word_hashes
+from piisieve.llm.substring_dedup import _repeated, longest_repeats, remove_repeats, window_minima
+from piisieve.llm.words import hashed_words, run_hashes, window_hashes, word_hashes
 
 WORD = re.compile("[^\x20\x09-\x0D]+")
 
@@ -135,3 +135,42 @@ def test_kept_text_with_longest(spark):
     got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=True, longest=True).collect()}
     assert (got[2].kept_text, got[3].kept_text, got[1].kept_text) == ("x y", "", None)
     assert [got[i].longest_repeat for i in (1, 2, 3, 4)] == [26, 26, 26, 0]
+
+
+def test_words_of_many_texts_are_hashed_as_each_alone():
+    odd = [b"", b" \t\n", b"a", b" a\x00 a\x00\x00 a", b"\x0b\x0cabcdefgh abcdefg\rabcdefghi ", b"x" * 127 + b" " + b"x" * 128 + b" " + b"x" * 129,
+           b"y" * 4000 + b" end", "grüß   \x1f \x85".encode(), b"abcdefgh abcdefgi abcdefghabcdefgh abcdefghabcdefgi", b"last"]
+    sizes, first, second = hashed_words(odd)
+    words = [w for text in odd for w in text.split()]
+    assert sizes.tolist() == [len(text.split()) for text in odd] and len(first) == len(second) == len(words)
+    for hashes in (first, second):
+        assert len(set(hashes.tolist())) == len(set(words)) == len(set(zip(words, hashes.tolist())))
+    assert not set(first.tolist()) & set(second.tolist())
+    alone = [hashed_words([text]) for text in odd]
+    assert np.concatenate([a[1] for a in alone]).tolist() == first.tolist()
+    assert [x.tolist() for x in hashed_words([])] == [[], [], []]
+
+
+def test_run_hashes_tell_runs_apart():
+    rng = np.random.default_rng(3)
+    h = hashed_words([" ".join(map(str, rng.integers(0, 3, 3000))).encode()])[1]
+    for size in (1, 2, 5, 7, 13, 26):
+        runs = [h[i:i + size].tobytes() for i in range(len(h) - size + 1)]
+        found = run_hashes(h, size).tolist()
+        assert len(found) == len(runs) and len(set(found)) == len(set(runs)) == len(set(zip(runs, found)))
+    assert len(run_hashes(h[:4], 5)) == 0
+
+
+def test_windows_are_compared_without_python(spark):
+    rows = spark.createDataFrame([], "k1 long, k2 long, doc_id long, t1 long, pos long, state byte")
+    plan = _repeated(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "InArrow" not in plan
+
+
+def test_a_window_in_very_many_batches(spark):
+    rng = random.Random(5)
+    common = prose(rng, 14)
+    rows = [(i, f"{prose(rng, 6)} {common} {prose(rng, 3)}") for i in range(60)] + [(None, common), (7, prose(rng, 40))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    assert result(df) == brute(rows)
+    assert longest(df) == brute_longest(rows)
