@@ -211,3 +211,32 @@ def test_span_means_of_windows_that_share_a_key(spark):
     assert all(got[d, w, 2] == (1, [4.0, 8.0] if d == 1 else [0.0, 0.0]) for d in range(4) for w in range(3))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "window " in plan and "cast(vector" not in plan
+
+
+def test_span_means_as_columns(spark):
+    """The mean's dimensions as columns are those of its array, cut or filled with zeros; spans of one piece and of more."""
+    from piisieve.operators.metrics_extra import span_mean
+    rng = random.Random(4)
+    rows = [(d, w, [rng.choice([None, 1, 2, 3, 9]) for _ in range(12)], [(0, 0, 1), (1, 1, 4), (2, 4, 5), (3, 5, 11), (4, 2, 2), (5, 11, 12)]) for d in range(5) for w in range(30)]
+    win = spark.createDataFrame([*rows, (7, 0, [9, 9], [(0, 0, 2)]), (8, 0, [], [])],
+                                "document long, window int, piece_keys array<long>, spans array<struct<word:int,head:int,tail:int>>")
+    vec = spark.createDataFrame([(1, [0.1234565, -2.0, 3.0]), (2, [-0.0, 1e-7]), (3, [7.5, 0.3333333, -0.1234565])], "vec_key long, vector array<double>")
+    for digits in (None, 3):
+        want = {tuple(r[:6]): [*r.mean, 0.0, 0.0, 0.0] for r in span_mean(win, vec, digits=digits).collect()}
+        for names in (("a", "b"), ("a", "b", "c", "d", "e")):
+            out = span_mean(win, vec, digits=digits, columns=names)
+            assert out.columns == ["document", "window", "word", "head", "tail", "n_pieces", *names]
+            got = {tuple(r[:6]): list(r[6:]) for r in out.collect()}
+            assert len(got) == 5 * 30 * 5 + 1 and got == {k: [*v, 0.0, 0.0][:len(names)] for k, v in want.items()}
+
+
+def test_spans_in_numpy_are_those_of_the_lambdas(spark):
+    from piisieve.operators.windows import word_spans
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([-1, 0, 0, 1, 2, None]) for _ in range(rng.randint(0, 20))]) for i in range(200)] + [(200, None), (201, []), (202, [-1, -1])]
+    df = spark.createDataFrame(rows, "document long, word_ids array<int>").repartition(3, "document")
+    want, out = word_spans(df), word_spans(df, vectorised=True)
+    assert [(f.name, f.dataType.simpleString()) for f in out.schema] == [(f.name, f.dataType.simpleString()) for f in want.schema]
+    assert sorted(out.collect()) == sorted(want.collect())
+    with pytest.raises(ValueError, match="default rule"):
+        word_spans(df, reference_rule=True, vectorised=True)

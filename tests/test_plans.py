@@ -149,3 +149,22 @@ def test_best_and_last_store_their_gold_words(spark, monkeypatch):
     monkeypatch.setattr(cs.E, "type_counts", lambda p, g: plans.append(plan(g)) or made(p, g))
     assert cs.q_write_best_last(spark, SF).count() > 0
     assert len(plans) == 4 and all("Generate" not in p and "Exchange" not in p for p in plans)
+
+
+def method_sizes(spark, name):
+    """Bytes of the largest generated method of each stage of a query."""
+    import re
+    import __spark_entry__ as e
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        executed = e.queries()[name](spark, SF)._jdf.queryExecution().executedPlan()
+        text = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenString(executed)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    return [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", text)]
+
+
+def test_span_mean_is_compiled(spark):
+    """No expression per dimension: with 64 of them the method passed 8000 bytes."""
+    assert max(method_sizes(spark, "span_mean")) < 4000
+    assert "filter(arrays_zip" not in query_plan(spark, "span_mean")  # runs are not found by interpreted lambdas
