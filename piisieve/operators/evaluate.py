@@ -27,6 +27,64 @@ def explode_occurrences(df: DataFrame, word_ids: str = "word_ids", probs: str =
     return df.select("document", F.inline(z))
 
 
+def _word_sums(n: int, half_away):
+    """Batches of (document, token, probs) in document order -> one row per word with its count and its sums."""
+    def sums(parts):
+        import numpy as np
+        import pyarrow as pa
+
+        document, token, probs = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((token, document))
+        document, token = document[order], token[order]
+        first = np.flatnonzero(np.append(True, (document[1:] != document[:-1]) | (token[1:] != token[:-1])))
+        total = half_away(np.add.reduceat(probs[order], first, axis=0)).T
+        words = pa.RecordBatch.from_arrays([pa.array(x) for x in (document[first], token[first], np.diff(np.append(first, len(order))), *np.ascontiguousarray(total))],
+                                           names=["document", "token", "n_occ", *(f"sum_p{k}" for k in range(n))])
+        for at in range(0, words.num_rows, SUM_ROWS):
+            yield words.slice(at, SUM_ROWS)
+
+    def run(batches):
+        import numpy as np
+
+        held, last = [], None  # the rows of the document that the next batch may go on with
+        for b in batches:
+            if not b.num_rows:
+                continue
+            document, token = (b.column(c).to_numpy(zero_copy_only=False) for c in ("document", "token"))
+            probs = b.column("probs").flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            if (np.diff(document) < 0).any() or (held and document[0] < last):
+                raise ValueError("occurrences must come in the order of their documents")
+            if held and document[-1] != last or document[0] != document[-1]:
+                cut = int(np.searchsorted(document, document[-1]))
+                done = [*held, *([(document[:cut], token[:cut], probs[:cut])] if cut else [])]
+                yield from sums(done)
+                held, document, token, probs = [], document[cut:], token[cut:], probs[cut:]
+            held, last = [*held, (document, token, probs)], document[-1]
+        if held:
+            yield from sums(held)
+
+    return run
+
+
+SUM_ROWS = 1 << 14
+
+
+def sum_occurrences(occurrences: DataFrame, n_classes: int, digits: int) -> DataFrame:
+    """(document, token, probs) -> (document, token, n_occ, sum_p0..): count and element-wise sum per word, rounded.
+
+    The occurrences of a document must lie in one partition, and those of a partition in the order of their documents (the
+    documents dealt out by id and sorted there, before anything is exploded from them). Vectors that come out of the
+    model hook have lost what Spark knew of that, and a ``groupBy`` would shuffle every one of them; here numpy sums
+    them where they are, holding the rows of one document and one batch.
+    """
+    from ..session import ship_package
+    from .metrics_extra import _half_away
+    ship_package(occurrences.sparkSession)
+    sums = ", ".join(f"sum_p{k} double" for k in range(n_classes))
+    return occurrences.select("document", "token", "probs").mapInArrow(
+        _word_sums(n_classes, lambda x: _half_away(x, digits)), f"document long, token int, n_occ long, {sums}")
+
+
 def drop_confident_outside(df: DataFrame, cut: float = CUT_TOKEN_MODEL, probs: str = "probs",
                            n_classes: int | None = None) -> DataFrame:
     """P5: drop occurrences whose outside probability is >= cut (strict <, applied before the mean)."""

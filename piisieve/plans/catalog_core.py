@@ -73,12 +73,11 @@ SELECT document, token, CAST(count(*) AS BIGINT) AS n_occ, """ + ", ".join(f"rou
 FROM occ GROUP BY document, token""")
 def q_explode_occurrences(spark, d):
     """A2 (+R9): per-window probability arrays from the model hook, zip-exploded per occurrence
-    (summarised per word)."""
+    (summarised per word, where its document lies: no vector is shuffled)."""
     from .synthetic import scored_windows
-    occ = E.explode_occurrences(scored_windows(essays_from_documents(documents(spark, d))))
-    return occ.groupBy("document", "token").agg(
-        F.count(F.lit(1)).alias("n_occ"),
-        *[round_half_away(F.sum(F.col("probs")[k]), 9).alias(f"sum_p{k}") for k in range(13)])
+    texts = documents(spark, d).sortWithinPartitions("doc_id")
+    occ = E.explode_occurrences(scored_windows(essays_from_documents(texts)))
+    return E.sum_occurrences(occ, 13, 9)
 
 
 @register("drop_confident_outside", S.chain(*OCC) + f"""

@@ -240,3 +240,27 @@ def test_spans_in_numpy_are_those_of_the_lambdas(spark):
     assert sorted(out.collect()) == sorted(want.collect())
     with pytest.raises(ValueError, match="default rule"):
         word_spans(df, reference_rule=True, vectorised=True)
+
+
+def test_sums_of_occurrences_are_those_of_a_group_by(spark):
+    """Documents that end in, at and beyond a batch, come twice or have one word; and none at all."""
+    from piisieve.functions.arrays import round_half_away
+    from piisieve.operators.evaluate import sum_occurrences
+    rng = random.Random(6)
+    rows = [(doc, t, [rng.uniform(0, 1) for _ in range(3)]) for doc, n in enumerate([1, 5, 6, 40, 1, 0, 7, 7, 3, 100, 2]) for w in (0, 1, 1)
+            for t in range(w * n // 2, n)]
+    occ = spark.createDataFrame(rows, "document long, token int, probs array<double>")
+    want = occ.groupBy("document", "token").agg(F.count(F.lit(1)).alias("n_occ"), *[round_half_away(F.sum(F.col("probs")[k]), 9).alias(f"sum_p{k}") for k in range(3)])
+    dealt = occ.repartition(3, "document").sortWithinPartitions("document")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sum_occurrences(dealt, 3, 9)
+        assert got.columns == want.columns and sum_occurrences(dealt.filter("document < 0"), 3, 9).count() == 0
+        got, want = ({(r.document, r.token): tuple(r[2:]) for r in x.collect()} for x in (got, want))
+        assert got.keys() == want.keys() and len(got) == len({r[:2] for r in rows})
+        assert all(got[k][0] == v[0] and all(math.isclose(a, b, abs_tol=2e-9) for a, b in zip(got[k][1:], v[1:])) for k, v in want.items())
+        with pytest.raises(Exception, match="order of their documents"):
+            sum_occurrences(occ.coalesce(1).sortWithinPartitions(F.desc("document")), 3, 9).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -168,3 +168,9 @@ def test_span_mean_is_compiled(spark):
     """No expression per dimension: with 64 of them the method passed 8000 bytes."""
     assert max(method_sizes(spark, "span_mean")) < 4000
     assert "filter(arrays_zip" not in query_plan(spark, "span_mean")  # runs are not found by interpreted lambdas
+
+
+def test_vectors_of_the_model_are_not_shuffled(spark):
+    """The texts are dealt out by id; what the model hook gives for them is summed where it is made."""
+    p = query_plan(spark, "explode_occurrences")
+    assert p.count("Exchange") == 1 and "REPARTITION_BY_NUM" in p and "doc_id" in p.split("Exchange hashpartitioning(")[1][:10]
