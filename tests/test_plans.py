@@ -174,3 +174,42 @@ def test_vectors_of_the_model_are_not_shuffled(spark):
     """The texts are dealt out by id; what the model hook gives for them is summed where it is made."""
     p = query_plan(spark, "explode_occurrences")
     assert p.count("Exchange") == 1 and "REPARTITION_BY_NUM" in p and "doc_id" in p.split("Exchange hashpartitioning(")[1][:10]
+
+
+def test_best_and_last_leave_only_what_they_point_to(spark, monkeypatch):
+    """Four evaluations leave the outputs that a pointer names, compressed; no checkpoint, no scratch table, no older version."""
+    import json
+    import os
+    from urllib.parse import urlparse
+    from piisieve.plans import catalog_splits as cs
+    from piisieve.session import ensure_checkpoint_dir
+    top = urlparse(ensure_checkpoint_dir(spark)).path
+    before, steps, write = set(os.listdir(top)), [], cs.SK.write_outputs
+
+    def written(submission, predictions, base, step, score):
+        steps.append((step, predictions.count(), submission.count()))
+        return write(submission, predictions, base, step, score)
+
+    monkeypatch.setattr(cs.SK, "write_outputs", written)
+    rows = cs.q_write_best_last(spark, SF).groupBy("output", "step").count().collect()
+    assert [s[0] for s in steps] == [0, 1, 2, 3] and len({s[1] for s in steps}) == 1 and steps[0][1] > steps[3][2] > 0
+    assert {r.output: (r.step, r["count"]) for r in rows}["last"] == (3, steps[3][2])
+    left = set(os.listdir(top)) - before
+    assert len(left) == 1 and next(iter(left)).startswith("scratch-outputs-")
+    base = os.path.join(top, *left)
+    named = {json.load(open(os.path.join(base, n)))["version"] for n in ("best", "last")}
+    assert set(os.listdir(f"{base}/versions")) == named
+    files = [f for v in named for part in ("submission", "predictions") for f in os.listdir(f"{base}/versions/{v}/{part}") if f.startswith("part-")]
+    assert files and all(f.endswith((".csv.gz", ".zstd.parquet")) for f in files)
+
+
+def test_a_stored_row_index_is_the_checkpointed_one(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from piisieve.operators.evaluate import submission
+    label = F.when(F.col("id") % 3 == 0, "B-EMAIL").otherwise("I-EMAIL")
+    df = spark.range(500).select((F.col("id") * 37 % 101).alias("document"), F.col("id").cast("int").alias("token"),
+                                 (F.col("id") % 5 / 5).alias("outside_prob"), label.alias("most_probable_label"))
+    want = sorted(submission(df, 0.5, 7).collect())
+    got = submission(df, 0.5, 7, store=f"file://{tmp_path}/ranks")
+    assert sorted(got.collect()) == want and [r.row_id for r in want] == list(range(300)) and got.dtypes == submission(df, 0.5, 7).dtypes
+    assert submission(df.filter("document < 0"), 0.5, 3, store=f"file://{tmp_path}/none").count() == 0
