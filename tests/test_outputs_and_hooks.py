@@ -264,3 +264,12 @@ def test_sums_of_occurrences_are_those_of_a_group_by(spark):
             sum_occurrences(occ.coalesce(1).sortWithinPartitions(F.desc("document")), 3, 9).count()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_packed_arrays_come_back(spark):
+    import numpy as np
+    from piisieve.operators.metrics_extra import _packed, _unpacked
+    arrays = [np.array(x, dtype=np.int64) for x in ([], [0, -1, 127], [128, -129], [2 ** 31, 5], [2 ** 63 - 1, -2 ** 63])]
+    data = _packed(arrays)
+    assert [a.tolist() for a in _unpacked(data, 5)] == [a.tolist() for a in arrays]
+    assert len(data) == 8 * 5 + 5 + 3 + 2 * 2 + 2 * 8 + 2 * 8
